@@ -38,32 +38,6 @@ def sha256_of(values: Column) -> Column:
     return F.sha2(F.concat_ws(",", values).cast("binary"), 256)
 
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or one of our own only where that is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN_DIRS.get(sc.applicationId)
-    if not found:
-        import tempfile
-
-        found = _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts, by one aggregate."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0)
