@@ -84,15 +84,14 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, rounds: list[tuple[int,
     Kasai's scan carries the length from one text position to the next; here all positions are done at
     once, by lifting through the refinement rounds, whose ranks tell equality at each depth.
     """
-    n = sa.size
-    out = np.zeros(n, np.int64)
-    if n < 2:
-        return out
-    a, b, got = sa[1:].copy(), sa[:-1].copy(), np.zeros(n - 1, np.int64)
+    n = symbols.size
+    if sa.size < 2:
+        return np.zeros(sa.size, np.int64)
+    a, b, got = sa[1:], sa[:-1], np.zeros(sa.size - 1, np.int64)
     for have, rank in reversed(rounds):
         while True:
             fits = (a + got + have <= n) & (b + got + have <= n) & (got + have <= depth)
-            same = np.zeros(n - 1, bool)
+            same = np.zeros(got.size, bool)
             same[fits] = rank[a[fits] + got[fits]] == rank[b[fits] + got[fits]]
             if not same.any():
                 break
