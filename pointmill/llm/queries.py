@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm import chat, common, decontaminate, jaccard, pieces, quality_rank, quality_rules, secrets, suffix_dedup, toxicity
+from pointmill.llm import chat, common, decontaminate, jaccard, katz, pieces, quality_rank, quality_rules, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in secrets.BASE_KINDS], common.sha256_of(told(base)).alias("base_sha256"), F.concat_ws(",", told(F.col("spans"))).alias("spans"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
