@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from pointmill.llm import common
 
 #: Labelled rows learnt from at most, by label.
-SAMPLE = {1: 2000, 0: 3000}
+SAMPLE = {1: 1500, 0: 2500}
 BUCKETS, DIMENSIONS, ROUNDS, RATE, DECAY = 1 << 17, 4, 60, 0.1, 1e-5
 #: Document means are small, as most words say nothing: they are scaled before the softmax.
 GAIN = 60.0
@@ -64,47 +66,52 @@ def _segments(lengths: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Embeddings and softmax by full-batch Adam."""
     index: dict[str, int] = {}
-    doc, word, share = [], [], []
+    doc_n = np.zeros(len(texts), np.int64)
+    word, share = array("i"), array("f")
     for d, t in enumerate(texts):
         found = _WORDS.findall(t.lower())
-        counts: dict[int, int] = {}
-        for w in found:
-            k = index.setdefault(w, len(index))
-            counts[k] = counts.get(k, 0) + 1
-        doc.append(np.full(len(counts), d))
-        word.append(np.fromiter(counts.keys(), np.int64, len(counts)))
-        share.append(np.fromiter(counts.values(), np.float64, len(counts)) / max(LEAST_WORDS, len(found)))
+        counts = Counter(found)
+        word.extend(index.setdefault(w, len(index)) for w in counts)
+        share.extend(n / max(LEAST_WORDS, len(found)) for n in counts.values())
+        doc_n[d] = len(counts)
     if not index or len(set(labels.tolist())) < 2:
         p = (labels.sum() + 1) / (labels.size + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    doc, word, share = np.concatenate(doc), np.concatenate(word), np.concatenate(share)
-    subs = [buckets_of(w) for w in index]
-    n_sub = np.array([len(s) for s in subs])
-    sub = np.concatenate([np.array(s) for s in subs])
-    sub_word = np.repeat(np.arange(len(subs)), n_sub)
+    word, share = np.frombuffer(word, np.int32), np.frombuffer(share, np.float32)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), doc_n)
+    sub, n_sub = array("i"), np.zeros(len(index), np.int64)
+    for k, w in enumerate(index):
+        found = buckets_of(w)
+        sub.extend(found)
+        n_sub[k] = len(found)
+    n_words = len(index)
+    del index
+    sub = np.frombuffer(sub, np.int32)
+    sub_word = np.repeat(np.arange(n_words, dtype=np.int32), n_sub)
     # documents that have each bucket: words of a document may repeat it, so this bounds it from above
-    seen = np.bincount(sub, weights=np.bincount(word, minlength=len(subs))[sub_word], minlength=BUCKETS)
+    seen = np.bincount(sub, weights=np.bincount(word, minlength=n_words)[sub_word], minlength=BUCKETS)
     live = (seen >= LEAST_DOCS)[sub]
-    order = np.argsort(word, kind="stable")
-    word_starts = _segments(np.bincount(word, minlength=len(subs)))
-    doc_n = np.bincount(doc, minlength=len(texts))
+    order = np.argsort(word, kind="stable").astype(np.int32)
+    word_starts = _segments(np.bincount(word, minlength=n_words))
     rng = np.random.default_rng(seed)
     names, table = np.unique(sub[live], return_inverse=True)
-    live_word, scale = sub_word[live], 1.0 / n_sub[sub_word[live]]
-    emb = rng.normal(0, 0.05, (DIMENSIONS, names.size))
+    table, live_word = table.astype(np.int32), sub_word[live]
+    scale = (1.0 / n_sub[live_word]).astype(np.float32)
+    emb = rng.normal(0, 0.05, (DIMENSIONS, names.size)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIMENSIONS, 2))
     bias = np.zeros(2)
     target = np.stack([1 - labels, labels], 1).astype(float)
     weight = np.where(labels == 1, 0.35 / max(1, labels.sum()), 0.65 / max(1, (1 - labels).sum()))
-    sub_order = np.argsort(table, kind="stable")
+    sub_order = np.argsort(table, kind="stable").astype(np.int32)
     sub_starts = _segments(np.bincount(table, minlength=names.size))
-    lw = np.bincount(live_word, minlength=len(subs))
+    lw = np.bincount(live_word, minlength=n_words)
     has_live, has_words = lw > 0, doc_n > 0
     live_starts, doc_starts = _segments(lw)[has_live], _segments(doc_n)[has_words]
-    back_doc, back_share = doc[order], share[order] * GAIN
+    back_doc, back_share = doc[order], share[order] * np.float32(GAIN)
     back_word, back_scale = live_word[sub_order], scale[sub_order]
-    share = share * GAIN
-    vec, mean, d_emb = np.zeros(len(subs)), np.zeros((len(texts), DIMENSIONS)), np.zeros_like(emb)
+    share = share * np.float32(GAIN)
+    del sub, sub_word, live, sub_order, order
+    vec, mean, d_emb = np.zeros(n_words, np.float32), np.zeros((len(texts), DIMENSIONS)), np.zeros_like(emb)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, soft, bias)]
     for step in range(1, ROUNDS + 1):
         for k in range(DIMENSIONS):
@@ -117,7 +124,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         dz = (p - target) * weight[:, None]
         d_mean = dz @ soft.T
         for k in range(DIMENSIONS):
-            d_word = np.add.reduceat(d_mean[back_doc, k] * back_share, word_starts)
+            d_word = np.add.reduceat(d_mean[:, k].astype(np.float32)[back_doc] * back_share, word_starts)
             d_emb[k] = np.add.reduceat(d_word[back_word] * back_scale, sub_starts)
         for x, g, s in zip((emb, soft, bias), (d_emb + DECAY * emb, mean.T @ dz, dz.sum(0)), state, strict=True):
             s[0] = 0.9 * s[0] + 0.1 * g
