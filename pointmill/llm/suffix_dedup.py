@@ -31,7 +31,7 @@ LENGTH = 50
 #: Bytes of an anchor's k-gram; a window has LENGTH - GRAM + 1 of them, which must fit the 32 bits of a mask.
 GRAM = 20
 #: Text of a chunk; bytes hashed at a time; occurrences of an anchor that one shard takes.
-CHUNK_BYTES, BLOCK_BYTES, HOT = 4 << 20, 1 << 20, 20_000
+CHUNK_BYTES, BLOCK_BYTES, HOT = 4 << 20, 1 << 18, 20_000
 LAST_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -271,19 +271,26 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         bytes_at = np.concatenate([[0], np.cumsum(s["size"])])
         cut = list(zip(at[:-1], at[1:], strict=True))
         small = lambda name, t: [s[name][a:b].astype(t).tobytes() for a, b in cut]
-        return _rows(chunk=[key[0].as_py()] * len(names), hot=(names % 2 == 1).tolist(), shard=names // 2, size=small("size", np.uint8), offset=small("offset", np.uint8), least=small("least", np.int64), data=[s["data"][bytes_at[a] : bytes_at[b]].tobytes() for a, b in cut])
+        return _rows(chunk=[key[0].as_py()] * len(names), shard=names // 2 + chunks * (names % 2), size=small("size", np.uint8), offset=small("offset", np.uint8), least=small("least", np.int64), data=[s["data"][bytes_at[a] : bytes_at[b]].tobytes() for a, b in cut])
 
-    sent = base.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(send_segments, "chunk long, hot boolean, shard long, size binary, offset binary, least binary, data binary")
+    sent = base.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(send_segments, "chunk long, shard long, size binary, offset binary, least binary, data binary")
+
+    # shards of frequent anchors have numbers of their own, so that all readers share one exchange
+    nothing = {"answer": _rows(chunk=[], hot=[], shard=[], data=[]), "windows": _rows(shard=[], part=[], keys=[], least=[])}
 
     def answer_shard(key, table):
+        if key[0].as_py() >= chunks:
+            return nothing["answer"]
         s = Segments(table, length, gram)
         names, masks = s.answers(s.least_of_windows())
         return _rows(chunk=names, hot=[False] * len(names), shard=[key[0].as_py()] * len(names), data=masks)
 
-    answers = sent.where("not hot").groupBy("shard").applyInArrow(answer_shard, answer)
+    answers = sent.groupBy("shard").applyInArrow(answer_shard, answer)
 
     # frequent anchors: their shards merge by ranges of the windows
     def cut_windows(key, table):
+        if key[0].as_py() < chunks:
+            return nothing["windows"]
         s = Segments(table, length, gram)
         keys, least = s.window_hashes(), s.least_of_windows()
         names, lead = np.unique(keys, return_index=True)  # equal windows have equal least ids already
@@ -303,6 +310,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         return _rows(shard=table["shard"].to_pylist(), part=[key[0].as_py()] * len(keys), keys=[k.tobytes() for k in keys], least=[low[p].tobytes() for p in places])
 
     def answer_merged(key, left, right):
+        if key[0].as_py() < chunks:
+            return nothing["answer"]
         s = Segments(left, length, gram)
         order = np.argsort(right["part"].to_numpy())
         keys, least = (np.concatenate([np.frombuffer(right[c][int(k)].as_py(), t) for k in order]) for c, t in (("keys", _U), ("least", np.int64)))
@@ -310,9 +319,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         return _rows(chunk=names, hot=[True] * len(names), shard=[key[0].as_py()] * len(names), data=masks)
 
     window_rows = "shard long, part long, keys binary, least binary"
-    frequent = sent.where("hot")
-    merged = frequent.groupBy("shard").applyInArrow(cut_windows, window_rows).groupBy("part").applyInArrow(merge_ranges, window_rows)
-    answers = answers.unionByName(frequent.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(answer_merged, answer))
+    merged = sent.groupBy("shard").applyInArrow(cut_windows, window_rows).groupBy("part").applyInArrow(merge_ranges, window_rows)
+    answers = answers.unionByName(sent.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(answer_merged, answer))
 
     def mark(key, left, right):
         c = Chunk(left, length, gram)
