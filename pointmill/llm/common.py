@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that one Arrow batch carries into Python: long texts must not pile up in one batch.
 BATCH_ROWS = 400
@@ -127,3 +128,35 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     value[~ink] = 0
     total = np.add.reduceat(value, starts)
     return mix64(total + lengths.astype(U64) * _PRIME), starts
+
+
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as differences, byte by byte of all: the high bytes are then runs of zeros."""
+    return np.diff(values, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+
+
+def zipped(docs: DataFrame) -> DataFrame:
+    """The frame with its column `text` as a compressed binary column `zip`, for texts that are shuffled whole."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            kept = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+            yield pa.RecordBatch.from_pydict(kept | {"zip": pa.array([z.compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())})
+
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("zip", T.BinaryType())
+    return docs.mapInArrow(run, schema)
+
+
+def unzipped(column: pa.ChunkedArray) -> list[bytes]:
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(b) for b in column.to_pylist()]

@@ -92,7 +92,7 @@ class Chunk:
     """Tokens of a chunk's documents, its distinct words and bigrams."""
 
     def __init__(self, table: pa.Table) -> None:
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()
+        ids, texts = table.column("doc_id").to_pylist(), common.unzipped(table.column("zip"))
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k]))
         self.ids = [ids[k] for k in order]
         self.held = table.column("held_out").to_numpy(zero_copy_only=False)[order]
@@ -190,15 +190,15 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
     chunks = common.parts_for(common.text_bytes(source), chunk_bytes)
     # one exchange of the texts serves the three passes over the chunks
-    base = source.select("doc_id", "text", (common.fold(folds) == 0).alias("held_out"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks).cast("long")).alias("chunk"))
+    base = common.zipped(source).select("doc_id", "zip", (common.fold(folds) == 0).alias("held_out"), F.pmod(F.xxhash64("doc_id", F.octet_length("zip")), F.lit(chunks).cast("long")).alias("chunk"))
 
     def send_words(key, table):
         c = Chunk(table)
         names, cut = _slices(((c.words >> _U(32)) * _U(chunks) >> _U(32)).astype(np.int64))
-        return _rows(chunk=[key[0].as_py()] * len(names), bucket=names, keys=[c.words[a:b].tobytes() for a, b in cut], counts=[packed(c.word_count[a:b]) for a, b in cut])
+        return _rows(chunk=[key[0].as_py()] * len(names), bucket=names, keys=[common.packed_sorted(c.words[a:b]) for a, b in cut], counts=[packed(c.word_count[a:b]) for a, b in cut])
 
     def word_totals(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        keys = [np.frombuffer(x, _U) for x in table["keys"].to_pylist()]
+        keys = [common.unpacked_sorted(x) for x in table["keys"].to_pylist()]
         names, of = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(of, weights=np.concatenate([unpacked(x) for x in table["counts"].to_pylist()]))
         return names, total.astype(np.int64), of, [k.size for k in keys]
@@ -231,7 +231,7 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
         for a, b in cut:
             mine = q["by"][edge[a] : edge[b]]
             tails, index = np.unique(c.tail[mine], return_inverse=True)
-            for k, v in (("heads", c.words[q["head"][a:b]].tobytes()), ("degree", packed(q["degree"][a:b])), ("words", c.words[tails].tobytes()), ("totals", packed(total[tails])), ("index", packed(index)), ("counts", packed(c.pair_count[mine]))):
+            for k, v in (("heads", common.packed_sorted(c.words[q["head"][a:b]])), ("degree", packed(q["degree"][a:b])), ("words", common.packed_sorted(c.words[tails])), ("totals", packed(total[tails])), ("index", packed(index)), ("counts", packed(c.pair_count[mine]))):
                 out[k].append(v)
         return _rows(chunk=[key[0].as_py()] * len(names), bucket=names // 2, kind=names % 2, **out)
 
@@ -242,10 +242,10 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
         """Totals of a bucket's distinct bigrams; of: the distinct one of each that was sent."""
         heads, tails, counts, totals, sizes, entries = [], [], [], [], [], []
         for h, d, w, t, i, n in zip(*(table[c].to_pylist() for c in ("heads", "degree", "words", "totals", "index", "counts")), strict=True):
-            h, d, i = np.frombuffer(h, _U), unpacked(d), unpacked(i)
+            h, d, i = common.unpacked_sorted(h), unpacked(d), unpacked(i)
             entries.append(h)
             heads.append(np.repeat(h, d))
-            tails.append(np.frombuffer(w, _U)[i])
+            tails.append(common.unpacked_sorted(w)[i])
             totals.append(unpacked(t)[i])
             counts.append(unpacked(n))
             sizes.append(i.size)
