@@ -3,8 +3,8 @@
 1. Every text becomes its set of n-gram hashes, a digest of the set, and band hashes of MinHash rows.
    Texts of equal sets are one node with a count, so copies never meet each other.
 2. Nodes are shuffled on band hashes. Buckets with the same members count once. Inside a bucket, nodes
-   join the leaders that their signatures resemble; only these star edges leave the bucket. Two sets of
-   the wanted similarity always end up under one leader, so components of the star graph lose no pair
+   join the leaders that their signatures resemble; only a forest of these links leaves the bucket. Two sets of
+   the wanted similarity always end up under one leader, so components of the links lose no pair
    that shares a bucket. Large buckets are split by a salt, and the leaders of the parts compared.
 3. Each component's full sets are compared exactly, in blocks when it is large, which counts every
    node's links; a spanning forest of the links gives the classes.
@@ -36,6 +36,7 @@ JOIN_LEADER, SAME_AS_LEADER, LINK_LEADERS = 0.4, 0.8, 0.2
 #: Members of a bucket in one part; rows in one group of buckets; nodes in one block of a component.
 BUCKET_PART, GROUP_ROWS, BLOCK = 2000, 20_000, 1500
 LAST_ID = (1 << 63) - 1
+_ROW = "_pointmill_row"
 _P = [pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64) for k in range(64)]
 
 
@@ -111,30 +112,34 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, id_col: str = "doc_id
     return source.mapInArrow(run, schema)
 
 
-def canopies(nodes: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Star edges (leader, member) and the leaders among a bucket's nodes."""
+def joined(label: np.ndarray, near: np.ndarray) -> None:
+    """Put all marked places in one set, named by its least place (in place)."""
+    names = np.unique(label[near])
+    if names.size > 1:
+        label[np.isin(label, names)] = names[0]
+
+
+def canopies(nodes: np.ndarray, sig: np.ndarray, all_leaders: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest (src, dst) of a bucket's nodes that resemble a common leader, and the leaders' places."""
     order = np.argsort(nodes)
     nodes, sig = nodes[order], sig[order]
-    free = np.ones(nodes.size, bool)
-    src, dst, leaders = [], [], []
-    while free.any():
+    free, label, leaders = np.ones(nodes.size, bool), np.arange(nodes.size), []
+    while free.any() and (all_leaders or label.any()):  # all in one set: nothing left to link
         k = int(np.argmax(free))
         like = (sig == sig[k]).mean(1)
-        near = np.flatnonzero(like >= JOIN_LEADER)
-        near = near[near != k]
-        src.append(np.full(near.size, nodes[k]))
-        dst.append(nodes[near])
+        joined(label, like >= JOIN_LEADER)
         leaders.append(order[k])
         free &= like < SAME_AS_LEADER
         free[k] = False
-    return np.concatenate(src), np.concatenate(dst), np.array(leaders)
+    apart = np.flatnonzero(label != np.arange(nodes.size))
+    return nodes[label[apart]], nodes[apart], np.array(leaders)
 
 
 def _matrix(sigs) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), -1)
 
 
-def star_edges(reps: DataFrame) -> DataFrame:
+def candidate_edges(reps: DataFrame) -> DataFrame:
     """Candidate edges (src, dst) between nodes that share a band and whose signatures are near a common leader."""
     spread = reps.select("node", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
@@ -146,26 +151,40 @@ def star_edges(reps: DataFrame) -> DataFrame:
     members = members.withColumn("split", salts > 1).withColumn("salt", F.pmod(F.xxhash64("node"), salts))
     members = members.withColumn("part", F.pmod(F.xxhash64("bucket", "salt"), F.lit(parts))).drop("n", "bands")
 
-    def inside(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def inside(key, frame):
         out: list[pd.DataFrame] = []
         for (bucket, _, split), g in frame.groupby(["bucket", "salt", "split"], sort=False):
             nodes = g["node"].to_numpy()
-            src, dst, leaders = canopies(nodes, _matrix(g["sig"].tolist()))
-            out.append(pd.DataFrame({"src": src, "dst": dst}))
+            src, dst, leaders = canopies(nodes, _matrix(g["sig"].tolist()), split)
+            out.append(pd.DataFrame({"src": src, "dst": dst}).astype("Int64"))  # nullable, as floats can't hold the ids
             if split:
                 top = g.iloc[leaders]
-                out.append(pd.DataFrame({"bucket": bucket, "node": top["node"].to_numpy(), "sig": top["sig"].to_numpy()}))
+                out.append(pd.DataFrame({"bucket": bucket, "node": top["node"].to_numpy(), "sig": top["sig"].to_numpy()}).astype({"bucket": "Int64", "node": "Int64"}))
         return pd.concat(out, ignore_index=True).reindex(columns=["src", "dst", "bucket", "node", "sig"])
 
     found = written(members.groupBy("part").applyInPandas(inside, "src long, dst long, bucket long, node long, sig binary"), "stars")
 
-    def between(key, frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, sig = frame["node"].to_numpy(), _matrix(frame["sig"].tolist())
-        near = [(nodes[i], nodes[j]) for i in range(nodes.size) for j in np.flatnonzero((sig[i + 1 :] == sig[i]).mean(1) >= LINK_LEADERS) + i + 1]
-        return pd.DataFrame(near, columns=["src", "dst"], dtype="int64")
-
-    top = found.where("bucket is not null").groupBy("bucket").applyInPandas(between, "src long, dst long")
-    return found.where("src is not null").select("src", "dst").unionByName(top)
+    def between(key, frame):
+        i, j = key[1], key[2]  # two blocks of the bucket's leaders, or one with itself
+        a, b = frame[frame["block"] == i], frame[frame["block"] == j]
+        nodes = np.concatenate([a["node"], b["node"]])
+        if a.empty or b.empty:
+            return pd.DataFrame({"src": nodes[:0], "dst": nodes[:0]})
+        sig_a, sig_b = _matrix(a["sig"].tolist()), _matrix(b["sig"].tolist())
+        label = np.arange(nodes.size)
+        for k in range(len(a)):
+            near = np.concatenate([np.zeros(len(a), bool), (sig_b == sig_a[k]).mean(1) >= LINK_LEADERS])
+            near[k] = True
+            joined(label, near)
+        apart = np.flatnonzero(label != np.arange(nodes.size))
+        return pd.DataFrame({"src": nodes[label[apart]], "dst": nodes[apart]})
+
+    top = found.where("bucket is not null").select("bucket", "node", "sig")
+    blocks = top.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_PART).alias("blocks"))
+    top = top.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    top = top.select("bucket", "node", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    linked = top.groupBy("bucket", "i", "j").applyInPandas(between, "src long, dst long")
+    return found.where("src is not null").select("src", "dst").unionByName(linked)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -215,7 +234,7 @@ def classes(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, rec
     worded = signed_docs.where("node is not null")
     first = F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first")
     reps = written(worded.groupBy("node").agg(first, F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
-    near = connected_components(star_edges(reps))
+    near = connected_components(candidate_edges(reps))
     sized = near.join(near.groupBy("component").agg(F.count("*").alias("size")), "component")
     blocks = F.ceil(F.col("size") / block)
     wanted = written(sized.join(reps.select("node", "first", "copies"), "node").select("component", "node", "first", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block")), "candidates")
@@ -229,12 +248,13 @@ def classes(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, rec
             yield pa.RecordBatch.from_pydict(cols | {"grams": pa.array([s.tobytes() for s, ok in zip(sets, right, strict=True) if ok], pa.binary())})
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("first"), common.whole_text().alias("text"))
-    sets = texts.join(wanted, "first").mapInArrow(with_sets, "component long, node long, copies long, blocks long, block long, grams binary")
+    # never a broadcast: what is wanted grows with the input, and the plan is to be the same at every size
+    sets = texts.join(wanted.hint("merge"), "first").mapInArrow(with_sets, "component long, node long, copies long, blocks long, block long, grams binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = sets.withColumn("other", other).select("component", "node", "copies", "grams", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("component", "i", "j"), F.lit(parts)))
 
-    def verify(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def verify(key, frame):
         out = []
         for (_, i, j), g in frame.drop_duplicates(["component", "i", "j", "node"]).groupby(["component", "i", "j"], sort=False):
             sides = []
@@ -264,5 +284,5 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """
     firsts = classes(docs, **how).where("doc_id = class_id").select("doc_id").distinct()
     # the window and the join need the same partitioning and order
-    once = docs.where("doc_id is not null").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
+    once = docs.where("doc_id is not null").withColumn(_ROW, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(_ROW) == 1).drop(_ROW)
     return once.join(firsts, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
