@@ -1,0 +1,30 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parents[1]))
+import compare  # noqa: E402
+
+from pointmill.llm import queries, sql  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
+def test_same_rows(spark, sf_dir, name):
+    got, want = queries.queries()[name](spark, sf_dir).toPandas(), compare.connect(sf_dir).sql(sql.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert compare.rows(got) == compare.rows(want)
+
+
+def test_awkward_documents(spark, docs, tmp_path):
+    """The SQL and the operators agree on awkward rows too."""
+    docs.select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "One two"), (2, None), (3, ""), (4, docs.where("doc_id = 15").first()["text"])], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("op1_decontamination", "op7_quality_rules"):
+        got, want = queries.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(sql.oracle_sql()[name]).df()
+        assert compare.rows(got) == compare.rows(want), name
