@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from pointmill.functions import geometry
 from pointmill.functions.tables import shared_dir
 from pointmill.operators import augment, cluster, features, filters, layers, linalg, registration, spatial
 from pointmill.plans import views
@@ -17,6 +18,72 @@ from pointmill.streaming import frames
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
+_RADIAL = "rad as (select *, x / s as nx, y / s as ny, z / s as nz from (select *, sqrt(x * x + y * y + z * z) as s from pts3))"
+
+def _fps_sql(steps: int, key: str) -> str:
+    """Farthest points by recursion: every round keeps each row's distance to what was chosen."""
+    part = f"partition by {key} " if key else ""
+    cols = f"{key}, " if key else ""
+    w = f"({part}order by far desc, pid)"
+    return f"""with recursive r as (select {cols}pid, x, y, z, 0 as step, 1e10::double as far from pts3
+      union all
+      select {cols}pid, x, y, z, step + 1, least(far, power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2)) from (select *, first_value(x) over w as cx, first_value(y) over w as cy, first_value(z) over w as cz from r window w as {w}) where step < {steps - 1}),
+    picked as (select * from (select *, row_number() over (partition by {cols}step order by far desc, pid) as q from r) where q = 1)"""
+
+
+_WCOV = ", ".join(f"sum((b.{p} - a.{p}) * (b.{q} - a.{q}) / m) / sum(1.0::double / m) as c{p}{q}" for p, q in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+_ISS = f"""with p_ as (select qid, nid from ({_ALL}) where dist <= 1.0), m_ as (select qid as nid, count(*) as m from p_ group by qid),
+    s as (select qid, count(*) as n, {_WCOV} from p_ join m_ using (nid) join pts3 a on a.pid = qid join pts3 b on b.pid = nid group by qid having count(*) >= 3), {geometry.eigen_sql('s', 'qid')},
+    sal as (select e.qid, e.l3, p.x, p.y, p.z from e join pts3 p on p.pid = e.qid where l3 > 0 and l2 / l1 < 0.9::double and l3 / l2 < 0.9::double)
+    select a.qid as pid, round(a.l3, 6) as l3, count(*) as n from sal a join sal b on sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) <= 0.8::double group by a.qid, a.l3 having count(*) >= 3 and max(b.l3) <= a.l3"""
+
+_FPFH = f"""with {_RADIAL}, p_ as (select qid, nid, dist from ({_ALL}) where dist <= 0.9 and qid <> nid),
+    d as (select qid, nid, s.nx as ux, s.ny as uy, s.nz as uz, t.nx as tx, t.ny as ty, t.nz as tz, (t.x - s.x) / dist as dx, (t.y - s.y) / dist as dy, (t.z - s.z) / dist as dz from p_ join rad s on s.pid = qid join rad t on t.pid = nid),
+    v as (select *, dy * uz - dz * uy as v0, dz * ux - dx * uz as v1, dx * uy - dy * ux as v2 from d), m as (select *, v0 / s as vx, v1 / s as vy, v2 / s as vz from (select *, sqrt(v0 * v0 + v1 * v1 + v2 * v2) as s from v) where s > 0),
+    a as (select qid, vx * tx + vy * ty + vz * tz as alpha, ux * dx + uy * dy + uz * dz as phi, atan2((uy * vz - uz * vy) * tx + (uz * vx - ux * vz) * ty + (ux * vy - uy * vx) * tz, ux * tx + uy * ty + uz * tz) as theta from m),
+    b as (select qid, unnest([greatest(0, least(10, floor((alpha + 1) / 2 * 11))), 11 + greatest(0, least(10, floor((phi + 1) / 2 * 11))), 22 + greatest(0, least(10, floor((theta + pi()) / (2 * pi()) * 11)))])::int as bin from a),
+    o as (select qid, bin, count(*)::double / any_value(t) as share from b join (select qid, count(*) as t from a group by qid) using (qid) group by qid, bin),
+    n as (select p_.qid, o.bin, sum(o.share / greatest(dist, 1e-12) / k) as share from p_ join o on o.qid = p_.nid join (select qid, count(*) as k from p_ group by qid) c on c.qid = p_.qid group by p_.qid, o.bin)
+    select qid, bin, round(sum(share), 5) as value from (select * from o union all select * from n) group by qid, bin"""
+
+
+def _octree_sql(leaf: int, min_extent: float) -> str:
+    n = ", ".join(f"least(4095, greatest(0, ceil(({c} - (c{c} - half)) / (2 * half) * 4096)::bigint - 1)) as n{c}" for c in "xyz")
+    code = " + ".join(f"list_sum(list_transform(range(12), lambda b: ((n{c} >> b::int) & 1) << (3 * b::int + {i})))" for i, c in enumerate("xyz"))
+    return f"""with b as (select (min(x) + max(x)) / 2 as cx, (min(y) + max(y)) / 2 as cy, (min(z) + max(z)) / 2 as cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 2 as half from pts3),
+    c as (select pid, ({code})::bigint as code from (select pid, {n} from pts3, b)), l as (select pid, v::int as level, code >> (3 * (12 - v::int)) as morton from c, range(13) r(v)),
+    k as (select *, count(*) over (partition by level, morton) as n from l) select pid, min(level) as level, arg_min(morton, level) as morton from k where n <= {leaf} or level = 12 group by pid"""
+
+
+_RANGE_CC = """with recursive px0 as (select pid, frame, sqrt(x * x + y * y + z * z) as d, 20 - (floor(atan2(z, sqrt(x * x + y * y)) / (3.0::double * 3.141592653589793 / 180)) + 11) as pr, 120 - (floor(atan2(y, x) / (3.0::double * 3.141592653589793 / 180)) + 61) as pc from scan),
+    px1 as (select frame, pr, pc, max(pid) as pid, arg_max(d, pid) as d from px0 group by frame, pr, pc),
+    px as (select frame, pid, d, dense_rank() over (partition by frame order by pr)::int - 1 as row, dense_rank() over (partition by frame order by pc)::int - 1 as col from px1), w as (select frame, max(col) + 1 as w from px group by frame),
+    pr as (select a.pid as p, b.pid as q, greatest(a.d, b.d) as hi, least(a.d, b.d) as lo from px a join px b on a.frame = b.frame and a.pid <> b.pid and abs(a.row - b.row) <= 7 join w on w.frame = a.frame where least(abs(a.col - b.col), w.w - abs(a.col - b.col)) <= 7),
+    ln as (select p, q from pr where atan2(lo * sin(radians(3.0::double)), hi - lo * cos(radians(3.0::double))) > radians(30.0::double) and hi - lo < 1),
+    rc as (select pid as src, pid as dst from px union select rc.src, ln.q from rc join ln on rc.dst = ln.p)
+    select px.frame, px.row, px.col, px.pid, min(dst) as label from px join rc on rc.src = px.pid group by all"""
+
+
+def _normal_sql(k: str, seed: int, sigma: float, clip: float) -> str:
+    return f"greatest(-{clip}::double, least({clip}::double, {sigma}::double * sqrt(-2 * ln({_u(k, 2 * seed + 1, 1e-6, 1.0)})) * cos(2 * pi() * {_u(f'({k} * 31 + 17)', 2 * seed + 2)})))"
+
+
+def _perturb_sql(source: str, cols: str) -> str:
+    x, y, z = cols.split()
+    a = [_normal_sql("frame", 1 + i, 0.06, 0.18) for i in range(3)]
+    return f"""q1 as (select pid, frame, {x}, cos(a) * {y} - sin(a) * {z} as {y}, sin(a) * {y} + cos(a) * {z} as {z} from (select *, {a[0]} as a from {source})),
+    q2 as (select pid, frame, cos(a) * {x} - sin(a) * {z} as {x}, {y}, sin(a) * {x} + cos(a) * {z} as {z} from (select *, {a[1]} as a from q1)),
+    q3 as (select pid, cos(a) * {x} - sin(a) * {y} as {x}, sin(a) * {x} + cos(a) * {y} as {y}, {z} from (select *, {a[2]} as a from q2)) select pid, {', '.join(f'round({c}, 6) as {c}' for c in (x, y, z))} from q3"""
+
+
+_U = "(({k}::bigint * 7919 + {s} * 104729 + 12345) % 1000003) / 1000003.0::double"
+
+
+def _u(k: str, s: int, low: float = 0.0, high: float = 1.0) -> str:
+    return f"({low}::double + {_U.format(k=k, s=s)} * {high - low}::double)"
+
+
 # --- trees as partitions ----------------------------------------------------------------
 
 
@@ -39,7 +106,7 @@ def tree_depth(spark, sf):
     return spatial.kd_partition(views.pts3(spark, sf), 32).agg(F.max("level").alias("depth"), F.count_distinct("node").alias("leaves"))
 
 
-@query("octree_build")
+@query("octree_build", _octree_sql(16, 1e-3))
 def octree_build(spark, sf):
     return spatial.octree_cells(views.pts3(spark, sf), 16, 1e-3).select("pid", "level", "morton")
 
@@ -80,7 +147,7 @@ def cluster_sizes(spark, sf):
     return cluster.dbscan(views.pts3(spark, sf), 0.8, 20).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query("range_image_cc")
+@query("range_image_cc", _RANGE_CC)
 def range_image_cc(spark, sf):
     from pointmill.operators import ground
 
@@ -111,7 +178,7 @@ def kmeans(spark, sf):
     return cluster.kmeans(views.pts3(spark, sf), 3, start, tol=0.0, max_iter=5)[0]
 
 
-@query("kmeans_seed")
+@query("kmeans_seed", f"{_fps_sql(4, '')} select step::int as k, x, y, z from picked")
 def kmeans_seed(spark, sf):
     found = cluster.seed_spread(views.pts3(spark, sf), 4)
     return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(found)], "k int, x double, y double, z double")
@@ -187,12 +254,11 @@ def _radial(spark, sf):
     return p.select("*", *[(F.col(c) / size).alias(f"n{c}") for c in "xyz"])
 
 
-@query("iss_keypoints")
+@query("iss_keypoints", _ISS)
 def iss_keypoints(spark, sf):
     return features.iss(views.pts3(spark, sf), 1.0, 0.8, min_n=3).select("pid", F.round("l3", 6).alias("l3"), "n")
 
 
-_RADIAL = "rad as (select *, x / s as nx, y / s as ny, z / s as nz from (select *, sqrt(x * x + y * y + z * z) as s from pts3))"
 
 
 @query(
@@ -205,7 +271,7 @@ def harris3d(spark, sf):
     return features.harris3d(_radial(spark, sf), 0.9, threshold=-1.0).select("pid", F.round("response", 6).alias("response"))
 
 
-@query("fpfh33")
+@query("fpfh33", _FPFH)
 def fpfh33(spark, sf):
     return features.fpfh_bins(_radial(spark, sf), 0.9).select("qid", "bin", F.round("value", 5).alias("value"))
 
@@ -237,12 +303,12 @@ def normal_space_sampling(spark, sf):
     return filters.normal_space(_radial(spark, sf), 4, 100).select("pid")
 
 
-@query("fps")
+@query("fps", f"{_fps_sql(12, 'frame')} select frame, step::int as step, pid from picked")
 def fps(spark, sf):
     return filters.fps(views.pts3(spark, sf), 12, ("frame",)).select("frame", "step", "pid")
 
 
-@query("resample_fixed_n")
+@query("resample_fixed_n", f"{_fps_sql(48, 'frame')}, n_ as (select frame, count(*) as n from pts3 group by frame), i_ as (select frame, pid, row_number() over (partition by frame order by pid) - 1 as i from pts3) select frame, step::int as slot, pid from picked join n_ using (frame) where n > 48 union all select frame, s::int, pid from i_ join n_ using (frame), range(48) t(s) where n <= 48 and s % n = i")
 def resample_fixed_n(spark, sf):
     return filters.resample(views.pts3(spark, sf), 48, ("frame",)).select("frame", "slot", "pid")
 
@@ -300,13 +366,6 @@ def registration_pipeline(spark, sf):
 
 # --- augmentation ------------------------------------------------------------------------------------
 
-_U = "(({k}::bigint * 7919 + {s} * 104729 + 12345) % 1000003) / 1000003.0::double"
-
-
-def _u(k: str, s: int, low: float = 0.0, high: float = 1.0) -> str:
-    return f"({low}::double + {_U.format(k=k, s=s)} * {high - low}::double)"
-
-
 _XYZ6 = "round(x, 6) as x, round(y, 6) as y, round(z, 6) as z"
 
 
@@ -335,17 +394,17 @@ def aug_rotate_angle_normals(spark, sf):
     return augment.rotate_by(_radial(spark, sf), 0.7, normals=True).select("pid", *R6("nx", "nz"))
 
 
-@query("aug_perturb")
+@query("aug_perturb", "with " + _perturb_sql("pts3", "x y z"))
 def aug_perturb(spark, sf):
     return augment.perturb(views.pts3(spark, sf), "frame").select("pid", *R6("x", "y", "z"))
 
 
-@query("aug_perturb_normals")
+@query("aug_perturb_normals", f"with {_RADIAL}, " + _perturb_sql("rad", "nx ny nz"))
 def aug_perturb_normals(spark, sf):
     return augment.perturb(_radial(spark, sf), "frame", normals=True).select("pid", *R6("nx", "ny", "nz"))
 
 
-@query("aug_jitter")
+@query("aug_jitter", "select pid, " + ", ".join(f"round({c} + {_normal_sql('pid', 1 + 10 * i, 0.01, 0.05)}, 6) as {c}" for i, c in enumerate("xyz")) + " from pts3")
 def aug_jitter(spark, sf):
     return augment.jitter(views.pts3(spark, sf)).select("pid", *R6("x", "y", "z"))
 
@@ -580,7 +639,7 @@ def gen_toy(spark, sf):
 def foreground_objects(spark, sf):
     from pointmill.plans import pipelines
 
-    return pipelines.foreground_objects(views.scan(spark, sf))
+    return pipelines.foreground_objects(views.scan(spark, sf), eps=8.0, min_points=3)
 
 
 @query("dataset_build")
@@ -596,6 +655,6 @@ def event_windows(spark, sf):
     return frames.windowed(views.table(spark, sf, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("event_sessions")
+@query("event_sessions", "with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as s from events), g as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) as g from l) select user_id, min(ts) as start, max(ts) + interval 30 minutes as \"end\", count(*) as n from g group by user_id, g")
 def event_sessions(spark, sf):
     return frames.sessions(views.table(spark, sf, "events"))
