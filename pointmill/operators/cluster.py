@@ -202,6 +202,34 @@ def spectral(df: DataFrame, key: Sequence[str], k: int = 10, estimate: int = 8,
     return edges.groupBy(*key).applyInPandas(solve, schema)
 
 
+def mean_shift(df: DataFrame, bandwidth: float, max_iter: int = 15, tol: float = 1e-3, cols: Sequence[str] = XYZ, id: str = "pid") -> DataFrame:
+    """(pid, cluster): modes of a flat kernel; points whose modes are within a bandwidth share the least id.
+
+    Each round moves every seed to the mean of the points around it by a radius join.
+    """
+    now = df.select(id, *cols)
+    for _ in range(max_iter):
+        near = spatial.radius_join(now, df, bandwidth, qid=id, bid=id, cols=cols)
+        mean = near.join(df.select(F.col(id).alias("nid"), *cols), "nid").groupBy("qid").agg(*[F.avg(c).alias(c) for c in cols])
+        new = written(mean.select(F.col("qid").alias(id), *cols), "modes")
+        old = now.select(F.col(id), *[F.col(c).alias(f"_{c}") for c in cols])
+        moved = new.join(old, id).agg(F.max(sq_distance([F.col(c) for c in cols], [F.col(f"_{c}") for c in cols]))).first()[0]
+        now = new
+        if moved is None or moved <= tol * tol:
+            break
+    links = spatial.radius_join(now, now, bandwidth / 2, qid=id, bid=id, cols=cols)
+    comp = connected_components(links, "qid", "nid")
+    return df.select(id).join(comp.withColumnRenamed("node", id), id, "left").select(id, F.coalesce("component", F.col(id)).alias("cluster"))
+
+
+def power_iteration(edges: DataFrame, k: int, max_iter: int = 20) -> DataFrame:
+    """(pid, cluster) of Spark's power iteration clustering on the edges, either direction counted once."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    both = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("weight"))
+    return PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight").assignClusters(both).select(F.col("id").alias("pid"), "cluster")
+
+
 def rules(clusters: DataFrame, ground_z: float, max_lift: float = 0.5, low: float = 1.0, high: float = 2.3, key: Sequence[str] = ("frame", "cluster")) -> DataFrame:
     """Adds verdict 3 (not an object) where a cluster floats above the ground or its height is out of range, else 0."""
     agg = clusters.groupBy(*key).agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.count("*").alias("n"))

@@ -44,11 +44,8 @@ def _sq(n: int, metric: str = "l2") -> Column:
     return metric_distance([F.col(f"_q{i}") for i in range(n)], [F.col(f"_b{i}") for i in range(n)], metric)
 
 
-def radius_join(q: DataFrame, b: DataFrame, r: float, key: Sequence[str] = (), qid: str = "pid", bid: str = "pid", cols: Sequence[str] = XYZ, strict: bool = False) -> DataFrame:
-    """(key.., qid, nid, dist) of all pairs at most r apart (under r if strict), a point itself included.
-
-    Rows with a null coordinate have no neighbours. At most three dimensions; see knn_vectors for more.
-    """
+def candidates(q: DataFrame, b: DataFrame, r: float, key: Sequence[str] = (), qid: str = "pid", bid: str = "pid", cols: Sequence[str] = XYZ) -> DataFrame:
+    """Pairs in cells of edge r that touch: what a radius join looks at before it measures."""
     if len(cols) > 3:
         raise ValueError("the grid has at most three dimensions")
     left, right = _sides(q, b, qid, bid, cols, key)
@@ -59,8 +56,16 @@ def radius_join(q: DataFrame, b: DataFrame, r: float, key: Sequence[str] = (), q
         left = left.withColumn(f"_c{i}", F.explode(F.transform(near, lambda k: k + F.col(f"_c{i}"))))
     right = right.select("*", *[c.alias(f"_d{i}") for i, c in enumerate(_cells([f"_b{i}" for i in range(n)], r))])
     on = [F.col(f"_c{i}") == F.col(f"_d{i}") for i in range(n)] + [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)]
-    sq = _sq(n)
-    return left.join(right, on).where(sq < r * r if strict else sq <= r * r).select(*key, "qid", "nid", F.sqrt(sq).alias("dist"))
+    return left.join(right, on)
+
+
+def radius_join(q: DataFrame, b: DataFrame, r: float, key: Sequence[str] = (), qid: str = "pid", bid: str = "pid", cols: Sequence[str] = XYZ, strict: bool = False) -> DataFrame:
+    """(key.., qid, nid, dist) of all pairs at most r apart (under r if strict), a point itself included.
+
+    Rows with a null coordinate have no neighbours. At most three dimensions; see knn_vectors for more.
+    """
+    sq = _sq(len(cols))
+    return candidates(q, b, r, key, qid, bid, cols).where(sq < r * r if strict else sq <= r * r).select(*key, "qid", "nid", F.sqrt(sq).alias("dist"))
 
 
 def nearest(pairs: DataFrame, k: int, key: Sequence[str] = ()) -> DataFrame:
