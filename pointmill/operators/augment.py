@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointmill.functions.geometry import XYZ
+from pointmill.operators.spatial import ranked
 
 NORMALS = ("nx", "ny", "nz")
 
@@ -91,7 +92,7 @@ def local_z(df: DataFrame, key: str, seed: int = 1) -> DataFrame:
 def shuffled_samples(df: DataFrame, key: str, seed: int = 1) -> DataFrame:
     """(key, pos): the objects in a fixed random order."""
     draw = F.pmod(F.col(key) * 7919 + seed, F.lit(1000003))
-    return df.select(key).distinct().withColumn("pos", F.row_number().over(Window.orderBy(draw, key)))
+    return ranked(df.select(key).distinct().withColumn("_draw", draw), ["_draw", key]).select(key, F.col("pos").cast("int").alias("pos"))
 
 
 def shuffled_points(df: DataFrame, key: str, id: str = "pid", seed: int = 1) -> DataFrame:

@@ -83,7 +83,7 @@ def statistical_outlier(df: DataFrame, k: int = 20, ratio: float = 1.5, key: Seq
     """Rows whose mean distance to k neighbours (itself among them) is at most mean + ratio * deviation of all."""
     near = spatial.knn(df, df, k, key=key, qid=id, bid=id).groupBy(*key, "qid").agg(F.avg("dist").alias("_d"))
     stats = near.groupBy(*key).agg((F.avg("_d") + ratio * F.stddev_samp("_d")).alias("_limit"))
-    kept = (near.join(F.broadcast(stats), list(key)) if key else near.join(F.broadcast(stats), F.lit(True))).where("_limit is null or _d <= _limit")
+    kept = (near.join(stats, list(key)) if key else near.join(F.broadcast(stats), F.lit(True))).where("_limit is null or _d <= _limit")
     return df.join(kept.select(*key, F.col("qid").alias(id)), [*key, id], "left_semi")
 
 

@@ -8,7 +8,7 @@ adaptive execution splits cells that are crowded. A side is only broadcast after
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,8 @@ from pointmill.functions.tables import written
 
 #: Rows of a side that may be broadcast.
 SMALL = 5_000
-#: Vectors that a task holds at a time.
-VECTOR_BLOCK = 20_000
+#: Vectors on either side of a group.
+VECTOR_BLOCK = 2_000
 
 
 def small(df: DataFrame, limit: int = SMALL) -> bool:
@@ -131,31 +131,31 @@ def knn(q: DataFrame, b: DataFrame, k: int, method: str = "auto", **how) -> Data
 
 
 def knn_vectors(q: DataFrame, b: DataFrame, k: int, qid: str = "pid", bid: str = "pid", vec: str = "vec", block: int = VECTOR_BLOCK) -> DataFrame:
-    """(qid, nid, dist, rank): exact k nearest vectors of any dimension, the base in blocks of bounded size."""
-    blocks = max(1, math.ceil(b.count() / block))
-    parts = None
-    for i in range(blocks):
-        rows = b.where(F.pmod(F.xxhash64(bid), F.lit(blocks)) == i).select(bid, vec).collect()  # about `block` rows
-        if not rows:
-            continue
-        ids, base = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-        order = np.argsort(ids)
-        ids, base = ids[order], base[order]
-
-        def best(frames: Iterator[pd.DataFrame], ids=ids, base=base) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out = []
-                for one, v in zip(frame[qid], frame[vec], strict=True):
-                    d = ((base - np.asarray(v, float)) ** 2).sum(1)
-                    top = np.argsort(d, kind="stable")[:k]
-                    out.append(pd.DataFrame({"qid": one, "nid": ids[top], "dist": np.sqrt(d[top])}))
-                yield pd.concat(out) if out else pd.DataFrame({"qid": [], "nid": [], "dist": []})
-
-        found = q.select(qid, vec).mapInPandas(best, "qid long, nid long, dist double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return nearest(q.select(F.col(qid).alias("qid"), F.col(qid).alias("nid"), F.lit(0.0).alias("dist")).where("false"), k)
-    return nearest(parts, k)
+    """(qid, nid, dist, rank): exact k nearest vectors of any dimension, block of queries against block of base.
+
+    No index prunes in many dimensions: every pair of blocks is one group of bounded size, which hands on its
+    k best of each query.
+    """
+    nq, nb = (max(1, math.ceil(d.count() / block)) for d in (q, b))
+    slots = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    deal = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n).cast("long"))
+    left = q.select(F.col(qid).alias("qid"), F.col(vec).alias("v"), deal(qid, nq).alias("i"), slots(nb).alias("j"))
+    right = b.select(F.col(bid).alias("nid"), F.col(vec).alias("v"), slots(nq).alias("i"), deal(bid, nb).alias("j"))
+
+    def best(one, other):
+        if one.empty or other.empty:
+            return pd.DataFrame({"qid": [], "nid": [], "dist": []})
+        other = other.sort_values("nid")
+        ids, base = other["nid"].to_numpy(), np.array(other["v"].tolist(), float)
+        out = []
+        for name, v in zip(one["qid"], one["v"], strict=True):
+            d = ((base - np.asarray(v, float)) ** 2).sum(1)
+            top = np.argsort(d, kind="stable")[:k]
+            out.append(pd.DataFrame({"qid": name, "nid": ids[top], "dist": np.sqrt(d[top])}))
+        return pd.concat(out)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "qid long, nid long, dist double")
+    return nearest(found, k)
 
 
 # --- one dimension ---------------------------------------------------------
@@ -179,21 +179,23 @@ def lookup(q: DataFrame, b: DataFrame, on: str) -> DataFrame:
 def ordered_unique(df: DataFrame, key: str, id: str = "pid") -> DataFrame:
     """In-order traversal of a tree that rejects repeated keys: first id of each key, with its position."""
     first = df.groupBy(key).agg(F.min(id).alias(id))
-    return ranked(first, key)
+    return ranked(first, [key])
 
 
-def ranked(df: DataFrame, by: str) -> DataFrame:
-    """A global position from 1 without one task seeing all rows: ranges are sorted apart and offset by the sizes before."""
-    parts = df.repartitionByRange(F.col(by)).withColumn("_part", F.spark_partition_id())
+def ranked(df: DataFrame, by: Sequence[str], key: Sequence[str] = (), name: str = "pos") -> DataFrame:
+    """A position from 1 in each key (or in all), without one task seeing all rows of a key.
+
+    Ranges of (key, order) are sorted apart; how many rows of the key lie in earlier ranges is added.
+    """
+    parts = df.repartitionByRange(*key, *by).withColumn("_part", F.spark_partition_id())
     parts = written(parts, "ranges")
-    sizes = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a row for each partition
-    before, at = {}, 0
-    for p, n in sizes:
-        before[p] = at
-        at += n
-    offset = F.coalesce(F.create_map(*[F.lit(x) for p in before.items() for x in p])[F.col("_part")], F.lit(0)) if before else F.lit(0)
-    w = Window.partitionBy("_part").orderBy(by)
-    return parts.withColumn("pos", (F.row_number().over(w) + offset).cast("long")).drop("_part")
+    sizes = parts.groupBy("_part", *key).agg(F.count("*").alias("_n"))  # a row for each range and key
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    w = Window.partitionBy("_part", *key).orderBy(*by)
+    offset = offset.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_before")
+    on = [F.col("_part") == F.col("_p")] + [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
+    return parts.join(offset, on).withColumn(name, (F.row_number().over(w) + F.col("_before")).cast("long")).select(*df.columns, name)
 
 
 def with_delta(base: DataFrame, added: DataFrame, removed: DataFrame, id: str = "pid") -> DataFrame:

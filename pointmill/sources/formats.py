@@ -248,7 +248,7 @@ def read_pairs(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
 def read_split(spark: SparkSession, path: str, classes: DataFrame | None = None) -> DataFrame:
     """(name, cls[, label]) of a list of names; the class is what stands before the first underscore."""
     out = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("name"), F.split_part(F.trim("value"), F.lit("_"), F.lit(1)).alias("cls"))
-    return out.join(F.broadcast(classes), "cls") if classes is not None else out
+    return out.join(classes, "cls") if classes is not None else out
 
 
 def associated(images: DataFrame, depths: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -63,6 +63,23 @@ def test_kd_leaves_hold_at_most_leaf_points(random_cloud):
     assert sum(sizes) == 300 and max(sizes) <= 20
 
 
+def test_ranks_of_one_crowded_key(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 5 else None, int(v), i) for i, v in enumerate(rng.permutation(500))]
+    got = spatial.ranked(spark.createDataFrame(rows, "k string, v long, i long").repartition(6), ["v"], ["k"]).collect()
+    for key in ("a", None):
+        want = sorted(v for k, v, _ in rows if k == key)
+        assert [r["v"] for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["pos"])] == want
+    assert sorted(r["pos"] for r in got if r["k"] == "a") == list(range(1, 401))
+
+
+def test_vector_blocks_equal_one_block(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(0, 1, (60, 9)).tolist())], "pid long, vec array<double>")
+    told = lambda block: sorted((r["qid"], r["rank"], r["nid"]) for r in spatial.knn_vectors(df, df, 3, block=block).collect())
+    assert told(7) == told(1000)
+
+
 def test_plane_and_cube(spark):
     rng = np.random.default_rng(1)
     flat = np.column_stack([rng.uniform(-5, 5, (60, 2)), np.zeros(60)])
