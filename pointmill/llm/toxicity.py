@@ -34,7 +34,7 @@ GAIN = 60.0
 #: n-grams and words in fewer sampled documents stay at zero.
 LEAST_DOCS = 6
 #: A shorter text is averaged as if it had this many words, so that one odd word doesn't decide.
-LEAST_WORDS = 40
+LEAST_WORDS = 80
 #: Words of a task's lookup table; when full it is emptied.
 TABLE_ROWS = 300_000
 
