@@ -70,13 +70,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_table(word_bytes: bytes) -> np.ndarray:
-    """256 flags: which bytes belong to a word."""
-    out = np.zeros(256, bool)
-    out[np.frombuffer(word_bytes, np.uint8)] = True
-    return out
-
-
 #: Lower-cases A-Z byte by byte.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -90,7 +83,6 @@ INK_BYTES = bytes(b for b in range(256) if b not in (32, 9, 10, 11, 12, 13))
 INK_ONLY = bytes((LOWER[b] if LOWER[b] in INK_BYTES else 32) for b in range(256))
 
 _PRIME = U64(0x9E3779B97F4A7C15)
-_ODD = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def powers(n: int) -> np.ndarray:

@@ -35,7 +35,7 @@ CHUNK_BYTES, BLOCK_BYTES, HOT = 4 << 20, 1 << 18, 20_000
 LAST_ID = (1 << 63) - 1
 
 _U = np.uint64
-_PLACE = 28  # bits of a place in a block
+_PLACE = 31  # bits of a place in a block: no text is longer
 _P = 0x9E3779B97F4A7C15
 
 
