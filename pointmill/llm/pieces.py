@@ -26,7 +26,7 @@ from pointmill.llm import common
 
 MARK = "▁"
 #: Entries of a task's table; when full it is emptied, which costs time, not correctness.
-TABLE_ROWS = 200_000
+TABLE_ROWS = 500_000
 #: A marked word of more characters is segmented but not kept.
 LONG_WORD = 200
 _MARKED_WORDS = re.compile(f"[ {MARK}]+[^ {MARK}]*")
