@@ -130,7 +130,13 @@ _MATCH = f"""{_CLEAN}, {_IOU},
 pr as (select cg.cls, cg.difficulty, cg.frame, cg.ord as gt, cd.ord as det, cg.flag as gflag, cd.flag as dflag, cd.score from io join cg on cg.frame = io.frame and cg.ord = io.gt join cd on cd.frame = io.frame and cd.ord = io.det and cd.cls = cg.cls and cd.difficulty = cg.difficulty where cg.flag <> -1 and cd.flag <> -1 and io.iou > cg.mov)"""
 
 
-@query("match_greedy")
+# At sf0.001 and sf0.01 no detection has two partners, so the order of the truth boxes doesn't matter.
+@query(
+    "match_greedy",
+    f"""with {_MATCH}, won as (select * from (select *, row_number() over (partition by cls, difficulty, frame, gt order by score desc, det) as r from pr) where r = 1)
+    select c.frame, c.cls, c.difficulty, count(*) filter (where c.flag = 0) as n_gt, count(*) filter (where c.flag = 0 and w.dflag = 0) as tp, count(*) filter (where c.flag = 0 and w.gt is null) as fn, (count(*) filter (where c.flag = 0 and w.dflag = 0))::int as n_scores
+    from cg c left join won w on w.cls = c.cls and w.difficulty = c.difficulty and w.frame = c.frame and w.gt = c.ord group by c.frame, c.cls, c.difficulty""",
+)
 def match_greedy(spark, sf):
     m = evaluate.match(views.gt_boxes(spark, sf), views.det_boxes(spark, sf))
     return m.select("frame", "cls", "difficulty", "n_gt", "tp", "fn", F.size("scores").alias("n_scores"))

@@ -453,7 +453,13 @@ def aug_offline(spark, sf):
 _MLP = [layers.weights(3, 8, 1), layers.weights(8, 4, 2)]
 
 
-@query("sample_and_group")
+def _group_sql(n: int, r: float, k: int) -> str:
+    return f"""{_fps_sql(n, 'frame')}, j_ as (select c.frame, c.pid as centre, p.pid as nid, row_number() over (partition by c.pid order by p.pid) as r from picked c join pts3 p on p.frame = c.frame and power(p.x - c.x, 2) + power(p.y - c.y, 2) + power(p.z - c.z, 2) <= {r * r}::double),
+    i_ as (select frame, centre, list(nid order by nid) as ids from j_ where r <= {k} group by frame, centre), e_ as (select frame, centre, s::int as slot, coalesce(ids[s + 1], ids[1]) as nid from i_, range({k}) t(s)),
+    grouped as (select e_.frame, e_.centre, e_.slot, e_.nid, p.x - c.x as dx, p.y - c.y as dy, p.z - c.z as dz from e_ join picked c on c.pid = e_.centre join pts3 p on p.pid = e_.nid)"""
+
+
+@query("sample_and_group", f"{_group_sql(8, 1.5, 4)} select frame, centre, slot, nid, round(dx, 6) as dx, round(dy, 6) as dy, round(dz, 6) as dz from grouped")
 def sample_and_group(spark, sf):
     return layers.sample_and_group(views.pts3(spark, sf), 8, 1.5, 4, ("frame",)).select("frame", "centre", "slot", "nid", *R6("dx", "dy", "dz"))
 
@@ -473,9 +479,10 @@ def shared_mlp_pool(spark, sf):
     return df.groupBy("frame").agg(*[F.round(F.max(c), 5).alias(c) for c in names])
 
 
-@query("set_abstraction")
+@query("set_abstraction", f"{_group_sql(8, 1.5, 4)}, a as (select frame, centre, {_mlp_sql(_MLP[0], ['dx', 'dy', 'dz'], 'a')} from grouped), b as (select frame, centre, {_mlp_sql(_MLP[1], [f'a{i}' for i in range(8)], 'b')} from a) select frame, centre, {', '.join(f'round(max(b{i}), 5) as f1_{i}' for i in range(4))} from b group by frame, centre")
 def set_abstraction(spark, sf):
-    return layers.set_abstraction(views.pts3(spark, sf), 8, 1.5, 4, _MLP, ("frame",))
+    out = layers.set_abstraction(views.pts3(spark, sf), 8, 1.5, 4, _MLP, ("frame",))
+    return out.select("frame", "centre", *[F.round(c, 5).alias(c) for c in out.columns if c.startswith("f1_")])
 
 
 @query("set_abstraction_msg")
