@@ -3,7 +3,8 @@
 A word is the mean of the vectors of its hashed character n-grams and of itself, a document the mean of
 its words; a linear softmax over two classes reads the document. Misspelt and derived words share
 n-grams, so they share what was learnt. Training sees a bounded sample of labelled rows; scoring runs
-in the tasks over all rows, each distinct word of a task being looked up once.
+in the tasks over all rows, each distinct word of a task being looked up once. A run of letters without
+blanks is read to its end, and counts as a word for each LONG characters begun.
 
 Nulls: a null text is empty; texts without words get the score of the bias alone. Labels that are null
 are not learnt from. Repeated rows each get a row. Only id, text and the label are read.
@@ -38,16 +39,51 @@ LEAST_WORDS = 80
 #: Words of a task's lookup table; when full it is emptied.
 TABLE_ROWS = 300_000
 
+#: Longer words are hashed by columns, count as several words and stay out of the lookup table.
+LONG = 64
+
 _WORDS = re.compile(r"[^\W_]+")
 
 
+def _crc_steps() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, np.uint32(0xEDB88320), np.uint32(0)) ^ (t >> 1)
+    return t
+
+
+_CRC = _crc_steps()
+
+
+def long_hashes(w: str) -> np.ndarray:
+    """zlib.crc32 of w and of its distinct n-grams of 3 to 5 characters, a byte of all n-grams at a time."""
+    data = np.frombuffer(w.encode(), np.uint8)
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), data.size)
+    found = [np.array([zlib.crc32(data)], np.uint32)]
+    for n in (3, 4, 5):
+        first, size = at[:-n], at[n:] - at[:-n]
+        crc = np.full(first.size, 0xFFFFFFFF, np.uint32)
+        for k in range(int(size.max())):
+            byte = data[np.minimum(first + k, data.size - 1)]
+            crc = np.where(size > k, _CRC[(crc ^ byte) & 0xFF] ^ (crc >> 8), crc)
+        found.append(np.unique(~crc))
+    return np.concatenate(found)
+
+
 def buckets_of(word: str) -> list[int]:
     """Hash buckets of the word and of its n-grams of 3 to 5 characters, with marked ends."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
+    if len(word) > LONG:
+        return (long_hashes(w) & np.uint32(BUCKETS - 1)).tolist()
     grams = {w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))}
     return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in grams]
 
 
+def words_in(word: str) -> int:
+    """As how many words it counts."""
+    return -(-len(word) // LONG)
+
+
 @dataclass
 class Model:
     """A weight for each bucket (embedding times the difference of the two softmax rows) and the bias."""
@@ -69,10 +105,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     doc_n = np.zeros(len(texts), np.int64)
     word, share = array("i"), array("f")
     for d, t in enumerate(texts):
-        found = _WORDS.findall(t.lower())
-        counts = Counter(found)
+        counts = {w: n * words_in(w) for w, n in Counter(_WORDS.findall(t.lower())).items()}
+        n_words = max(LEAST_WORDS, sum(counts.values()))
         word.extend(index.setdefault(w, len(index)) for w in counts)
-        share.extend(n / max(LEAST_WORDS, len(found)) for n in counts.values())
+        share.extend(n / n_words for n in counts.values())
         doc_n[d] = len(counts)
     if not index or len(set(labels.tolist())) < 2:
         p = (labels.sum() + 1) / (labels.size + 2)
@@ -163,12 +199,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             distinct = set().union(*split)
             if len(table) + len(distinct) > TABLE_ROWS:
                 table = {}
-            new = [w for w in distinct if w not in table]
+            long = {w: words_in(w) for w in distinct if len(w) > LONG}
+            new = [w for w in distinct if w not in table and w not in long]
             if new:
                 subs = [buckets_of(w) for w in new]
                 n = np.array([len(s) for s in subs])
                 table |= zip(new, (np.add.reduceat(m.weight[[b for s in subs for b in s]], _segments(n)) / n).tolist(), strict=True)
-            z = np.array([sum(map(table.__getitem__, ws)) / max(LEAST_WORDS, len(ws)) + m.bias for ws in split])
+            table |= {w: n * m.word(w) for w, n in long.items()}
+            more = [sum(long.get(w, 1) - 1 for w in ws) for ws in split] if long else [0] * len(split)
+            z = np.array([sum(map(table.__getitem__, ws)) / max(LEAST_WORDS, len(ws) + k) + m.bias for ws, k in zip(split, more, strict=True)])
+            for w in long:
+                del table[w]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))})
 
     return source.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
