@@ -350,7 +350,7 @@ def icp_point2plane(spark, sf):
 def ransac_rigid(spark, sf):
     p = views.pts3(spark, sf)
     corr = p.select(F.col("pid").alias("s"), F.when(F.col("pid") % 3 == 0, (F.col("pid") * 7) % 500).otherwise(F.col("pid")).alias("t"), F.lit(0.0).alias("dist"))
-    r, t, _ = registration.ransac(corr, p, _moved(p), iters=300, thr=0.05)
+    r, t, _ = registration.ransac(corr, p, _moved(p), thr=0.05)
     return _pose(spark, r, t)
 
 
