@@ -172,11 +172,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, most: dict[int, int]) -> list[tuple[str, int]]:
-    """At most `most[label]` texts of each label outside fold 0, in an order fixed by a hash of the id."""
-    known = labels.where(F.col(label).isin(0, 1) & (common.fold(folds) != 0)).select("doc_id", F.col(label).cast("int").alias("label"))
+    """At most `most[label]` texts of each label outside fold 0, in an order fixed by a hash of the id.
+
+    Of rows that repeat a doc_id, the one with the least text is learnt from.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & (common.fold(folds) != 0)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     key = (F.xxhash64("doc_id"), "doc_id")
     some = known.where("label = 1").orderBy(*key).limit(most[1]).unionByName(known.where("label = 0").orderBy(*key).limit(most[0]))
-    rows = docs.select("doc_id", common.whole_text().alias("text")).join(F.broadcast(some), "doc_id").collect()  # as many rows as `most` says
+    found = docs.select("doc_id", common.whole_text().alias("text")).join(F.broadcast(some), "doc_id")
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()  # as many rows as `most` says
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from pointmill.llm import toxicity
+from pointmill.llm import quality_rank, toxicity
 
 
 def test_long_words_are_read_to_their_end(spark):
@@ -20,3 +20,17 @@ def test_long_words_are_read_to_their_end(spark):
     rows = spark.createDataFrame(list(enumerate(texts[120:])), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] > 0.5 for r in toxicity.score(rows, m).collect()}
     assert np.mean([got[k] == b for k, b in enumerate(bad[120:])]) >= 0.9
+
+
+def test_sample_of_labels_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 20, f"text {k:03}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 20, k % 2) for k in range(40)], "doc_id long, toxic int")
+    got = toxicity.sample_labelled(docs, labels, "toxic", 5, {1: 3, 0: 4})
+    assert sorted(y for _, y in got) == [0] * 4 + [1] * 3
+    assert all(int(t.split()[1]) < 20 for t, _ in got)
+
+    seen = []
+    fit_pairs = quality_rank.fit_pairs
+    monkeypatch.setattr(quality_rank, "fit_pairs", lambda x, y: seen.append(y.tolist()) or fit_pairs(x, y))
+    quality_rank.fit(docs, labels.withColumnRenamed("toxic", "quality"), per_class=3)
+    assert [sorted(y) for y in seen] == [[0, 0, 0, 1, 1, 1]]
