@@ -11,10 +11,12 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder of our own on a single machine only."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or _OWN_DIRS.get(sc.applicationId)
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
