@@ -10,18 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that one Arrow batch carries into Python: long texts must not pile up in one batch.
-BATCH_ROWS = 400
+#: Rows and bytes that one Arrow batch carries into Python: long texts must not pile up in one batch.
+BATCH_ROWS, BATCH_BYTES = 400, 16 << 20
 
 U64 = np.uint64
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and the bytes of an Arrow batch, unless the session already asks for fewer.
+
+    Plans read the setting when they run, so it stays set for the session.
+    """
+    rows, size = (f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    told = spark.conf.get(size).removesuffix("b")  # Spark writes out the unit
+    if told.isdigit() and int(told) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def whole_text(name: str = "text") -> Column:
@@ -83,6 +88,8 @@ INK_BYTES = bytes(b for b in range(256) if b not in (32, 9, 10, 11, 12, 13))
 INK_ONLY = bytes((LOWER[b] if LOWER[b] in INK_BYTES else 32) for b in range(256))
 
 _PRIME = U64(0x9E3779B97F4A7C15)
+#: Places of a word whose random numbers are kept in a table.
+_TABLED = 64
 
 
 def powers(n: int) -> np.ndarray:
@@ -97,11 +104,20 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
+def _drawn(place_and_byte: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each byte value at each place of a word."""
+    return mix64(mix64(place_and_byte.astype(U64) + U64(1)) + _PRIME)
+
+
+_TABLE = _drawn(np.arange(_TABLED << 8))
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the blank-separated words of a byte string, and where each starts.
 
-    The words must have been separated by 0x20 (see WORDS_ONLY, INK_ONLY). The hash of a word is a
-    polynomial of its bytes, mixed; it doesn't depend on where the word stands.
+    The words must have been separated by 0x20 (see WORDS_ONLY, INK_ONLY). A word's hash is the mixed sum
+    of a random number for each byte at its place (tabulation), so no pattern of bytes collides by rule;
+    it doesn't depend on where the word stands.
     """
     a = np.frombuffer(data, np.uint8)
     if not a.size:
@@ -113,13 +129,19 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, U64), starts
     lengths = ends - starts
     # offset of each byte in its word, counted from the word's start
-    offset = np.arange(a.size) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [a.size]])))
-    p = powers(int(lengths.max()) + 1)
-    np.minimum(offset, p.size - 1, out=offset)
-    value = (a.astype(U64) + U64(1)) * p[offset]
+    first = np.concatenate([[0], starts])
+    place = np.arange(a.size) - np.repeat(first, np.diff(np.append(first, a.size)))
+    place <<= 8
+    place |= a
+    if int(lengths.max()) <= _TABLED:
+        value = _TABLE[np.minimum(place, _TABLE.size - 1, out=place)]
+    else:
+        far = np.flatnonzero((place >= _TABLE.size) & ink)
+        more = _drawn(place[far])
+        value = _TABLE[np.minimum(place, _TABLE.size - 1, out=place)]
+        value[far] = more
     value[~ink] = 0
-    total = np.add.reduceat(value, starts)
-    return mix64(total + lengths.astype(U64) * _PRIME), starts
+    return mix64(np.add.reduceat(value, starts) + lengths.astype(U64) * _PRIME), starts
 
 
 def packed_sorted(values: np.ndarray) -> bytes:
