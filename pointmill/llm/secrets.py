@@ -2,10 +2,12 @@
 
 One pass of an Aho-Corasick automaton over the lower-cased text finds the keywords; patterns are then
 tried only at the hits. Hex runs have no keyword and are found by one pattern of their own. Tokens that
-carry a checksum (a CRC-32 in base 62, a JSON header, a PEM frame) count only if it holds.
+carry a check of their own count only if it holds: a CRC-32 in base 62, JSON objects under base 64, the
+length that a DER frame states.
 
 Nulls: a null text is empty and has no spans. Repeated rows each get a row; an empty table gives none.
-Only the id and the text are read. Spans are in code points, end exclusive.
+Very long texts and hostile ones (nested JSON, endless runs of keywords) take time in proportion to
+their length. Only the id and the text are read. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _GITHUB = re.compile(r"(gh[pousr]_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(r"(npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{16,})")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END \1-----")
+_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]{16,}+)")
+#: Where a header fails to match, so does every later one inside the same run of letters.
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
 #: Digits of base 62 in order of value.
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -57,11 +61,31 @@ def _checksum_holds(m: re.Match) -> bool:
     return base62_crc(m[2]) == m[3]
 
 
-def _header_is_json(m: re.Match) -> bool:
+def _json_object(part: str) -> dict | None:
+    """The object under URL-safe base 64, None where it is something else or nested too deep to be one."""
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
+        found = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _parts_are_json(m: re.Match) -> bool:
+    return "alg" in (_json_object(m[1]) or ()) and _json_object(m[2]) is not None
+
+
+def _frame_is_whole(m: re.Match) -> bool:
+    """Whether the body is base 64 of one DER sequence that is as long as it says."""
+    try:
+        data = base64.b64decode("".join(m[2].split()), validate=True)
     except ValueError:
         return False
+    if len(data) < 2 or data[0] != 0x30:
+        return False
+    if data[1] < 0x80:
+        return len(data) == 2 + data[1]
+    n = data[1] & 0x7F
+    return 0 < n <= 8 and len(data) == 2 + n + int.from_bytes(data[2 : 2 + n], "big")
 
 
 #: kind -> (pattern, what a match must pass)
@@ -70,8 +94,8 @@ RULES = {
     "access": (_ACCESS, lambda m: m.end() - m.start() >= 20),
     "github": (_GITHUB, _checksum_holds),
     "npm": (_NPM, _checksum_holds),
-    "jwt": (_JWT, _header_is_json),
-    "pem": (_PEM, lambda m: True),
+    "jwt": (_JWT, _parts_are_json),
+    "pem": (_PEM, _frame_is_whole),
 }
 
 
@@ -101,10 +125,14 @@ def scan(text: str, words) -> list[tuple[str, int, int]]:
         pattern, passes = RULES[kind]
         free = 0
         for start in sorted(starts):
-            if start >= free and (m := pattern.match(text, start)):
+            if start < free:
+                continue
+            if m := pattern.match(text, start):
                 free = m.end()
                 if passes(m):
                     spans.append((kind, m.start(), m.end()))
+            elif kind == "jwt":
+                free = run.end() if (run := _JWT_RUN.match(text, start)) else free
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans
 
