@@ -10,8 +10,9 @@
    node's links; a spanning forest of the links gives the classes.
 
 Nulls: a null text has no words. Texts without words are alone in their class and have no links; shorter
-ones than an n-gram have one n-gram, the whole text. Repeated rows are copies. A null id is kept and
-comes last among ids. An empty table gives no rows. Only the id and the text are read.
+ones than an n-gram have one n-gram, the whole text. Rows go by (id, digest of the text), null ids last, so
+rows that repeat an id are documents of their own and equal rows are copies. A class whose rows all lack
+an id is named null. An empty table gives no rows. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointmill.functions.graph import connected_components, forest
@@ -34,9 +35,7 @@ WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 6
 #: Signature similarity that joins a node to a leader, and that makes it no leader itself.
 JOIN_LEADER, SAME_AS_LEADER, LINK_LEADERS = 0.4, 0.8, 0.2
 #: Members of a bucket in one part; rows in one group of buckets; nodes in one block of a component.
-BUCKET_PART, GROUP_ROWS, BLOCK = 2000, 20_000, 1500
-LAST_ID = (1 << 63) - 1
-_ROW = "_pointmill_row"
+BUCKET_PART, GROUP_ROWS, BLOCK = 500, 500, 1500
 _P = [pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64) for k in range(64)]
 
 
@@ -88,11 +87,16 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, n: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, sig, bands) of every document; node is null without words."""
+def row_key() -> Column:
+    """What tells rows apart and orders them: no id last, the id, a digest of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), F.xxhash64(common.whole_text()).alias("t"))
+
+
+def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """(row, node, sig, bands) of every document; node is null without words."""
     common.small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
-    schema = "doc_id long, node long, sig binary, bands array<long>"
+    source = docs.select(row_key().alias("row"), common.whole_text().alias("text"))
+    schema = "row struct<z:boolean,i:long,t:long>, node long, sig binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +111,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, id_col: str = "doc_id
             nodes, sigs, lengths = [None] * len(sets), [None] * len(sets), np.zeros(len(sets), np.int64)
             for j, k in enumerate(full):
                 nodes[k], sigs[k], lengths[k] = node_of(sets[k]), short[j].tobytes(), bands
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.int64()), "sig": pa.array(sigs, pa.binary()), "bands": common.list_array(lengths, pa.array(band.ravel()))})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "node": pa.array(nodes, pa.int64()), "sig": pa.array(sigs, pa.binary()), "bands": common.list_array(lengths, pa.array(band.ravel()))})
 
     return source.mapInArrow(run, schema)
 
@@ -224,30 +228,24 @@ def compare_blocks(nodes_a, sets_a, copies_a, nodes_b, sets_b, copies_b, same: b
     return pd.DataFrame({"node": nodes, "links": links.astype(np.int64), "label": [known.get(x, x) for x in nodes.tolist()]})
 
 
-def classes(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links) of every document.
-
-    A link joins two documents of Jaccard similarity `similarity` or more; a class is a connected set of
-    documents, named by its least doc_id; n_links counts the other documents linked with one, copies too.
-    """
+def members(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """(row, class, n_links, alone) of every document: its key, the least key of its class, whether it has no words."""
     signed_docs = written(signed(docs, n, bands_for(similarity, recall, rows), rows), "signatures")
     worded = signed_docs.where("node is not null")
-    first = F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first")
-    reps = written(worded.groupBy("node").agg(first, F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
+    reps = written(worded.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
     near = connected_components(candidate_edges(reps))
     sized = near.join(near.groupBy("component").agg(F.count("*").alias("size")), "component")
     blocks = F.ceil(F.col("size") / block)
     wanted = written(sized.join(reps.select("node", "first", "copies"), "node").select("component", "node", "first", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block")), "candidates")
-    parts = common.parts_for(int(wanted.agg(F.sum("blocks")).first()[0] or 0), GROUP_ROWS // 8)
+    parts = common.parts_for(int(wanted.agg(F.sum("blocks")).first()[0] or 0), GROUP_ROWS // 4)
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), n)
-            right = np.array([bool(s.size) and node_of(s) == k for s, k in zip(sets, batch.column("node").to_pylist(), strict=True)], bool)
-            cols = {c: batch.column(c).filter(pa.array(right)) for c in ("component", "node", "copies", "blocks", "block")}
-            yield pa.RecordBatch.from_pydict(cols | {"grams": pa.array([s.tobytes() for s, ok in zip(sets, right, strict=True) if ok], pa.binary())})
+            cols = {c: batch.column(c) for c in ("component", "node", "copies", "blocks", "block")}
+            yield pa.RecordBatch.from_pydict(cols | {"grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("first"), common.whole_text().alias("text"))
+    texts = docs.select(row_key().alias("first"), common.whole_text().alias("text"))
     # never a broadcast: what is wanted grows with the input, and the plan is to be the same at every size
     sets = texts.join(wanted.hint("merge"), "first").mapInArrow(with_sets, "component long, node long, copies long, blocks long, block long, grams binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -269,20 +267,34 @@ def classes(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, rec
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = connected_components(verified.select(F.col("node").alias("src"), F.col("label").alias("dst")))
     named = linked.join(reps.select("node", "first"), "node")
-    names = named.groupBy("component").agg(F.min("first").alias("class_id"))
-    told = reps.select("node", "first", "copies").join(linked.join(names, "component").select("node", "class_id"), "node", "left").join(links, "node", "left")
-    told = told.select("node", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = worded.select("doc_id", "node").join(told, "node").select("doc_id", F.when(F.col("class_id") != LAST_ID, F.col("class_id")).alias("class_id"), "n_links")
-    alone = signed_docs.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    names = named.groupBy("component").agg(F.min("first").alias("class"))
+    told = reps.select("node", "first", "copies").join(linked.join(names, "component").select("node", "class"), "node", "left").join(links, "node", "left")
+    told = told.select("node", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = worded.select("row", "node").join(told, "node").select("row", "class", "n_links", F.lit(False).alias("alone"))
+    alone = signed_docs.where("node is null").select("row", F.col("row").alias("class"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("alone"))
     return out.unionByName(alone)
 
 
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document; the options are those of members().
+
+    A link joins two documents of Jaccard similarity `similarity` or more; a class is a connected set of
+    documents, named by its least doc_id; n_links counts the other documents linked with one, copies too.
+    """
+    name = lambda key: F.when(~F.col(f"{key}.z"), F.col(f"{key}.i"))
+    return members(docs, **how).select(name("row").alias("doc_id"), name("class").alias("class_id"), "n_links")
+
+
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class stays: the one with the least doc_id. All columns kept.
+    """One document of each class stays: the first by (id, digest of the text), null ids last. All columns kept.
 
-    Of rows that repeat a doc_id, the one with the least text stays. Rows with a null id stay.
+    Of rows with equal id and text, the one whose columns are least as JSON stays. Documents without words
+    are near nothing and all stay.
     """
-    firsts = classes(docs, **how).where("doc_id = class_id").select("doc_id").distinct()
-    # the window and the join need the same partitioning and order
-    once = docs.where("doc_id is not null").withColumn(_ROW, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(_ROW) == 1).drop(_ROW)
-    return once.join(firsts, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    first = members(docs, **how).groupBy("row").agg(F.count("*").alias("n"), F.bool_or("alone").alias("alone"), F.bool_or(F.col("row") == F.col("class")).alias("first")).where("first")
+    once = F.col("alone") | (F.col("n") == 1)
+    keyed = docs.select(row_key().alias("row"), F.struct("*").alias("doc"))
+    single = keyed.join(first.where(once).select("row"), "row").select("doc.*")
+    # the sum of equal rows is made before the shuffle
+    several = keyed.join(first.where(~once).select("row"), "row").groupBy("row").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc.*")
+    return single.unionByName(several)

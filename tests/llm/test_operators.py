@@ -123,6 +123,23 @@ def test_secrets_equal_plain_patterns(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_hostile_texts_are_scanned(spark):
+    import base64
+
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 8_000_000).decode().rstrip("=")
+    rows = [(1, f"{deep}.{deep}.{'a' * 20}"), (2, "eyJ" * 3_500_000 + ".x"), (3, "token" * 2_000_000), (4, "-----BEGIN PRIVATE KEY-----" * 400_000)]
+    assert [r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [[]] * 4
+
+
+def test_frames_say_their_length():
+    import base64
+
+    frame = lambda der: "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(der).decode() + "\n-----END PRIVATE KEY-----"
+    words = secrets.automaton()
+    for der, whole in ((b"0\x03abc", True), (b"0\x03abcd", False), (b"0\x81\x80" + b"x" * 128, True), (b"1\x03abc", False)):
+        assert [s[0] for s in secrets.scan(frame(der), words)] == ["pem"] * whole
+
+
 def test_redaction(spark, docs):
     df = spark.createDataFrame([(1, "a password=abcdef123 b", 22), (2, None, None), (3, "clean", 5), (4, "token=" + "ab12" * 8, 38)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r for r in secrets.redact(df).collect()}
@@ -242,11 +259,25 @@ def test_jaccard_in_parts_and_blocks(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in jaccard.classes(df, block=20).collect()) == links_by_hand(rows)
 
 
-def test_one_of_each_class_stays(docs):
+def test_one_of_each_class_stays(docs, empty):
     kept = jaccard.deduplicate(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(0) == 1 and 1 not in ids and 2 not in ids and ids.count(12) == 1 and ids.count(None) == 2
+    rows = texts_of(kept)
+    ids = [i for i, _ in rows]
+    # the base text and its copies have ids 0, 1, 2, 13 and null; the texts of id 12 differ, so both stay
+    assert ids.count(0) == 1 and not {1, 2, 13} & set(ids) and ids.count(12) == 2
+    assert [t for i, t in rows if i is None] == [t for i, t in texts_of(docs) if i is None and t.startswith("no id")]
+    assert {3, 4, 5} <= set(ids)  # without words
+    assert jaccard.deduplicate(empty).count() == 0
+
+
+def test_rows_without_id_or_with_the_same_id_are_documents_of_their_own(spark):
+    last = (1 << 63) - 1
+    rows = [(2, "alpha beta gamma"), (2, "delta epsilon zeta eta"), (None, "one two three"), (None, "one two three"), (None, "four five six"), (last, "seven eight"), (last, "seven eight"), (None, "seven eight")]
+    docs = spark.createDataFrame([(i, t, {"k": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, more map<string,int>")
+    assert sorted((str(i), t) for i, t in texts_of(jaccard.deduplicate(docs))) == sorted((str(i), t) for i, t in set(rows[:7]))
+    named = {(str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in jaccard.classes(docs).collect()}
+    assert named == {("2", "2", 0), ("None", "None", 1), ("None", "None", 0), (str(last), str(last), 2), ("None", str(last), 2)}
 
 
 # --- repeats ----------------------------------------------------------------------------------------------------------
