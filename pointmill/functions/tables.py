@@ -29,3 +29,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
+    """The frame as a table bucketed by `key`, in the shared folder: groups of the key then need no shuffle of it.
+
+    Spark deals a bucketed side anew if it has fewer buckets than the session has shuffle partitions, so
+    there are as many at least.
+    """
+    spark = df.sparkSession
+    name = f"{what}_{uuid.uuid4().hex}"
+    n = max(1, buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
