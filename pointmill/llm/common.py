@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +145,77 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(value, starts) + lengths.astype(U64) * _PRIME), starts
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more in the fewest bytes of 1 to 8, one byte of all after the other, compressed."""
+    import zstandard
+
+    top = int(values.max()) if values.size else 0
+    width = max(1, (top.bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def loosened(data: bytes) -> np.ndarray:
+    """The numbers of squeezed()."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def squeezed_strings(values: list[bytes]) -> bytes:
+    """Byte strings with their lengths, compressed."""
+    import zstandard
+
+    sizes = squeezed(np.array([len(v) for v in values], np.int64))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(values))
+
+
+def loosened_strings(data: bytes) -> list[bytes]:
+    import zstandard
+
+    n = 4 + int.from_bytes(data[:4], "little")
+    at = np.cumsum(np.append(0, loosened(data[4:n]))).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(data[n:])
+    return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def text_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, dict[str, list]]]:
+    """The rows of a task in runs of about `limit` bytes of text (the column `text`, as bytes), each with an
+    id of its own: the partition's number and the run's. Only for tables that are written at once, as a run
+    depends on the order in which its task reads."""
+    from pyspark import TaskContext
+
+    base, k, size, held = TaskContext.get().partitionId() << 32, 0, 0, None
+    for batch in batches:
+        columns = {n: (batch.column(n).cast(pa.binary()) if n == "text" else batch.column(n)).to_pylist() for n in batch.schema.names}
+        begin = 0
+        for j, text in enumerate(columns["text"]):
+            size += len(text)
+            if size > limit:
+                held = {n: [*(held[n] if held else ()), *c[begin : j + 1]] for n, c in columns.items()}
+                yield base + k, held
+                begin, k, size, held = j + 1, k + 1, 0, None
+        held = {n: [*(held[n] if held else ()), *c[begin:]] for n, c in columns.items()}
+    if held and held["text"]:
+        yield base + k, held
+
+
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Distinct values of a sorted array and where each one's run begins and ends."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if values.size else np.empty(0, np.int64)
+    at = np.append(first, values.size)
+    return values[first], list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the given runs, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if ends.size else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def packed_sorted(values: np.ndarray) -> bytes:
     """Ascending 64-bit numbers as differences, byte by byte of all: the high bytes are then runs of zeros."""
     return np.diff(values, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()

@@ -2,18 +2,23 @@
 
 Where no piece of the model has a whitespace marker after another character, merges never cross the
 place before a run of markers. A text then splits into marked words (markers, then other characters)
-that are segmented alone: each task segments every distinct marked word of a batch once, keeps the
-results in a table of bounded size, and joins the ids back by position. The table is local to a task:
-a table of the whole corpus would have to be joined to every word of every text by a shuffle many times
-the input.
+that are segmented alone, each distinct one of the whole corpus once:
+
+1. Every task cuts its rows into chunks: the chunk's distinct words, and the texts as places in that list.
+2. Chunks send their distinct words to the buckets of the word table; a bucket segments every distinct
+   word once and answers each chunk in the order in which it asked.
+3. The ids come back to the chunk and are joined by position. Chunks are a bucketed table, so the texts
+   themselves are never shuffled.
 
 Nulls: a null text is empty; the empty text has no ids and decodes to the empty text. Repeated rows each
-get their row; an empty table gives none. Only the id and the text are read.
+get their row; an empty table gives none. A very long text is one chunk, a very long word one entry of
+the table. Only the id and the text are read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointmill.functions.tables import bucketed
 from pointmill.llm import common
 
 MARK = "▁"
-#: Entries of a task's table; when full it is emptied, which costs time, not correctness.
-TABLE_ROWS = 500_000
-#: A marked word of more characters is segmented but not kept.
-LONG_WORD = 200
+#: Text of a chunk.
+CHUNK_BYTES = 12 << 20
 _MARKED_WORDS = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -46,39 +50,29 @@ def splits_at_markers(model: bytes) -> bool:
     return not crossing and sp.decode(sp.encode(probe)) == probe and sp.encode("b", out_type=str)[0].startswith(MARK)
 
 
-class WordTable:
-    """Distinct marked words with their ids (int32 bytes) and decoded text."""
+class Segmenter:
+    """Segments marked words as they are segmented inside a text."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.lead = self.sp.encode("a")
-        self.rows: dict[str, tuple[bytes, str]] = {}
-
-    def add(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
-        """A table that has the given words; the new ones are segmented at once."""
-        if len(self.rows) + len(words) > TABLE_ROWS:
-            self.rows = {}
-        new = [w for w in words if w not in self.rows]
-        if not new:
-            return self.rows
+
+    def ids(self, words: list[str]) -> list[list[int]]:
         # the library puts one marker before each text: it stands for the word's first one
-        ids = self.sp.encode([w[1:] for w in new], num_threads=1)
-        for k, w in enumerate(new):
+        out = self.sp.encode([w[1:] for w in words], num_threads=1)
+        for k, w in enumerate(words):
             if len(w) == 1:
-                ids[k] = [self.sp.piece_to_id(MARK)]
+                out[k] = [self.sp.piece_to_id(MARK)]
+        return out
+
+    def decoded(self, ids: list[list[int]]) -> list[str]:
         # decoding strips a leading space only at the start of a text, so decode behind a known lead
-        texts = self.sp.decode([self.lead + i for i in ids], num_threads=1)
-        fresh = {w: (np.array(i, np.int32).tobytes(), t[1:]) for w, i, t in zip(new, ids, texts, strict=True)}
-        if all(len(w) <= LONG_WORD for w in new):
-            self.rows |= fresh
-            return self.rows
-        self.rows |= {w: r for w, r in fresh.items() if len(w) <= LONG_WORD}
-        return self.rows | fresh
+        return [t[1:] for t in self.sp.decode([self.lead + i for i in ids], num_threads=1)]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, ids, decoded) of every text, equal to the library's encode() and decode() of the whole text."""
     import sentencepiece  # noqa: F401  fail early where it is missing
 
@@ -88,22 +82,82 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     if not splits_at_markers(model):
         raise ValueError("a piece of this model crosses a whitespace marker, or its normaliser changes text")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(model)
+    buckets = common.parts_for(common.text_bytes(source), chunk_bytes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in common.text_runs(batches, chunk_bytes):
+            place: dict[str, int] = {}
+            tokens, n = [], []
+            for t in rows["text"]:
+                words = _MARKED_WORDS.findall(" " + t.decode()) if t else []
+                tokens.append(np.array([place.setdefault(w, len(place)) for w in words], np.int64))
+                n.append(len(words))
+            words = [w.encode() for w in place]
+            to = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+            order = np.argsort(to, kind="stable")  # words in the order of their buckets
+            rank = np.empty(order.size, np.int64)
+            rank[order] = np.arange(order.size)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "chunk": pa.array([chunk], pa.int64()),
+                    "ids": pa.array([rows["doc_id"]], pa.list_(pa.int64())),
+                    "n": pa.array([common.squeezed(np.array(n, np.int64))], pa.binary()),
+                    "tokens": pa.array([common.squeezed(rank[np.concatenate(tokens)] if words else np.empty(0, np.int64))], pa.binary()),
+                    "words": pa.array([common.squeezed_strings([words[k] for k in order])], pa.binary()),
+                    "to": pa.array([common.squeezed(to[order])], pa.binary()),
+                }
+            )
+
+    chunks = bucketed(source.mapInArrow(cut, "chunk long, ids array<long>, n binary, tokens binary, words binary, to binary"), "chunk", buckets, "piece_chunks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [_MARKED_WORDS.findall(" " + t) if t else [] for t in batch.column("text").to_pylist()]
-            rows_of = table.add(set().union(*split))
-            ids, decoded, lengths = [], [], []
-            for words in split:
-                rows = [rows_of[w] for w in words]
-                found = b"".join([r[0] for r in rows])
-                ids.append(found)
-                lengths.append(len(found) // 4)
-                decoded.append("".join([r[1] for r in rows])[1:])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": common.list_array(lengths, pa.array(np.frombuffer(b"".join(ids), np.int32))), "decoded": pa.array(decoded, pa.string())})
-
-    return source.mapInArrow(run, SCHEMA)
+            for chunk, words, to in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "to")), strict=True):
+                words = common.loosened_strings(words)
+                names, runs = common.runs_of(common.loosened(to))
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(names), pa.int64()), "bucket": pa.array(names), "words": pa.array([common.squeezed_strings(words[a:b]) for a, b in runs], pa.binary())})
+
+    def segment(key, table):
+        """One bucket of the word table: every distinct word's ids, and its decoded text where that isn't the word."""
+        asked = [common.loosened_strings(x) for x in table["words"].to_pylist()]
+        place = {w: k for k, w in enumerate(dict.fromkeys(w for ws in asked for w in ws))}
+        words = [w.decode() for w in place]
+        tool = Segmenter(model)
+        found = tool.ids(words)
+        told = [b"" if t == w.replace(MARK, " ") else b"=" + t.encode() for w, t in zip(words, tool.decoded(found), strict=True)]
+        n = np.array([len(i) for i in found], np.int64)
+        every, start = np.array([i for ids in found for i in ids], np.int64), np.cumsum(n) - n
+        mine = [np.array([place[w] for w in ws], np.int64) for ws in asked]
+        pack = lambda values: pa.array(values, pa.binary())
+        return pa.table(
+            {
+                "chunk": table["chunk"],
+                "bucket": table["bucket"],
+                "n": pack([common.squeezed(n[m]) for m in mine]),
+                "pieces": pack([common.squeezed(every[common.flat(start[m], n[m])]) for m in mine]),
+                "decoded": pack([common.squeezed_strings([told[k] for k in m.tolist()]) for m in mine]),
+            }
+        )
+
+    asked = chunks.select("chunk", "words", "to").mapInArrow(ask, "chunk long, bucket long, words binary")
+    answers = asked.groupBy("bucket").applyInArrow(segment, "chunk long, bucket long, n binary, pieces binary, decoded binary")
+
+    def join_back(key, left, right):
+        row, order = left.to_pylist()[0], np.argsort(right["bucket"].to_numpy())
+        told = lambda c: [right[c][int(k)].as_py() for k in order]
+        number = lambda parts: np.concatenate([common.loosened(x) for x in parts]) if parts else np.empty(0, np.int64)
+        n, pieces = number(told("n")), number(told("pieces"))
+        plain = [w.decode().replace(MARK, " ") for w in common.loosened_strings(row["words"])]
+        odd = [x for part in told("decoded") for x in common.loosened_strings(part)]
+        said = [x[1:].decode() if x else w for x, w in zip(odd, plain, strict=True)]
+        tokens, words_of = common.loosened(row["tokens"]), common.loosened(row["n"])
+        ids = pieces[common.flat((np.cumsum(n) - n)[tokens], n[tokens])]
+        edge = np.append(0, np.cumsum(words_of))
+        size = np.append(0, np.cumsum(n[tokens]))[edge]
+        decoded = ["".join([said[k] for k in tokens[a:b].tolist()])[1:] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "ids": common.list_array(np.diff(size), pa.array(ids.astype(np.int32))), "decoded": pa.array(decoded, pa.string())})
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join_back, SCHEMA)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -84,11 +84,11 @@ def test_pieces_equal_the_library(spark, docs, empty):
     assert pieces.encode(empty, queries.piece_model()).count() == 0
 
 
-def test_a_full_word_table_is_emptied(docs, monkeypatch):
+def test_every_distinct_word_is_segmented_once(docs):
     want = sorted(map(str, pieces.encode(docs, queries.piece_model()).collect()))
-    monkeypatch.setattr(pieces, "TABLE_ROWS", 5)
-    monkeypatch.setattr(pieces, "LONG_WORD", 3)
-    assert sorted(map(str, pieces.encode(docs, queries.piece_model()).collect())) == want
+    assert sorted(map(str, pieces.encode(docs, queries.piece_model(), chunk_bytes=3_000).collect())) == want
+    assert "Exchange hashpartitioning(chunk" in (plan := pieces.encode(docs, queries.piece_model())._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Exchange hashpartitioning(chunk") == 1  # of the answers, never of the texts
 
 
 # --- secrets --------------------------------------------------------------------------------------------
