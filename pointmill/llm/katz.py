@@ -1,38 +1,52 @@
-"""Katz backoff scoring: Good-Turing discounted bigrams with exactly normalised backoff weights.
-
-P(w | h) is d(c) c(h, w) / c(h) for a bigram seen c times, else the backoff weight of h times P(w); P(w)
-is discounted in the same way and what is left goes to one event for all unknown words. Discounts d are
-Good-Turing's up to a count of 5. Each text begins with a mark that is only a context and ends with one
-that is a token.
-
-The counts live in tables partitioned by buckets of words and of contexts. Documents are dealt to chunks,
-which do all their asking in bulk: a chunk sends its distinct words, then its distinct bigrams, with its
-own counts of the training texts, and gets the totals and backoff weights back in the same order; the
-same exchange trains and looks up. Contexts of very many occurrences are split over buckets by the
-following word. All counts are over all training texts; nothing is pruned.
-
-Words are known by 64-bit hashes of their bytes. Nulls: a null text is empty (its only token is the end),
-a null id is held out. Repeated rows count and are scored each. Empty tables give no rows. Only the id
-and the text are read.
+"""Katz backoff scoring: Good-Turing discounted n-grams with exactly normalised backoff weights.
+
+P(w | h) is d(c) c(h, w) / c(h) for an n-gram seen c times, else the backoff weight of h times P(w | h')
+with the farthest word of h left off, and so on down to single words, whose left-over goes to one event
+for all unknown words. Discounts d are Good-Turing's up to a count of 5, for each order. Each text begins
+with marks that are only contexts and ends with one that is a token.
+
+1. Tasks cut their rows into chunks: the distinct words, and the texts as places in that list. Chunks are
+   a bucketed table, so texts are never shuffled.
+2. The word table: chunks send their distinct words with their training counts to buckets, which give
+   every word its total and a number, and answer each chunk in the order in which it asked.
+3. The n-gram table, partitioned by the word before the last (the nearest of the context): a bucket holds
+   all orders of its n-grams, so that counts of shorter ones are sums of longer ones and backoff weights
+   are found by recursion inside the bucket. Chunks ask for their distinct n-grams, of training and other
+   texts alike, with their own training counts. Both tables are written to the shared folder.
+4. Counts, and the weights of contexts that a chunk saw with an unseen word, go back to the chunk, which
+   evaluates the recursion for each token.
+
+A very frequent word is split over buckets by the word that follows; the parts' sums for each context are
+added by one aggregate and joined to the chunks that asked. All counts are over all training texts;
+nothing is pruned. Words are known by 64-bit hashes of their bytes, n-grams by the numbers of their words.
+
+Nulls: a null text is empty (its only token is the end), a null id is held out. Repeated rows count and
+are scored each. A very long text is one chunk. Empty tables give no rows; without training texts every
+token is the unknown event. Only the id and the text are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointmill.functions.tables import bucketed, written
 from pointmill.llm import common
 
-#: Counts up to this are discounted.
-DISCOUNTED = 5
-#: Text of a chunk; occurrences of a context that one bucket takes.
-CHUNK_BYTES, HOT, BLOCK_BYTES = 12 << 20, 1_000_000, 1 << 20
+#: Longest n-gram; counts up to DISCOUNTED are discounted.
+ORDER, DISCOUNTED = 3, 5
+#: Text of a chunk; occurrences of a word that one bucket takes.
+CHUNK_BYTES, HOT, BLOCK_BYTES = 12 << 20, 3_000_000, 1 << 20
 
 _U = np.uint64
-END, BEGIN = _U(0x3C2F733E00000001), _U(0x3C733E0000000001)
-_C1, _C2 = _U(0xC2B2AE3D27D4EB4F), _U(0x9FB21C651E98DF25)
+_END = _U(0x3C2F733E00000001)
+#: Numbers of words that training texts lack, and of the mark before a text; other words come after.
+UNKNOWN, BEGIN, FIRST = 0, 1, 2
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -66,272 +80,489 @@ class Unigrams:
 
 
 def backoff(mass: np.ndarray, lower: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Backoff weight and scale of the seen events of contexts.
+    """Backoff weight of contexts, and whether nothing was discounted in them.
 
-    mass: discounted counts of what follows, lower: its probability without the context, total: its count.
-    Where nothing was discounted, one count is set aside. An unseen context has the weight 1.
+    mass: discounted counts of what follows, lower: its probability in the shorter context, total: its
+    count. Where nothing was discounted, one count is set aside: seen events are scaled by
+    total / (total + 1). An unseen context has the weight 1.
     """
     total = np.maximum(total, 0.0)
     left = 1 - np.divide(mass, total, out=np.zeros_like(mass), where=total > 0)
     full = (left <= 1e-12) & (total > 0)
-    scale = np.where(full, total / (total + 1), 1.0)
     left = np.where(full, 1 / (total + 1), left)
-    return np.where(total > 0, left / np.maximum(1 - lower, 1e-300), 1.0), scale
+    return np.where(total > 0, left / np.maximum(1 - lower, 1e-300), 1.0), full
+
+
+def scale_of(full: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.where(full, total / (total + 1), 1.0)
+
+
+def counts_of_counts(total: np.ndarray) -> list[float]:
+    return [float(x) for x in np.bincount(np.minimum(total, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]]
+
+
+def _table(**columns) -> pa.Table:
+    kinds = {"chunk": pa.int64(), "bucket": pa.int64(), "kind": pa.int64(), "stats": pa.list_(pa.float64())}
+    return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()})
+
+
+def _sum_of_stats(table: DataFrame, n: int) -> np.ndarray:
+    """Sums of the places of the column `stats`: a few numbers, whatever the table's size."""
+    row = table.agg(*[F.coalesce(F.sum(F.element_at("stats", k + 1)), F.lit(0.0)) for k in range(n)]).first()
+    return np.array(row, float)
+
 
+# --- chunks -------------------------------------------------------------------------------------------
 
-def counts_of_counts(total: np.ndarray) -> list[int]:
-    return [int(x) for x in np.bincount(np.minimum(total, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]]
 
+def tokenised(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """Chunks of the texts as words by place, in a bucketed table, and how many buckets suit them."""
+    common.small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"), held_out.alias("held_out"))
+    buckets = common.parts_for(common.text_bytes(source), chunk_bytes)
 
-def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if ends.size else 0) + np.repeat(starts - (ends - lengths), lengths)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in common.text_runs(batches, chunk_bytes):
+            parts, lengths, block, size = [], [], [], 0
+            for k, t in enumerate(rows["text"]):
+                block.append(t.translate(common.INK_ONLY))
+                size += len(t)
+                if size > BLOCK_BYTES or k == len(rows["text"]) - 1:
+                    at = np.cumsum([0] + [len(t) + 1 for t in block])
+                    h, starts = common.word_hashes(b" ".join(block))
+                    parts.append(h)
+                    lengths.append(np.diff(np.searchsorted(starts, at)))
+                    block, size = [], 0
+            n = np.concatenate(lengths)
+            held = np.array(rows["held_out"], bool)
+            words, place = np.unique(np.append(np.concatenate(parts), _END), return_inverse=True)
+            end, place = place[-1], place[:-1]
+            count = np.bincount(place[~np.repeat(held, n)], minlength=words.size)
+            count[end] += int((~held).sum())
+            pack = lambda x: pa.array([x], pa.binary())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "chunk": pa.array([chunk], pa.int64()),
+                    "ids": pa.array([rows["doc_id"]], pa.list_(pa.int64())),
+                    "held": pack(common.squeezed(held.astype(np.int64))),
+                    "n": pack(common.squeezed(n)),
+                    "tokens": pack(common.squeezed(place)),
+                    "words": pack(common.packed_sorted(words)),
+                    "counts": pack(common.squeezed(count)),
+                }
+            )
+
+    return bucketed(source.mapInArrow(cut, "chunk long, ids array<long>, held binary, n binary, tokens binary, words binary, counts binary"), "chunk", buckets, "katz_chunks"), buckets
 
 
 class Chunk:
-    """Tokens of a chunk's documents, its distinct words and bigrams."""
-
-    def __init__(self, table: pa.Table) -> None:
-        ids, texts = table.column("doc_id").to_pylist(), common.unzipped(table.column("zip"))
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k]))
-        self.ids = [ids[k] for k in order]
-        self.held = table.column("held_out").to_numpy(zero_copy_only=False)[order]
-        parts, lengths, block, size = [], [], [], 0
-        for j, k in enumerate(order):
-            block.append(texts[k].translate(common.INK_ONLY))
-            size += len(texts[k])
-            if size > BLOCK_BYTES or j == len(order) - 1:
-                at = np.cumsum([0] + [len(t) + 1 for t in block])
-                h, starts = common.word_hashes(b" ".join(block))
-                first = np.searchsorted(starts, at)
-                parts.append(h)
-                lengths.append(np.diff(first))
-                block, size = [], 0
-        words, n = np.concatenate(parts), np.concatenate(lengths)
+    """A chunk's tokens as numbers of the word table, and its distinct n-grams.
+
+    An n-gram is kept as levels: (v, w), then (v, w, u), ... where w is the last word, v the one before it,
+    u the one before that. `gram[k]` is each token's n-gram of order k + 2, by its place among the distinct
+    ones, which go by the bucket and then by v, w, u, ...; `parent[k]` leads to the level before.
+    """
+
+    def __init__(self, row: dict, answers: list[dict], buckets: int, hot: int, order: int) -> None:
+        words = common.unpacked_sorted(row["words"])
+        number = lambda c: np.concatenate([common.loosened(a[c]) for a in answers])
+        ids, total = number("a"), number("b")
+        n = common.loosened(row["n"])
+        self.held = common.loosened(row["held"]).astype(bool)
         self.n_tokens = n + 1
         self.first = np.cumsum(self.n_tokens) - self.n_tokens
-        token = np.full(words.size + n.size, END, _U)
-        token[np.arange(words.size) + np.repeat(np.arange(n.size), n)] = words
-        self.doc = np.repeat(np.arange(n.size), self.n_tokens)
-        train = ~self.held[self.doc]
-        self.words, self.word = np.unique(np.append(token, BEGIN), return_inverse=True)
-        self.begin = int(self.word[-1])
-        self.word = self.word[:-1]
-        self.word_count = np.bincount(self.word[train], minlength=self.words.size)
-        self.word_count[self.begin] = int((~self.held).sum())
-        before = np.empty(self.word.size, np.int64)
-        before[1:] = self.word[:-1]
-        before[self.first] = self.begin
-        pair = before * self.words.size + self.word
-        pairs, self.pair = np.unique(pair, return_inverse=True)
-        self.pair_count = np.bincount(self.pair[train], minlength=pairs.size)
-        self.head, self.tail = pairs // self.words.size, pairs % self.words.size
-
-    def requests(self, total: np.ndarray, buckets: int, hot: int) -> dict:
-        """The chunk's bigrams in the order of their buckets.
-
-        An entry is a context, or one of the parts of a frequent context; every part is asked, so that the
-        weights of all parts come back.
-        """
-        heads = np.unique(self.head)
-        parts = np.clip(-(-total[heads] // hot), 1, buckets).astype(np.int64)  # each in a bucket of its own
-        offset = np.zeros(self.words.size, np.int64)
-        offset[heads] = np.cumsum(parts) - parts
-        split = np.ones(self.words.size, np.int64)
-        split[heads] = parts
-        entry_head = np.repeat(heads, parts)
-        part = flat(np.zeros(heads.size, np.int64), parts)
-        is_hot = split[entry_head] > 1
-        bucket = ((common.mix64(self.words[entry_head] * _C1) % _U(buckets)).astype(np.int64) + part) % buckets
-        to = bucket * 2 + is_hot
-        order = np.argsort(to, kind="stable")  # entries already go by context and part
-        place = np.empty(order.size, np.int64)
-        place[order] = np.arange(order.size)
-        mine = split[self.head]
-        sub = np.zeros(self.head.size, np.int64)
-        some = mine > 1
-        sub[some] = (self.words[self.tail[some]] % mine[some].astype(_U)).astype(np.int64)
-        entry = place[offset[self.head] + sub]
-        by = np.argsort(entry, kind="stable")  # bigrams of an entry stay in the order of the word
-        degree = np.bincount(entry, minlength=order.size)
-        return {"to": to[order], "head": entry_head[order], "degree": degree, "by": by, "entry": entry}
-
-
-def _slices(values: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if values.size else np.empty(0, np.int64)
-    at = np.append(first, values.size)
-    return values[first], list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-
-
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers in the narrowest of 1, 2, 4 or 8 bytes, after a byte that says which."""
-    top = int(values.max()) if values.size else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
-
-
-_KINDS = {"chunk": pa.int64(), "bucket": pa.int64(), "kind": pa.int64(), "stats": pa.list_(pa.float64())}
-
-
-def _rows(**columns) -> pa.Table:
-    return pa.table({k: pa.array(v, _KINDS.get(k, pa.binary())) for k, v in columns.items()})
-
-
-def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
-    """Every document with its base score and the model's log10 probability.
-
-    Learns from the documents outside fold 0 of crc32(id); (doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score).
+        place = np.full(int(self.n_tokens.sum()), np.searchsorted(words, _END), np.int64)
+        place[common.flat(self.first, n)] = common.loosened(row["tokens"])
+        train = np.repeat(~self.held, self.n_tokens)
+        start = np.zeros(place.size, bool)
+        start[self.first] = True
+        # names: distinct numbers in the chunk, the mark before a text among them
+        self.names, of = np.unique(np.append(ids, BEGIN), return_inverse=True)
+        begin, of = of[-1], of[:-1]
+        self.texts = int(total[np.searchsorted(words, _END)])  # of training: as often as a text ends, one begins
+        self.name_total = np.zeros(self.names.size, np.int64)
+        self.name_total[of] = total
+        self.name_total[begin] = self.texts
+        self.token = of[place]
+        back = [self.token]
+        for _ in range(order - 1):
+            before = np.empty_like(self.token)
+            before[1:] = back[-1][:-1]
+            before[start] = begin
+            back.append(before)
+        self.start = start
+        w, v = back[0], back[1]
+        # a frequent word is split by the word that follows it
+        parts = np.clip(-(-self.name_total // hot), 1, buckets)
+        to = (common.mix64(self.names.astype(_U)) % _U(buckets)).astype(np.int64)
+        to = (to[v] + self.names[w] % parts[v]) % buckets
+        size = self.names.size
+        self.bucket, self.gram, self.key, self.parent = None, [], [], []
+        code = (to * size + v) * size + w  # fewer than 2**63 of them, as a chunk's names are some hundred thousand
+        distinct, of = np.unique(code, return_inverse=True)
+        self.bucket, self.head, self.tail = distinct // (size * size), distinct // size % size, distinct % size
+        self.gram.append(of)
+        for u in back[2:]:
+            distinct, now = np.unique(of * size + u, return_inverse=True)
+            self.parent.append(distinct // size)
+            self.key.append(distinct % size)
+            self.gram.append(now)
+            of = now
+        self.count = np.bincount(of[train], minlength=distinct.size)
+
+    def buckets_of(self, level: int) -> np.ndarray:
+        """The bucket of each distinct n-gram of a level."""
+        out = self.bucket
+        for parent in self.parent[:level]:
+            out = out[parent]
+        return out
+
+
+# --- grams of a bucket ------------------------------------------------------------------------------------
+
+
+class Grams:
+    """Distinct n-grams by levels, from flat columns (v, w, u, ...) of places in sorted names."""
+
+    def __init__(self, columns: list[np.ndarray], size: int) -> None:
+        code, of = np.unique(columns[0] * size + columns[1], return_inverse=True)
+        self.v, self.keys, self.parents, self.of = code // size, [code % size], [], [of]
+        for u in columns[2:]:
+            code, of = np.unique(of * size + u, return_inverse=True)
+            self.parents.append(code // size)
+            self.keys.append(code % size)
+            self.of.append(of)
+
+
+def totals_of(count: np.ndarray, keys: list[np.ndarray], parents: list[np.ndarray]) -> list[np.ndarray]:
+    """Counts of each level's n-grams from the last one's."""
+    out = [count]
+    for parent, key in zip(reversed(parents), reversed(keys[:-1]), strict=True):
+        out.insert(0, np.bincount(parent, weights=out[0], minlength=key.size).astype(np.int64))
+    return out
+
+
+def contexts(v: np.ndarray, keys: list[np.ndarray], parents: list[np.ndarray], size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level the context of its n-grams by place, and the contexts' nearest and farthest words.
+
+    The contexts of a level are the distinct (v), (v, u), ... in ascending order.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
-    chunks = common.parts_for(common.text_bytes(source), chunk_bytes)
-    # one exchange of the texts serves the three passes over the chunks
-    base = common.zipped(source).select("doc_id", "zip", (common.fold(folds) == 0).alias("held_out"), F.pmod(F.xxhash64("doc_id", F.octet_length("zip")), F.lit(chunks).cast("long")).alias("chunk"))
-
-    def send_words(key, table):
-        c = Chunk(table)
-        names, cut = _slices(((c.words >> _U(32)) * _U(chunks) >> _U(32)).astype(np.int64))
-        return _rows(chunk=[key[0].as_py()] * len(names), bucket=names, keys=[common.packed_sorted(c.words[a:b]) for a, b in cut], counts=[packed(c.word_count[a:b]) for a, b in cut])
-
-    def word_totals(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        keys = [common.unpacked_sorted(x) for x in table["keys"].to_pylist()]
-        names, of = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(of, weights=np.concatenate([unpacked(x) for x in table["counts"].to_pylist()]))
-        return names, total.astype(np.int64), of, [k.size for k in keys]
-
-    def word_statistics(key, table):
-        names, total, _, _ = word_totals(table)
-        total = total[names != BEGIN]
-        return _rows(stats=[[float(total.sum()), float((total > 0).sum()), *map(float, counts_of_counts(total))]])
-
-    def answer_words(key, table):
-        _, total, of, sizes = word_totals(table)
+    names, of = np.unique(v, return_inverse=True)
+    out = [(of, names, names)]
+    for parent, key in zip(parents, keys[1:], strict=True):
+        of, near = out[-1][0][parent], out[-1][1]
+        code, now = np.unique(of * size + key, return_inverse=True)
+        out.append((now, near[code // size], code % size))
+    return out
+
+
+@dataclass
+class Model:
+    """What is known once the n-grams are counted: tokens, distinct words, discounts of all orders."""
+
+    tokens: float
+    types: float
+    unigrams: Unigrams
+    discounts: list[np.ndarray]
+
+
+def _spread(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+_TABLE_SCHEMA = "bucket long, names binary, totals binary, heads binary, keys array<binary>, parents array<binary>, counts binary, chunks array<long>, asked array<binary>, stats array<double>"
+def word_table(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The word table, by buckets of the words' hashes: totals and numbers, and which of them each chunk asked for."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "counts")), strict=True):
+                words, counts = common.unpacked_sorted(words), common.loosened(counts)
+                names, runs = common.runs_of(((words >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64))
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(names), pa.int64()), "bucket": pa.array(names), "words": pa.array([common.packed_sorted(words[a:b]) for a, b in runs], pa.binary()), "counts": pa.array([common.squeezed(counts[a:b]) for a, b in runs], pa.binary())})
+
+    def count(key, table):
+        asked = [common.unpacked_sorted(x) for x in table["words"].to_pylist()]
+        words, of = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(of, weights=_spread([common.loosened(x) for x in table["counts"].to_pylist()]), minlength=words.size).astype(np.int64)
+        # frequent words get small numbers
+        rank = np.empty(words.size, np.int64)
+        rank[np.lexsort((words, -total))] = np.arange(words.size)
+        number = np.where(total > 0, FIRST + rank * buckets + key[0].as_py(), UNKNOWN)
+        cut = np.cumsum([0] + [x.size for x in asked])
+        mine = [common.squeezed(of[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        stats = [float(total.sum()), float((total > 0).sum()), *counts_of_counts(total)]
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([common.packed_sorted(words)], pa.binary()), "numbers": pa.array([common.squeezed(number)], pa.binary()), "totals": pa.array([common.squeezed(total)], pa.binary()), "chunks": pa.array([table["chunk"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([mine], pa.list_(pa.binary())), "stats": pa.array([stats], pa.list_(pa.float64()))})
+
+    sent = chunks.select("chunk", "words", "counts").mapInArrow(ask, "chunk long, bucket long, words binary, counts binary")
+    return written(sent.groupBy("bucket").applyInArrow(count, "bucket long, words binary, numbers binary, totals binary, chunks array<long>, asked array<binary>, stats array<double>"), "katz_words")
+
+
+def word_answers(words: DataFrame) -> DataFrame:
+    """Numbers and totals for each chunk, in the order in which it has the words of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                number, total = common.loosened(r["numbers"]), common.loosened(r["totals"])
+                mine = [common.loosened(x) for x in r["asked"]]
+                n = len(mine)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(r["chunks"], pa.int64()), "bucket": pa.array([r["bucket"]] * n, pa.int64()), "a": pa.array([common.squeezed(number[m]) for m in mine], pa.binary()), "b": pa.array([common.squeezed(total[m]) for m in mine], pa.binary())})
+
+    return words.drop("words", "stats").mapInArrow(run, "chunk long, bucket long, a binary, b binary")
+
+
+def gram_table(chunks: DataFrame, told: DataFrame, buckets: int, hot: int, order: int) -> DataFrame:
+    """The n-gram table, one row a bucket: the distinct n-grams and counts, and which of them each chunk asked for."""
+
+    def ask(key, left, right):
+        c = Chunk(left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: r["bucket"]), buckets, hot, order)
+        levels = order - 1
+        at = [c.buckets_of(k) for k in range(levels)]
+        names, runs = common.runs_of(at[0])
+        bounds = [runs, *[list(zip(np.searchsorted(at[k], names), np.searchsorted(at[k], names, "right"), strict=True)) for k in range(1, levels)]]
+        out = {"chunk": [key[0].as_py()] * len(names), "bucket": names, **{k: [] for k in ("names", "totals", "heads", "keys", "degrees", "counts")}}
+        for j in range(len(names)):
+            (a, b), deeper = bounds[0][j], [bounds[k][j] for k in range(1, levels)]
+            columns = [c.head[a:b], c.tail[a:b], *[c.key[k][x:y] for k, (x, y) in enumerate(deeper)]]
+            have, of = np.unique(np.concatenate(columns), return_inverse=True)
+            cut = np.cumsum([0] + [x.size for x in columns])
+            of = [of[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            out["names"].append(common.squeezed(np.diff(c.names[have], prepend=0)))
+            out["totals"].append(common.squeezed(c.name_total[have]))
+            out["heads"].append(common.squeezed(np.diff(of[0], prepend=0)))
+            out["keys"].append([common.squeezed(x) for x in of[1:]])
+            ends = [(a, b), *deeper]
+            out["degrees"].append([common.squeezed(np.bincount(c.parent[k][x:y] - ends[k][0], minlength=ends[k][1] - ends[k][0])) for k, (x, y) in enumerate(deeper)])
+            x, y = ends[-1]
+            out["counts"].append(common.squeezed(c.count[x:y]))
+        lists = ("keys", "degrees")
+        return pa.table({k: pa.array(v, pa.int64() if k in ("chunk", "bucket") else pa.list_(pa.binary()) if k in lists else pa.binary()) for k, v in out.items()})
+
+    def count(key, table):
+        rows = table.to_pylist()
+        own = [np.cumsum(common.loosened(r["names"])) for r in rows]
+        names, of = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.zeros(names.size, np.int64)
+        total[of] = _spread([common.loosened(r["totals"]) for r in rows])
+        columns, counts, sizes, at = [[] for _ in range(order)], [], [], 0
+        for r, mine in zip(rows, own, strict=True):
+            of_mine = of[at : at + mine.size]
+            at += mine.size
+            flat = [np.cumsum(common.loosened(r["heads"])), *[common.loosened(k) for k in r["keys"]]]
+            for k, degree in enumerate(r["degrees"]):
+                degree = common.loosened(degree)
+                flat = [np.repeat(x, degree) for x in flat[: k + 2]] + flat[k + 2 :]
+            for out, x in zip(columns, flat, strict=True):
+                out.append(of_mine[x])
+            counts.append(common.loosened(r["counts"]))
+            sizes.append(counts[-1].size)
+        grams = Grams([_spread(x) for x in columns], names.size)
+        del columns
+        leaf = np.bincount(grams.of[-1], weights=_spread(counts), minlength=grams.keys[-1].size).astype(np.int64)
         cut = np.cumsum([0, *sizes])
-        return _rows(chunk=table["chunk"].to_pylist(), kind=[0] * len(sizes), bucket=table["bucket"].to_pylist(), data=[packed(total[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)], weights=[None] * len(sizes), stats=[None] * len(sizes))
-
-    answer = "chunk long, kind long, bucket long, data binary, weights binary, stats array<double>"
-    words = base.groupBy("chunk").applyInArrow(send_words, "chunk long, bucket long, keys binary, counts binary")
-    word_answers = words.groupBy("bucket").applyInArrow(answer_words, answer)
-
-    def of_kind(table, kind: int) -> list[tuple]:
-        rows = zip(*(table[c].to_pylist() for c in ("kind", "bucket", "data", "weights")), strict=True)
-        return sorted(r[1:] for r in rows if r[0] == kind)
-
-    def send_pairs(key, left, right):
-        c = Chunk(left)
-        total = np.concatenate([unpacked(d) for _, d, _ in of_kind(right, 0)])
-        q = c.requests(total, chunks, hot)
-        names, cut = _slices(q["to"])
-        edge = np.concatenate([[0], np.cumsum(q["degree"])])
-        out = {k: [] for k in ("heads", "degree", "words", "totals", "index", "counts")}
-        for a, b in cut:
-            mine = q["by"][edge[a] : edge[b]]
-            tails, index = np.unique(c.tail[mine], return_inverse=True)
-            for k, v in (("heads", common.packed_sorted(c.words[q["head"][a:b]])), ("degree", packed(q["degree"][a:b])), ("words", common.packed_sorted(c.words[tails])), ("totals", packed(total[tails])), ("index", packed(index)), ("counts", packed(c.pair_count[mine]))):
-                out[k].append(v)
-        return _rows(chunk=[key[0].as_py()] * len(names), bucket=names // 2, kind=names % 2, **out)
-
-    pair_rows = "chunk long, bucket long, kind long, heads binary, degree binary, words binary, totals binary, index binary, counts binary"
-    pairs = base.groupBy("chunk").cogroup(word_answers.groupBy("chunk")).applyInArrow(send_pairs, pair_rows)
-
-    def pair_totals(table) -> dict:
-        """Totals of a bucket's distinct bigrams; of: the distinct one of each that was sent."""
-        heads, tails, counts, totals, sizes, entries = [], [], [], [], [], []
-        for h, d, w, t, i, n in zip(*(table[c].to_pylist() for c in ("heads", "degree", "words", "totals", "index", "counts")), strict=True):
-            h, d, i = common.unpacked_sorted(h), unpacked(d), unpacked(i)
-            entries.append(h)
-            heads.append(np.repeat(h, d))
-            tails.append(common.unpacked_sorted(w)[i])
-            totals.append(unpacked(t)[i])
-            counts.append(unpacked(n))
-            sizes.append(i.size)
-        heads, tails = np.concatenate(heads), np.concatenate(tails)
-        _, lead, of = np.unique(heads * _C1 + tails * _C2, return_index=True, return_inverse=True)
-        total = np.bincount(of, weights=np.concatenate(counts)).astype(np.int64)
-        return {"head": heads[lead], "total": total, "word_total": np.concatenate(totals)[lead], "of": of, "sizes": sizes, "entries": entries}
-
-    def pair_statistics(key, table):
-        return _rows(stats=[list(map(float, counts_of_counts(pair_totals(table)["total"])))])
+        asked = [common.squeezed(np.diff(grams.of[-1][a:b], prepend=0)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        stats = [x for t in totals_of(leaf, grams.keys, grams.parents) for x in counts_of_counts(t)]
+        one = lambda x: pa.array([x], pa.binary())
+        many = lambda x: pa.array([x], pa.list_(pa.binary()))
+        return pa.table(
+            {
+                "bucket": pa.array([key[0].as_py()], pa.int64()),
+                "names": one(common.squeezed(np.diff(names, prepend=0))),
+                "totals": one(common.squeezed(total)),
+                "heads": one(common.squeezed(np.diff(grams.v, prepend=0))),
+                "keys": many([common.squeezed(x) for x in grams.keys]),
+                "parents": many([common.squeezed(np.diff(x, prepend=0)) for x in grams.parents]),
+                "counts": one(common.squeezed(leaf)),
+                "chunks": pa.array([[r["chunk"] for r in rows]], pa.list_(pa.int64())),
+                "asked": many(asked),
+                "stats": pa.array([stats], pa.list_(pa.float64())),
+            }
+        )
 
-    width = DISCOUNTED + 1
-    summed = lambda df, n: df.agg(*[F.coalesce(F.sum(F.element_at("stats", k + 1)), F.lit(0.0)).alias(f"s{k}") for k in range(n)]).select(F.array(*[f"s{k}" for k in range(n)]).alias("stats"))
-    one = summed(words.groupBy("bucket").applyInArrow(word_statistics, "stats array<double>"), width + 2)
-    two = summed(pairs.groupBy("bucket").applyInArrow(pair_statistics, "stats array<double>"), width)
-    # one row: tokens, words, counts of counts of words and of bigrams
-    statistics = one.select(F.col("stats").alias("one"), F.lit(1).alias("k")).join(two.select(F.col("stats").alias("two"), F.lit(1).alias("k")), "k").select("k", F.concat("one", "two").alias("stats"))
-    everywhere = docs.sparkSession.range(chunks).select(F.col("id"), F.lit(1).alias("k")).join(F.broadcast(statistics), "k").select(F.col("id").alias("bucket"), "stats")
-
-    def answer_pairs(key, left, right):
-        if not left.num_rows:
-            return _rows(chunk=[], kind=[], bucket=[], data=[], weights=[], stats=[])
-        stats = np.array(right["stats"][0].as_py())
-        unigrams, d = Unigrams(stats[0], stats[2 : 2 + width]), discounts(stats[2 + width :])
-        t = pair_totals(left)
-        seen = t["total"] > 0
-        heads, of = np.unique(np.concatenate([*t["entries"]]), return_inverse=True)
-        at = np.searchsorted(heads, t["head"][seen])
-        total = t["total"][seen]
-        add = lambda x: np.bincount(at, weights=x, minlength=heads.size)
-        mass, lower, n = add(discounted(total, d)), add(unigrams.p(t["word_total"][seen])), add(total)
-        weight, scale = backoff(mass, lower, n)
-        told = np.where(scale < 1, -weight, weight)  # a sign says that a count was set aside
-        weights, data, i, j = [], [], 0, 0
-        for size, entry, kind in zip(t["sizes"], t["entries"], left["kind"].to_pylist(), strict=True):
-            mine = of[i : i + entry.size]
-            weights.append((np.concatenate([mass[mine], lower[mine]]) if kind else told[mine]).tobytes())
-            data.append(packed(t["total"][t["of"][j : j + size]]))
-            i, j = i + entry.size, j + size
-        # kind 1: contexts whole, 2: parts of frequent ones
-        return _rows(chunk=left["chunk"].to_pylist(), kind=[1] * len(data), bucket=[2 * key[0].as_py() + k for k in left["kind"].to_pylist()], data=data, weights=weights, stats=[None] * len(data))
-
-    pair_answers = pairs.groupBy("bucket").cogroup(everywhere.groupBy("bucket")).applyInArrow(answer_pairs, answer)
-    blank = F.lit(None).cast("binary")
-    constants = everywhere.select(F.col("bucket").alias("chunk"), F.lit(2).cast("long").alias("kind"), F.lit(0).cast("long").alias("bucket"), blank.alias("data"), blank.alias("weights"), "stats")
-
-    def finish(key, left, right):
-        if not left.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        c = Chunk(left)
-        stats = np.array(next(s for s in right["stats"].to_pylist() if s is not None))
-        unigrams, d = Unigrams(stats[0], stats[2 : 2 + width]), discounts(stats[2 + width :])
-        total = np.concatenate([unpacked(x) for _, x, _ in of_kind(right, 0)])
-        q = c.requests(total, chunks, hot)
-        told = of_kind(right, 1)
-        count = np.empty(c.head.size, np.int64)
-        count[q["by"]] = np.concatenate([unpacked(x) for _, x, _ in told])
-        n = total.astype(float)
-        weight, scale = np.ones(c.words.size), np.ones(c.words.size)
-        mass, lower = np.zeros(c.words.size), np.zeros(c.words.size)
-        names, cut = _slices(q["to"])
-        for to, (a, b), (_, _, w) in zip(names, cut, told, strict=True):
-            w, head = np.frombuffer(w, np.float64), q["head"][a:b]
-            if to % 2:
-                np.add.at(mass, head, w[: b - a])
-                np.add.at(lower, head, w[b - a :])
-            else:
-                weight[head] = np.abs(w)
-                scale[head] = np.where(w < 0, n[head] / (n[head] + 1), 1.0)
-        split = np.unique(q["head"][q["to"] % 2 == 1])
-        weight[split], scale[split] = backoff(mass[split], lower[split], n[split])
-        seen = scale[c.head] * discounted(count, d) / np.maximum(n[c.head], 1)
-        p = np.where(count > 0, seen, weight[c.head] * unigrams.p(total[c.tail]))
-        plain = np.log10((total + 0.1) / (stats[0] + 0.1 * (stats[1] + 1)))
-        by_doc = lambda x: np.add.reduceat(x, c.first)
+    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(ask, "chunk long, bucket long, names binary, totals binary, heads binary, keys array<binary>, degrees array<binary>, counts binary")
+    return written(sent.groupBy("bucket").applyInArrow(count, _TABLE_SCHEMA), "katz_grams")
+
+
+class Bucket:
+    """A row of the n-gram table with all that can be said inside it.
+
+    Of the contexts of split words only the sums of this part are known: their discounted counts, and the
+    probabilities in the shorter context without its scale, which all parts share.
+    """
+
+    def __init__(self, row: dict, model: Model, hot: int) -> None:
+        self.names = np.cumsum(common.loosened(row["names"]))
+        total = common.loosened(row["totals"])
+        v = np.cumsum(common.loosened(row["heads"]))
+        keys = [common.loosened(k) for k in row["keys"]]
+        self.parents = [np.cumsum(common.loosened(p)) for p in row["parents"]]
+        self.count = totals_of(common.loosened(row["counts"]), keys, self.parents)
+        self.context = contexts(v, keys, self.parents, self.names.size)
+        p = model.unigrams.p(total[keys[0]])
+        self.weight, self.full, self.sums, self.hot = [], [], [], []
+        for k, (of, near, _) in enumerate(self.context):
+            c = self.count[k]
+            seen, cut = c > 0, discounted(c, model.discounts[k])
+            n, mass, lower = (np.bincount(of[seen], weights=x[seen], minlength=near.size) for x in (c, cut, p))
+            weight, full = backoff(mass, lower, n)
+            self.sums.append((n, mass, lower))
+            self.weight.append(weight)
+            self.full.append(full)
+            self.hot.append(total[near] > hot)
+            if k < len(self.parents):
+                n = np.where(self.hot[k], total[near], n)
+                scale = np.where(self.hot[k], 1.0, scale_of(full, n))
+                p = ((scale / np.maximum(n, 1))[of] * cut)[self.parents[k]]
+
+    def named(self, level: int, places: np.ndarray) -> dict:
+        """Level and words of contexts; a single word is its own farthest."""
+        _, near, far = self.context[level]
+        return {"level": np.full(places.size, level), "v": self.names[near[places]], "u": self.names[far[places]]}
+
+
+_ANSWERS = "chunk long, kind long, bucket long, a binary, b binary, c binary, level long, v long, u long, n double, mass double, lower double"
+
+
+def _batch(size: int, **columns) -> pa.RecordBatch:
+    kinds = {name: {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[kind] for name, kind in (c.split() for c in _ANSWERS.split(", "))}
+    return pa.RecordBatch.from_pydict({k: pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()})
+
+
+def answered(table: DataFrame, model: Model, hot: int) -> DataFrame:
+    """What the buckets say to the chunks, written.
+
+    Kind 1: counts of the chunk's n-grams by level; a flag for each of its contexts (1 nothing discounted,
+    2 followed by an n-gram without count, 4 of a split word); the weights of those with flag 2 and not 4.
+    Kind 2: a part's sums for the contexts of split words. Kind 3: which chunk has such a context (n is 1
+    if it needs the weight).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = Bucket(r, model, hot)
+                for k, is_hot in enumerate(b.hot):
+                    if (j := np.flatnonzero(is_hot)).size:
+                        yield _batch(j.size, kind=np.full(j.size, 2), **b.named(k, j), **{name: x[j] for name, x in zip(("n", "mass", "lower"), b.sums[k], strict=True)})
+                for chunk, asked in zip(r["chunks"], r["asked"], strict=True):
+                    levels, told = [np.cumsum(common.loosened(asked))], {"a": [], "b": [], "c": []}
+                    for parent in reversed(b.parents):
+                        levels.insert(0, common.runs_of(parent[levels[0]])[0])
+                    for k, grams in enumerate(levels):
+                        mine, place = np.unique(b.context[k][0][grams], return_inverse=True)
+                        count, is_hot = b.count[k][grams], b.hot[k][mine]
+                        need = np.bincount(place, weights=count == 0, minlength=mine.size) > 0
+                        told["a"].append(common.squeezed(count))
+                        told["b"].append(common.squeezed((b.full[k][mine] & ~is_hot) + 2 * need + 4 * is_hot))
+                        told["c"].append(b.weight[k][mine[need & ~is_hot]].tobytes())
+                        if is_hot.any():
+                            yield _batch(int(is_hot.sum()), kind=np.full(int(is_hot.sum()), 3), chunk=np.full(int(is_hot.sum()), chunk), **b.named(k, mine[is_hot]), n=need[is_hot].astype(float))
+                    yield _batch(1, chunk=[chunk], kind=[1], bucket=[r["bucket"]], **{name: [_joined(parts)] for name, parts in told.items()})
+
+    return written(table.drop("stats").mapInArrow(run, _ANSWERS), "katz_answers")
+
+
+def split_weights(answers: DataFrame) -> DataFrame:
+    """Weights of the contexts of split words from the sums of all parts, for the chunks that need to know."""
+    sums = answers.where("kind = 2").groupBy("level", "v", "u").agg(*[F.sum(c).alias(c) for c in ("n", "mass", "lower")])
+    left = F.when(F.col("n") > 0, 1 - F.col("mass") / F.col("n")).otherwise(1.0)
+    sums = sums.withColumn("full", (left <= 1e-12) & (F.col("n") > 0)).withColumn("left", F.when(F.col("full"), 1 / (F.col("n") + 1)).otherwise(left))
+    scale = sums.where("level = 0").select("v", F.when(F.col("full"), F.col("n") / (F.col("n") + 1)).otherwise(1.0).alias("scale"))
+    # the parts left out the scale of the shorter context
+    lower = F.when(F.col("level") == 0, F.col("lower")).otherwise(F.col("lower") * F.col("scale"))
+    weight = F.when(F.col("n") > 0, F.col("left") / F.greatest(1 - lower, F.lit(1e-300))).otherwise(1.0)
+    known = sums.join(scale, "v").select("level", "v", "u", "full", weight.alias("weight"))
+    asked = answers.where("kind = 3").groupBy("chunk", "level", "v", "u").agg(F.max("n").alias("need"))
+    return asked.join(known, ["level", "v", "u"]).where(F.col("full") | (F.col("need") > 0)).select("chunk", "level", "v", "u", F.col("full").cast("double").alias("n"), F.col("weight").alias("mass"))
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _parted(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def evaluated(chunks: DataFrame, told: DataFrame, model: Model, buckets: int, hot: int, order: int) -> DataFrame:
+    """The recursion for every token of every chunk, summed by text."""
+
+    def run(key, left, right):
+        rows = right.to_pylist()
+        of_kind = lambda k: sorted((r for r in rows if r["kind"] == k), key=lambda r: r["bucket"])
+        row = left.to_pylist()[0]
+        c = Chunk(row, of_kind(0), buckets, hot, order)
+        answers = [[_parted(r[x]) for x in "abc"] for r in of_kind(1)]
+        split = {(r["level"], r["v"], r["u"]): (r["n"] > 0, r["mass"]) for r in rows if r["kind"] == 4}
+        total, size = c.name_total[c.token], c.names.size
+        p = model.unigrams.p(total)
+        n, of = total_before(c, total), None
+        for k in range(order - 1):
+            count = np.concatenate([common.loosened(a[k]) for a, _, _ in answers])
+            flags = np.concatenate([common.loosened(b[k]) for _, b, _ in answers])
+            code = c.bucket * size + c.head if k == 0 else of[c.parent[k - 1]] * size + c.key[k - 1]
+            names, of = np.unique(code, return_inverse=True)
+            weight, full = np.ones(names.size), flags % 2 == 1
+            weight[flags & 6 == 2] = np.concatenate([np.frombuffer(w[k], np.float64) for _, _, w in answers])
+            if split and (j := np.flatnonzero(flags >= 4)).size:
+                far = names[j] % size
+                near = far if k == 0 else before[names[j] // size]
+                for i, v, u in zip(j.tolist(), c.names[near].tolist(), c.names[far].tolist(), strict=True):
+                    full[i], weight[i] = split.get((k, v, u), (False, 1.0))
+            before = names % size
+            gram = c.gram[k]
+            context, seen = of[gram], count[gram]
+            p = np.where(seen > 0, scale_of(full[context], n) * discounted(seen, model.discounts[k]) / np.maximum(n, 1), weight[context] * p)
+            n = total_before(c, seen)
+        plain = np.log10((total + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+        by_text = lambda x: np.add.reduceat(x, c.first)
         return pa.table(
             {
-                "doc_id": pa.array(c.ids, pa.int64()),
+                "doc_id": pa.array(row["ids"], pa.int64()),
                 "held_out": pa.array(c.held),
-                "n_tokens": pa.array(c.n_tokens.astype(np.int64)),
-                "n_known": pa.array(by_doc((total[c.word] > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(c.ids), int(stats[0]), np.int64)),
-                "base_score": pa.array(by_doc(plain[c.word])),
-                "score": pa.array(by_doc(np.log10(p)[c.pair])),
+                "n_tokens": pa.array(c.n_tokens),
+                "n_known": pa.array(by_text((total > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(c.held.size, int(model.tokens), np.int64)),
+                "base_score": pa.array(by_text(plain)),
+                "score": pa.array(by_text(np.log10(p))),
             }
         )
 
-    told = word_answers.unionByName(pair_answers).unionByName(constants)
-    return base.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def total_before(c: Chunk, count: np.ndarray) -> np.ndarray:
+    """The count of each token's context: that of the n-gram which ends before the token, of all texts at a start."""
+    out = np.empty(count.size)
+    out[1:] = count[:-1]
+    out[c.start] = c.texts
+    return out
+
+
+def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
+    """Every document with its base score and the model's log10 probability.
+
+    Learns from the documents outside fold 0 of crc32(id); (doc_id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score).
+    """
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3: parts of split words only know their contexts of up to two words")
+    chunks, buckets = tokenised(docs, common.fold(folds, id_col) == 0, id_col, text_col, chunk_bytes)
+    words = word_table(chunks, buckets)
+    width = DISCOUNTED + 1
+    one = _sum_of_stats(words, 2 + width)
+    told = word_answers(words)
+    grams = gram_table(chunks, told, buckets, hot, order)
+    more = _sum_of_stats(grams, width * (order - 1))
+    model = Model(one[0], one[1], Unigrams(one[0], one[2:]), [discounts(more[k * width : (k + 1) * width]) for k in range(order - 1)])
+    answers = answered(grams, model, hot)
+    columns = [f.name for f in answers.schema.fields]
+    blank = lambda df, kind: df.select(*[F.col(c) if c in df.columns else F.lit(kind).cast("long").alias(c) if c == "kind" else F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in columns])
+    back = blank(told, 0).unionByName(answers.where("kind = 1")).unionByName(blank(split_weights(answers), 4))
+    return evaluated(chunks, back, model, buckets, hot, order)
