@@ -1,13 +1,17 @@
 """Benchmark decontamination by suffix arrays of the training words.
 
-Each shard of documents (a run of rows inside one task) gets a suffix array over its words; every suffix
-of every benchmark item is binary-searched in it, which gives the longest verbatim matches and their
-places. Words that no item has cannot be part of a match, so a shard's array only holds runs of known
-words that are at least as long as the shortest window. Nothing is shuffled.
+1. Every task cuts its rows into shards and writes for each a suffix array over its words: the training
+   index, a table in the shared folder that can be searched again and again.
+2. The benchmark goes through in blocks of bounded size. Every suffix of every item of a block is
+   binary-searched in every shard, which gives the longest verbatim matches and their places; what a block
+   finds is written before the next one is read, so neither driver nor tasks hold more than a block.
+3. Places are joined to the index's documents by shard and position, not by id. Removal goes by the
+   digest of contaminated texts, as equal texts have equal matches.
 
 Nulls: a null text has no words and matches nothing; a null item id reads as the empty string, an item
-without words is ignored. Repeated rows each get their own result row. Empty tables give no rows (an
-empty benchmark: no matches). Columns besides the id and the text are not read.
+without words is ignored. Repeated rows and repeated or null ids each get their own result row, and
+removal never takes a clean row along. A very long text is a shard of its own. Empty tables give no rows
+(an empty benchmark: no matches). Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointmill.functions.tables import written
 from pointmill.llm import common, suffixes
 
 #: Words of a window; an item with fewer words is one window.
@@ -31,6 +36,55 @@ SHARD_BYTES = 8 << 20
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
 _ARROW_MATCH = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
+_INDEX = "shard long, ids array<{id}>, digests array<struct<a:long,b:long>>, n_words binary, words binary, tokens binary, suffixes binary"
+_HIT = "shard long, position long, matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
+
+
+def digest(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
+
+
+def index(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The training index: one row for each shard, with its documents' ids and its words' suffix array.
+
+    Suffixes are in order of their first `window` words.
+    """
+    common.small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("doc_id"), common.whole_text(text_col).alias("text"), digest(common.whole_text(text_col)).alias("digest"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in common.text_runs(batches, shard_bytes):
+            data = [t.translate(common.WORDS_ONLY) for t in rows["text"]]
+            at = np.cumsum([0] + [len(t) + 1 for t in data])
+            hashes, starts = common.word_hashes(b" ".join(data))
+            n_words = np.diff(np.searchsorted(starts, at))
+            words, place = np.unique(hashes, return_inverse=True)
+            seq = sequence(place, n_words)
+            pack = lambda x: pa.array([x], pa.binary())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "shard": pa.array([shard], pa.int64()),
+                    "ids": pa.array([rows["doc_id"]]).cast(id_type),
+                    "digests": pa.array([rows["digest"]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                    "n_words": pack(common.squeezed(n_words)),
+                    "words": pack(common.packed_sorted(words)),
+                    "tokens": pack(common.squeezed(place)),
+                    "suffixes": pack(common.squeezed(suffixes.suffix_array(suffixes.ranks_to_depth(seq, window)[0]))),
+                }
+            )
+
+    kind = source.schema["doc_id"].dataType
+    id_type = pa.list_({"string": pa.string(), "int": pa.int32()}.get(kind.simpleString(), pa.int64()))
+    return written(source.mapInArrow(build, _INDEX.format(id=kind.simpleString())), "shards")
+
+
+def sequence(place: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """A shard's words as numbers from 1, a 0 before each document."""
+    first = np.cumsum(n_words + 1) - n_words
+    out = np.zeros(place.size + n_words.size, np.int64)
+    out[common.flat(first, n_words)] = place + 1
+    return out
 
 
 class TestSet:
@@ -40,108 +94,98 @@ class TestSet:
         hashed = [(i, common.word_hashes(t.translate(common.WORDS_ONLY))[0]) for i, t in items]
         hashed = [(i, h) for i, h in hashed if h.size]
         self.ids = [i for i, _ in hashed]
-        self.vocabulary = np.unique(np.concatenate([h for _, h in hashed] or [np.empty(0, np.uint64)]))
-        words, item, place, width = [], [], [], []
-        for k, (_, h) in enumerate(hashed):
-            words += [np.searchsorted(self.vocabulary, h) + 1, [0]]
-            n = h.size - min(window, h.size) + 1
-            item.append(np.full(n, k))
-            place.append(np.arange(n))
-            width.append(np.full(n, min(window, h.size)))
-        cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)
-        self.item, self.place, self.width = cat(item), cat(place), cat(width)
-        base = np.concatenate([[0], np.cumsum([h.size + 1 for _, h in hashed])]).astype(np.int64)
-        self.start = base[self.item] + self.place
         self.length = np.array([h.size for _, h in hashed], np.int64)
-        # a mark that no document has ends each item
-        self.words = cat(words)
-        self.words[self.words == 0] = np.iinfo(np.int64).max
-        self.least = int(self.width.min()) if self.width.size else 0
-
-
-def shard_matches(texts: list[bytes], tests: TestSet) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words of each text, and the maximal matches as (document, item, item word, document word, words) columns."""
+        self.vocabulary, self.words = np.unique(np.concatenate([h for _, h in hashed] or [np.empty(0, np.uint64)]), return_inverse=True)
+        width = np.minimum(window, self.length)
+        n = self.length - width + 1
+        first = np.cumsum(self.length) - self.length
+        self.item = np.repeat(np.arange(n.size), n)
+        self.start = common.flat(first, n)
+        self.place = self.start - first[self.item]
+        self.width = width[self.item]
+
+
+def search(row: dict, tests: TestSet) -> list[np.ndarray]:
+    """Maximal matches of a shard as (document, item, item word, document word, words) columns."""
     none = [np.empty(0, np.int64)] * 5
-    data = [t.translate(common.WORDS_ONLY) for t in texts]
-    at = np.cumsum([0] + [len(t) + 1 for t in data])
-    hashes, starts = common.word_hashes(b" ".join(data))
-    first = np.searchsorted(starts, at[:-1])
-    n_words = np.diff(np.append(first, starts.size))
-    if not hashes.size or not tests.start.size:
-        return n_words, none
-    place = np.minimum(np.searchsorted(tests.vocabulary, hashes), tests.vocabulary.size - 1)
-    known = tests.vocabulary[place] == hashes
-    # runs of known words, cut where a document begins
-    cut = np.zeros(hashes.size, bool)
-    cut[first[first < hashes.size]] = True
-    begins = known & (cut | ~np.concatenate([[False], known[:-1]]))
-    run = np.cumsum(begins) - 1
-    length = np.bincount(run[known], minlength=int(begins.sum()))
-    keep = known & (length[run] >= tests.least) if length.size else known
-    where = np.flatnonzero(keep)
-    if not where.size:
-        return n_words, none
-    gap = np.cumsum(begins[where])  # one separator (0) before each run
-    seq = np.zeros(where.size + gap[-1], np.int64)
-    spot = np.arange(where.size) + gap
-    seq[spot] = place[where] + 1
-    back = np.zeros(seq.size, np.int64)
-    back[spot] = where
-    rank, _ = suffixes.ranks_to_depth(seq, int(tests.width.max()))
-    sa = suffixes.suffix_array(rank)
-    lo, hi = suffixes.search(seq, sa, tests.words, tests.start, tests.width)
+    words = common.unpacked_sorted(row["words"])
+    if not words.size or not tests.start.size:
+        return none
+    at = np.minimum(np.searchsorted(words, tests.vocabulary), words.size - 1)
+    local = np.where(words[at] == tests.vocabulary, at + 1, -1)[tests.words]  # no shard's sequence has a -1
+    missing = np.append(0, np.cumsum(local < 0))
+    able = np.flatnonzero(missing[tests.start + tests.width] == missing[tests.start])
+    if not able.size:
+        return none
+    n_words = common.loosened(row["n_words"])
+    seq, sa = sequence(common.loosened(row["tokens"]), n_words), common.loosened(row["suffixes"])
+    lo, hi = suffixes.search(seq, sa, local, tests.start[able], tests.width[able])
     count = hi - lo
-    test = np.repeat(np.arange(lo.size), count)
-    if not test.size:
-        return n_words, none
-    which = np.arange(test.size) - np.repeat(np.cumsum(count) - count, count)
-    pos = sa[lo[test] + which]
+    test, pos = np.repeat(able, count), sa[common.flat(lo, count)]
     item, item_word = tests.item[test], tests.place[test]
     # a match that the item and the document both go on before is part of a longer one
-    before = (item_word > 0) & (tests.words[np.maximum(tests.start[test] - 1, 0)] == seq[np.maximum(pos - 1, 0)])
+    before = (item_word > 0) & (local[np.maximum(tests.start[test] - 1, 0)] == seq[np.maximum(pos - 1, 0)])
     test, pos, item, item_word = test[~before], pos[~before], item[~before], item_word[~before]
-    long, _ = suffixes.compare(seq, pos, tests.words, tests.start[test], tests.length[item] - item_word)
-    word = back[pos]
-    doc = np.searchsorted(first, word, side="right") - 1
-    return n_words, [doc, item, item_word, word - first[doc], long]
+    long, _ = suffixes.compare(seq, pos, local, tests.start[test], tests.length[item] - item_word)
+    first = np.cumsum(n_words + 1) - n_words
+    doc = np.searchsorted(first, pos, side="right") - 1
+    return [doc, item, item_word, pos - first[doc], long]
+
+
+def hits(shards: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(shard, position, matches) of the documents of an index that have a match, a row for each block of the benchmark."""
+    spark = shards.sparkSession
+    bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
+    blocks = common.parts_for(common.text_bytes(bench, "t"), BENCHMARK_BLOCK)
+    out = None
+    for b in range(blocks):
+        rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # about BENCHMARK_BLOCK bytes, whatever the benchmark's size
+        block = spark.sparkContext.broadcast(TestSet(sorted((r["i"], r["t"].encode()) for r in rows), window))
+
+        def find(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    doc, item, item_word, doc_word, n = search(row, block.value)
+                    order = np.lexsort((item_word, item, doc_word, doc))
+                    values = pa.StructArray.from_arrays([pa.array([block.value.ids[i] for i in item[order]], pa.string()), pa.array(item_word[order]), pa.array(doc_word[order]), pa.array(n[order])], fields=list(_ARROW_MATCH))
+                    found, size = np.unique(doc, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]] * found.size, pa.int64()), "position": pa.array(found), "matches": common.list_array(size, values)})
+
+        found = written(shards.select("shard", "n_words", "words", "tokens", "suffixes").mapInArrow(find, _HIT), "hits")
+        block.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def documents_of(shards: DataFrame) -> DataFrame:
+    """(shard, position, doc_id, n_words, digest) of every document of an index."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, digests = (batch.column(c).slice(k, 1).flatten() for c in ("ids", "digests"))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([batch.column("shard")[k].as_py()] * len(ids), pa.int64()), "position": pa.array(np.arange(len(ids))), "doc_id": ids, "n_words": pa.array(common.loosened(batch.column("n_words")[k].as_py())), "digest": digests})
+
+    kind = shards.schema["ids"].dataType.elementType.simpleString()
+    return shards.select("shard", "ids", "digests", "n_words").mapInArrow(tell, f"shard long, position long, doc_id {kind}, n_words long, digest struct<a:long,b:long>")
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Every document with its number of words and its maximal verbatim matches of at least a window.
 
-    Returns (doc_id, n_words, matches: array of (item_id, item_word, doc_word, n_words)).
+    Returns (doc_id, n_words, digest, matches: array of (item_id, item_word, doc_word, n_words)).
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    blocks = common.parts_for(common.text_bytes(bench, "t"), BENCHMARK_BLOCK)
-    out = docs.select(F.col(id_col).alias("doc_id"), common.whole_text(text_col).alias("text"))
-    for b in range(blocks):  # each block is at most about BENCHMARK_BLOCK bytes, whatever the benchmark's size
-        rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        tests = TestSet(sorted((r["i"], r["t"].encode()) for r in rows), window)
+    shards = index(docs, window, id_col, text_col)
+    found = hits(shards, benchmark, window, item_col, item_text_col)
+    found = found.groupBy("shard", "position").agg(F.array_sort(F.flatten(F.collect_list("matches")), lambda x, y: _in_order(x, y)).alias("matches"))
+    told = documents_of(shards).join(found, ["shard", "position"], "left")
+    return told.select("doc_id", "n_words", "digest", F.coalesce("matches", F.array().cast(T.ArrayType(MATCH))).alias("matches"))
 
-        def search(batches: Iterator[pa.RecordBatch], tests: TestSet = tests, b: int = b) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column("text").cast(pa.binary()).to_pylist()
-                n_words, parts = np.zeros(len(texts), np.int64), []
-                size, begin = 0, 0
-                for k in range(len(texts) + 1):
-                    if k == len(texts) or size > SHARD_BYTES:
-                        n_words[begin:k], found = shard_matches(texts[begin:k], tests)
-                        parts.append([found[0] + begin, *found[1:]])
-                        size, begin = 0, k
-                    if k < len(texts):
-                        size += len(texts[k])
-                doc, item, item_word, doc_word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.lexsort((item_word, item, doc_word, doc))
-                values = pa.StructArray.from_arrays([pa.array([tests.ids[i] for i in item[order]], pa.string()), pa.array(item_word[order]), pa.array(doc_word[order]), pa.array(n[order])], fields=list(_ARROW_MATCH))
-                lists = common.list_array(np.bincount(doc, minlength=len(texts)), values)
-                kept = {name: batch.column(name) for name in batch.schema.names if name != "n_words"}
-                yield pa.RecordBatch.from_pydict(kept | {"n_words": pa.array(n_words), f"m{b}": lists})
-
-        schema = T.StructType([f for f in out.schema.fields if f.name != "n_words"])
-        out = out.mapInArrow(search, schema.add("n_words", T.LongType()).add(f"m{b}", T.ArrayType(MATCH)))
-    return out.select("doc_id", "n_words", F.concat(*[F.col(f"m{b}") for b in range(blocks)]).alias("matches"))
+
+def _in_order(x: Column, y: Column) -> Column:
+    """Matches by their place in the document, then by item."""
+    key = lambda m: F.struct(m["doc_word"], m["item_id"], m["item_word"])
+    return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
 
 
 def words_hit(matches: Column) -> Column:
@@ -164,6 +208,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a match, all columns kept. One document is one row with its own doc_id."""
-    hit = report(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The documents without a match, all columns kept."""
+    shards = index(docs, window)
+    found = hits(shards, benchmark, window).select("shard", "position").distinct()
+    bad = documents_of(shards).join(found, ["shard", "position"]).select("digest").distinct()
+    return docs.join(bad, digest(common.whole_text()) == bad["digest"], "left_anti")

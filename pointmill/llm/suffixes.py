@@ -63,7 +63,13 @@ def ranks_to_depth(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tu
             words = (words << np.uint64(8)) | padded[i : i + symbols.size].astype(np.uint64)
         rank, have = dense_start(words), 8
     else:
-        rank, have = dense_start(symbols), 1
+        # as many symbols as fit one number start together
+        bits = max(1, int(symbols.max()).bit_length()) if symbols.size else 1
+        have = max(1, min(depth, 63 // bits))
+        padded, key = np.concatenate([symbols, np.zeros(have, symbols.dtype)]), np.zeros(symbols.size, np.int64)
+        for i in range(have):
+            key = (key << bits) | padded[i : i + symbols.size]
+        rank = dense_start(key)
     rounds = [(have, rank)]
     while have < depth:
         step = min(have, depth - have)

@@ -54,12 +54,33 @@ def test_matches_are_maximal_and_placed(spark):
     assert decontaminate.remove_contaminated(docs, bench).count() == 0
 
 
-def test_benchmark_in_blocks(spark, docs, monkeypatch):
+def test_benchmark_in_blocks_and_documents_in_shards(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(t for _, t in texts_of(docs) if len(t) < 2000)], "item_id long, text string")
-    told = lambda: sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.report(docs, bench).collect())
+    told = lambda: sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], [tuple(m) for m in r["matches"]]) for r in decontaminate.report(docs, bench).collect())
     whole = told()
     monkeypatch.setattr(decontaminate, "BENCHMARK_BLOCK", 700)
     assert told() == whole
+    one = sorted(map(str, decontaminate.index(docs).select("ids").collect()))
+    assert len(decontaminate.index(docs, shard_bytes=500).collect()) > len(one)
+
+
+def test_an_index_is_searched_again(spark, docs):
+    shards = decontaminate.index(docs, shard_bytes=5_000)
+    for text in (t for _, t in texts_of(docs) if 100 < len(t) < 2000):
+        bench = spark.createDataFrame([("q", text)], "item_id string, text string")
+        same = decontaminate.documents_of(shards).join(decontaminate.hits(shards, bench), ["shard", "position"])
+        assert {r["doc_id"] for r in same.collect()} >= {i for i, t in texts_of(docs) if t == text}
+        break
+
+
+def test_clean_rows_without_id_or_with_the_same_id_stay(spark):
+    bad = "a b c d e f g h i j k"
+    rows = [(None, bad), (None, "clean"), (1, bad), (1, "clean too"), (2, None), (None, bad), (3, ""), (4, "clean")]
+    docs = spark.createDataFrame([(i, t, {"k": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, digest map<string,int>")
+    bench = spark.createDataFrame([("q", "x " + bad)], "item_id string, text string")
+    kept = decontaminate.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in rows if t != bad)
 
 
 def test_decontamination_of_empty_tables(docs, empty, spark):
