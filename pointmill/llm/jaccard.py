@@ -36,6 +36,8 @@ WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 6
 JOIN_LEADER, SAME_AS_LEADER, LINK_LEADERS = 0.4, 0.8, 0.2
 #: Members of a bucket in one part; rows in one group of buckets; nodes in one block of a component.
 BUCKET_PART, GROUP_ROWS, BLOCK = 500, 500, 1500
+#: Parts of the rows of one node when they learn their class.
+SALTS = 16
 _P = [pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64) for k in range(64)]
 
 
@@ -269,8 +271,12 @@ def members(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, rec
     named = linked.join(reps.select("node", "first"), "node")
     names = named.groupBy("component").agg(F.min("first").alias("class"))
     told = reps.select("node", "first", "copies").join(linked.join(names, "component").select("node", "class"), "node", "left").join(links, "node", "left")
-    told = told.select("node", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = worded.select("row", "node").join(told, "node").select("row", "class", "n_links", F.lit(False).alias("alone"))
+    told = told.select("node", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", "first")
+    # a node may have a third of all rows: rows are salted, and nodes with copies are there under each salt
+    salt = lambda key: F.pmod(F.xxhash64(f"{key}.i", f"{key}.t", F.lit(3)), F.lit(SALTS))
+    salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(salt("first")))
+    told = told.withColumn("salt", F.explode(salts)).drop("copies", "first")
+    out = worded.select("row", "node", salt("row").alias("salt")).join(told, ["node", "salt"]).select("row", "class", "n_links", F.lit(False).alias("alone"))
     alone = signed_docs.where("node is null").select("row", F.col("row").alias("class"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("alone"))
     return out.unionByName(alone)
 
