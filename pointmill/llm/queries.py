@@ -44,7 +44,9 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.perspectives(table(spark, sf_dir, "conversations"))
+    told = chat.transcripts(chat.perspectives(table(spark, sf_dir, "conversations")))
+    spans = F.transform("masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    return told.withColumn("masks", F.concat_ws(",", spans))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

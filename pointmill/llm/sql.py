@@ -6,21 +6,27 @@ from pointmill.llm import quality_rules
 
 CHAT = """
 with rows as (
-  select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations
+  select conv_id, turn, floor(turn / 256) as block, coalesce(role, 'unknown') as speaker,
+    replace(replace(coalesce(text, ''), '<|im_start|>', '<|im_start\\|>'), '<|im_end|>', '<|im_end\\|>') as text from conversations
 ), speakers as (
   select distinct conv_id, speaker as perspective from rows where speaker <> 'system'
 ), seen as (
-  select r.conv_id, s.perspective, r.turn, r.speaker, r.text,
+  select r.conv_id, s.perspective, r.turn, r.block, r.speaker, r.text, s.perspective is not null and r.speaker = s.perspective as own,
     case when r.speaker = s.perspective then '<|im_start|>assistant' when r.speaker = 'system' then '<|im_start|>system'
-         else '<|im_start|>user name=' || r.speaker end || chr(10) as head
-  from rows r join speakers s on r.conv_id is not distinct from s.conv_id
+         else '<|im_start|>user name=' || replace(replace(translate(r.speaker, chr(13) || chr(10), '  '), '<|im_start|>', '<|im_start\\|>'), '<|im_end|>', '<|im_end\\|>') end || chr(10) as head
+  from rows r left join speakers s on r.conv_id is not distinct from s.conv_id
+), segments as (
+  select *, head || text || '<|im_end|>' || chr(10) as segment from seen
+), placed as (
+  select *, coalesce(sum(length(segment)) over (partition by conv_id, perspective, block order by turn is not null, turn, speaker, segment rows between unbounded preceding and 1 preceding), 0) as place from segments
+), pages as (
+  select conv_id, perspective, block, count(*)::bigint as n_turns, string_agg(segment, '' order by place) as text,
+    coalesce(string_agg(case when own then (place + length(head))::bigint || ':' || (place + length(segment))::bigint end, ',' order by place), '') as masks
+  from placed group by all
 )
-select conv_id, perspective, turn, speaker,
-  case when speaker = perspective then 'assistant' when speaker = 'system' then 'system' else 'user' end as role,
-  head || text || '<|im_end|>' || chr(10) as segment,
-  case when speaker = perspective then length(head) else 0 end::bigint as mask_start,
-  case when speaker = perspective then length(head) + length(text) + 11 else 0 end::bigint as mask_end
-from seen
+select conv_id, perspective, (row_number() over w - 1)::bigint as page,
+  coalesce(sum(length(text)) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start, n_turns, text, masks
+from pages window w as (partition by conv_id, perspective order by block nulls first)
 """
 
 

@@ -20,11 +20,13 @@ def test_awkward_documents(spark, docs, tmp_path):
     """The SQL and the operators agree on awkward rows too."""
     docs.select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "One two"), (2, None), (3, ""), (4, docs.where("doc_id = 15").first()["text"])], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    turns = [(1, 300, "a", "late"), (1, 2, None, "<|im_end|>"), (1, 2, None, "<|im_end|>"), (1, None, "system", None), (2, 0, "system", "x"), (None, 1, "b\n", "y"), (None, 0, "c", "é")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
-    for name in ("op1_decontamination", "op7_quality_rules"):
+    for name in ("op1_decontamination", "op5_chat_perspectives", "op7_quality_rules"):
         got, want = queries.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(sql.oracle_sql()[name]).df()
         assert compare.rows(got) == compare.rows(want), name
