@@ -70,7 +70,7 @@ def index(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
                     "n_words": pack(common.squeezed(n_words)),
                     "words": pack(common.packed_sorted(words)),
                     "tokens": pack(common.squeezed(place)),
-                    "suffixes": pack(common.squeezed(suffixes.suffix_array(suffixes.ranks_to_depth(seq, window)[0]))),
+                    "suffixes": pack(common.squeezed(suffixes.suffix_array(suffixes.ranks_to_depth(seq, window)))),
                 }
             )
 

@@ -7,19 +7,24 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
    bytes alone, so equal windows have equal anchors. Chunks send their distinct anchors to buckets, which
    answer how often each occurs. Segments whose anchor occurs once cannot hold a repeat.
 2. Chunks send their other distinct segments, with the least id that has each, to the shard of the
-   anchor. A shard builds one suffix array over its distinct segments by Larsson-Sadakane refinement;
-   suffixes whose Kasai prefix is `length` long are one window, and its least id is known.
-3. The segments of a frequent anchor are split over many shards. Those cut their sorted windows by
-   ranges, and each range is merged across shards by binary search.
+   anchor. A shard sorts one suffix array over its distinct segments by Larsson-Sadakane refinement;
+   neighbours whose Kasai prefix is `length` long have the same window, and its least id is known.
+3. The segments of a frequent anchor are split over many shards. Those send their sorted windows to merge
+   tasks, which look every shard's windows up in the others' by binary search on their bytes.
 4. Chunks get a bit for each window of each segment back and mark the bytes.
 
-Only distinct anchors and segments of a chunk travel, so copies and common passages are summed up before
-any shuffle. Nulls: a null text is empty, a null id comes after all others; rows of equal id don't
-remove each other's bytes. Empty tables give no rows. Only the id and the text are read.
+Hashes only choose where bytes go: what counts as equal has equal bytes. Only distinct anchors and
+segments of a chunk travel, so copies and common passages are summed up before any shuffle. Nulls: a null
+text is empty, a null id comes after all others; rows of equal id don't remove each other's bytes, and
+rows that are equal altogether are spread over chunks as far as they come from different partitions. A
+very long text stays in one chunk and is hashed in blocks. Empty tables give no rows. Only the id and
+the text are read.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +37,8 @@ LENGTH = 50
 GRAM = 20
 #: Text of a chunk; bytes hashed at a time; occurrences of an anchor that one shard takes.
 CHUNK_BYTES, BLOCK_BYTES, HOT = 4 << 20, 1 << 18, 20_000
+#: Shards of segments for each chunk of documents: small ones even out.
+SHARDS_EACH = 3
 LAST_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -107,12 +114,6 @@ class Runs:
         return doc[first] + low, place[first] - base[doc[first]], count, h[at], at - place[first]
 
 
-def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All places of the given runs, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if ends.size else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def run_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte runs that lie one after the other."""
     if not lengths.size:
@@ -123,6 +124,20 @@ def run_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return common.mix64(np.add.reduceat(value, starts) + lengths.astype(_U))
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, size: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal byte runs, and the set of each run.
+
+    Runs are brought together by digest and compared byte by byte.
+    """
+    _, lead, of = np.unique(digest, return_index=True, return_inverse=True)
+    if (size != size[lead][of]).any() or (data[common.flat(starts, size)] != data[common.flat(starts[lead][of], size)]).any():
+        # different runs of one digest
+        place: dict[bytes, int] = {}
+        of = np.array([place.setdefault(data[s : s + n].tobytes(), len(place)) for s, n in zip(starts.tolist(), size.tolist(), strict=True)])
+        lead = np.unique(of, return_index=True)[1]
+    return lead, of
+
+
 class Chunk:
     """A chunk's documents and, with the answers of the buckets, its distinct segments."""
 
@@ -145,20 +160,22 @@ class Chunk:
         base = np.cumsum([0] + [len(t) for t in self.texts])
         size = r.count[pick] + self.length - 1
         whole = np.frombuffer(b"".join(self.texts), np.uint8)
-        data = whole[flat(base[r.doc[pick]] + r.start[pick], size)]
+        data = whole[common.flat(base[r.doc[pick]] + r.start[pick], size)]
         digest = run_hashes(data, size)
         salt = digest & ((_U(1) << (code[pick] - 1).astype(_U)) - _U(1))
         hot = code[pick] > 1
         shard = (common.mix64(r.anchor[pick] + salt * _U(_P)) % _U(shards)).astype(np.int64)
-        order = np.lexsort((self.key[r.doc[pick]], digest, shard, hot))
-        d, h, s = digest[order], hot[order], shard[order]
+        starts = np.cumsum(size) - size
+        _, equal = same_bytes(data, starts, size, digest)
+        # equal segments have one shard, but for those of two anchors
+        order = np.lexsort((self.key[r.doc[pick]], equal, shard, hot))
+        d, h, s = equal[order], hot[order], shard[order]
         fresh = np.ones(order.size, bool)
         fresh[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1])
         index = np.empty(order.size, np.int64)
         index[order] = np.cumsum(fresh) - 1
         lead = order[fresh]  # the least document's occurrence of each
-        starts = np.cumsum(size) - size
-        return {"pick": pick, "index": index, "hot": hot[lead], "shard": shard[lead], "size": size[lead], "offset": r.offset[pick][lead], "least": self.key[r.doc[pick]][lead], "data": data[flat(starts[lead], size[lead])]}
+        return {"pick": pick, "index": index, "hot": hot[lead], "shard": shard[lead], "size": size[lead], "offset": r.offset[pick][lead], "least": self.key[r.doc[pick]][lead], "data": data[common.flat(starts[lead], size[lead])]}
 
 
 class Segments:
@@ -173,15 +190,15 @@ class Segments:
         self.entry_least = get("least", np.int64)
         self.entries = [len(table["size"][k].as_py()) for k in self.rows]
         data = get("data", np.uint8)
-        digest = run_hashes(data, size)
-        _, lead, self.entry_of = np.unique(digest, return_index=True, return_inverse=True)
-        self.size, starts = size[lead], (np.cumsum(size) - size)[lead]
-        self.data = data[flat(starts, self.size)]
+        starts = np.cumsum(size) - size
+        lead, self.entry_of = same_bytes(data, starts, size, run_hashes(data, size))
+        self.size, starts = size[lead], starts[lead]
+        self.data = data[common.flat(starts, self.size)]
         self.least = np.full(lead.size, LAST_ID, np.int64)
         np.minimum.at(self.least, self.entry_of, self.entry_least)
         self.windows = self.size - length + 1
         self.start = np.cumsum(self.size) - self.size
-        grams = flat(self.start + offset[lead], np.full(lead.size, gram))
+        grams = common.flat(self.start + offset[lead], np.full(lead.size, gram))
         self.anchor = run_hashes(self.data[grams], np.full(lead.size, gram))
 
     def least_of_windows(self) -> np.ndarray:
@@ -191,17 +208,18 @@ class Segments:
         some = n[of] > 1  # a segment that shares its anchor with no other one has no window in another
         if not some.any():
             return out
-        text = self.data[flat(self.start[some], self.size[some])]
+        text = self.data[common.flat(self.start[some], self.size[some])]
         begins = np.cumsum(self.size[some]) - self.size[some]
-        windows = flat(begins, self.windows[some])
-        rank, rounds = suffixes.ranks_to_depth(text, self.length)
-        order = np.argsort(rank[windows], kind="stable")
-        sa = windows[order]  # the suffix array, but for suffixes that are too short for a window
-        lcp = suffixes.common_prefixes(text, sa, rounds, self.length)
+        windows = common.flat(begins, self.windows[some])
+        sa = suffixes.sorted_suffixes(text)
+        lcp = suffixes.kasai(text, sa, self.length)
         group = np.flatnonzero(lcp < self.length)
-        least = np.repeat(self.least[some], self.windows[some])[order]
-        found = np.empty(order.size, np.int64)
-        found[order] = np.repeat(np.minimum.reduceat(least, group), np.diff(np.append(group, order.size)))
+        # places that are no window, as they cross into the next segment, count for nothing
+        least = np.full(text.size, LAST_ID, np.int64)
+        least[windows] = np.repeat(self.least[some], self.windows[some])
+        low = np.empty(text.size, np.int64)
+        low[sa] = np.repeat(np.minimum.reduceat(least[sa], group), np.diff(np.append(group, sa.size)))
+        found = low[windows]
         out[np.repeat(some, self.windows)] = found
         return out
 
@@ -210,14 +228,22 @@ class Segments:
         first = np.cumsum(self.windows) - self.windows
         n = self.windows[self.entry_of]
         bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        smaller = least[flat(first[self.entry_of], n)] < np.repeat(self.entry_least, n)
+        smaller = least[common.flat(first[self.entry_of], n)] < np.repeat(self.entry_least, n)
         mask = np.bitwise_or.reduceat(smaller.astype(np.uint32) << bit.astype(np.uint32), np.cumsum(n) - n)
         cut = np.cumsum([0, *self.entries])
         return self.chunks, [mask[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    def window_hashes(self) -> np.ndarray:
-        every = flat(self.start, self.windows)
-        return gram_hashes(self.data, self.length)[every]
+    def distinct_windows(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows in the order of their parts and bytes, each one's part and a place where it is,
+        and the distinct one of every window."""
+        every = common.flat(self.start, self.windows)
+        whole = np.lib.stride_tricks.sliding_window_view(self.data, self.length)[every]
+        names, lead, of = np.unique(np.ascontiguousarray(whole).view(f"S{self.length}").ravel(), return_index=True, return_inverse=True)
+        part = ((gram_hashes(self.data, self.length)[every[lead]] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(order.size, np.int64)
+        rank[order] = np.arange(order.size)
+        return names[order], part[order], lead[order], rank[of]
 
 
 def _rows(**columns) -> pa.Table:
@@ -225,27 +251,21 @@ def _rows(**columns) -> pa.Table:
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()})
 
 
-def _slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of a sorted array and their bounds."""
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if values.size else np.empty(0, np.int64)
-    return values[first], np.append(first, values.size)
-
-
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, spans: array of (start, end) to remove, kept: the other bytes) of every document."""
     if length - gram + 1 > 32 or gram < 8:
         raise ValueError("the k-gram must have 8 bytes or more and leave at most 32 of them in a window")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
     chunks = common.parts_for(common.text_bytes(source), chunk_bytes)
-    # one exchange of the texts serves the three passes over the chunks
-    base = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks).cast("long")))
+    shards = SHARDS_EACH * chunks
+    # one exchange of the texts serves the three passes over the chunks; the partition's number keeps equal rows apart
+    base = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.spark_partition_id()), F.lit(chunks).cast("long")))
 
     def send_anchors(key, table):
         c = Chunk(table, length, gram)
         bucket = ((c.anchors >> _U(32)) * _U(chunks) >> _U(32)).astype(np.int64)
-        names, at = _slices(bucket)
+        names, cut = common.runs_of(bucket)
         seen = np.minimum(c.seen, 65535).astype(np.uint16)
-        cut = list(zip(at[:-1], at[1:], strict=True))
         return _rows(chunk=[key[0].as_py()] * len(names), bucket=names, keys=[c.anchors[a:b].tobytes() for a, b in cut], seen=[seen[a:b].tobytes() for a, b in cut])
 
     def count_anchors(key, table):
@@ -266,12 +286,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         return np.frombuffer(b"".join(d for *_, d in sorted(told, key=lambda x: x[:2])), np.uint8 if kind == "code" else np.uint32)
 
     def send_segments(key, left, right):
-        s = Chunk(left, length, gram).distinct(joined(right, "code"), chunks)
-        names, at = _slices(s["shard"] * 2 + s["hot"]) if s["shard"].size else (np.empty(0, np.int64), np.zeros(1, np.int64))
+        s = Chunk(left, length, gram).distinct(joined(right, "code"), shards)
+        at = s["hot"].astype(np.int64) * shards + s["shard"]
+        names, cut = common.runs_of(at)
         bytes_at = np.concatenate([[0], np.cumsum(s["size"])])
-        cut = list(zip(at[:-1], at[1:], strict=True))
         small = lambda name, t: [s[name][a:b].astype(t).tobytes() for a, b in cut]
-        return _rows(chunk=[key[0].as_py()] * len(names), shard=names // 2 + chunks * (names % 2), size=small("size", np.uint8), offset=small("offset", np.uint8), least=small("least", np.int64), data=[s["data"][bytes_at[a] : bytes_at[b]].tobytes() for a, b in cut])
+        return _rows(chunk=[key[0].as_py()] * len(names), shard=names, size=small("size", np.uint8), offset=small("offset", np.uint8), least=small("least", np.int64), data=[s["data"][bytes_at[a] : bytes_at[b]].tobytes() for a, b in cut])
 
     sent = base.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(send_segments, "chunk long, shard long, size binary, offset binary, least binary, data binary")
 
@@ -279,7 +299,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     nothing = {"answer": _rows(chunk=[], hot=[], shard=[], data=[]), "windows": _rows(shard=[], part=[], keys=[], least=[])}
 
     def answer_shard(key, table):
-        if key[0].as_py() >= chunks:
+        if key[0].as_py() >= shards:
             return nothing["answer"]
         s = Segments(table, length, gram)
         names, masks = s.answers(s.least_of_windows())
@@ -289,33 +309,32 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     # frequent anchors: their shards merge by ranges of the windows
     def cut_windows(key, table):
-        if key[0].as_py() < chunks:
+        if key[0].as_py() < shards:
             return nothing["windows"]
         s = Segments(table, length, gram)
-        keys, least = s.window_hashes(), s.least_of_windows()
-        names, lead = np.unique(keys, return_index=True)  # equal windows have equal least ids already
-        part = ((names >> _U(32)) * _U(chunks) >> _U(32)).astype(np.int64)
-        found, at = _slices(part)
-        cut = list(zip(at[:-1], at[1:], strict=True))
-        return _rows(shard=[key[0].as_py()] * len(found), part=found, keys=[names[a:b].tobytes() for a, b in cut], least=[least[lead[a:b]].tobytes() for a, b in cut])
+        names, part, lead, _ = s.distinct_windows(chunks)
+        least = s.least_of_windows()[lead]  # equal windows have equal least ids already
+        found, cut = common.runs_of(part)
+        return _rows(shard=[key[0].as_py()] * len(found), part=found, keys=[zlib.compress(names[a:b].tobytes(), 1) for a, b in cut], least=[least[a:b].tobytes() for a, b in cut])
 
     def merge_ranges(key, table):
-        keys = [np.frombuffer(x, _U) for x in table["keys"].to_pylist()]
+        """The least id of each window over all shards: each shard's sorted windows are looked up by binary search."""
+        keys = [np.frombuffer(zlib.decompress(x), f"S{length}") for x in table["keys"].to_pylist()]
         least = [np.frombuffer(x, np.int64) for x in table["least"].to_pylist()]
         union = np.unique(np.concatenate(keys))
         low = np.full(union.size, LAST_ID, np.int64)
         places = [np.searchsorted(union, k) for k in keys]
         for p, m in zip(places, least, strict=True):
             low[p] = np.minimum(low[p], m)
-        return _rows(shard=table["shard"].to_pylist(), part=[key[0].as_py()] * len(keys), keys=[k.tobytes() for k in keys], least=[low[p].tobytes() for p in places])
+        return _rows(shard=table["shard"].to_pylist(), part=[key[0].as_py()] * len(keys), keys=[None] * len(keys), least=[low[p].tobytes() for p in places])
 
     def answer_merged(key, left, right):
-        if key[0].as_py() < chunks:
+        if key[0].as_py() < shards:
             return nothing["answer"]
         s = Segments(left, length, gram)
-        order = np.argsort(right["part"].to_numpy())
-        keys, least = (np.concatenate([np.frombuffer(right[c][int(k)].as_py(), t) for k in order]) for c, t in (("keys", _U), ("least", np.int64)))
-        names, masks = s.answers(least[np.searchsorted(keys, s.window_hashes())])
+        *_, of = s.distinct_windows(chunks)
+        least = np.concatenate([np.frombuffer(right["least"][int(k)].as_py(), np.int64) for k in np.argsort(right["part"].to_numpy())])
+        names, masks = s.answers(least[of])
         return _rows(chunk=names, hot=[True] * len(names), shard=[key[0].as_py()] * len(names), data=masks)
 
     window_rows = "shard long, part long, keys binary, least binary"
@@ -324,7 +343,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     def mark(key, left, right):
         c = Chunk(left, length, gram)
-        s, r = c.distinct(joined(right, "code"), chunks), c.runs
+        s, r = c.distinct(joined(right, "code"), shards), c.runs
         pick, index = s["pick"], s["index"]
         # asked for by hot, then shard: the order of the distinct segments
         mask = joined(right, "mask")[index].astype(_U)

@@ -50,33 +50,34 @@ def dense_start(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def ranks_to_depth(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Ranks of all suffixes by their first `depth` symbols, and the ranks of each round with its depth.
+def packed_start(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
+    """Ranks by as many first symbols, up to `depth`, as fit one number, and how many these are.
 
-    Each round at most doubles the depth; the last one is shortened so that equal final ranks mean
-    exactly that the first `depth` symbols are equal.
+    A suffix that ends earlier comes before its continuations.
     """
-    if symbols.dtype == np.uint8 and depth >= 8:
-        padded = np.concatenate([symbols, np.zeros(8, np.uint8)])
-        words = np.zeros(symbols.size, np.uint64)
-        for i in range(8):
-            words = (words << np.uint64(8)) | padded[i : i + symbols.size].astype(np.uint64)
-        rank, have = dense_start(words), 8
-    else:
-        # as many symbols as fit one number start together
-        bits = max(1, int(symbols.max()).bit_length()) if symbols.size else 1
-        have = max(1, min(depth, 63 // bits))
-        padded, key = np.concatenate([symbols, np.zeros(have, symbols.dtype)]), np.zeros(symbols.size, np.int64)
-        for i in range(have):
-            key = (key << bits) | padded[i : i + symbols.size]
-        rank = dense_start(key)
-    rounds = [(have, rank)]
+    if not symbols.size:
+        return np.empty(0, np.int64), depth
+    bits = (int(symbols.max()) + 1).bit_length()
+    have = max(1, min(depth, 63 // bits))
+    more = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(have, np.int64)])
+    key = np.zeros(symbols.size, np.int64)
+    for i in range(have):
+        key = (key << bits) | more[i : i + symbols.size]
+    return dense_start(key), have
+
+
+def ranks_to_depth(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes by their first `depth` symbols.
+
+    Each round at most doubles the depth; the last one is shortened so that equal ranks mean exactly that
+    the first `depth` symbols are equal.
+    """
+    rank, have = packed_start(symbols, depth)
     while have < depth:
         step = min(have, depth - have)
         rank = refine(rank, step)
         have += step
-        rounds.append((have, rank))
-    return rank, rounds
+    return rank
 
 
 def suffix_array(rank: np.ndarray) -> np.ndarray:
@@ -84,29 +85,54 @@ def suffix_array(rank: np.ndarray) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def common_prefixes(symbols: np.ndarray, sa: np.ndarray, rounds: list[tuple[int, np.ndarray]], depth: int) -> np.ndarray:
-    """Kasai's array: common prefix length of each suffix with the one before it, up to `depth`.
+def sorted_suffixes(symbols: np.ndarray) -> np.ndarray:
+    """The whole suffix array: refinement until no two suffixes share a rank."""
+    rank, have = packed_start(symbols, 64)
+    while have < symbols.size:
+        finer = refine(rank, have)
+        if finer is rank:  # nothing was left to sort
+            break
+        rank, have = finer, 2 * have
+    return suffix_array(rank)
+
+
+def kasai(symbols: np.ndarray, sa: np.ndarray, depth: int, lanes: int = 4096) -> np.ndarray:
+    """Kasai's array of byte strings: common prefix, up to `depth`, of each suffix with the one before it in `sa`.
 
-    Kasai's scan carries the length from one text position to the next; here all positions are done at
-    once, by lifting through the refinement rounds, whose ranks tell equality at each depth.
+    Kasai's scan goes through the text from left to right and carries the length, less one, from each
+    position to the next. The text is cut into runs and all runs are scanned in step, one position a step;
+    lengths grow by up to eight bytes at a time. `sa` must be the whole suffix array.
     """
     n = symbols.size
-    if sa.size < 2:
-        return np.zeros(sa.size, np.int64)
-    a, b, got = sa[1:], sa[:-1], np.zeros(sa.size - 1, np.int64)
-    for have, rank in reversed(rounds):
-        while True:
-            fits = (a + got + have <= n) & (b + got + have <= n) & (got + have <= depth)
-            same = np.zeros(got.size, bool)
-            same[fits] = rank[a[fits] + got[fits]] == rank[b[fits] + got[fits]]
-            if not same.any():
-                break
-            got[same] += have
-    for _ in range(rounds[0][0] - 1):  # less than the first round's depth is left
-        more = (a + got < n) & (b + got < n) & (got < depth)
-        more[more] = symbols[a[more] + got[more]] == symbols[b[more] + got[more]]
-        got += more
-    return np.concatenate([[0], got])
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    before = np.full(n, -1)
+    before[sa[1:]] = sa[:-1]
+    padded = np.concatenate([symbols, np.zeros(8, np.uint8)])
+    eight = np.zeros(n + 1, np.uint64)
+    for k in range(8):
+        eight[:n] = (eight[:n] << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
+    lanes = min(lanes, n)
+    run = -(-n // lanes)
+    start, h = np.arange(lanes) * run, np.zeros(lanes, np.int64)
+    for step in range(run):
+        i = start + step
+        i = i[i < n]
+        j, h = before[i], np.maximum(h[: i.size] - 1, 0)
+        h[j < 0] = 0
+        most = np.minimum(depth, n - np.maximum(i, j))
+        most[j < 0] = 0
+        grow = np.flatnonzero(h < most)
+        while grow.size:
+            differs = eight[i[grow] + h[grow]] ^ eight[j[grow] + h[grow]]
+            same = np.full(grow.size, 8)
+            for k in range(8):  # whole bytes before the first bit that differs
+                same[differs >= np.uint64(1) << np.uint64(8 * k)] = 7 - k
+            h[grow] = np.minimum(h[grow] + same, most[grow])
+            grow = grow[(same == 8) & (h[grow] < most[grow])]
+        out[i] = h
+    return out[sa]
 
 
 def compare(text: np.ndarray, at: np.ndarray, other: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,22 +21,22 @@ def texts_of(df):
 # --- suffix arrays ------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("data", [b"banana" * 9, b"aaaaaaaaaaaaaaaaaaaa", b"abcabcabdabcabe", b"q"])
-def test_suffix_array_and_prefixes(data):
+@pytest.mark.parametrize("data", [b"banana" * 9, b"aaaaaaaaaaaaaaaaaaaa", b"abcabcabdabcabe", b"q", b"\0\0a\0\0", b"", bytes(range(256)) * 3 + b"x" * 90])
+@pytest.mark.parametrize("lanes", [1, 7, 4096])
+def test_suffix_array_and_prefixes(data, lanes):
     s = np.frombuffer(data, np.uint8)
-    depth = len(data) + 1
     for symbols in (s, s.astype(np.int64)):
-        rank, rounds = suffixes.ranks_to_depth(symbols, depth)
-        sa = suffixes.suffix_array(rank)
+        sa = suffixes.sorted_suffixes(symbols)
         assert sa.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
-        want = [0] + [next((k for k in range(len(data)) if max(a, b) + k >= len(data) or data[a + k] != data[b + k]), 0) for a, b in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True)]
-        assert suffixes.common_prefixes(symbols, sa, rounds, depth).tolist() == want
+    want = [0] * bool(data) + [next((k for k in range(len(data)) if max(a, b) + k >= len(data) or data[a + k] != data[b + k]), 0) for a, b in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True)]
+    for depth in (3, 50, len(data) + 1):
+        assert suffixes.kasai(s, sa, depth, lanes).tolist() == [min(x, depth) for x in want]
 
 
 def test_ranks_tell_equality_to_an_exact_depth():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 2, 400).astype(np.uint8)
-    rank, _ = suffixes.ranks_to_depth(s, 11)
+    rank = suffixes.ranks_to_depth(s, 11)
     words = [bytes(s[i : i + 11]) for i in range(390)]
     assert all((rank[i] == rank[j]) == (words[i] == words[j]) for i in range(0, 390, 7) for j in range(0, 390, 5))
 
@@ -355,6 +355,13 @@ def kept_by_hand(rows, length=50):
     return sorted(out)
 
 
+def test_equal_digests_are_not_equal_bytes():
+    data = np.frombuffer(b"abcabdabcab", np.uint8)
+    starts, size = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    lead, of = suffix_dedup.same_bytes(data, starts, size, np.zeros(4, np.uint64))
+    assert of.tolist() == [0, 1, 0, 2] and lead.tolist() == [0, 1, 3]
+
+
 @pytest.mark.parametrize("how", [{}, {"chunk_bytes": 3_000}, {"chunk_bytes": 3_000, "hot": 2}])
 def test_repeats_equal_brute_force(docs, how):
     got = sorted((str(r["doc_id"]), r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.find_repeats(docs, **how).collect())
