@@ -33,7 +33,7 @@ THRESHOLDS = (
     ("symbols", "symbol_ratio", "max", 0.1),
     ("shouting", "shout_ratio", "max", 0.2),
     ("word_length", "mean_word_chars", "max", 30),
-    ("stop_words", "stop_ratio", "min", 0.002),
+    ("stop_words", "stop_ratio", "min", 0.05),
     ("same_lines", "dup_line_ratio", "max", 0.5),
 )
 _BLANK = " \t\n\x0b\x0c\r"
@@ -73,7 +73,6 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # lines with a word; without one, nothing is left when blanks are removed
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, _BLANK, "") != "")
     split = split.withColumn("lines", lines)
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
     counted = split.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
@@ -83,8 +82,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         count("!").alias("n_shouts"),
-        # distinct stop words of the text: enough to tell prose from lists, whatever the length
-        F.size(F.array_intersect(F.transform(F.array_distinct("words"), lambda w: F.lower(w)), stops)).cast("long").alias("n_stops"),
+        F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stops"),
     )
     n = F.greatest(F.col("n_words"), F.lit(1))
     return counted.select(
@@ -93,7 +91,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.col("n_symbols") / n).alias("symbol_ratio"),
         (F.col("n_shouts") / n).alias("shout_ratio"),
         (F.col("word_chars") / n).alias("mean_word_chars"),
-        (F.col("n_stops") / F.least(n, F.lit(100))).alias("stop_ratio"),
+        (F.col("n_stops") / n).alias("stop_ratio"),
         (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_ratio"),
     )
 

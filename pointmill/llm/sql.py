@@ -52,14 +52,14 @@ with d as (
     (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
     coalesce(repeated.n, 0)::bigint as n_repeat_words, len(lines) as n_lines,
     length(regexp_replace(t, '[^!]+', '', 'g')) as n_shouts,
-    len(list_filter(list_distinct(list_transform(words, lambda x: lower(x))), lambda x: x in ({stops}))) as n_stops
+    len(list_filter(words, lambda x: lower(x) in ({stops}))) as n_stops
   from w left join repeated using (r)
 ), b as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, greatest(n_words, 1) as n from m
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and n_words <= 10000000 and n_symbols / n <= 0.1 and n_shouts / n <= 0.2 and word_chars / n <= 30
-    and n_stops / least(n, 100) >= 0.002 and n_dup_lines / greatest(n_lines, 1) <= 0.5 as kept
+    and n_stops / n >= 0.05 and n_dup_lines / greatest(n_lines, 1) <= 0.5 as kept
 from b
 """
 
@@ -90,5 +90,54 @@ from dw left join per_item using (r) left join per_word using (r)
 """
 
 
+JACCARD = """
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), grams as (
+  select distinct r, array_to_string(w[i:i + 4], ' ') as g from (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)
+), sizes as (
+  select r, count(*) as n from grams group by r
+), links as (
+  select a, b from (select x.r as a, y.r as b, count(*) as m from grams x join grams y on x.g = y.g and x.r <> y.r group by all)
+    join sizes s on s.r = a join sizes t on t.r = b where m / (s.n + t.n - m) >= 0.8
+), reached as (
+  select r as a, r as b from d
+  union
+  select reached.a, links.b from reached join links on links.a = reached.b
+), named as (
+  select reached.a as r, min(d.doc_id) as class_id from reached join d on d.r = reached.b group by all
+)
+select doc_id, class_id, coalesce(n, 0)::bigint as n_links
+from d join named using (r) left join (select a as r, count(*) as n from links group by all) using (r)
+"""
+
+
+REPEATS = """
+with d as (
+  select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as k, hex(encode(coalesce(text, ''))) as h from documents
+), windows as (
+  select r, k, p, substr(h, 2 * p + 1, 100) as g from (select r, k, h, unnest(range(0, length(h) // 2 - 49)) as p from d)
+), first as (
+  select g, min(k) as least from windows group by g
+), hits as (
+  select r, p from windows join first using (g) where least < k
+), marked as (
+  select r, p, p > 50 + lag(p, 1, -100) over (partition by r order by p) as fresh from hits
+), numbered as (
+  select r, p, sum(fresh::int) over (partition by r order by p) as span from marked
+), spans as (
+  select r, min(p) as s, max(p) + 50 as e from numbered group by r, span
+), gaps as (
+  select r, s, e, lag(e, 1, 0) over (partition by r order by s) as free from spans
+), kept as (
+  select r, sum(e - s)::bigint as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * free + 1, 2 * (s - free)), '' order by s) || substr(any_value(h), 2 * max(e) + 1) as t
+  from gaps join d using (r) group by r
+)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(t, h))) as kept_sha256
+from d left join kept using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op5_chat_perspectives": CHAT, "op7_quality_rules": quality_rules_sql()}
+    return {"op6_jaccard_join": JACCARD, "op10_suffix_dedup": REPEATS, "op1_decontamination": DECONTAMINATION, "op5_chat_perspectives": CHAT, "op7_quality_rules": quality_rules_sql()}
