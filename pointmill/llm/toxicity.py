@@ -7,7 +7,8 @@ in the tasks over all rows, each distinct word of a task being looked up once. A
 blanks is read to its end, and counts as a word for each LONG characters begun.
 
 Nulls: a null text is empty; texts without words get the score of the bias alone. Labels that are null
-are not learnt from. Repeated rows each get a row. Only id, text and the label are read.
+are not learnt from; without both labels the score is the share of label 1. Repeated rows each get a row,
+equal texts equal scores. An empty table gives no rows. Only id, text and the label are read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ SAMPLE = {1: 1500, 0: 2500}
 BUCKETS, DIMENSIONS, ROUNDS, RATE, DECAY = 1 << 17, 4, 60, 0.1, 1e-5
 #: Document means are small, as most words say nothing: they are scaled before the softmax.
 GAIN = 60.0
-#: n-grams and words in fewer sampled documents stay at zero.
-LEAST_DOCS = 6
+#: n-grams and words in a smaller share of the sampled documents (about one in 700) stay at zero: a coincidence says nothing.
+LEAST_SHARE = 0.0015
 #: A shorter text is averaged as if it had this many words, so that one odd word doesn't decide.
 LEAST_WORDS = 80
 #: Words of a task's lookup table; when full it is emptied.
@@ -126,7 +127,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     sub_word = np.repeat(np.arange(n_words, dtype=np.int32), n_sub)
     # documents that have each bucket: words of a document may repeat it, so this bounds it from above
     seen = np.bincount(sub, weights=np.bincount(word, minlength=n_words)[sub_word], minlength=BUCKETS)
-    live = (seen >= LEAST_DOCS)[sub]
+    live = (seen >= LEAST_SHARE * len(texts))[sub]
     order = np.argsort(word, kind="stable").astype(np.int32)
     word_starts = _segments(np.bincount(word, minlength=n_words))
     rng = np.random.default_rng(seed)
