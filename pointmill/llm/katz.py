@@ -16,9 +16,9 @@ with marks that are only contexts and ends with one that is a token.
 4. Counts, and the weights of contexts that a chunk saw with an unseen word, go back to the chunk, which
    evaluates the recursion for each token.
 
-A very frequent word is split over buckets by the word that follows; the parts' sums for each context are
-added by one aggregate and joined to the chunks that asked. All counts are over all training texts;
-nothing is pruned. Words are known by 64-bit hashes of their bytes, n-grams by the numbers of their words.
+A very frequent word is split over buckets by the word that follows; the parts' sums for each context meet
+in parts by the context's hash, which tell them to the chunks that need them. All counts are over all
+training texts; nothing is pruned. Words are known by 64-bit hashes of their bytes, n-grams by the numbers of their words.
 
 Nulls: a null text is empty (its only token is the end), a null id is held out. Repeated rows count and
 are scored each. A very long text is one chunk. Empty tables give no rows; without training texts every
@@ -40,8 +40,8 @@ from pointmill.llm import common
 
 #: Longest n-gram; counts up to DISCOUNTED are discounted.
 ORDER, DISCOUNTED = 3, 5
-#: Text of a chunk; occurrences of a word that one bucket takes.
-CHUNK_BYTES, HOT, BLOCK_BYTES = 12 << 20, 3_000_000, 1 << 20
+#: Text of a chunk, and how many times less a bucket has; occurrences of a word that one bucket takes.
+CHUNK_BYTES, BUCKETS_EACH, HOT, BLOCK_BYTES = 8 << 20, 1.5, 800_000, 1 << 20
 
 _U = np.uint64
 _END = _U(0x3C2F733E00000001)
@@ -116,10 +116,10 @@ def _sum_of_stats(table: DataFrame, n: int) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """Chunks of the texts as words by place, in a bucketed table, and how many buckets suit them."""
+    """Chunks of the texts as words by place, in a bucketed table, and how many buckets suit their n-grams."""
     common.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"), held_out.alias("held_out"))
-    buckets = common.parts_for(common.text_bytes(source), chunk_bytes)
+    total = common.text_bytes(source)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in common.text_runs(batches, chunk_bytes):
@@ -152,7 +152,7 @@ def tokenised(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_
                 }
             )
 
-    return bucketed(source.mapInArrow(cut, "chunk long, ids array<long>, held binary, n binary, tokens binary, words binary, counts binary"), "chunk", buckets, "katz_chunks"), buckets
+    return bucketed(source.mapInArrow(cut, "chunk long, ids array<long>, held binary, n binary, tokens binary, words binary, counts binary"), "chunk", common.parts_for(total, chunk_bytes), "katz_chunks"), common.parts_for(total, chunk_bytes / BUCKETS_EACH)
 
 
 class Chunk:
@@ -271,7 +271,7 @@ def _spread(parts: list[np.ndarray]) -> np.ndarray:
 
 
 _TABLE_SCHEMA = "bucket long, names binary, totals binary, heads binary, keys array<binary>, parents array<binary>, counts binary, chunks array<long>, asked array<binary>, stats array<double>"
-def word_table(chunks: DataFrame, buckets: int) -> DataFrame:
+def word_table(chunks: DataFrame, buckets: int, hot: int) -> DataFrame:
     """The word table, by buckets of the words' hashes: totals and numbers, and which of them each chunk asked for."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def word_table(chunks: DataFrame, buckets: int) -> DataFrame:
         number = np.where(total > 0, FIRST + rank * buckets + key[0].as_py(), UNKNOWN)
         cut = np.cumsum([0] + [x.size for x in asked])
         mine = [common.squeezed(of[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        stats = [float(total.sum()), float((total > 0).sum()), *counts_of_counts(total)]
+        stats = [float(total.sum()), float((total > 0).sum()), float((-(-total[total > hot] // hot)).sum()), *counts_of_counts(total)]
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([common.packed_sorted(words)], pa.binary()), "numbers": pa.array([common.squeezed(number)], pa.binary()), "totals": pa.array([common.squeezed(total)], pa.binary()), "chunks": pa.array([table["chunk"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([mine], pa.list_(pa.binary())), "stats": pa.array([stats], pa.list_(pa.float64()))})
 
     sent = chunks.select("chunk", "words", "counts").mapInArrow(ask, "chunk long, bucket long, words binary, counts binary")
@@ -321,42 +321,43 @@ def gram_table(chunks: DataFrame, told: DataFrame, buckets: int, hot: int, order
         at = [c.buckets_of(k) for k in range(levels)]
         names, runs = common.runs_of(at[0])
         bounds = [runs, *[list(zip(np.searchsorted(at[k], names), np.searchsorted(at[k], names, "right"), strict=True)) for k in range(1, levels)]]
-        out = {"chunk": [key[0].as_py()] * len(names), "bucket": names, **{k: [] for k in ("names", "totals", "heads", "keys", "degrees", "counts")}}
+        out = {"chunk": [key[0].as_py()] * len(names), "bucket": names, **{k: [] for k in ("heads", "keys", "totals", "degrees", "counts")}}
         for j in range(len(names)):
-            (a, b), deeper = bounds[0][j], [bounds[k][j] for k in range(1, levels)]
-            columns = [c.head[a:b], c.tail[a:b], *[c.key[k][x:y] for k, (x, y) in enumerate(deeper)]]
-            have, of = np.unique(np.concatenate(columns), return_inverse=True)
-            cut = np.cumsum([0] + [x.size for x in columns])
-            of = [of[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            out["names"].append(common.squeezed(np.diff(c.names[have], prepend=0)))
-            out["totals"].append(common.squeezed(c.name_total[have]))
-            out["heads"].append(common.squeezed(np.diff(of[0], prepend=0)))
-            out["keys"].append([common.squeezed(x) for x in of[1:]])
-            ends = [(a, b), *deeper]
+            ends = [bounds[k][j] for k in range(levels)]
+            (a, b), deeper = ends[0], ends[1:]
+            out["heads"].append(common.squeezed(np.diff(c.names[c.head[a:b]], prepend=0)))
+            out["keys"].append([common.squeezed(c.names[x]) for x in (c.tail[a:b], *[c.key[k][x:y] for k, (x, y) in enumerate(deeper)])])
+            # totals of the distinct words, in order
+            out["totals"].append([common.squeezed(c.name_total[np.unique(x[a:b])]) for x in (c.head, c.tail)])
             out["degrees"].append([common.squeezed(np.bincount(c.parent[k][x:y] - ends[k][0], minlength=ends[k][1] - ends[k][0])) for k, (x, y) in enumerate(deeper)])
             x, y = ends[-1]
             out["counts"].append(common.squeezed(c.count[x:y]))
-        lists = ("keys", "degrees")
+        lists = ("keys", "totals", "degrees")
         return pa.table({k: pa.array(v, pa.int64() if k in ("chunk", "bucket") else pa.list_(pa.binary()) if k in lists else pa.binary()) for k, v in out.items()})
 
     def count(key, table):
         rows = table.to_pylist()
-        own = [np.cumsum(common.loosened(r["names"])) for r in rows]
-        names, of = np.unique(np.concatenate(own), return_inverse=True)
-        total = np.zeros(names.size, np.int64)
-        total[of] = _spread([common.loosened(r["totals"]) for r in rows])
-        columns, counts, sizes, at = [[] for _ in range(order)], [], [], 0
-        for r, mine in zip(rows, own, strict=True):
-            of_mine = of[at : at + mine.size]
-            at += mine.size
-            flat = [np.cumsum(common.loosened(r["heads"])), *[common.loosened(k) for k in r["keys"]]]
+        columns: list[list] = [[] for _ in range(order)]
+        for r in rows:
+            for out, x in zip(columns, [np.cumsum(common.loosened(r["heads"])), *map(common.loosened, r["keys"])], strict=True):
+                out.append(x)
+        names, of = np.unique(_spread([x for out in columns for x in out]), return_inverse=True)
+        total, at = np.zeros(names.size, np.int64), 0
+        for k, out in enumerate(columns):
+            for j, x in enumerate(out):
+                out[j] = of[at : at + x.size]
+                at += x.size
+                if k < 2:
+                    total[np.unique(out[j])] = common.loosened(rows[j]["totals"][k])
+        del of
+        sizes = []
+        for j, r in enumerate(rows):
             for k, degree in enumerate(r["degrees"]):
                 degree = common.loosened(degree)
-                flat = [np.repeat(x, degree) for x in flat[: k + 2]] + flat[k + 2 :]
-            for out, x in zip(columns, flat, strict=True):
-                out.append(of_mine[x])
-            counts.append(common.loosened(r["counts"]))
-            sizes.append(counts[-1].size)
+                for out in columns[: k + 2]:
+                    out[j] = np.repeat(out[j], degree)
+            sizes.append(columns[-1][j].size)
+        counts = [common.loosened(r["counts"]) for r in rows]
         grams = Grams([_spread(x) for x in columns], names.size)
         del columns
         leaf = np.bincount(grams.of[-1], weights=_spread(counts), minlength=grams.keys[-1].size).astype(np.int64)
@@ -380,7 +381,7 @@ def gram_table(chunks: DataFrame, told: DataFrame, buckets: int, hot: int, order
             }
         )
 
-    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(ask, "chunk long, bucket long, names binary, totals binary, heads binary, keys array<binary>, degrees array<binary>, counts binary")
+    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(ask, "chunk long, bucket long, heads binary, keys array<binary>, totals array<binary>, degrees array<binary>, counts binary")
     return written(sent.groupBy("bucket").applyInArrow(count, _TABLE_SCHEMA), "katz_grams")
 
 
@@ -415,38 +416,50 @@ class Bucket:
                 scale = np.where(self.hot[k], 1.0, scale_of(full, n))
                 p = ((scale / np.maximum(n, 1))[of] * cut)[self.parents[k]]
 
-    def named(self, level: int, places: np.ndarray) -> dict:
-        """Level and words of contexts; a single word is its own farthest."""
+    def named(self, level: int, places: np.ndarray) -> np.ndarray:
+        """Level and words of contexts, as rows; a single word is its own farthest."""
         _, near, far = self.context[level]
-        return {"level": np.full(places.size, level), "v": self.names[near[places]], "u": self.names[far[places]]}
+        return np.stack([np.full(places.size, level), self.names[near[places]], self.names[far[places]]], 1)
 
 
-_ANSWERS = "chunk long, kind long, bucket long, a binary, b binary, c binary, level long, v long, u long, n double, mass double, lower double"
+_ANSWERS = "chunk long, kind long, bucket long, a binary, b binary, c binary"
 
 
-def _batch(size: int, **columns) -> pa.RecordBatch:
-    kinds = {name: {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[kind] for name, kind in (c.split() for c in _ANSWERS.split(", "))}
+def _batch(**columns) -> pa.RecordBatch:
+    size = max(len(x) for x in columns.values())
+    kinds = {name: {"long": pa.int64(), "binary": pa.binary()}[kind] for name, kind in (c.split() for c in _ANSWERS.split(", "))}
     return pa.RecordBatch.from_pydict({k: pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()})
 
 
-def answered(table: DataFrame, model: Model, hot: int) -> DataFrame:
+def _by_part(named: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Parts of contexts by their words' hash, the runs of each and the order that makes them."""
+    part = (common.mix64(common.mix64(named[:, 1].astype(_U)) + named[:, 2].astype(_U)) % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return *common.runs_of(part[order]), order
+
+
+def answered(table: DataFrame, model: Model, hot: int, parts: int) -> DataFrame:
     """What the buckets say to the chunks, written.
 
     Kind 1: counts of the chunk's n-grams by level; a flag for each of its contexts (1 nothing discounted,
     2 followed by an n-gram without count, 4 of a split word); the weights of those with flag 2 and not 4.
-    Kind 2: a part's sums for the contexts of split words. Kind 3: which chunk has such a context (n is 1
-    if it needs the weight).
+    Kind 2: a part's sums for the contexts of split words. Kind 3: which of these a chunk must know more
+    about, as it needs the weight or nothing was discounted in this part. Both are dealt by the context.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for j in range(batch.num_rows) for x in batch.slice(j, 1).to_pylist()):
                 b = Bucket(r, model, hot)
-                for k, is_hot in enumerate(b.hot):
-                    if (j := np.flatnonzero(is_hot)).size:
-                        yield _batch(j.size, kind=np.full(j.size, 2), **b.named(k, j), **{name: x[j] for name, x in zip(("n", "mass", "lower"), b.sums[k], strict=True)})
+                split = [np.flatnonzero(x) for x in b.hot]
+                named = np.concatenate([b.named(k, j) for k, j in enumerate(split)])
+                if len(named):
+                    sums = np.concatenate([np.stack([x[j] for x in b.sums[k]], 1) for k, j in enumerate(split)])
+                    names, runs, order = _by_part(named, parts)
+                    named, sums = named[order], sums[order]
+                    yield _batch(kind=[2] * len(runs), bucket=names, a=[common.squeezed(named[x:y].T.ravel()) for x, y in runs], b=[sums[x:y].astype(float).tobytes() for x, y in runs])
                 for chunk, asked in zip(r["chunks"], r["asked"], strict=True):
-                    levels, told = [np.cumsum(common.loosened(asked))], {"a": [], "b": [], "c": []}
+                    levels, told, ask = [np.cumsum(common.loosened(asked))], {"a": [], "b": [], "c": []}, []
                     for parent in reversed(b.parents):
                         levels.insert(0, common.runs_of(parent[levels[0]])[0])
                     for k, grams in enumerate(levels):
@@ -456,25 +469,29 @@ def answered(table: DataFrame, model: Model, hot: int) -> DataFrame:
                         told["a"].append(common.squeezed(count))
                         told["b"].append(common.squeezed((b.full[k][mine] & ~is_hot) + 2 * need + 4 * is_hot))
                         told["c"].append(b.weight[k][mine[need & ~is_hot]].tobytes())
-                        if is_hot.any():
-                            yield _batch(int(is_hot.sum()), kind=np.full(int(is_hot.sum()), 3), chunk=np.full(int(is_hot.sum()), chunk), **b.named(k, mine[is_hot]), n=need[is_hot].astype(float))
-                    yield _batch(1, chunk=[chunk], kind=[1], bucket=[r["bucket"]], **{name: [_joined(parts)] for name, parts in told.items()})
+                        ask.append(b.named(k, mine[is_hot & (need | b.full[k][mine])]))
+                    yield _batch(chunk=[chunk], kind=[1], bucket=[r["bucket"]], **{name: [_joined(x)] for name, x in told.items()})
+                    if len(ask := np.concatenate(ask)):
+                        names, runs, order = _by_part(ask, parts)
+                        yield _batch(chunk=[chunk] * len(runs), kind=[3] * len(runs), bucket=names, a=[common.squeezed(ask[order[x:y]].T.ravel()) for x, y in runs])
 
     return written(table.drop("stats").mapInArrow(run, _ANSWERS), "katz_answers")
 
 
-def split_weights(answers: DataFrame) -> DataFrame:
-    """Weights of the contexts of split words from the sums of all parts, for the chunks that need to know."""
-    sums = answers.where("kind = 2").groupBy("level", "v", "u").agg(*[F.sum(c).alias(c) for c in ("n", "mass", "lower")])
-    left = F.when(F.col("n") > 0, 1 - F.col("mass") / F.col("n")).otherwise(1.0)
-    sums = sums.withColumn("full", (left <= 1e-12) & (F.col("n") > 0)).withColumn("left", F.when(F.col("full"), 1 / (F.col("n") + 1)).otherwise(left))
-    scale = sums.where("level = 0").select("v", F.when(F.col("full"), F.col("n") / (F.col("n") + 1)).otherwise(1.0).alias("scale"))
-    # the parts left out the scale of the shorter context
-    lower = F.when(F.col("level") == 0, F.col("lower")).otherwise(F.col("lower") * F.col("scale"))
-    weight = F.when(F.col("n") > 0, F.col("left") / F.greatest(1 - lower, F.lit(1e-300))).otherwise(1.0)
-    known = sums.join(scale, "v").select("level", "v", "u", "full", weight.alias("weight"))
-    asked = answers.where("kind = 3").groupBy("chunk", "level", "v", "u").agg(F.max("n").alias("need"))
-    return asked.join(known, ["level", "v", "u"]).where(F.col("full") | (F.col("need") > 0)).select("chunk", "level", "v", "u", F.col("full").cast("double").alias("n"), F.col("weight").alias("mass"))
+def split_sums(answers: DataFrame) -> DataFrame:
+    """Sums over all parts for the contexts of split words (kind 4), for the chunks that asked."""
+
+    def run(key, table):
+        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["chunk"] or 0))
+        named = [common.loosened(r["a"]).reshape(3, -1).T for r in rows]
+        _, of = np.unique(np.concatenate(named), axis=0, return_inverse=True)
+        told = [np.frombuffer(r["b"]).reshape(-1, 3) for r in rows if r["kind"] == 2]
+        sums, at = np.zeros((int(of.max()) + 1, 3)), np.cumsum([0] + [len(x) for x in named])
+        np.add.at(sums, of[: at[len(told)]], np.concatenate(told))
+        asks = [(r, x, of[i:j]) for r, x, i, j in zip(rows, named, at[:-1], at[1:], strict=True) if r["kind"] == 3]
+        return pa.Table.from_batches([_batch(chunk=[r["chunk"]], kind=[4], bucket=[r["bucket"]], a=[r["a"]], b=[sums[j].tobytes()]) for r, _, j in asks] or [_batch(chunk=[])])
+
+    return answers.where("kind in (2, 3)").groupBy("bucket").applyInArrow(run, _ANSWERS)
 
 
 def _joined(parts: list[bytes]) -> bytes:
@@ -499,7 +516,9 @@ def evaluated(chunks: DataFrame, told: DataFrame, model: Model, buckets: int, ho
         row = left.to_pylist()[0]
         c = Chunk(row, of_kind(0), buckets, hot, order)
         answers = [[_parted(r[x]) for x in "abc"] for r in of_kind(1)]
-        split = {(r["level"], r["v"], r["u"]): (r["n"] > 0, r["mass"]) for r in rows if r["kind"] == 4}
+        split: dict[tuple, np.ndarray] = {}
+        for r in of_kind(4):
+            split |= zip(map(tuple, common.loosened(r["a"]).reshape(3, -1).T.tolist()), np.frombuffer(r["b"]).reshape(-1, 3), strict=True)
         total, size = c.name_total[c.token], c.names.size
         p = model.unigrams.p(total)
         n, of = total_before(c, total), None
@@ -514,7 +533,8 @@ def evaluated(chunks: DataFrame, told: DataFrame, model: Model, buckets: int, ho
                 far = names[j] % size
                 near = far if k == 0 else before[names[j] // size]
                 for i, v, u in zip(j.tolist(), c.names[near].tolist(), c.names[far].tolist(), strict=True):
-                    full[i], weight[i] = split.get((k, v, u), (False, 1.0))
+                    if (sums := split.get((k, v, u))) is not None:
+                        weight[i], full[i] = _whole(sums, split.get((0, v, v)) if k else None)
             before = names % size
             gram = c.gram[k]
             context, seen = of[gram], count[gram]
@@ -537,6 +557,15 @@ def evaluated(chunks: DataFrame, told: DataFrame, model: Model, buckets: int, ho
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _whole(sums: np.ndarray, shorter: np.ndarray | None) -> tuple[float, bool]:
+    """Weight and flag of a split context from its sums and, for a longer one, those of its nearest word."""
+    n, mass, lower = sums
+    if shorter is not None:  # the parts left out its scale
+        lower = lower * scale_of(backoff(shorter[1:2], shorter[2:], shorter[:1])[1], shorter[:1])[0]
+    weight, full = backoff(np.array([mass]), np.array([lower]), np.array([n]))
+    return weight[0], full[0]
+
+
 def total_before(c: Chunk, count: np.ndarray) -> np.ndarray:
     """The count of each token's context: that of the n-gram which ends before the token, of all texts at a start."""
     out = np.empty(count.size)
@@ -554,15 +583,13 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3: parts of split words only know their contexts of up to two words")
     chunks, buckets = tokenised(docs, common.fold(folds, id_col) == 0, id_col, text_col, chunk_bytes)
-    words = word_table(chunks, buckets)
+    words = word_table(chunks, buckets, hot)
     width = DISCOUNTED + 1
-    one = _sum_of_stats(words, 2 + width)
+    one = _sum_of_stats(words, 3 + width)
     told = word_answers(words)
     grams = gram_table(chunks, told, buckets, hot, order)
     more = _sum_of_stats(grams, width * (order - 1))
-    model = Model(one[0], one[1], Unigrams(one[0], one[2:]), [discounts(more[k * width : (k + 1) * width]) for k in range(order - 1)])
-    answers = answered(grams, model, hot)
-    columns = [f.name for f in answers.schema.fields]
-    blank = lambda df, kind: df.select(*[F.col(c) if c in df.columns else F.lit(kind).cast("long").alias(c) if c == "kind" else F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in columns])
-    back = blank(told, 0).unionByName(answers.where("kind = 1")).unionByName(blank(split_weights(answers), 4))
-    return evaluated(chunks, back, model, buckets, hot, order)
+    model = Model(one[0], one[1], Unigrams(one[0], one[3:]), [discounts(more[k * width : (k + 1) * width]) for k in range(order - 1)])
+    answers = answered(grams, model, hot, max(1, int(one[2])))
+    numbers = told.select("chunk", F.lit(0).cast("long").alias("kind"), "bucket", "a", "b", F.lit(None).cast("binary").alias("c"))
+    return evaluated(chunks, numbers.unionByName(answers.where("kind = 1")).unionByName(split_sums(answers)), model, buckets, hot, order)
