@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,65 +93,67 @@ def iou_2d(a: str, b: str, criterion: int = -1) -> Column:
     return F.when((w <= 0) | (h <= 0), 0.0).otherwise(F.coalesce(F.try_divide(inter, of), F.lit(0.0)))
 
 
-def _clip(poly: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The part of a polygon left of the line from a to b."""
-    side = (b[0] - a[0]) * (poly[:, 1] - a[1]) - (b[1] - a[1]) * (poly[:, 0] - a[0])
-    out = []
-    for i in range(len(poly)):
-        j = (i + 1) % len(poly)
-        if side[i] >= 0:
-            out.append(poly[i])
-        if (side[i] > 0 > side[j]) or (side[i] < 0 < side[j]):
-            out.append(poly[i] + side[i] / (side[i] - side[j]) * (poly[j] - poly[i]))
-    return np.array(out).reshape(-1, 2)
-
-
-def footprint(t1: float, t3: float, l: float, w: float, ry: float) -> np.ndarray:  # noqa: E741
-    """The box's four ground corners, counter-clockwise."""
-    c, s = np.cos(ry), np.sin(ry)
-    local = np.array([(l / 2, w / 2), (-l / 2, w / 2), (-l / 2, -w / 2), (l / 2, -w / 2)])
-    return np.stack([c * local[:, 0] + s * local[:, 1] + t1, -s * local[:, 0] + c * local[:, 1] + t3], 1)
-
-
-def area_of(poly: np.ndarray) -> float:
-    if len(poly) < 3:
-        return 0.0
-    x, y = poly[:, 0], poly[:, 1]
-    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
-
-
-def intersection_area(p: np.ndarray, q: np.ndarray) -> float:
-    """Area of the intersection of two convex polygons, counter-clockwise."""
-    for i in range(len(q)):
-        if len(p) < 3:
-            return 0.0
-        p = _clip(p, q[i], q[(i + 1) % len(q)])
-    return area_of(p)
-
-
-def with_ground_overlap(pairs: DataFrame, a: str = "a_", b: str = "b_", criterion: int = -1) -> DataFrame:
-    """Adds iou_bev and iou_3d of box pairs with the columns t1, t2, t3, h, w, l, ry under both prefixes."""
-    names = ("t1", "t2", "t3", "h", "w", "l", "ry")
-
-    def over(inter: float, first: float, second: float) -> float:
-        of = {-1: first + second - inter, 0: first, 1: second}[criterion]
-        return inter / of if of > 0 else 0.0
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            bev, solid = [], []
-            for r in frame[[p + n for p in (a, b) for n in names]].itertuples(index=False, name=None):
-                p, q = dict(zip(names, r[:7], strict=True)), dict(zip(names, r[7:], strict=True))
-                flat = intersection_area(footprint(p["t1"], p["t3"], p["l"], p["w"], p["ry"]), footprint(q["t1"], q["t3"], q["l"], q["w"], q["ry"]))
-                high = max(0.0, min(p["t2"], q["t2"]) - max(p["t2"] - p["h"], q["t2"] - q["h"]))
-                bev.append(over(flat, p["l"] * p["w"], q["l"] * q["w"]))
-                solid.append(over(flat * high, p["l"] * p["w"] * p["h"], q["l"] * q["w"] * q["h"]))
-            yield frame.assign(iou_bev=bev, iou_3d=solid)
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*pairs.schema.fields, T.StructField("iou_bev", T.DoubleType()), T.StructField("iou_3d", T.DoubleType())])
-    return pairs.mapInPandas(run, schema)
+#: Edges within this distance of each other are one line.
+TOUCH = 1e-9
+
+
+def _footprint(p: str) -> Column:
+    """The four ground corners of the box with the columns t1, t3, l, w, ry under a prefix, counter-clockwise."""
+    at = lambda n: F.col(f"{p}{n}")
+    c, s = F.cos(at("ry")), F.sin(at("ry"))
+    local = [(at("l") * i / 2, at("w") * j / 2) for i, j in ((1, 1), (-1, 1), (-1, -1), (1, -1))]
+    return F.array(*[F.struct((c * x + s * y + at("t1")).alias("x"), (c * y - s * x + at("t3")).alias("y")) for x, y in local])
+
+
+def _edges(corners: Column) -> Column:
+    """(x, y, dx, dy, size) of each edge."""
+    turn = F.concat(F.slice(corners, 2, 3), F.slice(corners, 1, 1))
+    return F.zip_with(corners, turn, lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), (q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy"), F.hypot(q["x"] - p["x"], q["y"] - p["y"]).alias("size")))
+
+
+def _inside_part(edges: Column, others: Column, slack: float) -> Column:
+    """Twice the area under the parts of the edges that lie left of all other edges, at most `slack` outside."""
+
+    def cut(span: Column, o: Column, e: Column) -> Column:
+        """The part lo..hi of an edge that is left of one other edge."""
+        before = (o["dx"] * (e["y"] - o["y"]) - o["dy"] * (e["x"] - o["x"])) / o["size"] + slack
+        rise = (o["dx"] * e["dy"] - o["dy"] * e["dx"]) / o["size"]
+        flat = F.abs(rise) <= TOUCH
+        # on one line, polygons on either side of it do not overlap
+        outside = (before < 0) | ((o["dx"] * e["dx"] + o["dy"] * e["dy"] < 0) & (before < 2 * TOUCH))
+        lo = F.when(~flat & (rise > 0), F.greatest(span["lo"], -before / rise)).when(flat & outside, 2.0).otherwise(span["lo"])
+        hi = F.when(~flat & (rise < 0), F.least(span["hi"], -before / rise)).otherwise(span["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def under(e: Column) -> Column:
+        whole = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+        # the cross product of the part's ends
+        return F.aggregate(others, whole, lambda span, o: cut(span, o, e), lambda span: F.when(span["hi"] > span["lo"], (span["hi"] - span["lo"]) * (e["x"] * e["dy"] - e["y"] * e["dx"])).otherwise(0.0))
+
+    return F.aggregate(F.transform(edges, under), F.lit(0.0), lambda total, x: total + x)
+
+
+def ground_overlaps(pairs: DataFrame, a: str = "a_", b: str = "b_") -> DataFrame:
+    """Adds `_flat`, the area in which two footprints overlap, and `_solid`, the volume; columns t1, t2, t3, h, w, l, ry under both prefixes.
+
+    The border of the overlap of two convex polygons is what of each one's edges lies inside the other, and
+    its area the sum of cross products along it. Edges that coincide count from the first polygon only.
+    """
+    at = lambda p, n: F.col(f"{p}{n}")
+    real = (at(a, "l") > 0) & (at(a, "w") > 0) & (at(b, "l") > 0) & (at(b, "w") > 0)
+    out = pairs.withColumn("_p", _edges(_footprint(a))).withColumn("_q", _edges(_footprint(b)))
+    twice = _inside_part(F.col("_p"), F.col("_q"), TOUCH) + _inside_part(F.col("_q"), F.col("_p"), -TOUCH)
+    flat = F.when(real, F.greatest(twice / 2, F.lit(0.0))).otherwise(0.0)
+    high = F.least(at(a, "t2"), at(b, "t2")) - F.greatest(at(a, "t2") - at(a, "h"), at(b, "t2") - at(b, "h"))
+    return out.withColumn("_flat", flat).drop("_p", "_q").withColumn("_solid", F.col("_flat") * F.greatest(high, F.lit(0.0)))
+
+
+def ground_ratio(kind: str, criterion: int = -1, a: str = "a_", b: str = "b_") -> Column:
+    """The overlap of ground_overlaps() over the union, or over the first (0) or second (1) box; kind "bev" or "3d"."""
+    size = lambda p: F.col(f"{p}l") * F.col(f"{p}w") * (F.col(f"{p}h") if kind == "3d" else F.lit(1.0))
+    shared = F.col("_flat" if kind == "bev" else "_solid")
+    of = {-1: size(a) + size(b) - shared, 0: size(a), 1: size(b)}[criterion]
+    return F.when(of > 0, shared / of).otherwise(0.0)
 
 
 def match_pairs(det: DataFrame, gt: DataFrame, cols: Sequence[str], key: Sequence[str] = ("frame",)) -> DataFrame:

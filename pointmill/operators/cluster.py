@@ -62,14 +62,16 @@ def range_image(px: DataFrame, res: float = 0.7, theta: float = 30.0, max_gap: f
 
 
 def assign(df: DataFrame, centres: DataFrame, cols: Sequence[str] = XYZ, id: str = "pid") -> DataFrame:
-    """(pid, k, sqdist): the nearest centre of each row, ties to the lower k. Centres are few and broadcast."""
+    """(pid, k, sqdist): the nearest centre of each row, ties to the lower k.
+
+    A few centres are broadcast as one array and compared inside the row; many are a base for the grid.
+    """
     if not spatial.small(centres):
-        raise ValueError("too many centres to broadcast")
-    c = centres.select(F.col("k"), *[F.col(x).alias(f"_c{i}") for i, x in enumerate(cols)])
-    d = sq_distance([F.col(x) for x in cols], [F.col(f"_c{i}") for i in range(len(cols))])
-    pairs = df.join(F.broadcast(F.broadcast(c).groupBy().agg(F.collect_list(F.struct("*")).alias("_all"))), F.lit(True))
-    pairs = pairs.select(df["*"], F.explode("_all").alias("_one")).select(df["*"], "_one.*")
-    return pairs.groupBy(id).agg(F.min(F.struct(d.alias("sqdist"), "k")).alias("_m")).select(id, "_m.k", "_m.sqdist")
+        found = spatial.knn_join(df, centres, 1, qid=id, bid="k", cols=cols)
+        return found.select(F.col("qid").alias(id), F.col("nid").alias("k"), (F.col("dist") * F.col("dist")).alias("sqdist"))
+    every = centres.groupBy().agg(F.collect_list(F.struct("k", *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])).alias("_all"))
+    near = F.array_min(F.transform("_all", lambda c: F.struct(sq_distance([F.col(x) for x in cols], [c[f"c{i}"] for i in range(len(cols))]).alias("sqdist"), c["k"].alias("k"))))
+    return df.select(id, *cols).join(F.broadcast(every), F.lit(True)).select(id, near.alias("_m")).select(id, "_m.k", "_m.sqdist")
 
 
 def kmeans(df: DataFrame, k: int, init: DataFrame | None = None, tol: float = 1e-4, max_iter: int = 200, cols: Sequence[str] = XYZ, id: str = "pid") -> tuple[DataFrame, list[tuple]]:
@@ -80,7 +82,7 @@ def kmeans(df: DataFrame, k: int, init: DataFrame | None = None, tol: float = 1e
     """
     start = init.orderBy("k").select(*cols).collect() if init is not None else seed_distinct(df, k, cols=cols, id=id)
     centres = [tuple(float(v) for v in r) for r in start]
-    data = df.select(id, *cols).persist()
+    data = df.select(id, *cols)
     for _ in range(max_iter):
         rows = {r["k"]: r for r in with_nearest(data, centres, cols).groupBy("k").agg(*[F.avg(c).alias(c) for c in cols]).collect()}
         new = [tuple(rows[i][c] for c in cols) if i in rows else old for i, old in enumerate(centres)]
@@ -88,7 +90,6 @@ def kmeans(df: DataFrame, k: int, init: DataFrame | None = None, tol: float = 1e
         centres = new
         if moved <= tol:
             break
-    data.unpersist()
     return with_nearest(df.select(id, *cols), centres, cols).select(id, "k"), centres
 
 
@@ -202,22 +203,28 @@ def spectral(df: DataFrame, key: Sequence[str], k: int = 10, estimate: int = 8,
     return edges.groupBy(*key).applyInPandas(solve, schema)
 
 
-def mean_shift(df: DataFrame, bandwidth: float, max_iter: int = 15, tol: float = 1e-3, cols: Sequence[str] = XYZ, id: str = "pid") -> DataFrame:
-    """(pid, cluster): modes of a flat kernel; points whose modes are within a bandwidth share the least id.
+def mean_shift(df: DataFrame, bandwidth: float, max_iter: int = 300, tol: float = 1e-3, cols: Sequence[str] = XYZ, id: str = "pid") -> DataFrame:
+    """(pid, cluster): modes of a flat kernel; points whose modes are within half a bandwidth share the least id.
 
-    Each round moves every seed to the mean of the points around it by a radius join.
+    Each round moves every seed that still moves to the mean of the points around it, by a radius join; seeds
+    that move no more than `tol` are done. Raises if some still move after `max_iter` rounds.
     """
-    now = df.select(id, *cols)
+    now, done = df.select(id, *cols), None
     for _ in range(max_iter):
         near = spatial.radius_join(now, df, bandwidth, qid=id, bid=id, cols=cols)
         mean = near.join(df.select(F.col(id).alias("nid"), *cols), "nid").groupBy("qid").agg(*[F.avg(c).alias(c) for c in cols])
-        new = written(mean.select(F.col("qid").alias(id), *cols), "modes")
         old = now.select(F.col(id), *[F.col(c).alias(f"_{c}") for c in cols])
-        moved = new.join(old, id).agg(F.max(sq_distance([F.col(c) for c in cols], [F.col(f"_{c}") for c in cols]))).first()[0]
-        now = new
-        if moved is None or moved <= tol * tol:
+        step = sq_distance([F.col(c) for c in cols], [F.col(f"_{c}") for c in cols])
+        new = written(mean.withColumnRenamed("qid", id).join(old, id).select(id, *cols, (step > tol * tol).alias("_moves")), "modes")
+        still = new.where(~F.col("_moves")).drop("_moves")
+        done = still if done is None else done.unionByName(still)
+        now = new.where("_moves").drop("_moves")
+        if now.isEmpty():
             break
-    links = spatial.radius_join(now, now, bandwidth / 2, qid=id, bid=id, cols=cols)
+    else:
+        raise RuntimeError(f"seeds still move after {max_iter} rounds")
+    done = written(done, "modes")
+    links = spatial.radius_join(done, done, bandwidth / 2, qid=id, bid=id, cols=cols)
     comp = connected_components(links, "qid", "nid")
     return df.select(id).join(comp.withColumnRenamed("node", id), id, "left").select(id, F.coalesce("component", F.col(id)).alias("cluster"))
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointmill.functions.geometry import XYZ
@@ -33,8 +33,14 @@ def sample_and_group(df: DataFrame, n: int, r: float, nsample: int, key: Sequenc
     return ball.join(c, [*key, "qid"]).join(p, [*key, "nid"]).select(*key, F.col("qid").alias("centre"), "slot", "nid", *[(F.col(a) - F.col(f"_c{a}")).alias(f"d{a}") for a in XYZ])
 
 
+def whole_group(df: DataFrame, key: Sequence[str], id: str = "pid") -> DataFrame:
+    """(key.., slot, nid, dx, dy, dz): all points of an object as one group about the origin, a row each."""
+    slot = F.row_number().over(Window.partitionBy(*key).orderBy(id)) - 1
+    return df.select(*key, slot.alias("slot"), F.col(id).alias("nid"), *[F.col(c).alias(f"d{c}") for c in XYZ])
+
+
 def group_all(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """All points of an object as one group about the origin."""
+    """Size and greatest coordinates of an object, its points being one group about the origin."""
     return df.groupBy(*key).agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in XYZ])
 
 

@@ -74,15 +74,19 @@ def nearest(pairs: DataFrame, k: int, key: Sequence[str] = ()) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_brute(q: DataFrame, b: DataFrame, k: int, key: Sequence[str] = (), qid: str = "pid", bid: str = "pid", cols: Sequence[str] = XYZ, metric: str = "l2") -> DataFrame:
-    """All distances to a base of at most SMALL rows, then the best k."""
-    if not small(b):
-        raise ValueError(f"more than {SMALL} base rows: use knn_join")
+def knn_brute(q: DataFrame, b: DataFrame, k: int, key: Sequence[str] = (), qid: str = "pid", bid: str = "pid", cols: Sequence[str] = XYZ, metric: str = "l2", block: int = SMALL) -> DataFrame:
+    """All distances, then the best k. The base is met in blocks of `block` rows, each of which hands on its k best."""
     left, right = _sides(q, b, qid, bid, cols, key)
-    on = [F.col(x) == F.col(f"_k{i}") for i, x in enumerate(key)] or None
     dist = _sq(len(cols), metric)
-    pairs = left.join(F.broadcast(right), on, "inner" if key else "cross").select(*key, "qid", "nid", (F.sqrt(dist) if metric == "l2" else dist).alias("dist"))
-    return nearest(pairs, k, key)
+    blocks = max(1, math.ceil(b.count() / block))
+    right = right.withColumn("_m", F.pmod(F.xxhash64("nid"), F.lit(blocks).cast("long")))
+    left = left.withColumn("_l", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    on = [F.col("_l") == F.col("_m")] + [F.col(x) == F.col(f"_k{i}") for i, x in enumerate(key)]
+    pairs = left.join(F.broadcast(right) if blocks == 1 else right, on).select(*key, "qid", "nid", (F.sqrt(dist) if metric == "l2" else dist).alias("dist"), "_l")
+    if blocks > 1:
+        w = Window.partitionBy(*key, "qid", "_l").orderBy("dist", "nid")
+        pairs = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return nearest(pairs.drop("_l"), k, key)
 
 
 def _first_radius(b: DataFrame, k: int, key: Sequence[str], cols: Sequence[str]) -> tuple[float, float]:
@@ -124,7 +128,10 @@ def knn_join(q: DataFrame, b: DataFrame, k: int, key: Sequence[str] = (), qid: s
 
 
 def knn(q: DataFrame, b: DataFrame, k: int, method: str = "auto", **how) -> DataFrame:
-    """knn_brute for a small base, else the grid."""
+    """The exact k nearest: by all distances if the base is small (SMALL rows), as a broadcast would be chosen, else by the grid.
+
+    Both give the same rows.
+    """
     if method == "brute" or (method == "auto" and small(b)):
         return knn_brute(q, b, k, **how)
     return knn_join(q, b, k, **how)
@@ -226,33 +233,47 @@ def interpolate(q: DataFrame, b: DataFrame, values: Sequence[str], k: int = 3, q
 # --- cells as partitions ------------------------------------------------------
 
 
-def kd_partition(df: DataFrame, leaf: int, cols: Sequence[str] = XYZ, id: str = "pid", max_depth: int = 20) -> DataFrame:
-    """Adds `node` and `level` of a kd-tree's leaf: round-robin axes, lower median, at most the split value to the left.
+def kd_partition(df: DataFrame, leaf: int, cols: Sequence[str] = XYZ, id: str = "pid", rule: str = "median") -> DataFrame:
+    """Adds `node` and `level` of a kd-tree's leaf: round-robin axes, at most the split value to the left.
 
-    One aggregate a level over all nodes; a node whose points are equal on the axis stays whole.
+    The split value is the lower median (the same by sorting or by selection) or the mean. One aggregate a
+    round over all nodes; a node whose points are equal on an axis waits for the next, and only one whose
+    points are equal on all stays larger than `leaf`.
     """
     now = df.withColumn("node", F.lit(1).cast("long")).withColumn("level", F.lit(0))
-    for level in range(max_depth):
-        axis = cols[level % len(cols)]
-        split = now.groupBy("node").agg(F.count("*").alias("_n"), F.percentile_approx(axis, 0.5, 1_000_000).alias("_m"), F.min(axis).alias("_a"), F.max(axis).alias("_b")).where((F.col("_n") > leaf) & (F.col("_a") < F.col("_b")))
-        # a median equal to the maximum would leave the right side empty
-        split = split.where("_m < _b")
+    value = {"median": lambda c: F.percentile_approx(c, 0.5, 1_000_000), "mean": F.avg}[rule]
+    idle = turn = 0
+    while idle < len(cols):
+        axis = cols[turn % len(cols)]
+        turn += 1
+        split = now.groupBy("node").agg(F.count("*").alias("_n"), value(axis).alias("_m"), F.min(axis).alias("_a"), F.max(axis).alias("_b")).where((F.col("_n") > leaf) & (F.col("_a") < F.col("_b")))
+        # a median equal to the maximum would leave the right side empty: then what is below it goes left
+        split = split.select("node", "_m", (F.col("_m") >= F.col("_b")).alias("_top"))
+        split = written(split, "splits")
         if split.isEmpty():
-            break
-        open_ = now.join(split.select("node", "_m"), "node", "left")
-        right = F.when(F.col(axis) > F.col("_m"), 1).otherwise(0)
-        moved = F.when(F.col("_m").isNotNull() & (F.col("level") == level), F.col("node") * 2 + right).otherwise(F.col("node"))
-        deeper = F.when(F.col("_m").isNotNull() & (F.col("level") == level), F.col("level") + 1).otherwise(F.col("level"))
-        now = written(open_.select(*df.columns, moved.alias("node"), deeper.alias("level")), "kd")
+            idle += 1
+            continue
+        idle = 0
+        open_ = now.join(split, "node", "left")
+        right = F.when(F.when(F.col("_top"), F.col(axis) >= F.col("_m")).otherwise(F.col(axis) > F.col("_m")), 1).otherwise(0)
+        halved = F.col("_m").isNotNull()
+        if now.agg(F.max("level")).first()[0] >= 62:
+            raise ValueError("more than 62 levels do not fit a node's number")
+        now = written(open_.select(*df.columns, F.when(halved, F.col("node") * 2 + right).otherwise(F.col("node")).alias("node"), (F.col("level") + halved.cast("int")).alias("level")), "kd")
     return now
 
 
-def octree_cells(df: DataFrame, leaf: int, min_extent: float, cols: Sequence[str] = XYZ, max_depth: int = 12) -> DataFrame:
-    """Adds `level` and `morton` of the octree leaf: the first level whose cube has at most `leaf` points or is small enough."""
+def octree_cells(df: DataFrame, leaf: int, min_extent: float, cols: Sequence[str] = XYZ) -> DataFrame:
+    """Adds `level` and `morton` of the octree leaf: the first level whose cube has at most `leaf` points or is small enough.
+
+    A Morton number holds 20 levels; a smaller `min_extent` is refused.
+    """
     row = df.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     centre = [((row[f"a{i}"] or 0) + (row[f"b{i}"] or 0)) / 2 for i in range(3)]
     half = max([((row[f"b{i}"] or 0) - (row[f"a{i}"] or 0)) / 2 for i in range(3)] + [1e-12])
-    depth = min(max_depth, max(0, math.ceil(math.log2(half / min_extent))) if half > min_extent else 0)
+    depth = math.ceil(math.log2(half / min_extent)) if half > min_extent else 0
+    if depth > 20:
+        raise ValueError(f"{depth} levels to an extent of {min_extent}: at most 20 fit a Morton number")
     steps = 1 << depth
     # the cell's number on each axis at the finest level; a coordinate on a border belongs to the lower cell
     n = [F.least(F.lit(steps - 1), F.greatest(F.lit(0), (F.ceil((F.col(c) - (centre[i] - half)) / (2 * half) * steps) - 1).cast("long"))) for i, c in enumerate(cols)]

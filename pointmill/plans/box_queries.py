@@ -96,17 +96,35 @@ def iou_match_join(spark, sf):
 def _ground_pairs(spark, sf):
     p = boxes.match_pairs(det3(spark, sf), gt3(spark, sf), ("ord", "t1", "t2", "t3", "h", "w", "l", "ry"))
     near = (F.abs(F.col("a_t1") - F.col("b_t1")) < 6) & (F.abs(F.col("a_t3") - F.col("b_t3")) < 6)
-    return boxes.with_ground_overlap(p.where(near))
-
-
-@query("iou_bev")
+    return boxes.ground_overlaps(p.where(near))
+
+
+def _ground_sql(shared: str, size: str) -> str:
+    """Overlap of footprints: the edges of each, cut by the four lines of the other, and the cross products of what is left."""
+    return f"""with pairs as (select frame, d.ord as det, g.ord as gt, d.l, d.w, d.h, g.l as gl, g.w as gw, g.h as gh, d.t2, g.t2 as gt2, d.t1, d.t3, d.ry, g.t1 as gt1, g.t3 as gt3, g.ry as gry
+      from det3 d join gt3 g using (frame) where abs(d.t1 - g.t1) < 6 and abs(d.t3 - g.t3) < 6),
+    sides as (select frame, det, gt, 0 as s, t1, t3, l, w, ry from pairs union all select frame, det, gt, 1, gt1, gt3, gl, gw, gry from pairs),
+    signs as (select * from (values (0, 1, 1), (1, -1, 1), (2, -1, -1), (3, 1, -1)) t(k, i, j)),
+    corners as (select frame, det, gt, s, k, cos(ry) * l * i / 2 + sin(ry) * w * j / 2 + t1 as x, cos(ry) * w * j / 2 - sin(ry) * l * i / 2 + t3 as y from sides, signs),
+    edges as (select a.frame, a.det, a.gt, a.s, a.k, a.x, a.y, b.x - a.x as dx, b.y - a.y as dy, sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) as size
+      from corners a join corners b on a.frame = b.frame and a.det = b.det and a.gt = b.gt and a.s = b.s and b.k = (a.k + 1) % 4),
+    cuts as (select e.*, (o.dx * (e.y - o.y) - o.dy * (e.x - o.x)) / o.size + case when e.s = 0 then 1e-9 else -1e-9 end as f, (o.dx * e.dy - o.dy * e.dx) / o.size as g, o.dx * e.dx + o.dy * e.dy < 0 as back
+      from edges e join edges o on e.frame = o.frame and e.det = o.det and e.gt = o.gt and e.s <> o.s),
+    parts as (select frame, det, gt, s, k, any_value(x * dy - y * dx) as c, greatest(0, max(case when abs(g) > 1e-9 and g > 0 then -f / g when abs(g) <= 1e-9 and (f < 0 or (back and f < 2e-9)) then 2 end)) as lo,
+      least(1, min(case when abs(g) > 1e-9 and g < 0 then -f / g end)) as hi from cuts group by frame, det, gt, s, k),
+    areas as (select frame, det, gt, greatest(sum(case when hi > lo then (hi - lo) * c else 0 end) / 2, 0) as flat from parts group by frame, det, gt),
+    o as (select frame, det, gt, {shared} as shared, {size} as a, {size.replace('l * w', 'gl * gw').replace('* h', '* gh')} as b from areas join pairs using (frame, det, gt))
+    select frame, det, gt, round(shared / (a + b - shared), 6) as iou from o where shared > 0"""
+
+
+@query("iou_bev", _ground_sql("flat", "l * w"))
 def iou_bev(spark, sf):
-    return _ground_pairs(spark, sf).where("iou_bev > 0").select("frame", F.col("a_ord").alias("det"), F.col("b_ord").alias("gt"), F.round("iou_bev", 6).alias("iou"))
+    return _ground_pairs(spark, sf).where("_flat > 0").select("frame", F.col("a_ord").alias("det"), F.col("b_ord").alias("gt"), F.round(boxes.ground_ratio("bev"), 6).alias("iou"))
 
 
-@query("iou_3d")
+@query("iou_3d", _ground_sql("flat * greatest(0, least(t2, gt2) - greatest(t2 - h, gt2 - gh))", "l * w * h"))
 def iou_3d(spark, sf):
-    return _ground_pairs(spark, sf).where("iou_3d > 0").select("frame", F.col("a_ord").alias("det"), F.col("b_ord").alias("gt"), F.round("iou_3d", 6).alias("iou"))
+    return _ground_pairs(spark, sf).where("_solid > 0").select("frame", F.col("a_ord").alias("det"), F.col("b_ord").alias("gt"), F.round(boxes.ground_ratio("3d"), 6).alias("iou"))
 
 
 # --- evaluation -------------------------------------------------------------------------------

@@ -49,11 +49,12 @@ _FPFH = f"""with {_RADIAL}, p_ as (select qid, nid, dist from ({_ALL}) where dis
 
 
 def _octree_sql(leaf: int, min_extent: float) -> str:
-    n = ", ".join(f"least(4095, greatest(0, ceil(({c} - (c{c} - half)) / (2 * half) * 4096)::bigint - 1)) as n{c}" for c in "xyz")
-    code = " + ".join(f"list_sum(list_transform(range(12), lambda b: ((n{c} >> b::int) & 1) << (3 * b::int + {i})))" for i, c in enumerate("xyz"))
-    return f"""with b as (select (min(x) + max(x)) / 2 as cx, (min(y) + max(y)) / 2 as cy, (min(z) + max(z)) / 2 as cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 2 as half from pts3),
-    c as (select pid, ({code})::bigint as code from (select pid, {n} from pts3, b)), l as (select pid, v::int as level, code >> (3 * (12 - v::int)) as morton from c, range(13) r(v)),
-    k as (select *, count(*) over (partition by level, morton) as n from l) select pid, min(level) as level, arg_min(morton, level) as morton from k where n <= {leaf} or level = 12 group by pid"""
+    n = ", ".join(f"least((1 << d) - 1, greatest(0, ceil(({c} - (c{c} - half)) / (2 * half) * (1 << d))::bigint - 1)) as n{c}" for c in "xyz")
+    code = " + ".join(f"list_sum(list_transform(range(20), lambda b: ((n{c} >> b::int) & 1) << (3 * b::int + {i})))" for i, c in enumerate("xyz"))
+    return f"""with e as (select (min(x) + max(x)) / 2 as cx, (min(y) + max(y)) / 2 as cy, (min(z) + max(z)) / 2 as cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 2 as half from pts3),
+    b as (select *, greatest(0, ceil(log2(half / {min_extent}::double)))::int as d from e),
+    c as (select pid, d, ({code})::bigint as code from (select pid, d, {n} from pts3, b)), l as (select pid, d, v::int as level, code >> (3 * (d - v::int)) as morton from c, range(21) r(v) where v <= d),
+    k as (select *, count(*) over (partition by level, morton) as n from l) select pid, min(level) as level, arg_min(morton, level) as morton from k where n <= {leaf} or level = d group by pid"""
 
 
 _RANGE_CC = """with recursive px0 as (select pid, frame, sqrt(x * x + y * y + z * z) as d, 20 - (floor(atan2(z, sqrt(x * x + y * y)) / (3.0::double * 3.141592653589793 / 180)) + 11) as pr, 120 - (floor(atan2(y, x) / (3.0::double * 3.141592653589793 / 180)) + 61) as pc from scan),
@@ -87,12 +88,12 @@ def _u(k: str, s: int, low: float = 0.0, high: float = 1.0) -> str:
 # --- trees as partitions ----------------------------------------------------------------
 
 
-def _kd_sql(depth: int, leaf: int) -> str:
+def _kd_sql(depth: int, leaf: int, value: str = "quantile_disc({}, 0.5)") -> str:
     parts = ["k0 as (select *, 1::bigint as node, 0 as level from pts3)"]
     for i in range(depth):
         c = "xyz"[i % 3]
-        parts.append(f"m{i} as (select node, quantile_disc({c}, 0.5) as m from k{i} group by node having count(*) > {leaf} and min({c}) < max({c}) and quantile_disc({c}, 0.5) < max({c}))")
-        parts.append(f"k{i + 1} as (select k.pid, k.frame, k.x, k.y, k.z, case when m.m is not null and k.level = {i} then k.node * 2 + (k.{c} > m.m)::int else k.node end as node, case when m.m is not null and k.level = {i} then k.level + 1 else k.level end as level from k{i} k left join m{i} m using (node))")
+        parts.append(f"m{i} as (select node, {value.format(c)} as m, {value.format(c)} >= max({c}) as top from k{i} group by node having count(*) > {leaf} and min({c}) < max({c}))")
+        parts.append(f"k{i + 1} as (select k.pid, k.frame, k.x, k.y, k.z, case when m.m is not null then k.node * 2 + (case when m.top then k.{c} >= m.m else k.{c} > m.m end)::int else k.node end as node, k.level + (m.m is not null)::int as level from k{i} k left join m{i} m using (node))")
     return "with " + ", ".join(parts)
 
 
@@ -101,6 +102,11 @@ def kdtree_build(spark, sf):
     return spatial.kd_partition(views.pts3(spark, sf), 32).select("pid", "node", "level")
 
 
+@query("kdtree_build_mean", f"{_kd_sql(18, 32, 'avg({})')} select pid, node, level::int as level from k18")
+def kdtree_build_mean(spark, sf):
+    return spatial.kd_partition(views.pts3(spark, sf), 32, rule="mean").select("pid", "node", "level")
+
+
 @query("tree_depth", f"{_kd_sql(12, 32)} select max(level)::int as depth, count(distinct node) as leaves from k12")
 def tree_depth(spark, sf):
     return spatial.kd_partition(views.pts3(spark, sf), 32).agg(F.max("level").alias("depth"), F.count_distinct("node").alias("leaves"))
@@ -113,11 +119,10 @@ def octree_build(spark, sf):
 
 @query(
     "octree_leaf_sizes",
-    "select count(*) as n, true as fits from pts3",
+    f"select level, morton, count(*) as m from ({_octree_sql(16, 1e-3)}) group by level, morton",
 )
 def octree_leaf_sizes(spark, sf):
-    sizes = spatial.octree_cells(views.pts3(spark, sf), 16, 1e-3).groupBy("level", "morton").agg(F.count("*").alias("m"))
-    return sizes.agg(F.sum("m").alias("n"), (F.max("m") <= 16).alias("fits"))
+    return spatial.octree_cells(views.pts3(spark, sf), 16, 1e-3).groupBy("level", "morton").agg(F.count("*").alias("m"))
 
 
 @query("octree_predicates", "select pid, abs(x) + 0.5 < 1 and abs(y) + 0.5 < 1 and abs(z) + 0.5 < 1 as inside, power(greatest(abs(x) - 1, 0), 2) + power(greatest(abs(y) - 1, 0), 2) + power(greatest(abs(z) - 1, 0), 2) < 0.25 as overlaps, power(abs(x) + 1, 2) + power(abs(y) + 1, 2) + power(abs(z) + 1, 2) < 0.25 as contains from pts3")
@@ -155,10 +160,11 @@ def range_image_cc(spark, sf):
     return cluster.range_image(px, 3.0)
 
 
-@query("neighbourhood_modes", "select * from (values (4, 4::bigint), (8, 8), (12, 12), (20, 20)) t(mode, n)")
+@query("neighbourhood_modes", """with s as (select a::int as dr, b::int as dc from range(-2, 3) t(a), range(-2, 3) u(b) where a <> 0 or b <> 0)
+    select 4 as mode, dr, dc from s where abs(dr) + abs(dc) = 1 union all select 8, dr, dc from s where greatest(abs(dr), abs(dc)) = 1
+    union all select 12, dr, dc from s where abs(dr) + abs(dc) <= 2 union all select 20, dr, dc from s where not (abs(dr) = 2 and abs(dc) = 2)""")
 def neighbourhood_modes(spark, sf):
-    rows = [(m, a, b) for m, s in cluster.STENCILS.items() for a, b in s]
-    return spark.createDataFrame(rows, "mode int, dr int, dc int").groupBy("mode").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(m, a, b) for m, s in cluster.STENCILS.items() for a, b in s], "mode int, dr int, dc int")
 
 
 _INIT = [(0, 0.5, 0.5, 0.5), (1, -0.5, -0.5, 0.0), (2, 0.0, 1.0, -1.0)]
@@ -464,9 +470,9 @@ def sample_and_group(spark, sf):
     return layers.sample_and_group(views.pts3(spark, sf), 8, 1.5, 4, ("frame",)).select("frame", "centre", "slot", "nid", *R6("dx", "dy", "dz"))
 
 
-@query("group_all", "select frame, count(*) as n, max(x) as x, max(y) as y, max(z) as z from pts3 group by frame")
+@query("group_all", "select frame, row_number() over (partition by frame order by pid)::int - 1 as slot, pid as nid, x as dx, y as dy, z as dz from pts3")
 def group_all(spark, sf):
-    return layers.group_all(views.pts3(spark, sf), ("frame",))
+    return layers.whole_group(views.pts3(spark, sf), ("frame",))
 
 
 def _mlp_sql(layer, inputs, name):
@@ -536,10 +542,10 @@ def scan_velodyne(spark, sf):
     return formats.read_velodyne(spark, _object_files(spark, sf, ("x", "y", "z", "refl"), p)).select("frame", "pid", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
-@query("scan_kitti_raw", f"select name as frame, count(*) as n, 0.5::double as reflectance from ({_FRAMED}) group by name")
+@query("scan_kitti_raw", f"select name as frame, i as pid, round(x::float::double, 5) as x, round(z::float::double, 5) as z, round((y / 100)::float::double, 5) as reflectance from ({_FRAMED})")
 def scan_kitti_raw(spark, sf):
-    p = views.pts3(spark, sf).withColumn("refl", F.lit(0.5))
-    return formats.read_velodyne(spark, _object_files(spark, sf, ("x", "y", "z", "refl"), p), reflectance=True).groupBy("frame").agg(F.count("*").alias("n"), F.max("reflectance").alias("reflectance"))
+    p = views.pts3(spark, sf).withColumn("refl", F.col("y") / 100)
+    return formats.read_velodyne(spark, _object_files(spark, sf, ("x", "y", "z", "refl"), p), reflectance=True).select("frame", "pid", *[F.round(c, 5).alias(c) for c in ("x", "z", "reflectance")])
 
 
 @query("scan_bin_normals", f"with {_RADIAL} select 'Car_' || frame || '_0' as frame, (row_number() over (partition by frame order by pid) - 1)::bigint as pid, round(nx::float::double, 5) as nx, round(nz::float::double, 5) as nz from rad")
@@ -653,7 +659,7 @@ def foreground_objects(spark, sf):
 def dataset_build(spark, sf):
     from pointmill.plans import pipelines
 
-    b = views.with_3d(views.gt_boxes(spark, sf)).where("frame < 4 and type <> 'DontCare'").withColumn("t2", F.lit(0.5)).withColumn("h", F.lit(3.0))
+    b = views.with_3d(views.gt_boxes(spark, sf)).where("type <> 'DontCare'").withColumn("t2", F.lit(0.5)).withColumn("h", F.lit(3.0))
     return pipelines.build_objects(views.scan(spark, sf), b).groupBy("cls").agg(F.count("*").alias("n"), F.count_distinct("frame", "obj").alias("objects"))
 
 

@@ -47,9 +47,9 @@ def scan_txt_normals(spark, sf):
     return formats.read_csv(spark, joined(spark, p, names), names).select("frame", "pid", *[F.round(c, 4).alias(c) for c in ("z", "nx", "nz")])
 
 
-@query("scan_pairs", "select pid::int as target, frame as source, round(x, 4) as t_x, round(z, 4) as q_w from pts3 where frame = 1 and pid > (select max(pid) from (select pid from pts3 where frame = 1 order by pid limit 3))")
+@query("scan_pairs", "select pid::int as target, frame as source, round(x, 4) as t_x, round(z, 4) as q_w from (select *, row_number() over (partition by frame order by pid) as r from pts3) where r > 3")
 def scan_pairs(spark, sf):
-    p = views.pts3(spark, sf).where("frame = 1").select("frame", "pid", F.col("pid").cast("double").alias("a"), F.col("frame").cast("double").alias("b"), "x", "y", "z")
+    p = views.pts3(spark, sf).select("frame", "pid", F.col("pid").cast("double").alias("a"), F.col("frame").cast("double").alias("b"), "x", "y", "z")
     path = joined(spark, p, ("a", "b", "x", "y", "z", "z", "x", "x", "x"), head="idx1,idx2,t_x,t_y,t_z,q_w,q_x,q_y,q_z\n")
     return formats.read_pairs(spark, path, skip=3).select("target", "source", F.round("t_x", 4).alias("t_x"), F.round("q_w", 4).alias("q_w"))
 
@@ -80,12 +80,12 @@ def sink_ply(spark, sf):
     return formats.read_ply(spark, out, ("x", "nz")).groupBy("frame").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("nz"), 3).alias("snz"))
 
 
-@query("sink_object_bin", "select 'Car' as cls, count(*) as n, count(distinct frame) as files from pts3")
+@query("sink_object_bin", "select 'Car_' || frame || '_0' as frame, (row_number() over (partition by frame order by pid) - 1)::bigint as pid, 'Car' as cls, round(x::float::double, 5) as x, round(y::float::double, 5) as y, round(z::float::double, 5) as z from pts3")
 def sink_object_bin(spark, sf):
     out = folder(spark, "objects")
     p = views.pts3(spark, sf).select(F.lit("Car").alias("cls"), "frame", F.lit(0).alias("obj"), "pid", "x", "y", "z")
     sinks.write_object_bins(p, out).count()
-    return formats.read_object_bin(spark, out).groupBy("cls").agg(F.count("*").alias("n"), F.count_distinct("frame").alias("files"))
+    return formats.read_object_bin(spark, out).select("frame", "pid", "cls", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
 @query("sink_tree_convert", "select case when frame < 5 then 'chair' else 'desk' end as category, case when pid % 3 = 0 then 'test' else 'train' end as split, count(*) as n from pts3 group by 1, 2")
@@ -110,10 +110,10 @@ def sink_labels(spark, sf):
     return formats.read_labels(spark, out).groupBy("frame").agg(F.count("*").alias("n"), F.round(F.sum("alpha"), 1).alias("alpha"))
 
 
-@query("sink_reg", "select pid::int as target, frame as source, round(y, 5) as t_y from pts3 where frame < 3")
+@query("sink_reg", "select pid::int as target, frame as source, round(y, 5) as t_y from pts3")
 def sink_reg(spark, sf):
     out = folder(spark, "poses")
-    p = views.pts3(spark, sf).where("frame < 3")
+    p = views.pts3(spark, sf)
     sinks.write_registration(p.select(F.col("pid").alias("idx1"), F.col("frame").alias("idx2"), F.col("x").alias("t_x"), F.col("y").alias("t_y"), F.col("z").alias("t_z"), *[F.lit(0.5).alias(q) for q in ("q_w", "q_x", "q_y", "q_z")]), out)
     return formats.read_pairs(spark, out).select("target", "source", F.round("t_y", 5).alias("t_y"))
 
@@ -121,7 +121,9 @@ def sink_reg(spark, sf):
 @query("sink_stats", "select 'image' as metric, type as cls, frame as rank, max(score) filter (where ord % 3 = 0) as easy, max(score) filter (where ord % 3 = 1) as moderate, max(score) filter (where ord % 3 = 2) as hard from det_boxes group by type, frame")
 def sink_stats(spark, sf):
     d = views.det_boxes(spark, sf).select(F.lit("image").alias("metric"), F.col("type").alias("cls"), F.col("frame").alias("rank"), (F.col("ord") % 3).alias("difficulty"), F.col("score").alias("precision"))
-    return sinks.stats_table(d)
+    out = folder(spark, "stats")
+    sinks.write_stats(d, out)
+    return sinks.read_stats(spark, out)
 
 
 @query("nano_save_load", "select pid, x from pts3 where x between -0.5 and 1.0 and y between -1.0 and 0.75 and z between -2.0 and 2.0")

@@ -189,9 +189,18 @@ def math_ops(spark, sf):
     return views.pts3(spark, sf).select("pid", F.round(F.sqrt(F.abs("x")), 6).alias("a"), F.round(F.pow("y", F.lit(2)), 6).alias("b"), F.round(F.atan2("y", "x"), 6).alias("c"), F.floor("z").alias("d"), F.ceil("z").alias("e"), (c("pid") % 7).alias("f"), c("pid").bitwiseOR(F.lit(5)).cast("long").alias("g"), F.round(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("x") / 10))), 6).alias("h"))
 
 
-@query("array_ops", "select frame, count(*) as n, count(distinct floor(x)) as cells, round(sum(x), 4) as total from pts3 where pid % 3 <> 0 group by frame")
+@query(
+    "array_ops",
+    """with a as (select frame, list(x order by pid) as xs, list(distinct floor(y)) as ys from pts3 group by frame)
+    select frame, len(xs)::int as n, round(list_sum(xs), 4) as total, list_min(ys)::bigint as low, len(ys)::int as cells, round(xs[len(xs)], 6) as last, len(list_filter(xs, lambda v: v > 0))::int as positive, list_contains(ys, 0) as has_zero from a""",
+)
 def array_ops(spark, sf):
-    return views.pts3(spark, sf).where("pid % 3 <> 0").groupBy("frame").agg(F.count("*").alias("n"), F.count_distinct(F.floor("x")).alias("cells"), F.round(F.sum("x"), 4).alias("total"))
+    # a frame's points are gathered, as an object's points are in one record
+    a = views.pts3(spark, sf).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("pid", "x"))).alias("_p"), F.collect_set(F.floor("y")).alias("ys")).withColumn("xs", F.transform("_p", lambda p: p["x"]))
+    return a.select(
+        "frame", F.size("xs").alias("n"), F.round(F.aggregate("xs", F.lit(0.0), lambda t, v: t + v), 4).alias("total"), F.array_min("ys").alias("low"), F.size("ys").alias("cells"),
+        F.round(F.element_at("xs", -1), 6).alias("last"), F.size(F.filter("xs", lambda v: v > 0)).alias("positive"), F.array_contains("ys", F.lit(0).cast("long")).alias("has_zero"),
+    )
 
 
 # --- neighbour joins ------------------------------------------------------------------
@@ -283,10 +292,10 @@ def metric_adaptors(spark, sf):
     return j.groupBy("qid").agg(F.round(F.min(geometry.metric_distance(q, n, "l1")), 6).alias("l1"), F.round(F.min(geometry.metric_distance(q, n)), 6).alias("l2"), F.round(F.min(geometry.metric_distance([q[0] / 5], [n[0] / 5], "so2")), 6).alias("so2"))
 
 
-@query("nano_dynamic_index", "with base as (select * from pts3 where pid % 2 = 0 union all select * from pts3 where pid % 2 = 1 and pid < 100), live as (select * from base where pid % 10 <> 0) select frame, count(*) as n, round(sum(x), 4) as sx from live group by frame")
+@query("nano_dynamic_index", "with base as (select * from pts3 where pid % 2 = 0 union all select * from pts3 where pid % 2 = 1), live as (select * from base where pid % 10 <> 0) select frame, count(*) as n, round(sum(x), 4) as sx from live group by frame")
 def nano_dynamic_index(spark, sf):
     p = views.pts3(spark, sf)
-    live = spatial.with_delta(p.where("pid % 2 = 0"), p.where("pid % 2 = 1 and pid < 100"), p.where("pid % 10 = 0"))
+    live = spatial.with_delta(p.where("pid % 2 = 0"), p.where("pid % 2 = 1"), p.where("pid % 10 = 0"))
     return live.groupBy("frame").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"))
 
 
@@ -341,9 +350,9 @@ def anti_index(spark, sf):
     return p.join(p.where("x > 0").select("pid"), "pid", "left_anti").select("pid")
 
 
-@query("gather_join", "select i.slot, p.pid, p.x from (select l_linenumber as slot, l_orderkey % 500 as pid from lineitem where l_orderkey < 400) i join pts3 p using (pid)")
+@query("gather_join", "select i.slot, p.pid, p.x from (select l_linenumber as slot, l_orderkey % 500 as pid from lineitem) i join pts3 p using (pid)")
 def gather_join(spark, sf):
-    i = views.table(spark, sf, "lineitem").where("l_orderkey < 400").select(F.col("l_linenumber").alias("slot"), (F.col("l_orderkey") % 500).alias("pid"))
+    i = views.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("slot"), (F.col("l_orderkey") % 500).alias("pid"))
     return i.join(views.pts3(spark, sf), "pid").select("slot", "pid", "x")
 
 

@@ -54,6 +54,20 @@ def stats_table(curve: DataFrame, value: str = "precision") -> DataFrame:
     return curve.groupBy("metric", "cls", "rank").agg(*[F.max(F.when(F.col("difficulty") == i, F.col(value))).alias(n) for i, n in enumerate(names)])
 
 
+def write_stats(curve: DataFrame, folder: str, value: str = "precision") -> None:
+    """The curve's table as text, a folder for each metric and class: one line a rank with its easy, moderate and hard values."""
+    rows = stats_table(curve, value)
+    line = F.concat_ws(" ", F.col("rank").cast("string"), *[F.coalesce(F.col(n).cast("string"), F.lit("nan")) for n in ("easy", "moderate", "hard")])
+    rows.select("metric", "cls", line.alias("value")).write.partitionBy("metric", "cls").text(folder)
+
+
+def read_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_stats() wrote; a missing value is null."""
+    part = F.split("value", " ")
+    number = lambda i: F.when(part[i] != "nan", part[i].cast("double"))
+    return spark.read.text(folder).select("metric", "cls", part[0].cast("int").alias("rank"), *[number(i + 1).alias(n) for i, n in enumerate(("easy", "moderate", "hard"))])
+
+
 def save_cells(df: DataFrame, folder: str, edge: float, cols: Sequence[str] = ("x", "y", "z"), parts: int = 8) -> None:
     """A spatial index on disk: points with their cells, cells of one hash together and in order."""
     cells = [F.floor(F.col(c) / edge).cast("long").alias(f"c{c}") for c in cols]

@@ -5,25 +5,28 @@ import pytest
 
 from pointmill.plans.catalogue import QUERIES, SQL
 
-SLOW = {"registration_pipeline", "eval_driver", "pr_curve", "icp_point2plane", "icp_point2point"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return compare.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, sf_dir, con, name):
     got, want = QUERIES[name](spark, sf_dir).toPandas(), con.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert compare.rows(got) == compare.rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
-def test_runs(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    assert df.columns and len(df.collect()) >= 0
+#: Too few rows of the smallest tables come through these.
+LARGER = {"dataset_build", "foreground_objects"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_gives_rows(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir.replace("sf0.001", "sf0.01") if name in LARGER else sf_dir)
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
 
 
 def test_entry(spark):

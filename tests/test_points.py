@@ -158,12 +158,44 @@ def test_iou_of_shifted_squares(spark):
     assert abs(df.select(boxes.iou_2d("a_", "b_").alias("i")).first()["i"] - 1 / 3) < 1e-12
 
 
-def test_rotated_overlap():
-    square = boxes.footprint(0, 0, 2, 2, 0)
-    assert abs(boxes.intersection_area(square, boxes.footprint(0, 0, 2, 2, math.pi / 4)) - 8 * (math.sqrt(2) - 1)) < 1e-9
-    assert boxes.intersection_area(square, boxes.footprint(5, 0, 2, 2, 0.3)) == 0
-    a, b = boxes.footprint(0.3, 0.1, 4, 1.6, 0.5), boxes.footprint(0, 0, 3.5, 1.7, 0.2)
-    assert abs(boxes.intersection_area(a, b) - boxes.intersection_area(b, a)) < 1e-9
+def clipped_area(p, q):
+    """Overlap of two convex polygons by cutting one with the lines of the other."""
+    for (ax, ay), (bx, by) in zip(q, q[1:] + q[:1], strict=True):
+        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in p]
+        out = []
+        for i, (x, y) in enumerate(p):
+            j = (i + 1) % len(p)
+            if side[i] >= 0:
+                out.append((x, y))
+            if side[i] * side[j] < 0:
+                t = side[i] / (side[i] - side[j])
+                out.append((x + t * (p[j][0] - x), y + t * (p[j][1] - y)))
+        p = out
+        if len(p) < 3:
+            return 0.0
+    return abs(sum(x * p[(i + 1) % len(p)][1] - y * p[(i + 1) % len(p)][0] for i, (x, y) in enumerate(p))) / 2
+
+
+def test_ground_overlap_equals_clipping(spark):
+    rng = np.random.default_rng(4)
+    box = lambda: (*rng.uniform(-1.5, 1.5, 2), *rng.uniform(0.5, 4, 2), rng.uniform(-4, 4))
+    rows = [(box(), box()) for _ in range(200)]
+    # the same box, shared edges, corners on edges, one inside the other, apart, no area
+    unit = (0.0, 0.0, 2.0, 2.0, 0.0)
+    rows += [(b, b) for b, _ in rows[:20]] + [(unit, (1.0, 0.0, 2.0, 2.0, 0.0)), (unit, (2.0, 0.0, 2.0, 2.0, 0.0)), (unit, (0.0, 0.0, 2.0, 2.0, math.pi / 4)), (unit, (0.0, 0.0, 1.0, 1.0, 0.3)), (unit, (9.0, 0.0, 2.0, 2.0, 0.3)), (unit, (0.0, 0.0, 0.0, 2.0, 0.0)), (unit, (0.0, 0.0, 2.0, 2.0, math.pi / 2))]
+
+    def corners(t1, t3, length, width, ry):
+        c, s = math.cos(ry), math.sin(ry)
+        return [(c * x + s * y + t1, c * y - s * x + t3) for x, y in ((length / 2, width / 2), (-length / 2, width / 2), (-length / 2, -width / 2), (length / 2, -width / 2))]
+
+    flat = [(k, *map(float, p), *map(float, q), 1.5, 1.5, 1.7, 1.9) for k, (p, q) in enumerate(rows)]
+    names = [f"{side}_{n}" for side in "ab" for n in ("t1", "t3", "l", "w", "ry")] + ["a_h", "b_h", "a_t2", "b_t2"]
+    df = spark.createDataFrame(flat, "k int, " + ", ".join(f"{n} double" for n in names))
+    got = boxes.ground_overlaps(df).withColumn("iou", boxes.ground_ratio("bev")).orderBy("k").collect()
+    want = [clipped_area(corners(*p), corners(*q)) if min(p[2], p[3], q[2], q[3]) > 0 else 0.0 for p, q in rows]
+    assert np.allclose([r["_flat"] for r in got], want, atol=1e-6)
+    assert np.allclose([r["_solid"] for r in got], np.array(want) * 1.3, atol=1e-6)
+    assert all(abs(r["iou"] - 1) < 1e-6 for r in got[200:220])
 
 
 def test_contending_detections():
