@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointmill.functions.geometry import XYZ, sq_distance
@@ -117,30 +118,79 @@ def seed_spread(df: DataFrame, k: int, cols: Sequence[str] = XYZ, id: str = "pid
     """First the least id, then each time the row farthest from the centres so far (the deterministic form of the exp-weighted draw)."""
     found = [tuple(df.orderBy(id).select(*cols).first())]
     while len(found) < k:
-        d = [sq_distance([F.col(c) for c in cols], [F.lit(float(v)) for v in p]) for p in found]
-        near = F.least(*d) if len(d) > 1 else d[0]
-        found.append(tuple(df.orderBy(near.desc(), id).select(*cols).first()))
+        found.append(_farthest(df, found, cols, id))
     return found
 
 
-def gmm(df: DataFrame, k: int, max_iter: int = 100, seed: int = 1, cols: Sequence[str] = XYZ, id: str = "pid") -> tuple[DataFrame, list]:
-    """Gaussian mixture by Spark's own EM: (pid, k of the most likely component) and the components."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
+@dataclass
+class Mixture:
+    """Weights, means and full covariances of Gaussian components."""
 
-    put = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
-    model = GaussianMixture(k=k, maxIter=max_iter, tol=1e-4, seed=seed).fit(put)
-    parts = [(w, g.mean.toArray().tolist(), g.cov.toArray().tolist()) for w, g in zip(model.weights, model.gaussians, strict=True)]
-    return model.transform(put).select(id, F.col("prediction").alias("k")), parts
+    weights: list[float]
+    means: list[list[float]]
+    covariances: list[list[list[float]]]
 
+    def log_densities(self, cols: Sequence[str]) -> list[Column]:
+        """log(weight x density) of a row under each component."""
+        out = []
+        for w, m, c in zip(self.weights, self.means, self.covariances, strict=True):
+            inverse, n = np.linalg.inv(c), len(m)
+            d = [F.col(x) - F.lit(float(v)) for x, v in zip(cols, m, strict=True)]
+            square = sum((d[i] * d[j] * float(inverse[i, j]) for i in range(n) for j in range(n)), F.lit(0.0))
+            out.append(F.lit(math.log(max(w, 1e-300)) - 0.5 * (n * math.log(2 * math.pi) + np.linalg.slogdet(c)[1])) - square / 2)
+        return out
 
-def gmm_step(df: DataFrame, means: Sequence[Sequence[float]], variances: Sequence[float], weights: Sequence[float], cols: Sequence[str] = XYZ) -> DataFrame:
-    """One soft assignment and M-step with spherical components: (k, pi, mean of each column)."""
-    n = len(cols)
-    dens = [F.lit(w / (2 * math.pi * v) ** (n / 2)) * F.exp(-sq_distance([F.col(c) for c in cols], [F.lit(float(x)) for x in m]) / (2 * v)) for m, v, w in zip(means, variances, weights, strict=True)]
-    total = sum(dens[1:], dens[0])
-    soft = df.select(*cols, F.posexplode(F.array(*[F.try_divide(d, total) for d in dens])).alias("k", "_r"))
-    return soft.groupBy("k").agg(F.avg("_r").alias("pi"), *[(F.sum(F.col("_r") * F.col(c)) / F.sum("_r")).alias(c) for c in cols])
+
+def gmm(df: DataFrame, start: Mixture, tol: float = 1e-4, max_iter: int = 100, cols: Sequence[str] = XYZ, id: str = "pid", least: float = 0.01, again: float = 0.3) -> tuple[DataFrame, Mixture]:
+    """Gaussian mixture by EM: (pid, k of the most likely component) and the components.
+
+    Each round is one aggregate over all rows: posteriors, then their weighted sums, of which a component's
+    weight, mean and covariance follow. A component whose covariance has shrunk below `least` (Frobenius norm)
+    starts again with `again` times the identity at the row farthest from all means. Stops when no number moved
+    more than `tol`; after `max_iter` rounds the last estimate stands.
+    """
+    now, n = start, len(cols)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    for _ in range(max_iter):
+        logs = F.array(*now.log_densities(cols))
+        # differences from the present means keep the sums small
+        post = df.select(*cols, logs.alias("_l")).withColumn("_m", F.array_max("_l")).withColumn("_e", F.transform("_l", lambda v: F.exp(v - F.col("_m")))).withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
+        sums = [F.count("*").alias("n")]
+        for k, mean in enumerate(now.means):
+            r, d = F.get("_e", k) / F.col("_s"), [F.col(c) - F.lit(float(v)) for c, v in zip(cols, mean, strict=True)]
+            sums += [F.sum(r).alias(f"r{k}"), *[F.sum(r * d[i]).alias(f"d{k}_{i}") for i in range(n)], *[F.sum(r * d[i] * d[j]).alias(f"c{k}_{i}_{j}") for i, j in pairs]]
+        row = post.agg(*sums).first()
+        new = Mixture([], [], [])
+        for k, mean in enumerate(now.means):
+            r = max(row[f"r{k}"] or 0.0, 1e-300)
+            shift = np.array([row[f"d{k}_{i}"] or 0.0 for i in range(n)]) / r
+            cov = np.zeros((n, n))
+            for i, j in pairs:
+                cov[i, j] = cov[j, i] = (row[f"c{k}_{i}_{j}"] or 0.0) / r - shift[i] * shift[j]
+            mean = (np.array(mean) + shift).tolist()
+            if np.linalg.norm(cov) < least:
+                mean, cov = list(_farthest(df, now.means, cols, id)), again * np.eye(n)
+            new.weights.append(r / max(row["n"], 1))
+            new.means.append(mean)
+            new.covariances.append(cov.tolist())
+        moved = max(float(np.abs(np.array(a) - np.array(b)).max()) for a, b in ((new.weights, now.weights), (new.means, now.means), (new.covariances, now.covariances)))
+        now = new
+        if moved < tol:
+            break
+    best = F.array(*now.log_densities(cols))
+    return df.select(id, (F.array_position(best, F.array_max(best)) - 1).cast("int").alias("k")), now
+
+
+def spread_mixture(df: DataFrame, k: int, cols: Sequence[str] = XYZ, id: str = "pid", size: float = 0.3) -> Mixture:
+    """A start: equal weights, means far from each other, `size` times the identity."""
+    means = [[float(v) for v in p] for p in seed_spread(df, k, cols, id)]
+    return Mixture([1 / k] * k, means, [(size * np.eye(len(cols))).tolist() for _ in range(k)])
+
+
+def _farthest(df: DataFrame, points: Sequence[Sequence[float]], cols: Sequence[str], id: str) -> tuple:
+    """The row farthest from all points, the least id of equals."""
+    d = [sq_distance([F.col(c) for c in cols], [F.lit(float(v)) for v in p]) for p in points]
+    return tuple(df.orderBy((F.least(*d) if len(d) > 1 else d[0]).desc(), id).select(*cols).first())
 
 
 def knn_graph(df: DataFrame, k: int = 10, key: Sequence[str] = (), id: str = "pid") -> DataFrame:

@@ -178,10 +178,10 @@ def _kmeans_sql(rounds: int) -> str:
     return f"with {', '.join(out)} select pid, k from {pick.format(rounds)} where r = 1"
 
 
-@query("kmeans", _kmeans_sql(5))
+@query("kmeans", _kmeans_sql(40))
 def kmeans(spark, sf):
     start = spark.createDataFrame(_INIT, "k int, x double, y double, z double")
-    return cluster.kmeans(views.pts3(spark, sf), 3, start, tol=0.0, max_iter=5)[0]
+    return cluster.kmeans(views.pts3(spark, sf), 3, start, tol=1e-9, max_iter=40)[0]
 
 
 @query("kmeans_seed", f"{_fps_sql(4, '')} select step::int as k, x, y, z from picked")
@@ -190,27 +190,47 @@ def kmeans_seed(spark, sf):
     return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(found)], "k int, x double, y double, z double")
 
 
-@query("seed_distinct", "select (row_number() over (order by pid) - 1)::int as k, x, y, z from pts3 order by pid limit 3")
+def _distinct_sql(k: int, least: float) -> str:
+    far = lambda i: f"power(p.x - s{i}.x, 2) + power(p.y - s{i}.y, 2) + power(p.z - s{i}.z, 2) > {least}::double"
+    steps = [f"s{j} as (select p.* from pts3 p{''.join(f', s{i}' for i in range(j))} where {' and '.join(far(i) for i in range(j)) or 'true'} order by p.pid limit 1)" for j in range(k)]
+    return f"with {', '.join(steps)} " + " union all ".join(f"select {j} as k, x, y, z from s{j}" for j in range(k))
+
+
+@query("seed_distinct", _distinct_sql(4, 6.0))
 def seed_distinct(spark, sf):
-    found = cluster.seed_distinct(views.pts3(spark, sf), 3)
+    found = cluster.seed_distinct(views.pts3(spark, sf), 4, 6.0)
     return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(found)], "k int, x double, y double, z double")
 
 
-_MEANS, _VARS, _WEIGHTS = [[0.5, 0.5, 0.5], [-0.5, -0.5, 0.0]], [1.0, 1.5], [0.4, 0.6]
+_MIXTURE = cluster.Mixture([0.4, 0.6], [[0.5, 0.5, 0.5], [-0.5, -0.5, 0.0]], [[[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [[1.5, 0.2, 0.0], [0.2, 1.5, 0.0], [0.0, 0.0, 1.5]]])
+_PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
-@query(
-    "gmm",
-    """with d as (select x, y, z, 0.4::double / power(2 * pi(), 1.5) * exp(-(power(x - 0.5, 2) + power(y - 0.5, 2) + power(z - 0.5, 2)) / 2) as a, 0.6::double / power(2 * pi() * 1.5, 1.5) * exp(-(power(x + 0.5, 2) + power(y + 0.5, 2) + power(z, 2)) / 3) as b from pts3),
-    r as (select x, y, z, 0 as k, a / (a + b) as r from d union all select x, y, z, 1, b / (a + b) from d) select k, round(avg(r), 6) as pi, round(sum(r * x) / sum(r), 6) as x, round(sum(r * y) / sum(r), 6) as y, round(sum(r * z) / sum(r), 6) as z from r group by k""",
-)
+def _mixture_sql(rounds: int) -> str:
+    """EM unrolled: a table of components for each round; full covariances, their inverses by cofactors."""
+    rows = ", ".join(f"({k}, {w}, {', '.join(map(str, m))}, {c[0][0]}, {c[0][1]}, {c[0][2]}, {c[1][1]}, {c[1][2]}, {c[2][2]})" for k, (w, m, c) in enumerate(zip(_MIXTURE.weights, _MIXTURE.means, _MIXTURE.covariances, strict=True)))
+    cast = ", ".join(f"{c}::double as {c}" for c in ("pi", "mx", "my", "mz", *(f"c{p}" for p in _PAIRS)))
+    out = [f"g0 as (select k, {cast} from (values {rows}) t(k, pi, mx, my, mz, {', '.join(f'c{p}' for p in _PAIRS)}))"]
+    for i in range(rounds):
+        out.append(f"""i{i} as (select *, cyy * czz - cyz * cyz as a, cxz * cyz - cxy * czz as b, cxy * cyz - cxz * cyy as c, cxx * czz - cxz * cxz as d, cxy * cxz - cxx * cyz as e, cxx * cyy - cxy * cxy as f from g{i}),
+        p{i} as (select pid, x, y, z, k, ln(pi) - 0.5 * ln(power(2 * pi(), 3) * det) - ((x - mx) * (x - mx) * a + (y - my) * (y - my) * d + (z - mz) * (z - mz) * f + 2 * ((x - mx) * (y - my) * b + (x - mx) * (z - mz) * c + (y - my) * (z - mz) * e)) / det / 2 as l
+          from pts3, (select *, cxx * a + cxy * b + cxz * c as det from i{i})),
+        r{i} as materialized (select *, exp(l - m) / sum(exp(l - m)) over (partition by pid) as r from (select *, max(l) over (partition by pid) as m from p{i})),
+        m{i} as (select k, avg(r) as pi, sum(r) as s, sum(r * x) / sum(r) as mx, sum(r * y) / sum(r) as my, sum(r * z) / sum(r) as mz from r{i} group by k),
+        g{i + 1} as materialized (select k, any_value(m.pi) as pi, any_value(mx) as mx, any_value(my) as my, any_value(mz) as mz, {', '.join(f'sum(r * ({p[0]} - m{p[0]}) * ({p[1]} - m{p[1]})) / any_value(s) as c{p}' for p in _PAIRS)} from r{i} join m{i} m using (k) group by k)""")
+    return f"with {', '.join(out)}"
+
+
+@query("gmm", f"{_mixture_sql(4)} select k, round(pi, 5) as pi, round(mx, 5) as x, round(my, 5) as y, round(mz, 5) as z, {', '.join(f'round(c{p}, 5) as c{p}' for p in _PAIRS)} from g4")
 def gmm(spark, sf):
-    return cluster.gmm_step(views.pts3(spark, sf), _MEANS, _VARS, _WEIGHTS).select("k", *R6("pi", "x", "y", "z"))
+    m = cluster.gmm(views.pts3(spark, sf), _MIXTURE, tol=0.0, max_iter=4)[1]
+    rows = [(k, *(round(float(v), 5) for v in (w, *mean, c[0][0], c[0][1], c[0][2], c[1][1], c[1][2], c[2][2]))) for k, (w, mean, c) in enumerate(zip(m.weights, m.means, m.covariances, strict=True))]
+    return spark.createDataFrame(rows, "k int, pi double, x double, y double, z double, " + ", ".join(f"c{p} double" for p in _PAIRS))
 
 
-@query("gmm_em")
+@query("gmm_em", f"{_mixture_sql(6)} select pid, arg_max(k, l)::int as k from (select pid, k, ln(g.pi) - 0.5 * ln(det) - ((x - mx) * (x - mx) * a + (y - my) * (y - my) * d + (z - mz) * (z - mz) * f + 2 * ((x - mx) * (y - my) * b + (x - mx) * (z - mz) * c + (y - my) * (z - mz) * e)) / det / 2 as l from pts3, (select *, cxx * a + cxy * b + cxz * c as det from (select *, cyy * czz - cyz * cyz as a, cxz * cyz - cxy * czz as b, cxy * cyz - cxz * cyy as c, cxx * czz - cxz * cxz as d, cxy * cxz - cxx * cyz as e, cxx * cyy - cxy * cxy as f from g6)) g) group by pid")
 def gmm_em(spark, sf):
-    return cluster.gmm(views.pts3(spark, sf), 3, max_iter=20)[0]
+    return cluster.gmm(views.pts3(spark, sf), _MIXTURE, tol=0.0, max_iter=6)[0]
 
 
 _GRAPH = f"g as (select qid as src, nid as dst, 1 / greatest(dist, 1e-12) as w from (select *, row_number() over (partition by qid order by dist, nid) as r from ({_ALL})) where r <= 10 and qid <> nid), n_ as (select src, dst, w / sum(w) over (partition by src) as w from g)"
@@ -491,9 +511,17 @@ def set_abstraction(spark, sf):
     return out.select("frame", "centre", *[F.round(c, 5).alias(c) for c in out.columns if c.startswith("f1_")])
 
 
-@query("set_abstraction_msg")
+def _scale_sql(r: float, k: int, name: str) -> str:
+    group = _group_sql(8, r, k)
+    steps = f"{group}, a as (select frame, centre, {_mlp_sql(_MLP[0], ['dx', 'dy', 'dz'], 'a')} from grouped), b as (select frame, centre, {_mlp_sql(_MLP[1], [f'a{i}' for i in range(8)], 'b')} from a)"
+    return f"({views.with_views(steps + ' select frame, centre, ' + ', '.join(f'round(max(b{i}), 5) as {name}_{i}' for i in range(4)) + ' from b group by frame, centre')})"
+
+
+@query("set_abstraction_msg", f"select * from {_scale_sql(1.0, 4, 'f0')} join {_scale_sql(2.0, 8, 'f1')} using (frame, centre)")
 def set_abstraction_msg(spark, sf):
-    return layers.set_abstraction_msg(views.pts3(spark, sf), 8, (1.0, 2.0), (4, 8), _MLP, ("frame",))
+    out = layers.set_abstraction_msg(views.pts3(spark, sf), 8, (1.0, 2.0), (4, 8), _MLP, ("frame",))
+    names = [c for c in out.columns if c not in ("frame", "centre")]
+    return out.select("frame", "centre", *[F.round(c, 5).alias(f"f{i // 4}_{i % 4}") for i, c in enumerate(names)])
 
 
 @query(
@@ -606,10 +634,14 @@ def scan_kitti_label(spark, sf):
     return formats.read_labels(spark, _text_files(spark, put)).groupBy("frame").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 2).alias("x1"), F.sum("occlusion").alias("occlusion"))
 
 
-@query("scan_kitti_det", "select bool_or(lower(type) = 'car') as has_car, bool_or(lower(type) = 'pedestrian') as has_pedestrian, bool_or(lower(type) = 'cyclist') as has_cyclist, bool_and(alpha <> -10) as aos from det_boxes")
+@query("scan_kitti_det", """with f as (select bool_or(lower(type) = 'car') as has_car, bool_or(lower(type) = 'pedestrian') as has_pedestrian, bool_or(lower(type) = 'cyclist') as has_cyclist, bool_and(alpha <> -10) as aos from det_boxes)
+    select lpad(frame::varchar, 6, '0') as frame, type, round(x1, 1) as x1, round(y2, 1) as y2, round(t3, 1) as t3, abs(s.score - d.score) < 0.006 as scored, f.* from det3 d, f, lateral (select round(d.score, 2) as score) s""")
 def scan_kitti_det(spark, sf):
-    put = formats.label_text(views.with_3d(views.det_boxes(spark, sf), True), detections=True).select(F.concat(F.lpad(F.col("frame").cast("string"), 6, "0"), F.lit(".txt")).alias("name"), "content")
-    return formats.detection_flags(formats.read_labels(spark, _text_files(spark, put), detections=True))
+    d = views.with_3d(views.det_boxes(spark, sf), True)
+    put = formats.label_text(d, detections=True).select(F.concat(F.lpad(F.col("frame").cast("string"), 6, "0"), F.lit(".txt")).alias("name"), "content")
+    read = formats.read_labels(spark, _text_files(spark, put), detections=True)
+    rows = read.select("frame", "type", *[F.round(c, 1).alias(c) for c in ("x1", "y2", "t3")], F.col("score").between(0, 1).alias("scored"))
+    return rows.join(F.broadcast(formats.detection_flags(read)), F.lit(True))  # one row
 
 
 @query("scan_split_list", "select type || '_' || ord as name, type as cls from gt_boxes where ord % 10 = 3")
@@ -631,16 +663,43 @@ def gen_uniform(spark, sf):
     return formats.uniform_points(spark, 1000, 2)
 
 
-@query("gen_gmm", "select * from (values (0, 400::bigint), (1, 600), (2, 1000)) t(label, n)")
+def _drawn_sql(pid: str, seed: int) -> str:
+    return f"(('0x' || substr(md5({pid} || ':{seed}'), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+def _gauss_sql(pid: str, seed: int) -> str:
+    return f"(sqrt(-2 * ln(1 - {_drawn_sql(pid, 2 * seed)})) * cos(2 * pi() * {_drawn_sql(pid, 2 * seed + 1)}))"
+
+
+_BLOBS = [(0, 0, 400, 0.5, 0.5, 1.0, 3.0), (1, 400, 600, 5.5, 2.5, 2.0, 2.0), (2, 1000, 1000, 1.0, 7.0, 6.0, 2.0)]
+
+
+@query("gen_gmm", " union all ".join(f"select pid, {k} as label, round({_gauss_sql('pid', 1 + 2 * k)} * {sx}::double + {mx}::double, 6) as x, round({_gauss_sql('pid', 2 + 2 * k)} * {sy}::double + {my}::double, 6) as y from range({first}, {first + n}) t(pid)" for k, first, n, mx, my, sx, sy in _BLOBS))
 def gen_gmm(spark, sf):
-    return formats.gaussian_blobs(spark).groupBy("label").agg(F.count("*").alias("n"))
+    return formats.gaussian_blobs(spark).select("pid", "label", *R6("x", "y"))
+
+
+_KINDS = ("circles", "moons", "blobs", "aniso", "varied")
+
+
+def _toy_sql(kind: str) -> str:
+    two = kind in ("circles", "moons")
+    base = f"select pid, (pid % {2 if two else 3})::int as k, {_drawn_sql('pid', 1)} * pi() as a, {_gauss_sql('pid', 2)} as e, {_gauss_sql('pid', 3)} as f from range(1500) t(pid)"
+    cx, cy, s = "case k when 0 then -6 when 1 then 0 else 6 end", "case k when 0 then 2 when 1 then -5 else 3 end", "case k when 0 then 1.0 when 1 then 2.5 else 0.5 end::double" if kind == "varied" else "1"
+    x, y = {
+        "circles": ("case k when 0 then 1.0 else 0.5 end::double * cos(2 * a) + 0.05::double * e", "case k when 0 then 1.0 else 0.5 end::double * sin(2 * a) + 0.05::double * f"),
+        "moons": ("case k when 0 then cos(a) else 1 - cos(a) end + 0.05::double * e", "case k when 0 then sin(a) else 0.5 - sin(a) end + 0.05::double * f"),
+    }.get(kind, (f"{cx} + {s} * e", f"{cy} + {s} * f"))
+    if kind == "aniso":
+        x, y = f"0.6::double * ({x}) - 0.6::double * ({y})", f"-0.4::double * ({x}) + 0.8::double * ({y})"
+    return f"select '{kind}' as kind, pid, k as label, round({x}, 6) as x, round({y}, 6) as y from ({base})"
 
 
-@query("gen_toy", "select * from (values ('circles', 1500::bigint), ('moons', 1500), ('blobs', 1500), ('aniso', 1500), ('varied', 1500)) t(kind, n)")
+@query("gen_toy", " union all ".join(map(_toy_sql, _KINDS)))
 def gen_toy(spark, sf):
     out = None
-    for kind in ("circles", "moons", "blobs", "aniso", "varied"):
-        one = formats.toy_shapes(spark, kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    for kind in _KINDS:
+        one = formats.toy_shapes(spark, kind).select(F.lit(kind).alias("kind"), "pid", "label", *R6("x", "y"))
         out = one if out is None else out.unionByName(one)
     return out
 

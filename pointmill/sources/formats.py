@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -267,18 +268,28 @@ def uniform_points(spark: SparkSession, n: int, dims: int = 3, extent: float = 1
     return spark.range(n).select(F.col("id").alias("pid"), *c)
 
 
+def drawn(id: str, seed: int) -> Column:
+    """A number from 0 to 1 for each id, the same on every run and however rows are dealt."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def gaussian(id: str, seed: int) -> Column:
+    """A standard normal number for each id."""
+    return F.sqrt(-2 * F.log(1 - drawn(id, 2 * seed))) * F.cos(2 * math.pi * drawn(id, 2 * seed + 1))
+
+
 def gaussian_blobs(spark: SparkSession, sizes: Sequence[int] = (400, 600, 1000), means=((0.5, 0.5), (5.5, 2.5), (1.0, 7.0)), deviations=((1.0, 3.0), (2.0, 2.0), (6.0, 2.0)), seed: int = 1) -> DataFrame:
     """(pid, label, x, y) from Gaussians of the given sizes."""
     out, first = None, 0
     for k, n in enumerate(sizes):
-        one = spark.range(first, first + n).select(F.col("id").alias("pid"), F.lit(k).alias("label"), *[(F.randn(seed + 2 * k + i) * deviations[k][i] + means[k][i]).alias(c) for i, c in enumerate("xy")])
+        one = spark.range(first, first + n).select(F.col("id").alias("pid"), F.lit(k).alias("label"), *[(gaussian("id", seed + 2 * k + i) * deviations[k][i] + means[k][i]).alias(c) for i, c in enumerate("xy")])
         out, first = one if out is None else out.unionByName(one), first + n
     return out
 
 
 def toy_shapes(spark: SparkSession, kind: str, n: int = 1500, noise: float = 0.05, seed: int = 1) -> DataFrame:
     """(pid, label, x, y): circles, moons, blobs, aniso or varied."""
-    base = spark.range(n).select(F.col("id").alias("pid"), (F.col("id") % (2 if kind in ("circles", "moons") else 3)).cast("int").alias("label"), (F.rand(seed) * 3.141592653589793).alias("_a"), F.randn(seed + 1).alias("_e"), F.randn(seed + 2).alias("_f"))
+    base = spark.range(n).select(F.col("id").alias("pid"), (F.col("id") % (2 if kind in ("circles", "moons") else 3)).cast("int").alias("label"), (drawn("id", seed) * math.pi).alias("_a"), gaussian("id", seed + 1).alias("_e"), gaussian("id", seed + 2).alias("_f"))
     k, a, e, f = F.col("label"), F.col("_a"), F.col("_e"), F.col("_f")
     if kind == "circles":
         r = F.when(k == 0, 1.0).otherwise(0.5)
