@@ -1,4 +1,10 @@
-"""A corpus pipeline: classify quality, drop near copies, drop benchmark leaks, redact secrets, encode."""
+"""A corpus pipeline: classify quality, drop near copies, drop benchmark leaks, redact secrets, encode.
+
+Every stage takes documents with any further columns, whatever their names, and gives them back; the last one
+gives ids and texts. Nulls: a null text counts as empty; rows with a null or repeated id are documents of
+their own in every stage, and equal rows are copies of one document. Very long texts are read whole. An empty
+table goes through as an empty table; without labels or benchmark items nothing is dropped for them.
+"""
 
 from __future__ import annotations
 
@@ -19,12 +25,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the least doc_id."""
+    """One document of each class of near copies: the first by (doc_id, digest of the text), null ids last."""
     return jaccard.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verbatim window of a benchmark item."""
+    """Documents whose text has no verbatim window of a benchmark item."""
     return decontaminate.remove_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
