@@ -53,3 +53,21 @@ def test_stages_keep_the_columns(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_awkward_documents_go_through(spark, docs, empty, tmp_path):
+    """Nulls, copies, repeated and missing ids, empty and long texts, clashing columns; then nothing at all."""
+    spark.createDataFrame([(0, 1, 0), (6, 0, 0), (None, 1, None), (8, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("q", "no such words at all in any document of this table"), (None, None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start, name in ((docs, "some"), (empty, "none")):
+        now = start
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            before = now.count()
+            out.write.parquet(str(tmp_path / f"{name}{k}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            if k in (2, 3, 4):  # no leak here, and the last two drop nothing
+                assert now.count() == before
+        assert (now.count() > 0) == (name == "some")
