@@ -152,14 +152,20 @@ def knn_vectors(q: DataFrame, b: DataFrame, k: int, qid: str = "pid", bid: str =
     def best(one, other):
         if one.empty or other.empty:
             return pd.DataFrame({"qid": [], "nid": [], "dist": []})
-        other = other.sort_values("nid")
         ids, base = other["nid"].to_numpy(), np.array(other["v"].tolist(), float)
-        out = []
-        for name, v in zip(one["qid"], one["v"], strict=True):
-            d = ((base - np.asarray(v, float)) ** 2).sum(1)
-            top = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({"qid": name, "nid": ids[top], "dist": np.sqrt(d[top])}))
-        return pd.concat(out)
+        queries = np.array(one["v"].tolist(), float)
+        # one matrix product finds who may be among the k best, up to its rounding; these are measured exactly
+        near = (queries**2).sum(1)[:, None] + (base**2).sum(1)[None] - 2 * queries @ base.T
+        slack = 1e-9 * (near.max() + (queries**2).max() + (base**2).max())
+        bound = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        i, j = np.nonzero(near <= bound[:, None] + slack)
+        d = ((base[j] - queries[i]) ** 2).sum(1)
+        order = np.lexsort((ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        place = np.arange(i.size) - np.repeat(first, np.diff(np.append(first, i.size)))
+        keep = place < k
+        return pd.DataFrame({"qid": one["qid"].to_numpy()[i[keep]], "nid": ids[j[keep]], "dist": np.sqrt(d[keep])})
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "qid long, nid long, dist double")
     return nearest(found, k)
