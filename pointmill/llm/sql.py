@@ -114,9 +114,9 @@ from d join named using (r) left join (select a as r, count(*) as n from links g
 
 REPEATS = """
 with d as (
-  select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as k, hex(encode(coalesce(text, ''))) as h from documents
+  select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as k, encode(coalesce(text, '')) as b, hex(b) as h from documents
 ), windows as (
-  select r, k, p, substr(h, 2 * p + 1, 100) as g from (select r, k, h, unnest(range(0, length(h) // 2 - 49)) as p from d)
+  select r, k, p, array_slice(b, p + 1, p + 50) as g from (select r, k, b, unnest(range(0, octet_length(b) - 49)) as p from d)
 ), first as (
   select g, min(k) as least from windows group by g
 ), hits as (
