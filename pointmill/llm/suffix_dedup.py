@@ -152,9 +152,17 @@ class Chunk:
         self.runs = Runs(self.texts, length, gram)
         self.anchors, self.anchor_of, self.seen = np.unique(self.runs.anchor, return_inverse=True, return_counts=True)
 
-    def distinct(self, codes: np.ndarray, shards: int) -> dict:
-        """Distinct segments of the anchors that may repeat, in order of their destination."""
+    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors in the order of their buckets, and these. Anchors are least hashes, so they are hashed again."""
+        bucket = (common.mix64(self.anchors) % _U(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+    def distinct(self, told: np.ndarray, shards: int) -> dict:
+        """Distinct segments of the anchors that may repeat, in order of their destination; told: the buckets' codes."""
         r = self.runs
+        codes = np.empty(self.anchors.size, np.uint8)
+        codes[self.buckets(shards)[0]] = told
         code = codes[self.anchor_of]
         pick = np.flatnonzero(code > 0)
         base = np.cumsum([0] + [len(t) for t in self.texts])
@@ -263,10 +271,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     def send_anchors(key, table):
         c = Chunk(table, length, gram)
-        bucket = ((c.anchors >> _U(32)) * _U(chunks) >> _U(32)).astype(np.int64)
+        order, bucket = c.buckets(shards)
         names, cut = common.runs_of(bucket)
-        seen = np.minimum(c.seen, 65535).astype(np.uint16)
-        return _rows(chunk=[key[0].as_py()] * len(names), bucket=names, keys=[c.anchors[a:b].tobytes() for a, b in cut], seen=[seen[a:b].tobytes() for a, b in cut])
+        anchors, seen = c.anchors[order], np.minimum(c.seen[order], 65535).astype(np.uint16)
+        return _rows(chunk=[key[0].as_py()] * len(names), bucket=names, keys=[anchors[a:b].tobytes() for a, b in cut], seen=[seen[a:b].tobytes() for a, b in cut])
 
     def count_anchors(key, table):
         keys = [np.frombuffer(x, _U) for x in table["keys"].to_pylist()]
