@@ -35,7 +35,7 @@ WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 6
 #: Signature similarity that joins a node to a leader, and that makes it no leader itself.
 JOIN_LEADER, SAME_AS_LEADER, LINK_LEADERS = 0.4, 0.8, 0.2
 #: Members of a bucket in one part; rows in one group of buckets; nodes in one block of a component.
-BUCKET_PART, GROUP_ROWS, BLOCK = 500, 500, 1500
+BUCKET_PART, GROUP_ROWS, BLOCK = 500, 500, 400
 #: Parts of the rows of one node when they learn their class.
 SALTS = 16
 _P = [pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64) for k in range(64)]
