@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm import chat, common, decontaminate, jaccard, katz, pieces, quality_rank, quality_rules, secrets, suffix_dedup, toxicity
+from pointmill.llm import chat, common, decontaminate, hard_negatives, jaccard, katz, lattice, pieces, quality_rank, quality_rules, secrets, suffix_dedup, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,5 +77,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lattice_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.classes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told, model, error = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    share = F.array(*[F.lit(float(e) / model.trace if model.trace else None).cast("double") for e in model.eigenvalues])
+    rows = told.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("k", "whitened"))
+    return rows.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(share, F.col("k")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -139,5 +139,43 @@ from d left join kept using (r)
 """
 
 
+#: Vectors linked by cosine, all pairs; components by the least id that links reach.
+LATTICE_NEIGHBOURS = """
+with recursive v as (
+  select row_number() over () as r, vec_id, embedding::double[] as x, case when embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+    and len(list_filter(embedding, lambda c: c <> 0)) > 0 then sqrt(list_sum(list_transform(embedding::double[], lambda c: c * c))) end as norm from embeddings
+), links as (
+  select a.r as a, b.r as b, b.vec_id as other from v a join v b on a.r <> b.r and a.norm is not null and b.norm is not null
+    and list_dot_product(list_transform(a.x, lambda c: c / a.norm), list_transform(b.x, lambda c: c / b.norm)) >= 0.9
+), reach as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+), least as (
+  select reach.a as r, min(v.vec_id) as least from reach join v on v.r = reach.b group by 1
+), counted as (
+  select a as r, count(*) as n from links group by 1
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, case when n is null then vec_id else coalesce(least(vec_id, least), vec_id, least) end as component_id,
+  vec_id is not distinct from component_id as kept
+from v left join counted using (r) left join least using (r)
+"""
+
+#: Exact scores of anchors with all rows: sums of products of whole numbers below 2^53 are exact in double.
+HARD_NEGATIVES = """
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), scores as (
+  select a.r as ar, a.vec_id as anchor_id, b.r, b.vec_id, a.label = b.label as same, coalesce(list_dot_product(a.x, b.x), 0)::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.r <> b.r
+), positives as (
+  select * from (select *, row_number() over (partition by ar order by score desc, vec_id, r) as p from scores where same) where p <= 5
+), found as (
+  select p.ar, p.p, p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.ar, p.p order by s.score desc, s.vec_id, s.r) as rank
+  from positives p join scores s on p.ar = s.ar and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from found where rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": JACCARD, "op10_suffix_dedup": REPEATS, "op1_decontamination": DECONTAMINATION, "op5_chat_perspectives": CHAT, "op7_quality_rules": quality_rules_sql()}
+    return {"op6_jaccard_join": JACCARD, "op10_suffix_dedup": REPEATS, "op1_decontamination": DECONTAMINATION, "op5_chat_perspectives": CHAT, "op7_quality_rules": quality_rules_sql(), "op11_lattice_neighbours": LATTICE_NEIGHBOURS, "op13_hard_negatives": HARD_NEGATIVES}
