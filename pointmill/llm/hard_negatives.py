@@ -31,7 +31,7 @@ from pointmill.llm import common, vectors
 #: Rows that the codebooks are fitted on, and rounds of the fit.
 SAMPLE, ROUNDS = 8192, 8
 #: Entries of a subspace and codes of a codebook.
-WIDTH, CODES = 4, 256
+WIDTH, CODES = 2, 256
 #: Rows of a block, anchors of a block, anchors scored at a time, and most lanes.
 BLOCK, ANCHORS, STEP, LANES = 16_384, 1024, 64, 20_000
 
