@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most buckets of a table: Spark refuses over 100,000, and each is a file. A bucket holds any number of keys.
+MOST_BUCKETS = 20_000
+
 _OWN_DIRS: dict[str, str] = {}
 
 
@@ -35,11 +38,11 @@ def bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
     """The frame as a table bucketed by `key`, in the shared folder: groups of the key then need no shuffle of it.
 
     Spark deals a bucketed side anew if it has fewer buckets than the session has shuffle partitions, so
-    there are as many at least.
+    there are as many at least. Beyond MOST_BUCKETS the buckets grow instead.
     """
     spark = df.sparkSession
     name = f"{what}_{uuid.uuid4().hex}"
-    n = max(1, buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, min(buckets, MOST_BUCKETS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
     return spark.table(name)
