@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes that a row of a run counts for besides its text, so that empty texts fill runs too.
+ROW_BYTES = 64
 #: Rows and bytes that one Arrow batch carries into Python: long texts must not pile up in one batch.
 BATCH_ROWS, BATCH_BYTES = 400, 16 << 20
 
@@ -183,7 +185,7 @@ def loosened_strings(data: bytes) -> list[bytes]:
 
 
 def text_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, dict[str, list]]]:
-    """The rows of a task in runs of about `limit` bytes of text (the column `text`, as bytes), each with an
+    """The rows of a task in runs of about `limit` bytes (the column `text`, as bytes, and ROW_BYTES for each row), each with an
     id of its own: the partition's number and the run's. Only for tables that are written at once, as a run
     depends on the order in which its task reads."""
     from pyspark import TaskContext
@@ -193,7 +195,7 @@ def text_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[i
         columns = {n: (batch.column(n).cast(pa.binary()) if n == "text" else batch.column(n)).to_pylist() for n in batch.schema.names}
         begin = 0
         for j, text in enumerate(columns["text"]):
-            size += len(text)
+            size += len(text) + ROW_BYTES
             if size > limit:
                 held = {n: [*(held[n] if held else ()), *c[begin : j + 1]] for n, c in columns.items()}
                 yield base + k, held

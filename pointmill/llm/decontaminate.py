@@ -48,7 +48,7 @@ def digest(text: Column) -> Column:
 def index(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The training index: one row for each shard, with its documents' ids and its words' suffix array.
 
-    Suffixes are in order of their first `window` words.
+    Suffixes are in order of their first `window` words, equal ones in order of the word before them.
     """
     common.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), common.whole_text(text_col).alias("text"), digest(common.whole_text(text_col)).alias("digest"))
@@ -70,7 +70,7 @@ def index(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
                     "n_words": pack(common.squeezed(n_words)),
                     "words": pack(common.packed_sorted(words)),
                     "tokens": pack(common.squeezed(place)),
-                    "suffixes": pack(common.squeezed(suffixes.suffix_array(suffixes.ranks_to_depth(seq, window)))),
+                    "suffixes": pack(common.squeezed(np.lexsort((before(seq), suffixes.ranks_to_depth(seq, window))))),
                 }
             )
 
@@ -87,6 +87,11 @@ def sequence(place: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return out
 
 
+def before(seq: np.ndarray) -> np.ndarray:
+    """The number before each place."""
+    return np.append(0, seq[:-1]) if seq.size else seq
+
+
 class TestSet:
     """The suffixes of one block of benchmark items."""
 
@@ -120,12 +125,18 @@ def search(row: dict, tests: TestSet) -> list[np.ndarray]:
     n_words = common.loosened(row["n_words"])
     seq, sa = sequence(common.loosened(row["tokens"]), n_words), common.loosened(row["suffixes"])
     lo, hi = suffixes.search(seq, sa, local, tests.start[able], tests.width[able])
-    count = hi - lo
-    test, pos = np.repeat(able, count), sa[common.flat(lo, count)]
+    # a match that the item and the document both go on before is part of a longer one. Only windows of full width have a word
+    # before them, and their range is one run of equal windows in order of the word before: a part of it is cut out
+    inner = tests.place[able] > 0
+    prior = np.where(inner, local[np.maximum(tests.start[able] - 1, 0)], -1)
+    left = before(seq)[sa]
+    lower, upper = (np.where(inner, cut, lo) for cut in suffixes.bounds_within(left, lo, hi, prior))
+    test, pos = [], []
+    for a, b in ((lo, lower), (upper, hi)):
+        test.append(np.repeat(able, b - a))
+        pos.append(sa[common.flat(a, b - a)])
+    test, pos = np.concatenate(test), np.concatenate(pos)
     item, item_word = tests.item[test], tests.place[test]
-    # a match that the item and the document both go on before is part of a longer one
-    before = (item_word > 0) & (local[np.maximum(tests.start[test] - 1, 0)] == seq[np.maximum(pos - 1, 0)])
-    test, pos, item, item_word = test[~before], pos[~before], item[~before], item_word[~before]
     long, _ = suffixes.compare(seq, pos, local, tests.start[test], tests.length[item] - item_word)
     first = np.cumsum(n_words + 1) - n_words
     doc = np.searchsorted(first, pos, side="right") - 1

@@ -6,7 +6,8 @@ that are segmented alone, each distinct one of the whole corpus once:
 
 1. Every task cuts its rows into chunks: the chunk's distinct words, and the texts as places in that list.
 2. Chunks send their distinct words to the buckets of the word table; a bucket segments every distinct
-   word once and answers each chunk in the order in which it asked.
+   word once and answers each chunk in the order in which it asked. Beyond MOST_BUCKETS chunks (24 GB of text) there are
+   several word tables, for lots of as many chunks: messages and buckets then grow no further.
 3. The ids come back to the chunk and are joined by position. Chunks are a bucketed table, so the texts
    themselves are never shuffled.
 
@@ -33,6 +34,9 @@ from pointmill.llm import common
 MARK = "▁"
 #: Text of a chunk.
 CHUNK_BYTES = 12 << 20
+#: Buckets of a word table. A larger corpus has a word table for each MOST_BUCKETS chunks, so that a chunk sends a bounded
+#: number of messages and a bucket gets a bounded number.
+MOST_BUCKETS = 2_000
 _MARKED_WORDS = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -82,7 +86,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     if not splits_at_markers(model):
         raise ValueError("a piece of this model crosses a whitespace marker, or its normaliser changes text")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
-    buckets = common.parts_for(common.text_bytes(source), chunk_bytes)
+    n_chunks = common.parts_for(common.text_bytes(source), chunk_bytes)
+    buckets, lots = min(n_chunks, MOST_BUCKETS), common.parts_for(n_chunks, MOST_BUCKETS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in common.text_runs(batches, chunk_bytes):
@@ -108,7 +113,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 }
             )
 
-    chunks = bucketed(source.mapInArrow(cut, "chunk long, ids array<long>, n binary, tokens binary, words binary, to binary"), "chunk", buckets, "piece_chunks")
+    chunks = bucketed(source.mapInArrow(cut, "chunk long, ids array<long>, n binary, tokens binary, words binary, to binary"), "chunk", n_chunks, "piece_chunks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +145,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         )
 
     asked = chunks.select("chunk", "words", "to").mapInArrow(ask, "chunk long, bucket long, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(segment, "chunk long, bucket long, n binary, pieces binary, decoded binary")
+    lot = F.pmod(F.xxhash64("chunk"), F.lit(lots).cast("long"))
+    answers = asked.groupBy("bucket", *([lot] if lots > 1 else [])).applyInArrow(segment, "chunk long, bucket long, n binary, pieces binary, decoded binary")
 
     def join_back(key, left, right):
         row, order = left.to_pylist()[0], np.argsort(right["bucket"].to_numpy())

@@ -168,3 +168,17 @@ def search(text: np.ndarray, sa: np.ndarray, other: np.ndarray, start: np.ndarra
             hi[open_[~below]] = mid[~below]
         bounds.append(lo)
     return bounds[0], bounds[1]
+
+
+def bounds_within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where `wanted` begins and ends in each ascending stretch values[lo:hi], by binary search of all at once."""
+    out = []
+    for upper in (False, True):
+        a, b = lo.copy(), hi.copy()
+        while (open_ := np.flatnonzero(a < b)).size:
+            mid = (a[open_] + b[open_]) // 2
+            below = values[mid] <= wanted[open_] if upper else values[mid] < wanted[open_]
+            a[open_[below]] = mid[below] + 1
+            b[open_[~below]] = mid[~below]
+        out.append(a)
+    return out[0], out[1]

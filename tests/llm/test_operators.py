@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -434,3 +435,70 @@ def test_packed_numbers():
 
 def test_digest_of_no_values(spark):
     assert spark.range(1).select(common.sha256_of(F.array().cast("array<string>")).alias("h")).first()["h"] == hashlib.sha256(b"").hexdigest()
+
+
+def matches_by_hand(docs, items, window=10):
+    """Maximal matches as (doc, item, item word, document word, words), from all pairs of places."""
+    out = []
+    for d, text in enumerate(docs):
+        for q, item in enumerate(items):
+            w = min(window, len(item))
+            for i in range(len(item)):
+                for j in range(len(text)):
+                    if item[i] == text[j] and not (i and j and item[i - 1] == text[j - 1]):
+                        n = 0
+                        while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n]:
+                            n += 1
+                        if n >= w:
+                            out.append((d, q, i, j, n))
+    return sorted(out)
+
+
+def test_repeated_words_in_item_and_document(spark):
+    """Equal words make a number of matches that grows with the lengths, not with their product."""
+    rng = random.Random(8)
+    texts = [["a"] * 300, ["a", "b"] * 100 + ["c"] * 50, [rng.choice("ab") for _ in range(200)], [], ["c"] * 12]
+    items = [["a"] * 80, ["b", "a"] * 20, [rng.choice("ab") for _ in range(60)], ["c"] * 3, ["x"] + ["c"] * 11]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(str(k), " ".join(t)) for k, t in enumerate(items)], "item_id string, text string")
+    got = [(r["doc_id"], int(m["item_id"]), m["item_word"], m["doc_word"], m["n_words"]) for r in decontaminate.report(df, bench).collect() for m in r["matches"]]
+    assert sorted(got) == matches_by_hand(texts, items)
+
+    import tracemalloc
+
+    df = spark.createDataFrame([(1, "a " * 40_000)], "doc_id long, text string")
+    row = decontaminate.index(df).first().asDict()
+    tests = decontaminate.TestSet([("q", b"a " * 2_000)], 10)
+    tracemalloc.start()
+    doc, item, item_word, doc_word, n = decontaminate.search(row, tests)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = [(0, k, min(2_000, 40_000 - k)) for k in range(39_991)] + [(k, 0, 2_000 - k) for k in range(1, 1_991)]
+    assert sorted(zip(item_word.tolist(), doc_word.tolist(), n.tolist(), strict=True)) == sorted(first) and peak < 500e6
+
+
+def test_more_chunks_than_buckets(spark, docs, monkeypatch):
+    """Bucketed tables and word tables have bounded numbers of buckets, whatever the number of chunks."""
+    from pointmill.functions import tables
+
+    model = queries.piece_model()
+    want = sorted(map(str, pieces.encode(docs, model).collect()))
+    scores = sorted(map(str, katz.score(docs).select("doc_id", "n_tokens", F.round("score", 6)).collect()))
+    monkeypatch.setattr(tables, "MOST_BUCKETS", 3)
+    monkeypatch.setattr(pieces, "MOST_BUCKETS", 4)
+    assert sorted(map(str, pieces.encode(docs, model, chunk_bytes=2_000).collect())) == want
+    assert sorted(map(str, katz.score(docs, chunk_bytes=5_000).select("doc_id", "n_tokens", F.round("score", 6)).collect())) == scores
+
+
+def test_runs_of_empty_texts_are_bounded(spark):
+    """A million rows without text come in runs of bounded size."""
+    from pointmill.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for _, rows in common.text_runs(batches, 1 << 20):
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows["text"])])})
+
+    told = [r["n"] for r in spark.range(1_000_000, numPartitions=2).selectExpr("'' as text").mapInArrow(sizes, "n long").collect()]
+    assert sum(told) == 1_000_000 and max(told) <= (1 << 20) // common.ROW_BYTES + 1
