@@ -37,6 +37,8 @@ COSINE = 0.9
 TABLES, POINTS, WIDTH, PROBES, RECALL = 12, 2, 1.75, 4, 0.93
 #: Nodes of a part of a cell; balls of a part of a bucket; nodes of a block of a ball.
 PART, BUCKET_PART, BLOCK = 2000, 3000, 2000
+#: Crowded cells whose table may be broadcast.
+BROADCAST_ROWS = 10_000
 #: Angles are compared with so much to spare, so that rounding never decides.
 SPARE = 1e-6
 SEED = 11
@@ -301,8 +303,13 @@ def candidates(told: DataFrame, centres: DataFrame, d: int, least: float, tables
     # balls at home in a cell, from which follows how many parts a crowded one needs
     size = stand(0).groupBy("cell").agg(F.count("*").alias("n"))
     crowded = size.where(F.col("n") > part // (probes + 1)).select("cell", F.ceil(F.col("n") * (probes + 1) / F.lit(part)).cast("int").alias("parts"))
+    crowded = written(crowded, "crowded")
+    few = crowded.limit(BROADCAST_ROWS + 1).count()  # mostly none: then the rows need no join, and few are broadcast
     groups = common.parts_for(told.count() * tables * (probes + 1), 4 * part)
-    dealt = stand(probes).join(crowded, "cell", "left")
+    if few:
+        dealt = stand(probes).join(F.broadcast(crowded) if few <= BROADCAST_ROWS else crowded, "cell", "left")
+    else:
+        dealt = stand(probes).withColumn("parts", F.lit(None).cast("int"))
     own = F.pmod(F.xxhash64("ball"), F.col("parts")).cast("int")
     # a pair of parts is one group, and so is a part with itself
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
