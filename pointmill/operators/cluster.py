@@ -15,6 +15,7 @@ from pointmill.functions.geometry import XYZ, sq_distance
 from pointmill.functions.graph import connected_components
 from pointmill.functions.tables import written
 from pointmill.operators import spatial
+from pointmill.operators.spectral import spectral
 
 #: (row, column) steps of the pixel neighbourhoods of 4, 8, 12 and 20 pixels.
 STENCILS = {
@@ -216,43 +217,6 @@ def laplacian_radius(df: DataFrame, r: float, id: str = "pid") -> DataFrame:
     return both.groupBy("i", "j").agg((F.sum("value") / 2).alias("value"))
 
 
-def spectral(df: DataFrame, key: Sequence[str], k: int = 10, estimate: int = 8, most: int = 5000, id: str = "pid") -> DataFrame:
-    """(key.., pid, cluster): spectral clustering of every key's cloud on its own kNN graph.
-
-    The eigenvectors of one cloud are a dense problem of its size, so clouds go to tasks of their own; more
-    than `most` points in one are refused. The number of clusters is where the eigenvalues first jump.
-    """
-    edges = knn_graph(df, k, key, id)
-    types = dict(df.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in key) + ", pid long, cluster int"
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, flat = np.unique(np.concatenate([frame["src"], frame["dst"]]), return_inverse=True)
-        n = nodes.size
-        if n > most:
-            raise ValueError(f"{n} points in one cloud; at most {most}")
-        lap = np.eye(n)
-        lap[flat[: len(frame)], flat[len(frame) :]] -= frame["w"].to_numpy()
-        values, vectors = np.linalg.eig(lap)
-        order = np.argsort(values.real, kind="stable")[: min(estimate, n)]
-        values, vectors = values.real[order], vectors.real[:, order]
-        gaps = np.diff(values)
-        jump = np.flatnonzero(gaps > 50 * max(gaps[0], 1e-9)) if gaps.size else np.empty(0, int)
-        count = int(jump[0]) + 1 if jump.size else 1
-        points = vectors[:, :count]
-        centres = points[np.unique(np.round(points, 6), axis=0, return_index=True)[1][:count]]
-        for _ in range(100):
-            label = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-            new = np.array([points[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
-            if np.abs(new - centres).max() < 1e-6:
-                break
-            centres = new
-        first = {c: i for i, c in enumerate(dict.fromkeys(label.tolist()))}
-        return pd.DataFrame({**{c: frame[c].iloc[0] for c in key}, "pid": nodes, "cluster": [first[c] for c in label.tolist()]})
-
-    return edges.groupBy(*key).applyInPandas(solve, schema)
-
-
 def mean_shift(df: DataFrame, bandwidth: float, max_iter: int = 300, tol: float = 1e-3, cols: Sequence[str] = XYZ, id: str = "pid") -> DataFrame:
     """(pid, cluster): modes of a flat kernel; points whose modes are within half a bandwidth share the least id.
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointmill.functions.geometry import XYZ, gaussian
+from pointmill.functions.tables import written
 from pointmill.operators import spatial
 
 
@@ -121,16 +124,27 @@ def normal_space(df: DataFrame, bins: int, n: int, key: Sequence[str] = (), id:
     return out.drop("_bx", "_by", "_bz", "_r")
 
 
-def fps(df: DataFrame, n: int, key: Sequence[str], id: str = "pid") -> DataFrame:
+#: Rows of an object that is sampled inside a task; candidates that a larger one sends in each round.
+FPS_ROWS, FPS_CANDIDATES = 100_000, 512
+
+
+def fps(df: DataFrame, n: int, key: Sequence[str], id: str = "pid", rows: int = FPS_ROWS, candidates: int = FPS_CANDIDATES) -> DataFrame:
     """Farthest point sampling inside each key: (key.., step, id); starts at the least id, ties to the lower id.
 
-    Sequential by nature, so one object is one group; objects are bounded clusters, not whole scans.
+    Objects of at most `rows` rows are sampled inside a task, larger ones in rounds over a written distance column; both give the
+    same rows.
     """
-    import numpy as np
-    import pandas as pd
+    sizes = df.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    large = written(sizes.select(*key, "_n"), "large")
+    if large.isEmpty():
+        return _fps_in_task(df, n, key, id)
+    on = list(key)
+    few = _fps_in_task(df.join(large, on, "left_anti"), n, key, id)
+    return few.unionByName(_fps_in_rounds(df.join(large, on).select(*key, id, *XYZ, F.least(F.col("_n"), F.lit(n)).alias("_n")), on, id, candidates).select(*few.columns))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in (*key, id))
 
+def _fps_in_task(df: DataFrame, n: int, key: Sequence[str], id: str) -> DataFrame:
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in (*key, id))
     names = [c for c in df.columns if c in (*key, id)]
 
     def pick(k, frame):
@@ -143,7 +157,45 @@ def fps(df: DataFrame, n: int, key: Sequence[str], id: str = "pid") -> DataFrame
             at = int(np.argmax(far))
         return frame.iloc[chosen][names].assign(step=range(len(chosen)))[[*names, "step"]]
 
-    return df.groupBy(*key).applyInPandas(pick, f"{fields}, step int")
+    return df.select(*names, *XYZ).groupBy(*key).applyInPandas(pick, f"{fields}, step int")
+
+
+def _fps_in_rounds(df: DataFrame, key: list[str], id: str, candidates: int) -> DataFrame:
+    """(key.., step, id) of objects (key.., id, x, y, z, _n), _n samples each.
+
+    A round sends the rows farthest from the samples so far. Among them sampling goes on as long as the farthest one, after the
+    round's samples, is still beyond the last one sent: all other rows are nearer. Then all rows learn the round's samples.
+    """
+    fields = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in (*key, id))
+
+    def go_on(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_d", id], ascending=[False, True])
+        p, d, ids = frame[list(XYZ)].to_numpy(float), frame["_d"].to_numpy(), frame[id].to_numpy()
+        order = np.argsort(ids, kind="stable")  # the first of equals has the least id
+        last, left, chosen = (d[-1], ids[-1]), int(frame["_n"].iloc[0] - frame["_step"].iloc[0]), []
+        while len(chosen) < left:
+            at = order[int(np.argmax(d[order]))]
+            if len(frame) == candidates and (d[at], -ids[at]) < (last[0], -last[1]):
+                break
+            chosen.append(at)
+            d = np.minimum(d, ((p - p[at]) ** 2).sum(1))
+        return frame.iloc[chosen][[*key, id, *XYZ]].assign(step=np.arange(len(chosen), dtype=np.int32) + int(frame["_step"].iloc[0]))
+
+    now, steps, out = written(df.withColumn("_d", F.lit(1e10)).withColumn("_step", F.lit(0)), "far"), f"{fields}, x double, y double, z double, step int", None
+    w = Window.partitionBy(*key).orderBy(F.desc("_d"), id)
+    while True:
+        top = now.where("_step < _n").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= candidates).drop("_r")
+        if out is None:  # all are equally far from no sample: the least id alone
+            top = top.withColumn("_n", F.lit(1))
+        new = written(top.groupBy(*key).applyInPandas(go_on, steps), "samples")
+        if new.isEmpty():
+            return out
+        out = new.select(*key, id, "step") if out is None else out.unionByName(new.select(*key, id, "step"))
+        told = new.groupBy(*key).agg((F.max("step") + 1).alias("_s"), F.collect_list(F.struct(*XYZ)).alias("_p"))  # `candidates` at most
+        here = [F.col(c) for c in XYZ]
+        near = F.array_min(F.transform("_p", lambda p: sum(((c - p[k]) * (c - p[k]) for c, k in zip(here, XYZ, strict=True)), F.lit(0.0))))
+        moved = now.join(told, key, "left")
+        now = written(moved.select(*key, id, *XYZ, "_n", F.least("_d", F.coalesce(near, F.col("_d"))).alias("_d"), F.coalesce("_s", "_step").alias("_step")), "far")
 
 
 def resample(df: DataFrame, n: int, key: Sequence[str], id: str = "pid") -> DataFrame:

@@ -315,9 +315,29 @@ def spfh(spark, sf):
     return a.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("alpha")), 5).alias("alpha"), F.round(F.avg("phi"), 5).alias("phi"))
 
 
-@query("shot352")
+def _shot_sql(r: float) -> str:
+    """Frames by the closed form of eigenvectors, then each neighbour's shares of the sixteen bins around it."""
+    dot = lambda a, b: f"({a}x * {b}x + {a}y * {b}y + {a}z * {b}z)"
+    off = lambda v: f"case when abs{dot('d', v)} > 1e-6 * dist then {dot('d', v)} else 0 end"
+    r_ = f"{r}::double"
+    low = lambda c, n: f"greatest(0, least({n - 1}, floor({c}) + i_{c}))"
+    return f"""with {_RADIAL}, o as (select qid, nid, dist, t.x - s.x as dx, t.y - s.y as dy, t.z - s.z as dz, t.nx as mx, t.ny as my, t.nz as mz from ({_ALL}) p join rad s on s.pid = qid join rad t on t.pid = nid where dist <= {r_} and qid <> nid),
+    c as (select qid, {", ".join(f"sum(({r_} - dist) * d{s[1]} * d{s[2]}) / nullif(sum({r_} - dist), 0) as {s}" for s in geometry.SYM)} from o group by qid), m as (select qid, {", ".join(f"-{s} as {s}" for s in geometry.SYM)} from c),
+    {geometry.eigen_sql("c", "qid", "e")}, {geometry.eigen_sql("m", "qid", "f")},
+    a as (select e.qid, {", ".join(f"case when e.l2 - e.l3 > 1e-6 * e.l1 and e.l1 - e.l2 > 1e-6 * e.l1 then e.n{c} end as z{c}" for c in "xyz")}, f.nx as xx, f.ny as xy, f.nz as xz from e join f using (qid)),
+    g as (select o.qid, {", ".join(f"any_value({t}{c}) as {t}{c}" for t in "zx" for c in "xyz")}, coalesce(nullif(sum(sign({off("z")})), 0), sum({off("z")})) as sz, coalesce(nullif(sum(sign({off("x")})), 0), sum({off("x")})) as sx from o join a using (qid) group by o.qid),
+    h as (select qid, {", ".join(f"case when s{t} < 0 then -{t}{c} else {t}{c} end as {t}{c}" for t in "zx" for c in "xyz")} from g where zx is not null and xx is not null),
+    y as (select *, zy * xz - zz * xy as yx, zz * xx - zx * xz as yy, zx * xy - zy * xx as yz from h),
+    l as (select o.qid, (atan2({dot("d", "y")}, {dot("d", "x")}) + pi()) / (2 * pi()) * 8 - 0.5 as sector, asin(greatest(-1, least(1, {dot("d", "z")} / dist))) / pi() * 2 + 0.5 as elevation, dist / {r_} * 2 - 0.5 as shell, (greatest(-1, least(1, {dot("m", "z")})) + 1) / 2 * 11 - 0.5 as slot from o join y using (qid)),
+    w as (select qid, ((((floor(sector)::int + i_sector + 8) % 8) * 2 + {low("elevation", 2)}) * 2 + {low("shell", 2)}) * 11 + {low("slot", 11)} as bin, {" * ".join(f"case when i_{k} = 0 then 1 - {k} + floor({k}) else {k} - floor({k}) end" for k in ("sector", "elevation", "shell", "slot"))} as v
+      from l, (values (0), (1)) s1(i_sector), (values (0), (1)) s2(i_elevation), (values (0), (1)) s3(i_shell), (values (0), (1)) s4(i_slot)),
+    b as (select qid, bin, sum(v) as v from w group by qid, bin having sum(v) > 0)
+    select qid as pid, bin::int as bin, round(v / sqrt(sum(v * v) over (partition by qid)), 4) as value from b"""
+
+
+@query("shot352", _shot_sql(0.9))
 def shot352(spark, sf):
-    return features.shot(_radial(spark, sf), 0.9).select("pid", F.size("vec").alias("n"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v), 4).alias("norm"))
+    return features.shot_bins(_radial(spark, sf), 0.9).where("bin is not null").select("pid", "bin", F.round("value", 4).alias("value"))
 
 
 @query(
