@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from pointmill.functions import geometry
-from pointmill.operators import filters, ground, linalg, spatial
+from pointmill.operators import filters, ground, linalg, octree, spatial
 from pointmill.plans import views
 from pointmill.plans.registry import query
 
@@ -228,10 +228,10 @@ def knn_kdtree(spark, sf):
     return _told(spatial.knn_join(p, p, 8))
 
 
-@query("knn_octree", _knn_sql(5).replace("a.x - b.x", "a.x - b.x"))
+@query("knn_octree", _knn_sql(5))
 def knn_octree(spark, sf):
     p = views.pts3(spark, sf)
-    return _told(spatial.knn(p, p, 5, method="grid"))
+    return _told(octree.knn(p, octree.build(p, 16, 1e-3), 5))
 
 
 @query("knn_per_frame", "select frame, qid, nid, round(dist, 6) as dist, rank::int as rank from (select *, row_number() over (partition by frame, qid order by dist, nid) as rank from (select a.frame, a.pid as qid, b.pid as nid, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) as dist from pts3 a join pts3 b on a.frame = b.frame)) where rank <= 4")
@@ -255,7 +255,7 @@ def radius_kdtree(spark, sf):
 @query("radius_octree", f"select qid, count(*) as n, round(max(dist), 6) as far from ({_ALL}) where dist <= 0.9 group by qid")
 def radius_octree(spark, sf):
     p = views.pts3(spark, sf)
-    return spatial.radius_join(p, p, 0.9).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("dist"), 6).alias("far"))
+    return octree.radius(p, octree.build(p, 16, 1e-3), 0.9).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("dist"), 6).alias("far"))
 
 
 @query("nano_radius", f"select qid, nid, round(dist, 6) as dist from ({_ALL}) where dist * dist < 0.3")
