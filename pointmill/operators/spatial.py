@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from pointmill.functions.tables import written
 
 #: Rows of a side that may be broadcast.
 SMALL = 5_000
-#: Vectors on either side of a group.
-VECTOR_BLOCK = 2_000
+#: Vectors on either side of a group, and cells that vectors are dealt to at most.
+VECTOR_BLOCK, MOST_PIVOTS = 2_000, 512
 
 
 def small(df: DataFrame, limit: int = SMALL) -> bool:
@@ -137,38 +138,156 @@ def knn(q: DataFrame, b: DataFrame, k: int, method: str = "auto", **how) -> Data
     return knn_join(q, b, k, **how)
 
 
-def knn_vectors(q: DataFrame, b: DataFrame, k: int, qid: str = "pid", bid: str = "pid", vec: str = "vec", block: int = VECTOR_BLOCK) -> DataFrame:
-    """(qid, nid, dist, rank): exact k nearest vectors of any dimension, block of queries against block of base.
+def _rows(column) -> np.ndarray:
+    """The vectors of an Arrow list column as rows of doubles."""
+    return np.array(column.flatten(), float).reshape(len(column), -1)
+
+
+def choose_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
+    """n of the vectors, each the farthest from those before it."""
+    chosen = [0]
+    far = ((vectors - vectors[0]) ** 2).sum(1)
+    while len(chosen) < min(n, len(vectors)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((vectors - vectors[chosen[-1]]) ** 2).sum(1))
+    return vectors[chosen]
+
 
-    No index prunes in many dimensions: every pair of blocks is one group of bounded size, which hands on its
-    k best of each query.
+def nearest_in_block(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place in base, squared distance) of the k nearest of each query at most `limit` (squared) away, ties by id.
+
+    A matrix product of the vectors less their mean finds who may be among them, up to its rounding; these are measured exactly,
+    about `most` numbers at a time, however many of them tie.
     """
-    nq, nb = (max(1, math.ceil(d.count() / block)) for d in (q, b))
-    slots = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    deal = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n).cast("long"))
-    left = q.select(F.col(qid).alias("qid"), F.col(vec).alias("v"), deal(qid, nq).alias("i"), slots(nb).alias("j"))
-    right = b.select(F.col(bid).alias("nid"), F.col(vec).alias("v"), slots(nq).alias("i"), deal(bid, nb).alias("j"))
-
-    def best(one, other):
-        if one.empty or other.empty:
-            return pd.DataFrame({"qid": [], "nid": [], "dist": []})
-        ids, base = other["nid"].to_numpy(), np.array(other["v"].tolist(), float)
-        queries = np.array(one["v"].tolist(), float)
-        # one matrix product finds who may be among the k best, up to its rounding; these are measured exactly
-        near = (queries**2).sum(1)[:, None] + (base**2).sum(1)[None] - 2 * queries @ base.T
-        slack = 1e-9 * (near.max() + (queries**2).max() + (base**2).max())
-        bound = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-        i, j = np.nonzero(near <= bound[:, None] + slack)
-        d = ((base[j] - queries[i]) ** 2).sum(1)
-        order = np.lexsort((ids[j], d, i))
+    mean = base.mean(0)
+    a, b = queries - mean, base - mean
+    near = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
+    slack = 1e-9 * ((a**2).sum(1).max() + (b**2).sum(1).max())
+    bound = np.minimum(np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1], limit) + slack
+    maybe = near <= bound[:, None]
+    ends = np.cumsum(maybe.sum(1)) * max(1, base.shape[1])
+    out = []
+    for part in np.split(np.arange(len(queries)), np.flatnonzero(np.diff(ends // most)) + 1):
+        i, j = np.nonzero(maybe[part])
+        i = part[i]
+        d = np.concatenate([((base[j[s : s + most // 64]] - queries[i[s : s + most // 64]]) ** 2).sum(1) for s in range(0, j.size, most // 64)] or [np.empty(0)])
+        keep = np.flatnonzero(d <= limit[i])
+        order = keep[np.lexsort((ids[j[keep]], d[keep], i[keep]))]
         i, j, d = i[order], j[order], d[order]
-        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if i.size else np.empty(0, int)
         place = np.arange(i.size) - np.repeat(first, np.diff(np.append(first, i.size)))
-        keep = place < k
-        return pd.DataFrame({"qid": one["qid"].to_numpy()[i[keep]], "nid": ids[j[keep]], "dist": np.sqrt(d[keep])})
+        out.append((i[place < k], j[place < k], d[place < k]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+@dataclass
+class VectorCells:
+    """Pivots of a base of vectors, and of each one's cell its radius and rows; `blocks` (cell, chunk, ids, m) hold the vectors, written."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+    chunks: np.ndarray
+    blocks: DataFrame
+
+    @staticmethod
+    def build(b: DataFrame, bid: str, vec: str, block: int) -> VectorCells:
+        base = b.where(F.col(vec).isNotNull()).select(F.col(bid).cast("long").alias("id"), F.col(vec).alias("v"))
+        n = base.count()
+        wanted = max(1, min(MOST_PIVOTS, 4 * n // block))
+        sample = base.orderBy(F.xxhash64("id"), "id").limit(16 * wanted).select("v").collect()  # at most 16 * MOST_PIVOTS rows
+        pivots = choose_pivots(np.array([r["v"] for r in sample], float), wanted) if sample else np.zeros((1, 1))
+        placed = written(base.mapInArrow(_placer(pivots), "id long, v array<double>, cell int, d double"), "cells")
+        told = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}  # a row a pivot
+        size = np.array([told[c]["n"] if c in told else 0 for c in range(len(pivots))])
+        radius = np.array([told[c]["r"] if c in told else 0.0 for c in range(len(pivots))])
+        chunks = np.maximum(1, -(-size // block))
+        chunk = F.pmod(F.xxhash64("id"), F.element_at(F.lit(chunks.tolist()), F.col("cell") + 1).cast("long")).cast("int").alias("chunk")
+        return VectorCells(pivots, radius, size, chunks, written(_packed(placed.select("cell", chunk, "id", "v"), ("cell", "chunk")), "vector_blocks"))
+
+
+def _placer(pivots: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = _rows(batch.column("v"))
+                d = np.sqrt(np.stack([((v - p) ** 2).sum(1) for p in pivots], 1))
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": pa.array(list(v), pa.list_(pa.float64())), "cell": pa.array(cell.astype(np.int32)), "d": pa.array(d[np.arange(len(v)), cell])})
+
+    return run
+
+
+def _packed(df: DataFrame, key: Sequence[str], more: str = "") -> DataFrame:
+    """One row for each key: ids, vectors and further numbers of its rows, which are few by the choice of the key."""
+
+    def pack(k, table):
+        row = {c: [v.as_py()] for c, v in zip(key, k, strict=True)} | {"ids": pa.array([table["id"].to_pylist()], pa.list_(pa.int64())), "m": pa.array([_rows(table["v"].combine_chunks()).tobytes()], pa.binary())}
+        return pa.table(row | ({more: pa.array([table[more].to_pylist()], pa.list_(pa.float64()))} if more else {}), schema=schema)
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "qid long, nid long, dist double")
-    return nearest(found, k)
+    schema = pa.schema([*((c, pa.int32()) for c in key), ("ids", pa.list_(pa.int64())), ("m", pa.binary()), *([(more, pa.list_(pa.float64()))] if more else [])])
+    told = ", ".join(f"{c} int" for c in key) + ", ids array<long>, m binary" + (f", {more} array<double>" if more else "")
+    return df.groupBy(*key).applyInArrow(pack, told)
+
+
+def _measured(asked: DataFrame, cells: VectorCells, k: int) -> DataFrame:
+    """(qid, nid, dist): of each query (id, v, cell, chunk, part, limit) the k nearest of that block within the limit."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.array(row["ids"], np.int64)
+                i, j, d = nearest_in_block(np.frombuffer(row["qm"]).reshape(len(row["qids"]), -1), np.frombuffer(row["m"]).reshape(len(ids), -1), ids, k, np.array(row["limit"]))
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(np.array(row["qids"], np.int64)[i]), "nid": pa.array(ids[j]), "dist": pa.array(np.sqrt(d))})
+
+    queries = _packed(asked, ("cell", "chunk", "part"), "limit").withColumnsRenamed({"ids": "qids", "m": "qm"})
+    return queries.join(cells.blocks, ["cell", "chunk"]).mapInArrow(run, "qid long, nid long, dist double")
+
+
+def vector_blocks_needed(bounds: DataFrame, cells: VectorCells) -> DataFrame:
+    """(id, v, limit, cell, chunk) of every block that may hold a vector within each query's limit (squared), but for its first one (home, 0).
+
+    A cell whose pivot is farther than its radius and the limit together holds none (triangle inequality).
+    """
+    able, pivots, radius, chunks = np.flatnonzero(cells.size > 0), cells.pivots, cells.radius, cells.chunks
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, most, home = _rows(batch.column("v")), np.sqrt(np.array(batch.column("limit"))), np.array(batch.column("home"))
+            scale = 1e-9 * (1 + np.sqrt((v**2).sum(1)))
+            for c in able.tolist():
+                need = np.flatnonzero(np.sqrt(((v - pivots[c]) ** 2).sum(1)) - radius[c] <= most + scale)
+                for chunk in range(int(chunks[c])):
+                    at = pa.array(need[home[need] != c] if chunk == 0 else need)
+                    yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(at), "v": batch.column("v").take(at), "limit": batch.column("limit").take(at), "cell": pa.array([c] * len(at), pa.int32()), "chunk": pa.array([chunk] * len(at), pa.int32())})
+
+    return bounds.mapInArrow(run, "id long, v array<double>, limit double, cell int, chunk int")
+
+
+def knn_vectors(q: DataFrame, b: DataFrame, k: int, qid: str = "pid", bid: str = "pid", vec: str = "vec", block: int = VECTOR_BLOCK) -> DataFrame:
+    """(qid, nid, dist, rank): exact k nearest vectors of any dimension; rows without a vector take no part.
+
+    The base is dealt to the cells of a few pivots. A query's nearest cell gives it k neighbours, whose distance is a limit; only the
+    blocks that may hold a nearer vector are then compared (vector_blocks_needed). In many dimensions with little structure these
+    are nearly all of them: pairs of blocks, each of bounded size, of which only the k best of each query leave a task.
+    """
+    cells = VectorCells.build(b, bid, vec, block)
+    able = np.flatnonzero(cells.size >= min(k, max(1, int(cells.size.max(initial=0)))))
+    queries = q.where(F.col(vec).isNotNull()).select(F.col(qid).cast("long").alias("id"), F.col(vec).alias("v"))
+    if not cells.size.any():
+        return queries.where("false").select(F.col("id").alias("qid"), F.col("id").alias("nid"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+    parts = max(1, math.ceil(queries.count() / block))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts).cast("long")).cast("int").alias("part")
+    home = written(queries.mapInArrow(_placer(cells.pivots[able]), "id long, v array<double>, cell int, d double"), "queries")
+    home = home.select("id", "v", F.element_at(F.lit(able.tolist()), F.col("cell") + 1).cast("int").alias("home"))
+    first = home.select("id", "v", F.col("home").alias("cell"), F.lit(0).alias("chunk"), part, F.lit(math.inf).alias("limit"))
+    found = written(_measured(first, cells, k), "neighbours")
+    limits = found.groupBy(F.col("qid").alias("id")).agg(F.when(F.count("*") >= k, F.max(F.col("dist") * F.col("dist") * (1 + 1e-12))).otherwise(math.inf).alias("limit"))
+    bounds = home.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(math.inf)))
+    more = _measured(vector_blocks_needed(bounds, cells).select("*", part), cells, k)
+    return nearest(found.unionByName(more), k)
 
 
 # --- one dimension ---------------------------------------------------------

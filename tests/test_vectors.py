@@ -1,0 +1,52 @@
+"""Nearest vectors by pivots: exact rows, blocks left out, repeated vectors."""
+
+import resource
+
+import numpy as np
+
+from pointmill.operators import spatial
+
+
+def frame(spark, m, start=0):
+    return spark.createDataFrame([(start + k, None if v is None else v.tolist()) for k, v in enumerate(m)], "pid long, vec array<double>")
+
+
+def by_hand(q, b, k):
+    out = []
+    for i, v in enumerate(q):
+        d = ((b - v) ** 2).sum(1)
+        out += [(i, n, int(j)) for n, j in enumerate(np.lexsort((np.arange(len(b)), d))[:k], 1)]
+    return sorted(out)
+
+
+def told(df):
+    return sorted((r["qid"], r["rank"], r["nid"]) for r in df.collect())
+
+
+def test_clustered_vectors_leave_blocks_out(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 10, (12, 20))
+    b, q = (centres[rng.integers(0, 12, n)] + rng.normal(0, 0.5, (n, 20)) + 1e4 for n in (700, 150))
+    assert told(spatial.knn_vectors(frame(spark, q), frame(spark, b), 4, block=50)) == by_hand(q, b, 4)
+    cells = spatial.VectorCells.build(frame(spark, b), "pid", "vec", 50)
+    limits = [float(np.sort(((b - v) ** 2).sum(1))[3]) for v in q]
+    homes = [int(((cells.pivots - v) ** 2).sum(1).argmin()) for v in q]
+    bounds = spark.createDataFrame([(k, v.tolist(), s, h) for k, (v, s, h) in enumerate(zip(q, limits, homes, strict=True))], "id long, v array<double>, limit double, home int")
+    needed = spatial.vector_blocks_needed(bounds, cells).count()
+    assert needed < 0.2 * len(q) * int(cells.chunks[cells.size > 0].sum())
+
+
+def test_repeated_vectors_stay_in_bounds(spark):
+    same = np.tile(np.arange(64.0), (4000, 1))
+    before = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
+    i, j, d = spatial.nearest_in_block(same[:2000], same[:2000], np.arange(2000)[::-1].copy(), 3, np.full(2000, np.inf))
+    assert sorted(set(j.tolist())) == [1997, 1998, 1999] and i.size == 6000 and not d.any()
+    got = spatial.knn_vectors(frame(spark, same[:1500]), frame(spark, same[:1500]), 2, block=400)
+    assert told(got) == sorted((i, n + 1, n) for i in range(1500) for n in range(2))
+    assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss - before < 3_000_000
+
+
+def test_missing_vectors_and_empty_tables(spark):
+    b = frame(spark, [np.array([1.0, 2.0]), None, np.array([3.0, 4.0])])
+    assert told(spatial.knn_vectors(b, b, 5)) == [(0, 1, 0), (0, 2, 2), (2, 1, 2), (2, 2, 0)]
+    assert spatial.knn_vectors(b, b.where("false"), 1).collect() == [] == spatial.knn_vectors(b.where("false"), b, 1).collect()
