@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The frame written as Parquet and read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The frame written as Parquet, in folders by the columns `by`, and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointmill.functions import geometry
 from pointmill.functions.tables import shared_dir
-from pointmill.operators import augment, cluster, features, filters, layers, linalg, registration, spatial
+from pointmill.operators import augment, centres, cluster, features, filters, layers, linalg, registration, spatial
 from pointmill.plans import views
 from pointmill.plans.point_queries import _ALL, ROT, SHIFT, _segmented
 from pointmill.plans.registry import query
@@ -255,6 +255,38 @@ def laplacian_rnn(spark, sf):
     return cluster.laplacian_radius(views.pts3(spark, sf), 0.5).select("i", "j", *R6("value"))
 
 
+def _drawn_sql(k: int, seed: int) -> str:
+    """Each draw unrolled: distances to the nearest centre so far, their mean, the least exponential key."""
+    u = lambda step: f"(('0x' || substr(md5('{seed}:{step}:' || pid), 1, 13))::bigint + 1)::double / {1 << 52}"
+    steps = [f"s0 as (select x, y, z from pts3 order by {u(0)}, pid limit 1)"]
+    for i in range(1, k):
+        d = ", ".join(f"power(p.x - s{j}.x, 2) + power(p.y - s{j}.y, 2) + power(p.z - s{j}.z, 2)" for j in range(i))
+        steps.append(f"d{i} as (select p.*, sqrt(least({d})) as d from pts3 p, {', '.join(f's{j}' for j in range(i))})")
+        steps.append(f"s{i} as (select x, y, z from d{i} where d >= (select avg(d) from d{i}) * (1 - 1e-12::double) order by ln(-ln({u(i)})) - d, pid limit 1)")
+    return f"with {', '.join(steps)} " + " union all ".join(f"select {j} as k, x, y, z from s{j}" for j in range(k))
+
+
+@query("kmeans_seed_drawn", _drawn_sql(5, 7))
+def kmeans_seed_drawn(spark, sf):
+    found = centres.seed_drawn(views.pts3(spark, sf), 5, 7)
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(found)], "k int, x double, y double, z double")
+
+
+@query("minibatch_kmeans")
+def minibatch_kmeans(spark, sf):
+    return centres.minibatch_kmeans(views.pts3(spark, sf), [p[1:] for p in _INIT], 4, passes=3, tol=None)[0]
+
+
+@query("estimate_bandwidth", f"select round(avg(dist), 6) as bandwidth from (select qid, dist, row_number() over (partition by qid order by dist, nid) as r from ({_ALL})) where r = (select greatest(1, (0.1::double * count(*))::int) from pts3)")
+def estimate_bandwidth(spark, sf):
+    return spark.createDataFrame([(round(centres.estimate_bandwidth(views.pts3(spark, sf), 0.1), 6),)], "bandwidth double")
+
+
+@query("mean_shift_binned")
+def mean_shift_binned(spark, sf):
+    return centres.mean_shift_seeded(views.pts3(spark, sf), 1.0)[0]
+
+
 @query("spectral")
 def spectral(spark, sf):
     return cluster.spectral(views.pts3(spark, sf), ("frame",))
