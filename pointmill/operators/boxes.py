@@ -57,16 +57,24 @@ def wrap(df: DataFrame, col: str) -> DataFrame:
 def points_in(points: DataFrame, boxes: DataFrame, inflate: Sequence[float] = (1.15, 1.25, 1.0), key: Sequence[str] = ("frame",), box: str = "ord", id: str = "pid") -> DataFrame:
     """(key.., pid, box): points inside each box of their frame, its length, width and height inflated.
 
-    Points and boxes of a frame are first met in cells of the ground plane as wide as the largest box.
+    Points and boxes meet in cells of the ground plane. A box lies in cells of its own size (the power of two at or above its longer
+    side), nine at most; a point is put once in a cell of each size that its frame has boxes of, so a wide box costs the others nothing.
     """
     fl, fw, fh = inflate
-    row = boxes.agg(F.max(F.greatest(F.col("l") * fl, F.col("w") * fw)).alias("s")).first()
-    edge = float(row["s"] or 1.0)
-    cell = lambda c: F.floor(F.col(c) / edge).cast("long")
-    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    b = boxes.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(box).alias("box"), "t1", "t2", "t3", "l", "w", "h", "ry").withColumn("_i", F.explode(F.transform(steps, lambda k: k + cell("t1")))).withColumn("_j", F.explode(F.transform(steps, lambda k: k + cell("t3"))))
-    p = points.select(*key, id, "x", "y", "z", cell("x").alias("_pi"), cell("z").alias("_pj"))
-    on = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("_pi") == F.col("_i"), F.col("_pj") == F.col("_j")]
+    half_l, half_w = F.col("l") * (fl / 2), F.col("w") * (fw / 2)
+    turn_c, turn_s = F.abs(F.cos("ry")), F.abs(F.sin("ry"))
+    reach = {"t1": turn_c * half_l + turn_s * half_w, "t3": turn_s * half_l + turn_c * half_w}
+    edge = F.pow(F.lit(2.0), F.col("_e"))
+    cell = lambda c: F.floor(c / edge).cast("long")
+    slack = 1e-9  # rounding doesn't put a point on the border beside its box
+    spread = lambda t: F.explode(F.sequence(cell(F.col(t) - reach[t] * (1 + slack) - F.abs(F.col(t)) * slack), cell(F.col(t) + reach[t] * (1 + slack) + F.abs(F.col(t)) * slack)))
+    sized = boxes.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(box).alias("box"), "t1", "t2", "t3", "l", "w", "h", "ry", F.ceil(F.log2(F.greatest(2 * half_l, 2 * half_w, F.lit(1e-6)))).cast("int").alias("_e"))
+    b = sized.withColumn("_i", spread("t1")).withColumn("_j", spread("t3")).withColumnRenamed("_e", "_size")
+    sizes = sized.select(*[F.col(f"_{k}").alias(k) for k in key], "_e").distinct()
+    few = sizes.groupBy(*key).agg(F.collect_set("_e").alias("_all"))  # as many as powers of two between the smallest and the largest box
+    p = points.join(few, list(key)) if key else points.join(F.broadcast(few), F.lit(True))
+    p = p.withColumn("_e", F.explode("_all")).select(*key, id, "x", "y", "z", "_e", cell(F.col("x")).alias("_pi"), cell(F.col("z")).alias("_pj"))
+    on = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("_e") == F.col("_size"), F.col("_pi") == F.col("_i"), F.col("_pj") == F.col("_j")]
     dx, dy, dz = F.col("x") - F.col("t1"), F.col("y") - F.col("t2"), F.col("z") - F.col("t3")
     c, s = F.cos("ry"), F.sin("ry")
     along, across = c * dx - s * dz, s * dx + c * dz

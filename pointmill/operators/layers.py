@@ -1,9 +1,9 @@
-"""The data side of point networks: sampling, grouping and pooling; scorers are plugged in."""
+"""The data side of point networks: sampling, grouping and pooling."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -12,18 +12,6 @@ from pyspark.sql import functions as F
 from pointmill.functions.geometry import XYZ
 from pointmill.operators import filters, spatial
 
-#: Named scorers: a function from pooled features to class scores (Columns in, Columns out).
-SCORERS: dict[str, Callable] = {}
-
-
-def scorer(name: str) -> Callable:
-    def add(f: Callable) -> Callable:
-        SCORERS[name] = f
-        return f
-
-    return add
-
-
 def sample_and_group(df: DataFrame, n: int, r: float, nsample: int, key: Sequence[str], id: str = "pid") -> DataFrame:
     """(key.., centre, slot, nid, dx, dy, dz): farthest-point centres and the coordinates of their balls about them."""
     centres = filters.fps(df, n, key, id).select(*key, id).join(df.select(*key, id, *XYZ), [*key, id])
@@ -78,17 +66,3 @@ def feature_propagation(dense: DataFrame, coarse: DataFrame, values: Sequence[st
     """Coarse features at the dense points by three neighbours, beside the dense ones."""
     found = spatial.interpolate(dense, coarse, values, 3, id, id, key)
     return found.withColumnRenamed("qid", id).join(dense.select(*key, id, *skip), [*key, id])
-
-
-def classify(pooled: DataFrame, name: str, features: Sequence[str]) -> DataFrame:
-    """Adds prediction: the class of the greatest score of a registered scorer."""
-    scores = SCORERS[name]([F.col(c) for c in features])
-    best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("c")) for i, s in enumerate(scores)]))
-    return pooled.withColumn("prediction", -best["c"])
-
-
-@scorer("extent")
-def extent(columns):
-    """A stand-in: scores of four classes by the pooled extents of the object."""
-    x, y, z = columns[:3]
-    return [x + y - z, z - x, z - y, -(x + y + z)]

@@ -7,12 +7,12 @@ object's points never meet as a group. Weights come from the caller; there is no
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.functions.geometry import XYZ
@@ -176,3 +176,98 @@ def grouped_classifier(df: DataFrame, key: Sequence[str], net: dict, id: str = "
         now = abstracted(now, key, n, scales, net.get("features_first", False), id)
     whole = now.select(*key, F.concat(F.array(*XYZ), "f").alias("f"))
     return classified(max_pool(dense(whole, net["whole"]), key), net["head"], key)
+
+
+# --- models by name -------------------------------------------------------------------------------
+
+#: name -> (rows of points, key, net) -> (key.., scores, prediction); rows have x, y, z and an id.
+MODELS: dict[str, Callable[[DataFrame, Sequence[str], dict], DataFrame]] = {}
+
+
+def model(name: str):
+    """Register a classifier under its name."""
+
+    def add(f):
+        MODELS[name] = f
+        return f
+
+    return add
+
+
+@model("pointnet")
+def _pointnet(df: DataFrame, key: Sequence[str], net: dict) -> DataFrame:
+    return pointnet(df.select(*key, F.array(*XYZ).alias("f")), key, net)
+
+
+@model("ssg")
+def _single_scale(df: DataFrame, key: Sequence[str], net: dict) -> DataFrame:
+    return grouped_classifier(df, key, net)
+
+
+@model("msg")
+def _multi_scale(df: DataFrame, key: Sequence[str], net: dict) -> DataFrame:
+    return grouped_classifier(df, key, net)
+
+
+def _parts(net: dict, path: str = "") -> Iterator[tuple[str, object]]:
+    """The layers and the settings of a net with their paths, as `rounds.0.1` for the second scale of the first round."""
+    for name, value in net.items():
+        here = f"{path}{name}"
+        if name == "rounds":
+            for i, (n, scales) in enumerate(value):
+                yield f"{here}.{i}", [float(n)]
+                for j, (r, size, layers) in enumerate(scales):
+                    yield f"{here}.{i}.{j}", [float(r), float(size)]
+                    yield f"{here}.{i}.{j}", layers
+        elif isinstance(value, dict):
+            yield from _parts(value, f"{here}.")
+        else:
+            yield here, value if isinstance(value, list) else [float(value)]
+
+
+def save(spark: SparkSession, net: dict, path: str) -> None:
+    """The net as a table (part, layer, row, column, value): column -1 is the bias, layer -1 a setting."""
+    frames = []
+    for part, values in _parts(net):
+        for k, v in enumerate(values):
+            if isinstance(v, Dense):
+                m = np.column_stack([v.bias, v.weight])
+                row, column = np.indices(m.shape)
+                frames.append(pd.DataFrame({"part": part, "layer": k, "row": row.ravel(), "column": column.ravel() - 1, "value": m.ravel()}))
+            else:
+                frames.append(pd.DataFrame({"part": [part], "layer": [-1], "row": [k], "column": [0], "value": [float(v)]}))
+    spark.createDataFrame(pd.concat(frames), "part string, layer int, row int, column int, value double").write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> dict:
+    """The net of a weight table, which is of a model's size."""
+    told = spark.read.parquet(path).toPandas().sort_values(["part", "layer", "row", "column"])
+    net: dict = {}
+    rounds: dict[tuple[int, ...], dict] = {}
+    for part, rows in told.groupby("part", sort=False):
+        settings = rows[rows["layer"] < 0]["value"].tolist()
+        found = []
+        for _, r in rows[rows["layer"] >= 0].groupby("layer"):
+            m = r["value"].to_numpy().reshape(r["row"].max() + 1, -1)
+            found.append(Dense(m[:, 1:].copy(), m[:, 0].copy()))
+        if part.startswith("rounds."):
+            rounds[tuple(map(int, part.split(".")[1:]))] = {"settings": settings, "layers": found}
+        elif settings:
+            net[part] = bool(settings[0])
+        else:
+            *above, name = part.split(".")
+            place = net
+            for a in above:
+                place = place.setdefault(a, {})
+            place[name] = found
+    if rounds:
+        scales = lambda i: [(v["settings"][0], int(v["settings"][1]), v["layers"]) for k, v in sorted(rounds.items()) if len(k) == 2 and k[0] == i]
+        net["rounds"] = [(int(v["settings"][0]), scales(k[0])) for k, v in sorted(rounds.items()) if len(k) == 1]
+    return net
+
+
+def classify(df: DataFrame, key: Sequence[str], name: str, path: str) -> DataFrame:
+    """(key.., scores, prediction) by the named model with the weights at a path."""
+    if name not in MODELS:
+        raise ValueError(f"no model {name!r}; there are {', '.join(sorted(MODELS))}")
+    return MODELS[name](df, key, load(df.sparkSession, path))

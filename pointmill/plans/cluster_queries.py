@@ -586,11 +586,6 @@ def feature_propagation(spark, sf):
     return layers.feature_propagation(p, p.where("pid % 4 = 0").withColumn("f", F.col("x")), ("f",), ("frame",)).select("pid", F.round("f", 5).alias("f"), "frame")
 
 
-@query("model_scorer")
-def model_scorer(spark, sf):
-    return layers.classify(layers.group_all(views.pts3(spark, sf), ("frame",)), "extent", ("x", "y", "z")).select("frame", "prediction")
-
-
 # --- files ------------------------------------------------------------------------------------------------------
 
 

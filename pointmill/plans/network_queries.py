@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from pointmill.functions.tables import shared_dir
 from pointmill.operators import networks
 from pointmill.plans import views
 from pointmill.plans.registry import query
@@ -114,11 +117,22 @@ def ortho_regularizer(spark, sf):
 _SCORES = ", ".join(f"{c} - ln({' + '.join(f'exp({d})' for d in _HEAD[2])}) as s{i}" for i, c in enumerate(_HEAD[2]))
 
 
-@query("model_pointnet", f"with {', '.join([*_ENCODED[0], *_HEAD[0]])}, z as (select frame, {_SCORES} from {_HEAD[1]}) select frame, {_listed([f's{i}' for i in range(len(_HEAD[2]))])} as scores, (list_position([{', '.join(f's{i}' for i in range(len(_HEAD[2])))}], greatest({', '.join(f's{i}' for i in range(len(_HEAD[2])))})) - 1)::int as prediction from z")
+_POINTNET = f"with {', '.join([*_ENCODED[0], *_HEAD[0]])}, z as (select frame, {_SCORES} from {_HEAD[1]}) select frame, {_listed([f's{i}' for i in range(len(_HEAD[2]))])} as scores, (list_position([{', '.join(f's{i}' for i in range(len(_HEAD[2])))}], greatest({', '.join(f's{i}' for i in range(len(_HEAD[2])))})) - 1)::int as prediction from z"
+
+
+@query("model_pointnet", _POINTNET)
 def model_pointnet(spark, sf):
     return networks.pointnet(_points(spark, sf), ("frame",), _NET).select("frame", _rounded("scores").alias("scores"), "prediction")
 
 
+@query("model_scorer", _POINTNET)
+def model_scorer(spark, sf):
+    """The same network by its name, with the weights of a written table."""
+    path = f"{shared_dir(spark).rstrip('/')}/weights-{uuid.uuid4().hex}"
+    networks.save(spark, _NET, path)
+    return networks.classify(views.pts3(spark, sf), ("frame",), "pointnet", path).select("frame", _rounded("scores").alias("scores"), "prediction")
+
+
 @query("model_ssg")
 def model_ssg(spark, sf):
     return networks.grouped_classifier(views.pts3(spark, sf), ("frame",), _SINGLE)

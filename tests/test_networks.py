@@ -58,6 +58,21 @@ def test_grouped_classifiers(spark, sf_dir, clouds, name):
         assert np.allclose(got[frame]["scores"], want, atol=1e-9) and got[frame]["prediction"] == want.argmax()
 
 
+def test_models_by_name_from_written_weights(spark, sf_dir, tmp_path):
+    p = views.pts3(spark, sf_dir)
+    for name, net in (("ssg", network_queries._SINGLE), ("msg", network_queries._MULTI | {"features_first": True})):
+        networks.save(spark, net, str(tmp_path / name))
+        again = networks.load(spark, str(tmp_path / name))
+        assert [(part, [(v.weight.tolist(), v.bias.tolist()) if isinstance(v, networks.Dense) else v for v in x]) for part, x in sorted(networks._parts(net), key=str)] == [
+            (part, [(v.weight.tolist(), v.bias.tolist()) if isinstance(v, networks.Dense) else v for v in x]) for part, x in sorted(networks._parts(again), key=str)
+        ]
+    networks.save(spark, network_queries._SINGLE, str(tmp_path / "w"))
+    want, got = (sorted((r["frame"], r["scores"], r["prediction"]) for r in df.collect()) for df in (networks.grouped_classifier(p, ("frame",), network_queries._SINGLE), networks.classify(p, ("frame",), "ssg", str(tmp_path / "w"))))
+    assert got == want
+    with pytest.raises(ValueError, match="no model"):
+        networks.classify(p, ("frame",), "nothing", "")
+
+
 def test_normalisation_is_folded_in():
     rng = np.random.default_rng(1)
     layer, x = networks.drawn(3, (4,), 1)[0], rng.normal(size=(5, 3))
