@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pointmill.functions.geometry import XYZ, sq_distance
 from pointmill.functions.graph import connected_components
 from pointmill.functions.tables import written
 from pointmill.operators import spatial
-from pointmill.operators.spectral import spectral
+from pointmill.operators.spectral import spectral as spectral  # part of this module too
 
 #: (row, column) steps of the pixel neighbourhoods of 4, 8, 12 and 20 pixels.
 STENCILS = {
@@ -79,8 +80,9 @@ def assign(df: DataFrame, centres: DataFrame, cols: Sequence[str] = XYZ, id: str
 def kmeans(df: DataFrame, k: int, init: DataFrame | None = None, tol: float = 1e-4, max_iter: int = 200, cols: Sequence[str] = XYZ, id: str = "pid") -> tuple[DataFrame, list[tuple]]:
     """Lloyd's rounds from the given centres (k, cols..) or the first k distinct rows; (assignment, centres).
 
-    Stops when no centre moved more than `tol`; an empty cluster keeps its centre. The centres are k rows on
-    the driver; each round is one aggregate over all rows, without a join.
+    Stops when no centre moved more than `tol`; warns if one still does after `max_iter` rounds (no tol: as many rounds, no
+    warning). An empty cluster keeps its centre. The centres are k rows on the driver; each round is one aggregate over all rows, without
+    a join.
     """
     start = init.orderBy("k").select(*cols).collect() if init is not None else seed_distinct(df, k, cols=cols, id=id)
     centres = [tuple(float(v) for v in r) for r in start]
@@ -90,11 +92,18 @@ def kmeans(df: DataFrame, k: int, init: DataFrame | None = None, tol: float = 1e
         new = [tuple(rows[i][c] for c in cols) if i in rows else old for i, old in enumerate(centres)]
         moved = max(abs(a - b) for p, q in zip(centres, new, strict=True) for a, b in zip(p, q, strict=True))
         centres = new
-        if moved <= tol:
+        if moved <= (tol or 0.0):
             break
+    else:
+        _unsettled(tol, "centres", max_iter)
     return with_nearest(df.select(id, *cols), centres, cols).select(id, "k"), centres
 
 
+def _unsettled(tol: float | None, what: str, rounds: int) -> None:
+    if tol:
+        warnings.warn(f"{what} still move by more than {tol} after {rounds} rounds", RuntimeWarning, stacklevel=3)
+
+
 def with_nearest(df: DataFrame, centres: Sequence[Sequence[float]], cols: Sequence[str] = XYZ) -> DataFrame:
     """Adds k, the nearest of a few centres, as one expression."""
     options = [F.struct(sq_distance([F.col(c) for c in cols], [F.lit(float(v)) for v in p]).alias("d"), F.lit(i).alias("k")) for i, p in enumerate(centres)]
@@ -148,7 +157,7 @@ def gmm(df: DataFrame, start: Mixture, tol: float = 1e-4, max_iter: int = 100, c
     Each round is one aggregate over all rows: posteriors, then their weighted sums, of which a component's
     weight, mean and covariance follow. A component whose covariance has shrunk below `least` (Frobenius norm)
     starts again with `again` times the identity at the row farthest from all means. Stops when no number moved
-    more than `tol`; after `max_iter` rounds the last estimate stands.
+    more than `tol`; after `max_iter` rounds the last estimate stands, with a warning unless tol is 0.
     """
     now, n = start, len(cols)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
@@ -178,6 +187,8 @@ def gmm(df: DataFrame, start: Mixture, tol: float = 1e-4, max_iter: int = 100, c
         now = new
         if moved < tol:
             break
+    else:
+        _unsettled(tol, "components", max_iter)
     best = F.array(*now.log_densities(cols))
     return df.select(id, (F.array_position(best, F.array_max(best)) - 1).cast("int").alias("k")), now
 

@@ -23,13 +23,14 @@ def seeds(df: DataFrame, key: Sequence[str] = KEY, lpr: int = 10_000, thr: float
 
 
 def svd(df: DataFrame, key: Sequence[str] = KEY, iters: int = 6, lpr: int = 10_000, thr: float = 0.18, below: float = -1.23, id: str = "pid") -> DataFrame:
-    """Adds is_ground: planes from the seeds, then `iters` rounds of all rows near the plane; all keys in each job."""
+    """Adds is_ground: planes from the seeds, then `iters` rounds of all rows near the plane; all keys in each job.
+
+    Each round's planes, a row a key, are written, so that a round reads the points once and none is computed again.
+    """
     chosen = seeds(df, key, lpr, thr, below, id).select(*key, *XYZ)
     out = None
-    for i in range(iters):
-        plane = linalg.plane_fit(chosen, key)
-        if i % 3 == 2:
-            plane = written(plane, "planes")
+    for _ in range(iters):
+        plane = written(linalg.plane_fit(chosen, key), "planes")
         near = linalg.plane_distance([F.col("nx"), F.col("ny"), F.col("nz")], F.col("d")) < thr
         out = df.join(plane, list(key)).withColumn("is_ground", F.coalesce(near, F.lit(False)))
         chosen = out.where("is_ground").select(*key, *XYZ)

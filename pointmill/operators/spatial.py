@@ -8,7 +8,7 @@ adaptive execution splits cells that are crowded. A side is only broadcast after
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +75,86 @@ def nearest(pairs: DataFrame, k: int, key: Sequence[str] = ()) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class KNearest:
+    """A result set: the k nearest so far, ties by the smaller id. Others need the same four methods."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.dist, self.ids = k, np.empty(0), np.empty(0, np.int64)
+
+    def add(self, dist: np.ndarray, ids: np.ndarray) -> None:
+        dist, ids = np.append(self.dist, dist), np.append(self.ids, ids)
+        order = np.lexsort((ids, dist))[: self.k]
+        self.dist, self.ids = dist[order], ids[order]
+
+    def full(self) -> bool:
+        return self.ids.size >= self.k
+
+    def worst(self) -> float:
+        """What a further point must not be farther than."""
+        return float(self.dist[-1]) if self.full() else math.inf
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.dist, self.ids
+
+
+class WithinRadius(KNearest):
+    """A result set: all points at most r away (under r if strict)."""
+
+    def __init__(self, r: float, strict: bool = False) -> None:
+        super().__init__(0)
+        self.r, self.strict = r, strict
+
+    def add(self, dist: np.ndarray, ids: np.ndarray) -> None:
+        keep = dist < self.r if self.strict else dist <= self.r
+        self.dist, self.ids = np.append(self.dist, dist[keep]), np.append(self.ids, ids[keep])
+
+    def full(self) -> bool:
+        return True
+
+    def worst(self) -> float:
+        return self.r
+
+
+#: Result sets that a task keeps open before their rows go on.
+OPEN_SETS = 20_000
+
+
+def collected(pairs: DataFrame, make: Callable[[], KNearest], qid: str = "qid") -> DataFrame:
+    """(qid, nid, dist) that a result set of the caller's keeps of each query's pairs.
+
+    A task adds its pairs to sets of its own first, so only what these keep is shuffled; then each query's rows meet, in order of
+    the query, in one set more. A set is only given pairs that are not farther than its worst().
+    """
+
+    def out(sets: dict) -> pa.RecordBatch:
+        rows = [(q, *s.rows()) for q, s in sets.items()]
+        return pa.RecordBatch.from_pydict({"qid": pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), [r[1].size for r in rows])), "nid": pa.array(np.concatenate([r[2] for r in rows])), "dist": pa.array(np.concatenate([r[1] for r in rows]))})
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict = {}
+        for batch in batches:
+            q, n, d = (np.array(batch.column(c)) for c in ("qid", "nid", "dist"))
+            order = np.argsort(q, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(q[order])) + 1):
+                if part.size:
+                    name = int(q[part[0]])
+                    mine = sets.get(name)
+                    if mine is None:
+                        if len(sets) >= OPEN_SETS:  # in order, the sets so far are done
+                            yield out(sets)
+                            sets = {}
+                        mine = sets[name] = make()
+                    part = part[d[part] <= mine.worst()]
+                    mine.add(d[part], n[part])
+        if sets:
+            yield out(sets)
+
+    rows = pairs.where(F.col("dist").isNotNull()).select(F.col(qid).cast("long").alias("qid"), F.col("nid").cast("long").alias("nid"), F.col("dist").cast("double").alias("dist"))
+    schema = "qid long, nid long, dist double"
+    some = rows.mapInArrow(keep, schema)
+    return some.repartition("qid").sortWithinPartitions("qid").mapInArrow(keep, schema)
+
+
 def knn_brute(q: DataFrame, b: DataFrame, k: int, key: Sequence[str] = (), qid: str = "pid", bid: str = "pid", cols: Sequence[str] = XYZ, metric: str = "l2", block: int = SMALL) -> DataFrame:
     """All distances, then the best k. The base is met in blocks of `block` rows, each of which hands on its k best."""
     left, right = _sides(q, b, qid, bid, cols, key)
@@ -105,7 +185,7 @@ def knn_join(q: DataFrame, b: DataFrame, k: int, key: Sequence[str] = (), qid: s
     """(key.., qid, nid, dist, rank): the exact k nearest base points of every query, fewer where there are fewer.
 
     Rounds of radius joins: a query with k points within the radius is done, the others go on with twice
-    the radius, up to the extent of the data or `max_radius`.
+    the radius (four times, once they are few), up to the extent of the data or `max_radius`.
     """
     r, diagonal = _first_radius(b, k, key, cols)
     # a query may lie outside the base's bounds
@@ -113,7 +193,7 @@ def knn_join(q: DataFrame, b: DataFrame, k: int, key: Sequence[str] = (), qid: s
     far = b.agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first()
     limit = max_radius or diagonal + 2 * sum((span[c] or 0) + (far[c] or 0) for c in cols)
     r = min(r, limit)
-    todo, done = q, None
+    todo, done, first = q, None, None
     for _ in range(max_rounds):
         found = written(nearest(radius_join(todo, b, r, key, qid, bid, cols), k, key), "neighbours")
         last = r >= limit
@@ -122,9 +202,11 @@ def knn_join(q: DataFrame, b: DataFrame, k: int, key: Sequence[str] = (), qid: s
         if last:
             return done
         todo = written(todo.join(full.select(*[F.col(x) for x in key], F.col("qid").alias(qid)).distinct(), [*key, qid], "left_anti"), "queries")
-        if todo.isEmpty():
+        left = todo.count()
+        if not left:
             return done
-        r = min(2 * r, limit)
+        first = left if first is None else first
+        r = min((2 if left > 0.1 * first else 4) * r, limit)
     raise RuntimeError("queries left after all rounds")
 
 

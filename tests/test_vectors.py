@@ -50,3 +50,30 @@ def test_missing_vectors_and_empty_tables(spark):
     b = frame(spark, [np.array([1.0, 2.0]), None, np.array([3.0, 4.0])])
     assert told(spatial.knn_vectors(b, b, 5)) == [(0, 1, 0), (0, 2, 2), (2, 1, 2), (2, 2, 0)]
     assert spatial.knn_vectors(b, b.where("false"), 1).collect() == [] == spatial.knn_vectors(b.where("false"), b, 1).collect()
+
+
+def test_result_sets_keep_what_the_joins_give(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, *map(float, p)) for k, p in enumerate(np.round(rng.random((300, 3)), 2))]
+    p = spark.createDataFrame(rows, "pid long, x double, y double, z double").cache()
+    pairs = spatial.radius_join(p, p, 0.9).repartition(6)
+    as_rows = lambda df: sorted((r["qid"], r["nid"], r["dist"]) for r in df.collect())
+    assert as_rows(spatial.collected(pairs, lambda: spatial.KNearest(5))) == as_rows(spatial.nearest(pairs, 5))
+    assert as_rows(spatial.collected(pairs, lambda: spatial.WithinRadius(0.2))) == as_rows(spatial.radius_join(p, p, 0.2))
+    assert spatial.collected(pairs.where("false"), lambda: spatial.KNearest(5)).collect() == []
+
+    class Farthest(spatial.KNearest):
+        """A set of the caller's own: the farthest point alone."""
+
+        def add(self, dist, ids):
+            dist, ids = np.append(self.dist, dist), np.append(self.ids, ids)
+            if dist.size:
+                at = np.lexsort((ids, -dist))[:1]
+                self.dist, self.ids = dist[at], ids[at]
+
+        def worst(self):
+            return float("inf")
+
+    got = {r["qid"]: r["dist"] for r in spatial.collected(pairs, lambda: Farthest(1)).collect()}
+    want = {r["qid"]: r["d"] for r in pairs.groupBy("qid").agg({"dist": "max"}).withColumnRenamed("max(dist)", "d").collect()}
+    assert got == want
