@@ -33,8 +33,8 @@ SAMPLE = {1: 1500, 0: 2500}
 BUCKETS, DIMENSIONS, ROUNDS, RATE, DECAY = 1 << 17, 4, 60, 0.1, 1e-5
 #: Document means are small, as most words say nothing: they are scaled before the softmax.
 GAIN = 60.0
-#: n-grams and words in a smaller share of the sampled documents (about one in 700) stay at zero: a coincidence says nothing.
-LEAST_SHARE = 0.0015
+#: An n-gram in as many of the sampled documents learns at half the rate, a rarer one more slowly still: a coincidence says little.
+HALF_RATE = 12.0
 #: A shorter text is averaged as if it had this many words, so that one odd word doesn't decide.
 LEAST_WORDS = 80
 #: Words of a task's lookup table; when full it is emptied.
@@ -127,13 +127,13 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     sub_word = np.repeat(np.arange(n_words, dtype=np.int32), n_sub)
     # documents that have each bucket: words of a document may repeat it, so this bounds it from above
     seen = np.bincount(sub, weights=np.bincount(word, minlength=n_words)[sub_word], minlength=BUCKETS)
-    live = (seen >= LEAST_SHARE * len(texts))[sub]
     order = np.argsort(word, kind="stable").astype(np.int32)
     word_starts = _segments(np.bincount(word, minlength=n_words))
     rng = np.random.default_rng(seed)
-    names, table = np.unique(sub[live], return_inverse=True)
-    table, live_word = table.astype(np.int32), sub_word[live]
-    scale = (1.0 / n_sub[live_word]).astype(np.float32)
+    names, table = np.unique(sub, return_inverse=True)
+    table = table.astype(np.int32)
+    scale = (1.0 / n_sub[sub_word]).astype(np.float32)
+    pace = (seen[names] / (seen[names] + HALF_RATE)).astype(np.float32)
     emb = rng.normal(0, 0.05, (DIMENSIONS, names.size)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIMENSIONS, 2))
     bias = np.zeros(2)
@@ -141,18 +141,17 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     weight = np.where(labels == 1, 0.35 / max(1, labels.sum()), 0.65 / max(1, (1 - labels).sum()))
     sub_order = np.argsort(table, kind="stable").astype(np.int32)
     sub_starts = _segments(np.bincount(table, minlength=names.size))
-    lw = np.bincount(live_word, minlength=n_words)
-    has_live, has_words = lw > 0, doc_n > 0
-    live_starts, doc_starts = _segments(lw)[has_live], _segments(doc_n)[has_words]
+    has_words = doc_n > 0
+    sub_of_word, doc_starts = _segments(n_sub), _segments(doc_n)[has_words]
     back_doc, back_share = doc[order], share[order] * np.float32(GAIN)
-    back_word, back_scale = live_word[sub_order], scale[sub_order]
+    back_word, back_scale = sub_word[sub_order], scale[sub_order]
     share = share * np.float32(GAIN)
-    del sub, sub_word, live, sub_order, order
-    vec, mean, d_emb = np.zeros(n_words, np.float32), np.zeros((len(texts), DIMENSIONS)), np.zeros_like(emb)
+    del sub, sub_word, sub_order, order
+    mean, d_emb = np.zeros((len(texts), DIMENSIONS)), np.zeros_like(emb)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, soft, bias)]
     for step in range(1, ROUNDS + 1):
         for k in range(DIMENSIONS):
-            vec[has_live] = np.add.reduceat(emb[k][table] * scale, live_starts)
+            vec = np.add.reduceat(emb[k][table] * scale, sub_of_word)
             mean[has_words, k] = np.add.reduceat(vec[word] * share, doc_starts)
         z = mean @ soft + bias
         z -= z.max(1, keepdims=True)
@@ -163,10 +162,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         for k in range(DIMENSIONS):
             d_word = np.add.reduceat(d_mean[:, k].astype(np.float32)[back_doc] * back_share, word_starts)
             d_emb[k] = np.add.reduceat(d_word[back_word] * back_scale, sub_starts)
-        for x, g, s in zip((emb, soft, bias), (d_emb + DECAY * emb, mean.T @ dz, dz.sum(0)), state, strict=True):
+        for x, g, s, rate in zip((emb, soft, bias), (d_emb + DECAY * emb, mean.T @ dz, dz.sum(0)), state, (RATE * pace, RATE, RATE), strict=True):
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.99 * s[1] + 0.01 * g * g
-            x -= RATE * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-10)
+            x -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-10)
     out = np.zeros(BUCKETS, np.float32)
     out[names] = (soft[:, 1] - soft[:, 0]) @ emb * GAIN
     return Model(out, float(bias[1] - bias[0]))
