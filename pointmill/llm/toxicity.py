@@ -33,8 +33,8 @@ SAMPLE = {1: 1500, 0: 2500}
 BUCKETS, DIMENSIONS, ROUNDS, RATE, DECAY = 1 << 17, 4, 60, 0.1, 1e-5
 #: Document means are small, as most words say nothing: they are scaled before the softmax.
 GAIN = 60.0
-#: An n-gram in as many of the sampled documents learns at half the rate, a rarer one more slowly still: a coincidence says little.
-HALF_RATE = 12.0
+#: An n-gram in this share of the sampled documents learns at half the rate, a rarer one more slowly still: a coincidence says little.
+HALF_RATE = 0.003
 #: A shorter text is averaged as if it had this many words, so that one odd word doesn't decide.
 LEAST_WORDS = 80
 #: Words of a task's lookup table; when full it is emptied.
@@ -133,7 +133,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     names, table = np.unique(sub, return_inverse=True)
     table = table.astype(np.int32)
     scale = (1.0 / n_sub[sub_word]).astype(np.float32)
-    pace = (seen[names] / (seen[names] + HALF_RATE)).astype(np.float32)
+    pace = (seen[names] / (seen[names] + HALF_RATE * len(texts))).astype(np.float32)
     emb = rng.normal(0, 0.05, (DIMENSIONS, names.size)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIMENSIONS, 2))
     bias = np.zeros(2)
