@@ -39,10 +39,10 @@ def real_span(values: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.where(values.imag < 0, vectors.imag, vectors.real)
 
 
-def orthonormal(vectors: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Combinations of the columns that are orthonormal under the inner product; dependent directions are left out."""
+def orthonormal(vectors: np.ndarray, inner: np.ndarray, least: float = 1e-14) -> np.ndarray:
+    """Combinations of the columns that are orthonormal under the inner product; directions of less than a share `least` are left out."""
     size, turn = np.linalg.eigh(vectors.T @ inner @ vectors)
-    keep = size > 1e-14 * max(size[-1], 1e-300)
+    keep = size > least * max(size[-1], 1e-300)
     return vectors @ turn[:, keep] / np.sqrt(size[keep])
 
 
@@ -124,20 +124,29 @@ def settled(values: np.ndarray, before: np.ndarray | None, worst: float, tol: fl
 def iterated(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, estimate: int, tol: float = TOLERANCE, steps: int = STEPS, rounds: int = 20 * ROUNDS) -> tuple[np.ndarray, int]:
     """An orthonormal basis of the leading eigenvectors of a cloud of n nodes with edges in the order of src, and their number."""
     columns, first = estimate + EXTRA, np.searchsorted(src, np.arange(n))
+    times = lambda x: np.add.reduceat(x[dst] * w[:, None], first)
     v = np.random.default_rng(n).standard_normal((n, columns))
     v[:, 0] = 1.0
     before = None
     for _ in range(rounds):
         held = [v]
         for step in range(1, steps + 2):
-            product = np.add.reduceat(held[-1][dst] * w[:, None], first)
-            held.append(product if step == 1 else 2 * product - held[-2])
+            held.append(times(held[-1]) if step == 1 else 2 * times(held[-1]) - held[-2])
         basis = np.hstack(held)
-        values, worst, go_on, lead = ritz(basis.T @ basis, columns, estimate)
-        if settled(values, before, worst, tol):
-            return basis[:, : len(lead)] @ lead, leading(1 - values)
-        v, before = basis[:, : len(go_on)] @ go_on, values
-        v = np.hstack([v, np.zeros((n, columns - v.shape[1]))])
+        size = np.maximum(np.sqrt((basis**2).sum(0)), 1e-300)
+        x = basis @ (orthonormal(np.diag(1 / size), basis.T @ basis, 1e-10))
+        x = x @ orthonormal(np.eye(x.shape[1]), x.T @ x)  # once more, for what rounding left
+        turned = np.hstack([times(x[:, k : k + columns]) for k in range(0, x.shape[1], columns)])
+        values, small = np.linalg.eig(x.T @ turned)
+        order = np.argsort(-values.real, kind="stable")
+        values, small = values[order], small[:, order]
+        found = values.real[: min(estimate, values.size)]
+        count = leading(1 - found)
+        off = turned @ small[:, :count] - (x @ small[:, :count]) * values[:count]
+        if settled(found, before, float(np.sqrt((np.abs(off) ** 2).sum(0)).max()), tol):
+            return x @ orthonormal(real_span(values[:count], small[:, :count]), np.eye(x.shape[1])), count
+        before, v = found, x @ real_span(values[:columns], small[:, :columns])
+        v = np.hstack([v, np.random.default_rng(n).standard_normal((n, columns - v.shape[1]))])  # the space is exhausted: any will do
     raise RuntimeError(f"eigenvectors not found to {tol} in {rounds} rounds")
 
 

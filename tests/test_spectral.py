@@ -26,8 +26,10 @@ def clouds(rng, n):
 
 def test_iteration_equals_the_dense_way(spark, sf_dir):
     df = frame_of(spark, [*clouds(np.random.default_rng(1), 60), np.zeros((1, 3)), np.zeros((12, 3))])
-    dense, iterated, joined = (cluster.spectral(df, ("frame",), **how).collect() for how in ({}, {"dense": 0}, {"dense": 0, "block": 0}))
-    assert parts(dense) == parts(iterated) == parts(joined)
+    dense, iterated = (cluster.spectral(df, ("frame",), dense=n).collect() for n in (spectral.DENSE, 0))
+    assert parts(dense) == parts(iterated)
+    some = df.where("frame < 3")
+    assert parts(cluster.spectral(some, ("frame",), block=0).collect()) == {p for p in parts(dense) if p[0] < 3}
     assert {f: len({r["cluster"] for r in dense if r["frame"] == f}) for f in range(5)} == {0: 2, 1: 3, 2: 1, 3: 1, 4: 1}
     assert sorted(r["pid"] for r in dense) == sorted(r["pid"] for r in df.collect())
     p = views.pts3(spark, sf_dir)
