@@ -91,6 +91,8 @@ INK_BYTES = bytes(b for b in range(256) if b not in (32, 9, 10, 11, 12, 13))
 INK_ONLY = bytes((LOWER[b] if LOWER[b] in INK_BYTES else 32) for b in range(256))
 
 _PRIME = U64(0x9E3779B97F4A7C15)
+#: Bytes hashed at a time: each takes some 40 bytes of temporary arrays.
+_PIECE = 1 << 20
 #: Places of a word whose random numbers are kept in a table.
 _TABLED = 64
 
@@ -120,8 +122,19 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     The words must have been separated by 0x20 (see WORDS_ONLY, INK_ONLY). A word's hash is the mixed sum
     of a random number for each byte at its place (tabulation), so no pattern of bytes collides by rule;
-    it doesn't depend on where the word stands.
+    it doesn't depend on where the word stands. Long strings go in pieces that end before a blank.
     """
+    parts, at = [], 0
+    while at < len(data) or not parts:
+        end = data.find(b" ", at + _PIECE)
+        end = len(data) if end < 0 else end
+        hashes, starts = _piece_hashes(data[at:end])
+        parts.append((hashes, starts + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+
+
+def _piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(data, np.uint8)
     if not a.size:
         return np.empty(0, U64), np.empty(0, np.int64)

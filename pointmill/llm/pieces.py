@@ -37,6 +37,8 @@ CHUNK_BYTES = 12 << 20
 #: Buckets of a word table. A larger corpus has a word table for each MOST_BUCKETS chunks, so that a chunk sends a bounded
 #: number of messages and a bucket gets a bounded number.
 MOST_BUCKETS = 2_000
+#: Words of the documents that a chunk's answer is made of at a time.
+RUN_WORDS = 200_000
 _MARKED_WORDS = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -92,22 +94,25 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in common.text_runs(batches, chunk_bytes):
             place: dict[str, int] = {}
-            tokens, n = [], []
-            for t in rows["text"]:
+            tokens, n, texts = [], [], rows.pop("text")
+            for k, t in enumerate(texts):
                 words = _MARKED_WORDS.findall(" " + t.decode()) if t else []
-                tokens.append(np.array([place.setdefault(w, len(place)) for w in words], np.int64))
+                tokens.append(np.array([place.setdefault(w, len(place)) for w in words], np.int32))
                 n.append(len(words))
+                texts[k] = None  # a worker holds a text or its places, not both
             words = [w.encode() for w in place]
+            del place
             to = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
             order = np.argsort(to, kind="stable")  # words in the order of their buckets
-            rank = np.empty(order.size, np.int64)
-            rank[order] = np.arange(order.size)
+            rank = np.empty(order.size, np.int32)
+            rank[order] = np.arange(order.size, dtype=np.int32)
+            tokens = rank[np.concatenate(tokens)] if words else np.empty(0, np.int32)
             yield pa.RecordBatch.from_pydict(
                 {
                     "chunk": pa.array([chunk], pa.int64()),
                     "ids": pa.array([rows["doc_id"]], pa.list_(pa.int64())),
                     "n": pa.array([common.squeezed(np.array(n, np.int64))], pa.binary()),
-                    "tokens": pa.array([common.squeezed(rank[np.concatenate(tokens)] if words else np.empty(0, np.int64))], pa.binary()),
+                    "tokens": pa.array([common.squeezed(tokens)], pa.binary()),
                     "words": pa.array([common.squeezed_strings([words[k] for k in order])], pa.binary()),
                     "to": pa.array([common.squeezed(to[order])], pa.binary()),
                 }
@@ -150,18 +155,25 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def join_back(key, left, right):
         row, order = left.to_pylist()[0], np.argsort(right["bucket"].to_numpy())
-        told = lambda c: [right[c][int(k)].as_py() for k in order]
-        number = lambda parts: np.concatenate([common.loosened(x) for x in parts]) if parts else np.empty(0, np.int64)
+        told = lambda c: (right[c][int(k)].as_py() for k in order)
+        number = lambda parts: np.concatenate([np.empty(0, np.int32), *(common.loosened(x).astype(np.int32) for x in parts)])
         n, pieces = number(told("n")), number(told("pieces"))
-        plain = [w.decode().replace(MARK, " ") for w in common.loosened_strings(row["words"])]
-        odd = [x for part in told("decoded") for x in common.loosened_strings(part)]
-        said = [x[1:].decode() if x else w for x, w in zip(odd, plain, strict=True)]
-        tokens, words_of = common.loosened(row["tokens"]), common.loosened(row["n"])
-        ids = pieces[common.flat((np.cumsum(n) - n)[tokens], n[tokens])]
+        start = np.cumsum(n, dtype=np.int64) - n
+        odd = (x for part in told("decoded") for x in common.loosened_strings(part))
+        said = [x[1:].decode() if x else w.decode().replace(MARK, " ") for x, w in zip(odd, common.loosened_strings(row.pop("words")), strict=True)]
+        tokens, words_of = common.loosened(row.pop("tokens")).astype(np.int32), common.loosened(row["n"])
         edge = np.append(0, np.cumsum(words_of))
-        size = np.append(0, np.cumsum(n[tokens]))[edge]
-        decoded = ["".join([said[k] for k in tokens[a:b].tolist()])[1:] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "ids": common.list_array(np.diff(size), pa.array(ids.astype(np.int32))), "decoded": pa.array(decoded, pa.string())})
+        # documents of RUN_WORDS words at a time, or one: temporary arrays and the batches of the answer stay small
+        parts, first = [], 0
+        while first < len(row["ids"]):
+            last = max(first + 1, int(np.searchsorted(edge, edge[first] + RUN_WORDS, "right")) - 1)
+            mine, at = tokens[edge[first] : edge[last]], edge[first : last + 1] - edge[first]
+            ids = pieces[common.flat(start[mine], n[mine])]
+            size = np.append(0, np.cumsum(n[mine], dtype=np.int64))[at]
+            decoded = ["".join([said[k] for k in mine[a:b].tolist()])[1:] for a, b in zip(at[:-1], at[1:], strict=True)]
+            parts.append(pa.table({"doc_id": pa.array(row["ids"][first:last], pa.int64()), "ids": common.list_array(np.diff(size), pa.array(ids)), "decoded": pa.array(decoded, pa.string())}))
+            first = last
+        return pa.concat_tables(parts)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join_back, SCHEMA)
 
