@@ -57,3 +57,16 @@ def test_cut_is_of_all_rows(spark, judged, monkeypatch):
             cut, some = quality_rank.with_cut(quality_rank.Ranking([1.0], -7.0), rows, n).cut, sorted(scores)
             under = [v for v in some if 0 < n < len(some) and v < some[n]]
             assert cut == (-7.0 if n in (0, len(some)) else (under[-1] + some[n]) / 2 if under else some[n])
+
+
+def test_pipeline_cuts_at_the_share_of_all_rows(spark, judged, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    docs, labels, x, y = judged
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(quality_rank.fit, "__defaults__", (5, 3))  # a start from 3 rows of each class
+    rows = {r["doc_id"]: np.array(r["features"]) for r in quality_rank.labelled(docs, labels).collect()}
+    w = np.array(quality_rank.fit(docs, labels).weights)
+    least = np.sort(x @ w)[(y == 0).sum()]
+    kept = [r["doc_id"] for r in corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).collect()]
+    assert {i for i in kept if i in rows and i != 7} == {i for i, f in rows.items() if f @ w > least - 1e-12 and i != 7}
