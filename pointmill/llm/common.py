@@ -225,6 +225,52 @@ def runs_of(values: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return values[first], list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where the runs of a sorted array begin, as a mask."""
+    out = np.ones(values.size, bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values of a sorted array."""
+    return values[firsts(values)]
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(values, return_inverse=True) of 64-bit whole numbers of 0 or more, in a third of its time.
+
+    Plain numbers sort several times faster than places by their numbers, so each place stands in the low
+    bits of its value. Where the values leave too few bits free, their own low bits go; if two values differ
+    in these only, the order shows it, and np.unique has its turn. Sorted values are only cut where they change.
+    """
+    if not (values[1:] < values[:-1]).any():
+        first = firsts(values)
+        rank = np.cumsum(first)
+        rank -= 1
+        return values[first], rank
+    bits = values.size.bit_length()
+    lost = max(0, int(values.max()).bit_length() + bits - 64)
+    code = values.view(U64) >> U64(lost)
+    code <<= U64(bits)
+    code |= np.arange(values.size, dtype=U64)
+    code.sort()
+    place = (code & U64((1 << bits) - 1)).view(np.int64)
+    if lost:
+        ordered = values[place]
+        if (ordered[1:] < ordered[:-1]).any():
+            return np.unique(values, return_inverse=True)
+    else:
+        code >>= U64(bits)
+        ordered = code.view(values.dtype)
+    first = firsts(ordered)
+    out, rank = ordered[first], np.empty(values.size, np.int64)
+    ranks = np.cumsum(first, out=code.view(np.int64))
+    ranks -= 1
+    rank[place] = ranks
+    return out, rank
+
+
 def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All places of the given runs, one after the other."""
     ends = np.cumsum(lengths)

@@ -135,7 +135,7 @@ def tokenised(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_
                     block, size = [], 0
             n = np.concatenate(lengths)
             held = np.array(rows["held_out"], bool)
-            words, place = np.unique(np.append(np.concatenate(parts), _END), return_inverse=True)
+            words, place = common.ranked(np.append(np.concatenate(parts), _END))
             end, place = place[-1], place[:-1]
             count = np.bincount(place[~np.repeat(held, n)], minlength=words.size)
             count[end] += int((~held).sum())
@@ -171,19 +171,20 @@ class Chunk:
         self.held = common.loosened(row["held"]).astype(bool)
         self.n_tokens = n + 1
         self.first = np.cumsum(self.n_tokens) - self.n_tokens
-        place = np.full(int(self.n_tokens.sum()), np.searchsorted(words, _END), np.int64)
-        place[common.flat(self.first, n)] = common.loosened(row["tokens"])
-        train = np.repeat(~self.held, self.n_tokens)
-        start = np.zeros(place.size, bool)
+        end = np.searchsorted(words, _END)
+        size = int(self.n_tokens.sum())
+        start, inner = np.zeros(size, bool), np.ones(size, bool)
         start[self.first] = True
+        inner[self.first + n] = False
         # names: distinct numbers in the chunk, the mark before a text among them
-        self.names, of = np.unique(np.append(ids, BEGIN), return_inverse=True)
+        self.names, of = common.ranked(np.append(ids, BEGIN))
         begin, of = of[-1], of[:-1]
-        self.texts = int(total[np.searchsorted(words, _END)])  # of training: as often as a text ends, one begins
+        self.texts = int(total[end])  # of training: as often as a text ends, one begins
         self.name_total = np.zeros(self.names.size, np.int64)
         self.name_total[of] = total
         self.name_total[begin] = self.texts
-        self.token = of[place]
+        self.token = np.full(size, of[end])
+        self.token[inner] = of[common.loosened(row["tokens"])]
         back = [self.token]
         for _ in range(order - 1):
             before = np.empty_like(self.token)
@@ -192,23 +193,31 @@ class Chunk:
             back.append(before)
         self.start = start
         w, v = back[0], back[1]
-        # a frequent word is split by the word that follows it
+        # a frequent word is split by the word that follows it; places are the parts of all words, by bucket and word
         parts = np.clip(-(-self.name_total // hot), 1, buckets)
+        first = np.cumsum(parts) - parts
+        words = np.repeat(np.arange(parts.size), parts)
         to = (common.mix64(self.names.astype(_U)) % _U(buckets)).astype(np.int64)
-        to = (to[v] + self.names[w] % parts[v]) % buckets
-        size = self.names.size
-        self.bucket, self.gram, self.key, self.parent = None, [], [], []
-        code = (to * size + v) * size + w  # fewer than 2**63 of them, as a chunk's names are some hundred thousand
-        distinct, of = np.unique(code, return_inverse=True)
-        self.bucket, self.head, self.tail = distinct // (size * size), distinct // size % size, distinct % size
-        self.gram.append(of)
+        to = (to[words] + np.arange(words.size) - first[words]) % buckets
+        by = np.lexsort((words, to))
+        rank = np.empty_like(by)
+        rank[by] = np.arange(by.size)
+        place = rank[first][v]
+        split = np.flatnonzero((parts > 1)[v])
+        place[split] = rank[first[v[split]] + self.names[w[split]] % parts[v[split]]]
+        bits = self.names.size.bit_length()
+        distinct, of = common.ranked(place << bits | w)
+        at, self.tail = by[distinct >> bits], distinct & (1 << bits) - 1
+        self.bucket, self.head, self.gram, self.key, self.parent = to[at], words[at], [of], [], []
         for u in back[2:]:
-            distinct, now = np.unique(of * size + u, return_inverse=True)
-            self.parent.append(distinct // size)
-            self.key.append(distinct % size)
-            self.gram.append(now)
-            of = now
-        self.count = np.bincount(of[train], minlength=distinct.size)
+            distinct, of = common.ranked(of << bits | u)
+            self.parent.append(distinct >> bits)
+            self.key.append(distinct & (1 << bits) - 1)
+            self.gram.append(of)
+
+    def counts(self) -> np.ndarray:
+        """How often training texts have each distinct n-gram of the last level."""
+        return np.bincount(self.gram[-1][np.repeat(~self.held, self.n_tokens)], minlength=(self.key or [self.head])[-1].size)
 
     def buckets_of(self, level: int) -> np.ndarray:
         """The bucket of each distinct n-gram of a level."""
@@ -222,16 +231,19 @@ class Chunk:
 
 
 class Grams:
-    """Distinct n-grams by levels, from flat columns (v, w, u, ...) of places in sorted names."""
+    """Distinct n-grams by levels, from those of all chunks: places in sorted names and how each level goes on in the next.
+
+    `of` leads from the chunks' longest n-grams to the distinct ones.
+    """
 
-    def __init__(self, columns: list[np.ndarray], size: int) -> None:
-        code, of = np.unique(columns[0] * size + columns[1], return_inverse=True)
-        self.v, self.keys, self.parents, self.of = code // size, [code % size], [], [of]
-        for u in columns[2:]:
-            code, of = np.unique(of * size + u, return_inverse=True)
-            self.parents.append(code // size)
-            self.keys.append(code % size)
-            self.of.append(of)
+    def __init__(self, v: np.ndarray, keys: list[np.ndarray], degrees: list[np.ndarray], size: int) -> None:
+        bits = size.bit_length()
+        code, self.of = common.ranked(v << bits | keys[0])
+        self.v, self.keys, self.parents = code >> bits, [code & (1 << bits) - 1], []
+        for u, degree in zip(keys[1:], degrees, strict=True):
+            code, self.of = common.ranked(np.repeat(self.of, degree) << bits | u)
+            self.parents.append(code >> bits)
+            self.keys.append(code & (1 << bits) - 1)
 
 
 def totals_of(count: np.ndarray, keys: list[np.ndarray], parents: list[np.ndarray]) -> list[np.ndarray]:
@@ -247,12 +259,12 @@ def contexts(v: np.ndarray, keys: list[np.ndarray], parents: list[np.ndarray], s
 
     The contexts of a level are the distinct (v), (v, u), ... in ascending order.
     """
-    names, of = np.unique(v, return_inverse=True)
+    (names, of), bits = common.ranked(v), size.bit_length()
     out = [(of, names, names)]
     for parent, key in zip(parents, keys[1:], strict=True):
         of, near = out[-1][0][parent], out[-1][1]
-        code, now = np.unique(of * size + key, return_inverse=True)
-        out.append((now, near[code // size], code % size))
+        code, now = common.ranked(of << bits | key)
+        out.append((now, near[code >> bits], code & (1 << bits) - 1))
     return out
 
 
@@ -283,7 +295,7 @@ def word_table(chunks: DataFrame, buckets: int, hot: int) -> DataFrame:
 
     def count(key, table):
         asked = [common.unpacked_sorted(x) for x in table["words"].to_pylist()]
-        words, of = np.unique(np.concatenate(asked), return_inverse=True)
+        words, of = common.ranked(np.concatenate(asked))
         total = np.bincount(of, weights=_spread([common.loosened(x) for x in table["counts"].to_pylist()]), minlength=words.size).astype(np.int64)
         # frequent words get small numbers
         rank = np.empty(words.size, np.int64)
@@ -318,7 +330,7 @@ def gram_table(chunks: DataFrame, told: DataFrame, buckets: int, hot: int, order
     def ask(key, left, right):
         c = Chunk(left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: r["bucket"]), buckets, hot, order)
         levels = order - 1
-        at = [c.buckets_of(k) for k in range(levels)]
+        at, count = [c.buckets_of(k) for k in range(levels)], c.counts()
         names, runs = common.runs_of(at[0])
         bounds = [runs, *[list(zip(np.searchsorted(at[k], names), np.searchsorted(at[k], names, "right"), strict=True)) for k in range(1, levels)]]
         out = {"chunk": [key[0].as_py()] * len(names), "bucket": names, **{k: [] for k in ("heads", "keys", "totals", "degrees", "counts")}}
@@ -328,10 +340,10 @@ def gram_table(chunks: DataFrame, told: DataFrame, buckets: int, hot: int, order
             out["heads"].append(common.squeezed(np.diff(c.names[c.head[a:b]], prepend=0)))
             out["keys"].append([common.squeezed(c.names[x]) for x in (c.tail[a:b], *[c.key[k][x:y] for k, (x, y) in enumerate(deeper)])])
             # totals of the distinct words, in order
-            out["totals"].append([common.squeezed(c.name_total[np.unique(x[a:b])]) for x in (c.head, c.tail)])
+            out["totals"].append([common.squeezed(c.name_total[common.distinct(x)]) for x in (c.head[a:b], np.sort(c.tail[a:b]))])
             out["degrees"].append([common.squeezed(np.bincount(c.parent[k][x:y] - ends[k][0], minlength=ends[k][1] - ends[k][0])) for k, (x, y) in enumerate(deeper)])
             x, y = ends[-1]
-            out["counts"].append(common.squeezed(c.count[x:y]))
+            out["counts"].append(common.squeezed(count[x:y]))
         lists = ("keys", "totals", "degrees")
         return pa.table({k: pa.array(v, pa.int64() if k in ("chunk", "bucket") else pa.list_(pa.binary()) if k in lists else pa.binary()) for k, v in out.items()})
 
@@ -341,28 +353,23 @@ def gram_table(chunks: DataFrame, told: DataFrame, buckets: int, hot: int, order
         for r in rows:
             for out, x in zip(columns, [np.cumsum(common.loosened(r["heads"])), *map(common.loosened, r["keys"])], strict=True):
                 out.append(x)
-        names, of = np.unique(_spread([x for out in columns for x in out]), return_inverse=True)
+        names, of = common.ranked(_spread([x for out in columns for x in out]))
         total, at = np.zeros(names.size, np.int64), 0
         for k, out in enumerate(columns):
             for j, x in enumerate(out):
                 out[j] = of[at : at + x.size]
                 at += x.size
                 if k < 2:
-                    total[np.unique(out[j])] = common.loosened(rows[j]["totals"][k])
+                    total[common.distinct(np.sort(out[j]) if k else out[j])] = common.loosened(rows[j]["totals"][k])
         del of
-        sizes = []
-        for j, r in enumerate(rows):
-            for k, degree in enumerate(r["degrees"]):
-                degree = common.loosened(degree)
-                for out in columns[: k + 2]:
-                    out[j] = np.repeat(out[j], degree)
-            sizes.append(columns[-1][j].size)
+        degrees = [_spread([common.loosened(r["degrees"][k]) for r in rows]) for k in range(order - 2)]
         counts = [common.loosened(r["counts"]) for r in rows]
-        grams = Grams([_spread(x) for x in columns], names.size)
-        del columns
-        leaf = np.bincount(grams.of[-1], weights=_spread(counts), minlength=grams.keys[-1].size).astype(np.int64)
-        cut = np.cumsum([0, *sizes])
-        asked = [common.squeezed(np.diff(grams.of[-1][a:b], prepend=0)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        v, *keys = map(_spread, columns)
+        del columns, out
+        grams = Grams(v, keys, degrees, names.size)
+        leaf = np.bincount(grams.of, weights=_spread(counts), minlength=grams.keys[-1].size).astype(np.int64)
+        cut = np.cumsum([0, *[x.size for x in counts]])
+        asked = [common.squeezed(np.diff(grams.of[a:b], prepend=0)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         stats = [x for t in totals_of(leaf, grams.keys, grams.parents) for x in counts_of_counts(t)]
         one = lambda x: pa.array([x], pa.binary())
         many = lambda x: pa.array([x], pa.list_(pa.binary()))
@@ -461,11 +468,12 @@ def answered(table: DataFrame, model: Model, hot: int, parts: int) -> DataFrame:
                 for chunk, asked in zip(r["chunks"], r["asked"], strict=True):
                     levels, told, ask = [np.cumsum(common.loosened(asked))], {"a": [], "b": [], "c": []}, []
                     for parent in reversed(b.parents):
-                        levels.insert(0, common.runs_of(parent[levels[0]])[0])
+                        levels.insert(0, common.distinct(parent[levels[0]]))
                     for k, grams in enumerate(levels):
-                        mine, place = np.unique(b.context[k][0][grams], return_inverse=True)
+                        mine, place = common.ranked(b.context[k][0][grams])
                         count, is_hot = b.count[k][grams], b.hot[k][mine]
-                        need = np.bincount(place, weights=count == 0, minlength=mine.size) > 0
+                        need = np.zeros(mine.size, bool)
+                        need[place[count == 0]] = True
                         told["a"].append(common.squeezed(count))
                         told["b"].append(common.squeezed((b.full[k][mine] & ~is_hot) + 2 * need + 4 * is_hot))
                         told["c"].append(b.weight[k][mine[need & ~is_hot]].tobytes())
@@ -483,13 +491,16 @@ def split_sums(answers: DataFrame) -> DataFrame:
 
     def run(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["chunk"] or 0))
-        named = [common.loosened(r["a"]).reshape(3, -1).T for r in rows]
-        _, of = np.unique(np.concatenate(named), axis=0, return_inverse=True)
-        told = [np.frombuffer(r["b"]).reshape(-1, 3) for r in rows if r["kind"] == 2]
-        sums, at = np.zeros((int(of.max()) + 1, 3)), np.cumsum([0] + [len(x) for x in named])
-        np.add.at(sums, of[: at[len(told)]], np.concatenate(told))
-        asks = [(r, x, of[i:j]) for r, x, i, j in zip(rows, named, at[:-1], at[1:], strict=True) if r["kind"] == 3]
-        return pa.Table.from_batches([_batch(chunk=[r["chunk"]], kind=[4], bucket=[r["bucket"]], a=[r["a"]], b=[sums[j].tobytes()]) for r, _, j in asks] or [_batch(chunk=[])])
+        named = [common.loosened(r["a"]).reshape(3, -1) for r in rows]
+        level, near, far = np.concatenate(named, axis=1)
+        names, of = common.ranked(np.append(near, far))
+        bits = names.size.bit_length()
+        code, of = common.ranked((level << bits | of[: near.size]) << bits | of[near.size :])
+        told = np.concatenate([np.frombuffer(r["b"]).reshape(-1, 3) for r in rows if r["kind"] == 2])
+        sums = np.stack([np.bincount(of[: len(told)], weights=x, minlength=code.size) for x in told.T], 1)
+        at = np.cumsum([0] + [x.shape[1] for x in named])
+        asks = [(r, of[i:j]) for r, i, j in zip(rows, at[:-1], at[1:], strict=True) if r["kind"] == 3]
+        return pa.Table.from_batches([_batch(chunk=[r["chunk"]], kind=[4], bucket=[r["bucket"]], a=[r["a"]], b=[sums[j].tobytes()]) for r, j in asks] or [_batch(chunk=[])])
 
     return answers.where("kind in (2, 3)").groupBy("bucket").applyInArrow(run, _ANSWERS)
 
@@ -516,61 +527,89 @@ def evaluated(chunks: DataFrame, told: DataFrame, model: Model, buckets: int, ho
         row = left.to_pylist()[0]
         c = Chunk(row, of_kind(0), buckets, hot, order)
         answers = [[_parted(r[x]) for x in "abc"] for r in of_kind(1)]
-        split: dict[tuple, np.ndarray] = {}
-        for r in of_kind(4):
-            split |= zip(map(tuple, common.loosened(r["a"]).reshape(3, -1).T.tolist()), np.frombuffer(r["b"]).reshape(-1, 3), strict=True)
-        total, size = c.name_total[c.token], c.names.size
-        p = model.unigrams.p(total)
-        n, of = total_before(c, total), None
+        split = SplitContexts(of_kind(4), c.names)
+        # everything is the same wherever an n-gram stands: worked for each distinct one of a level, from the level before
+        bits, p = c.names.size.bit_length(), model.unigrams.p(c.name_total)[c.tail]
+        n = c.name_total[c.head].astype(float)
         for k in range(order - 1):
             count = np.concatenate([common.loosened(a[k]) for a, _, _ in answers])
             flags = np.concatenate([common.loosened(b[k]) for _, b, _ in answers])
-            code = c.bucket * size + c.head if k == 0 else of[c.parent[k - 1]] * size + c.key[k - 1]
-            names, of = np.unique(code, return_inverse=True)
-            weight, full = np.ones(names.size), flags % 2 == 1
+            if k == 0:
+                code, of = common.ranked(c.bucket << bits | c.head)
+                near = far = code & (1 << bits) - 1
+            else:
+                p = p[c.parent[k - 1]]
+                code, of = common.ranked(of[c.parent[k - 1]] << bits | c.key[k - 1])
+                near, far = far[code >> bits], code & (1 << bits) - 1
+            weight, full = np.ones(far.size), flags % 2 == 1
             weight[flags & 6 == 2] = np.concatenate([np.frombuffer(w[k], np.float64) for _, _, w in answers])
-            if split and (j := np.flatnonzero(flags >= 4)).size:
-                far = names[j] % size
-                near = far if k == 0 else before[names[j] // size]
-                for i, v, u in zip(j.tolist(), c.names[near].tolist(), c.names[far].tolist(), strict=True):
-                    if (sums := split.get((k, v, u))) is not None:
-                        weight[i], full[i] = _whole(sums, split.get((0, v, v)) if k else None)
-            before = names % size
-            gram = c.gram[k]
-            context, seen = of[gram], count[gram]
-            p = np.where(seen > 0, scale_of(full[context], n) * discounted(seen, model.discounts[k]) / np.maximum(n, 1), weight[context] * p)
-            n = total_before(c, seen)
-        plain = np.log10((total + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+            j = np.flatnonzero(flags >= 4)
+            told, values = split.whole(k, near[j], far[j])
+            weight[j[told]], full[j[told]] = values
+            p = np.where(count > 0, scale_of(full[of], n) * discounted(count, model.discounts[k]) / np.maximum(n, 1), weight[of] * p)
+            if k < order - 2:
+                n = total_before(c, count[c.gram[k]], c.gram[k + 1])
+        known = c.name_total > 0
+        plain = np.log10((c.name_total + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[c.token]
+        score = np.log10(p)[c.gram[-1]]
         by_text = lambda x: np.add.reduceat(x, c.first)
         return pa.table(
             {
                 "doc_id": pa.array(row["ids"], pa.int64()),
                 "held_out": pa.array(c.held),
                 "n_tokens": pa.array(c.n_tokens),
-                "n_known": pa.array(by_text((total > 0).astype(np.int64))),
+                "n_known": pa.array(by_text(known.astype(np.int64)[c.token])),
                 "train_tokens": pa.array(np.full(c.held.size, int(model.tokens), np.int64)),
                 "base_score": pa.array(by_text(plain)),
-                "score": pa.array(by_text(np.log10(p))),
+                "score": pa.array(by_text(score)),
             }
         )
 
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _whole(sums: np.ndarray, shorter: np.ndarray | None) -> tuple[float, bool]:
-    """Weight and flag of a split context from its sums and, for a longer one, those of its nearest word."""
-    n, mass, lower = sums
-    if shorter is not None:  # the parts left out its scale
-        lower = lower * scale_of(backoff(shorter[1:2], shorter[2:], shorter[:1])[1], shorter[:1])[0]
-    weight, full = backoff(np.array([mass]), np.array([lower]), np.array([n]))
-    return weight[0], full[0]
+class SplitContexts:
+    """What a chunk was told of contexts of split words: sums over all parts, by level and the places of two words."""
+
+    def __init__(self, rows: list[dict], names: np.ndarray) -> None:
+        self.bits = names.size.bit_length()
+        level, near, far = np.concatenate([np.empty((3, 0), np.int64), *[common.loosened(r["a"]).reshape(3, -1) for r in rows]], axis=1)
+        sums = np.concatenate([np.empty((0, 3)), *[np.frombuffer(r["b"]).reshape(-1, 3) for r in rows]])
+        code = self._code(level, np.searchsorted(names, near), np.searchsorted(names, far))
+        # several parts may have asked about the same context
+        self.code, at = np.unique(code, return_index=True)
+        self.sums = sums[at]
+
+    def _code(self, level, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        return (level << self.bits | near) << self.bits | far
 
+    def _found(self, level: int, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of contexts, zeros where nothing was told, and whether something was."""
+        code = self._code(np.int64(level), near, far)
+        at = np.searchsorted(self.code, code)
+        told = np.append(self.code, -1)[at] == code
+        return np.append(self.sums, np.zeros((1, 3)), axis=0)[np.where(told, at, -1)].T, told
 
-def total_before(c: Chunk, count: np.ndarray) -> np.ndarray:
-    """The count of each token's context: that of the n-gram which ends before the token, of all texts at a start."""
-    out = np.empty(count.size)
-    out[1:] = count[:-1]
-    out[c.start] = c.texts
+    def whole(self, level: int, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Which of the contexts were told of, and these ones' weights and flags."""
+        (n, mass, lower), told = self._found(level, near, far)
+        if level:  # the parts left out the scale of the shorter context
+            total, cut, shorter = self._found(0, near, near)[0]
+            lower = lower * scale_of(backoff(cut, shorter, total)[1], total)
+        weight, full = backoff(mass, lower, n)
+        return told, (weight[told], full[told])
+
+
+def total_before(c: Chunk, count: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The count of each distinct n-gram's context: that of the n-gram which ends before its last token, of all texts at a start.
+
+    count: of the shorter n-gram that ends at each token; gram: the distinct one of each token.
+    """
+    before = np.empty(count.size)
+    before[1:] = count[:-1]
+    before[c.start] = c.texts
+    out = np.empty(int(gram.max()) + 1)
+    out[gram] = before
     return out
 
 
