@@ -166,7 +166,8 @@ def squeezed(values: np.ndarray) -> bytes:
 
     top = int(values.max()) if values.size else 0
     width = max(1, (top.bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    held = 4 if width <= 4 else 8
+    planes = np.ascontiguousarray(values.astype(f"<u{held}").view(np.uint8).reshape(-1, held)[:, :width].T)
     return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
@@ -177,7 +178,7 @@ def loosened(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, : data[0]] = planes.T
-    return out.view("<u8").ravel().astype(np.int64)
+    return out.view("<i8").ravel()
 
 
 def squeezed_strings(values: list[bytes]) -> bytes:

@@ -33,6 +33,8 @@ WINDOW = 10
 BENCHMARK_BLOCK = 8 << 20
 #: Text of one shard.
 SHARD_BYTES = 8 << 20
+#: Text whose words are hashed at a time.
+RUN_BYTES = 1 << 20
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
 _ARROW_MATCH = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
@@ -55,22 +57,13 @@ def index(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in common.text_runs(batches, shard_bytes):
-            data = [t.translate(common.WORDS_ONLY) for t in rows["text"]]
-            at = np.cumsum([0] + [len(t) + 1 for t in data])
-            hashes, starts = common.word_hashes(b" ".join(data))
-            n_words = np.diff(np.searchsorted(starts, at))
-            words, place = np.unique(hashes, return_inverse=True)
-            seq = sequence(place, n_words)
-            pack = lambda x: pa.array([x], pa.binary())
+            arrays = shard_arrays(rows.pop("text"), window)
             yield pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([shard], pa.int64()),
                     "ids": pa.array([rows["doc_id"]]).cast(id_type),
                     "digests": pa.array([rows["digest"]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                    "n_words": pack(common.squeezed(n_words)),
-                    "words": pack(common.packed_sorted(words)),
-                    "tokens": pack(common.squeezed(place)),
-                    "suffixes": pack(common.squeezed(np.lexsort((before(seq), suffixes.ranks_to_depth(seq, window))))),
+                    **{name: pa.array([x], pa.binary()) for name, x in arrays.items()},
                 }
             )
 
@@ -79,17 +72,43 @@ def index(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     return written(source.mapInArrow(build, _INDEX.format(id=kind.simpleString())), "shards")
 
 
+def shard_arrays(texts: list[bytes], window: int) -> dict[str, bytes]:
+    """Documents' numbers of words, distinct word hashes, the words as places among these and their suffix array.
+
+    Empties the list: a task holds texts or what was made of them, and words in numbers of 32 bits where these do.
+    """
+    hashes, n_words = [], []
+    texts.reverse()
+    while texts:
+        run, size = [], 0
+        while texts and size < RUN_BYTES:
+            run.append(texts.pop().translate(common.WORDS_ONLY))
+            size += len(run[-1]) + 1
+        found, starts = common.word_hashes(b" ".join(run))
+        hashes.append(found)
+        n_words.append(np.diff(np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in run]))))
+    n_words, hashes = np.concatenate(n_words), np.concatenate(hashes)
+    words, place = common.ranked(hashes)
+    del hashes
+    if place.size + n_words.size < suffixes.NARROW:
+        place = place.astype(np.int32)
+    out = {"n_words": common.squeezed(n_words), "words": common.packed_sorted(words), "tokens": common.squeezed(place)}
+    seq = sequence(place, n_words)
+    del words, place
+    rank = suffixes.ranks_to_depth(seq, window)
+    return out | {"suffixes": common.squeezed(np.lexsort((before(seq), rank)))}
+
+
 def sequence(place: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """A shard's words as numbers from 1, a 0 before each document."""
-    first = np.cumsum(n_words + 1) - n_words
-    out = np.zeros(place.size + n_words.size, np.int64)
-    out[common.flat(first, n_words)] = place + 1
-    return out
+    return np.insert(place + 1, np.cumsum(n_words) - n_words, 0)
 
 
 def before(seq: np.ndarray) -> np.ndarray:
     """The number before each place."""
-    return np.append(0, seq[:-1]) if seq.size else seq
+    out = np.zeros_like(seq)
+    out[1:] = seq[:-1]
+    return out
 
 
 class TestSet:

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+from pointmill.llm import common
+
+#: Sequences shorter than this have their places in 32 bits.
+NARROW = 1 << 30
+
 
 def refine(rank: np.ndarray, shift: int) -> np.ndarray:
     """One round of refinement: order within groups of equal rank by the rank `shift` places on.
@@ -11,42 +16,36 @@ def refine(rank: np.ndarray, shift: int) -> np.ndarray:
     A rank is the number of suffixes in earlier groups, so groups that are already single keep theirs
     and only the unsorted groups are touched. Suffixes that end before `shift` come first.
     """
-    n = rank.size
-    size = np.bincount(rank, minlength=n)
-    todo = np.flatnonzero(size[rank] > 1)
+    n, kind = rank.size, rank.dtype
+    todo = np.flatnonzero((np.bincount(rank, minlength=n) > 1)[rank]).astype(kind)
     if not todo.size:
         return rank
-    later = np.zeros(todo.size, np.int64)
-    inside = todo + shift < n
-    later[inside] = rank[todo[inside] + shift] + 1
-    key = rank[todo].astype(np.int64) * (n + 1) + later
+    key = rank[todo].astype(np.int64)
+    key *= n + 1
+    inside = int(np.searchsorted(todo, n - shift))
+    key[:inside] += rank[todo[:inside] + shift]
+    key[:inside] += 1
     order = np.argsort(key)
-    key = key[order]
-    group = key // (n + 1)
-    fresh = np.empty(key.size, bool)
-    fresh[0] = True
-    np.not_equal(key[1:], key[:-1], out=fresh[1:])
-    first = np.empty(key.size, bool)
-    first[0] = True
-    np.not_equal(group[1:], group[:-1], out=first[1:])
-    at = np.arange(key.size)
-    start_of_group = np.maximum.accumulate(np.where(first, at, 0))
-    start_of_part = np.maximum.accumulate(np.where(fresh, at, 0))
+    key, todo = key[order], todo[order]
+    del order
+    part = np.flatnonzero(common.firsts(key)).astype(kind)
+    key //= n + 1  # the group
+    begun = np.where(common.firsts(key)[part], part, 0)
+    np.maximum.accumulate(begun, out=begun)
+    fresh = key[part] + (part - begun)
+    del key, begun
     out = rank.copy()
-    out[todo[order]] = group + (start_of_part - start_of_group)
+    out[todo] = np.repeat(fresh.astype(kind), np.diff(part, append=todo.size))
     return out
 
 
 def dense_start(keys: np.ndarray) -> np.ndarray:
-    """Ranks by one key: how many keys are smaller."""
+    """Ranks by one key: how many keys are smaller. Numbers of 32 bits where these do."""
+    kind = np.int32 if keys.size < NARROW else np.int64
     order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    fresh = np.empty(keys.size, bool)
-    if keys.size:
-        fresh[0] = True
-        np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=fresh[1:])
-    out = np.empty(keys.size, np.int64)
-    out[order] = np.maximum.accumulate(np.where(fresh, np.arange(keys.size), 0))
+    first = np.flatnonzero(common.firsts(keys[order])).astype(kind)
+    out = np.empty(keys.size, kind)
+    out[order] = np.repeat(first, np.diff(first, append=keys.size))
     return out
 
 
@@ -59,10 +58,12 @@ def packed_start(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
         return np.empty(0, np.int64), depth
     bits = (int(symbols.max()) + 1).bit_length()
     have = max(1, min(depth, 63 // bits))
-    more = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(have, np.int64)])
     key = np.zeros(symbols.size, np.int64)
     for i in range(have):
-        key = (key << bits) | more[i : i + symbols.size]
+        key <<= bits
+        there = key[: max(0, symbols.size - i)]
+        there += symbols[i:]
+        there += 1
     return dense_start(key), have
 
 
