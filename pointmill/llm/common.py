@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +198,21 @@ def loosened_strings(data: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def give_back() -> None:
+    """Return what Arrow's pool has kept of freed batches: a worker lives on, and tens of megabytes with it."""
+    pa.default_memory_pool().release_unused()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back at its task's end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def text_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, dict[str, list]]]:
     """The rows of a task in runs of about `limit` bytes (the column `text`, as bytes, and ROW_BYTES for each row), each with an
     id of its own: the partition's number and the run's. Only for tables that are written at once, as a run
@@ -212,11 +227,14 @@ def text_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[i
             size += len(text) + ROW_BYTES
             if size > limit:
                 held = {n: [*(held[n] if held else ()), *c[begin : j + 1]] for n, c in columns.items()}
+                give_back()
                 yield base + k, held
                 begin, k, size, held = j + 1, k + 1, 0, None
         held = {n: [*(held[n] if held else ()), *c[begin:]] for n, c in columns.items()}
     if held and held["text"]:
+        give_back()
         yield base + k, held
+    give_back()
 
 
 def runs_of(values: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:

@@ -181,7 +181,7 @@ def hits(shards: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col
                     found, size = np.unique(doc, return_counts=True)
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]] * found.size, pa.int64()), "position": pa.array(found), "matches": common.list_array(size, values)})
 
-        found = written(shards.select("shard", "n_words", "words", "tokens", "suffixes").mapInArrow(find, _HIT), "hits")
+        found = written(shards.select("shard", "n_words", "words", "tokens", "suffixes").mapInArrow(common.tidy(find), _HIT), "hits")
         block.destroy()
         out = found if out is None else out.unionByName(found)
     return out
@@ -197,7 +197,7 @@ def documents_of(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([batch.column("shard")[k].as_py()] * len(ids), pa.int64()), "position": pa.array(np.arange(len(ids))), "doc_id": ids, "n_words": pa.array(common.loosened(batch.column("n_words")[k].as_py())), "digest": digests})
 
     kind = shards.schema["ids"].dataType.elementType.simpleString()
-    return shards.select("shard", "ids", "digests", "n_words").mapInArrow(tell, f"shard long, position long, doc_id {kind}, n_words long, digest struct<a:long,b:long>")
+    return shards.select("shard", "ids", "digests", "n_words").mapInArrow(common.tidy(tell), f"shard long, position long, doc_id {kind}, n_words long, digest struct<a:long,b:long>")
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -115,7 +115,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 nodes[k], sigs[k], lengths[k] = node_of(sets[k]), short[j].tobytes(), bands
             yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "node": pa.array(nodes, pa.int64()), "sig": pa.array(sigs, pa.binary()), "bands": common.list_array(lengths, pa.array(band.ravel()))})
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.tidy(run), schema)
 
 
 def joined(label: np.ndarray, near: np.ndarray) -> None:
@@ -249,7 +249,7 @@ def members(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, rec
 
     texts = docs.select(row_key().alias("first"), common.whole_text().alias("text"))
     # never a broadcast: what is wanted grows with the input, and the plan is to be the same at every size
-    sets = texts.join(wanted.hint("merge"), "first").mapInArrow(with_sets, "component long, node long, copies long, blocks long, block long, grams binary")
+    sets = texts.join(wanted.hint("merge"), "first").mapInArrow(common.tidy(with_sets), "component long, node long, copies long, blocks long, block long, grams binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = sets.withColumn("other", other).select("component", "node", "copies", "grams", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("component", "i", "j"), F.lit(parts)))

@@ -129,6 +129,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def segment(key, table):
         """One bucket of the word table: every distinct word's ids, and its decoded text where that isn't the word."""
+        common.give_back()
         asked = [common.loosened_strings(x) for x in table["words"].to_pylist()]
         place = {w: k for k, w in enumerate(dict.fromkeys(w for ws in asked for w in ws))}
         words = [w.decode() for w in place]
@@ -149,11 +150,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             }
         )
 
-    asked = chunks.select("chunk", "words", "to").mapInArrow(ask, "chunk long, bucket long, words binary")
+    asked = chunks.select("chunk", "words", "to").mapInArrow(common.tidy(ask), "chunk long, bucket long, words binary")
     lot = F.pmod(F.xxhash64("chunk"), F.lit(lots).cast("long"))
     answers = asked.groupBy("bucket", *([lot] if lots > 1 else [])).applyInArrow(segment, "chunk long, bucket long, n binary, pieces binary, decoded binary")
 
     def join_back(key, left, right):
+        common.give_back()
         row, order = left.to_pylist()[0], np.argsort(right["bucket"].to_numpy())
         told = lambda c: (right[c][int(k)].as_py() for k in order)
         number = lambda parts: np.concatenate([np.empty(0, np.int32), *(common.loosened(x).astype(np.int32) for x in parts)])

@@ -182,5 +182,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             texts = [clean(t, words) for t in batch.column("text").to_pylist()]
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(common.tidy(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -2,8 +2,10 @@
 
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from pointmill.llm import common, decontaminate, pieces, queries, suffixes
 
@@ -73,3 +75,13 @@ def test_a_shard_has_its_words_and_suffixes(monkeypatch):
         assert common.loosened(got["suffixes"]).tolist() == want
     none = decontaminate.shard_arrays([b"", b" "], 3)
     assert common.loosened(none["n_words"]).tolist() == [0, 0] and not common.loosened(none["tokens"]).size
+
+
+def test_tasks_give_arrows_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(len(calls)))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a b"] * 3)})
+    assert list(common.tidy(iter)([batch, batch])) == [batch, batch] and len(calls) == 1
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 2))
+    assert [(k, len(r["text"])) for k, r in common.text_runs(iter([batch, batch]), 2 * 64)] == [(2 << 32, 2), ((2 << 32) + 1, 2), ((2 << 32) + 2, 2)]
+    assert len(calls) == 1 + 3 + 1
